@@ -40,14 +40,14 @@ def with_sizes(docs: DataFrame, column: str = "_size") -> DataFrame:
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
-    """(source, source_size, target) from (source, _size): weights go round by code point of the source, null last.
+    """(source, source_size, rows, target) from (source, _size): weights go round by code point of the source, null last.
 
     Together the targets are the sum of all sizes. A target stops at ``most`` times the source's size
     and the excess goes to the others by weight: with level L, target = min(most * size, L * weight).
     Sources by ascending most * size / weight fill up one after the other, so L is the greatest of the
     levels that result when the first i of them are full. One row a source meets in one task.
     """
-    s = sizes.groupBy("source").agg(F.sum("_size").alias("source_size"))
+    s = sizes.groupBy("source").agg(F.sum("_size").alias("source_size"), F.count("*").alias("rows"))
     n = len(weights)
     named = Window.partitionBy(F.lit(0)).orderBy(F.col("source").asc_nulls_last())
     w = F.element_at(F.array(*map(F.lit, weights)), (F.pmod(F.row_number().over(named) - 1, F.lit(n)) + 1).cast("int")).cast("double")
@@ -56,7 +56,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     before, all_rows = filled.rowsBetween(Window.unboundedPreceding, -1), filled.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     level = (F.sum("source_size").over(all_rows) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / (F.sum("w").over(all_rows) - F.coalesce(F.sum("w").over(before), F.lit(0.0)))
     s = s.withColumn("level", level).withColumn("level", F.max("level").over(all_rows))
-    return s.select("source", "source_size", F.least("cap", F.col("level") * F.col("w")).alias("target"))
+    return s.select("source", "source_size", "rows", F.least("cap", F.col("level") * F.col("w")).alias("target"))
 
 
 def flight(sizes: np.ndarray, pi: np.ndarray, spare: int = 0) -> tuple[np.ndarray, list[int]]:
@@ -107,13 +107,11 @@ def mix(docs: DataFrame, size: str = "_size", weights: tuple[int, ...] = WEIGHTS
     small_batches(spark)
     docs = docs.withColumnRenamed(size, "_size") if size != "_size" else docs
     t = materialize(targets(docs.select("source", "_size"), weights, most))
-    facts = t.select(F.col("source").alias("_src"), "source_size", "target")
+    facts = t.select(F.col("source").alias("_src"), "source_size", "target", F.ceil(F.col("rows") / block).alias("_blocks"))
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     x = docs.join(facts, F.col("source").eqNullSafe(F.col("_src"))).drop("_src")
     x = x.withColumn("_base", F.floor(ratio)).withColumn("_p", ratio - F.floor(ratio))
     x = x.withColumn("_order", F.xxhash64(F.lit(seed), "doc_id", *(["text"] if "text" in docs.columns else [])))
-    n = docs.groupBy("source").count().select(F.col("source").alias("_src"), F.ceil(F.col("count") / block).alias("_blocks"))
-    x = x.join(n, F.col("source").eqNullSafe(F.col("_src"))).drop("_src")
     x = x.withColumn("_owed", F.lit(0.0)).withColumn("_part", F.pmod(F.xxhash64(F.lit(seed + 1), "_order"), F.col("_blocks"))).withColumn("_left", F.lit(True))
     schema = x.schema
 
