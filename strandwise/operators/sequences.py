@@ -1,0 +1,204 @@
+"""Sequence records: filters, renaming, extraction, primers, alignment columns, simulation."""
+
+from __future__ import annotations
+
+import math
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ..functions.columns import reverse_complement
+
+
+def filter_length(df: DataFrame, least: int | None = None, most: int | None = None, seq: str = "seq") -> DataFrame:
+    n = F.length(seq)
+    if least is not None:
+        df = df.where(n >= least)
+    return df if most is None else df.where(n <= most)
+
+
+def filter_counts(df: DataFrame, least: int | None, most: int | None, seq: str = "seq") -> DataFrame:
+    """Records before and after the length filter, in one aggregate."""
+    n = F.length(seq)
+    keep = (n >= (least or 0)) & (n <= (most if most is not None else 1 << 40))
+    return df.agg(F.count("*").alias("before"), F.count_if(keep).alias("after"))
+
+
+def by_values(df: DataFrame, key: str, values: DataFrame, invert: bool = False) -> DataFrame:
+    return df.join(values.select(F.trim(values.columns[0]).alias(key)).distinct(), key, "left_anti" if invert else "left_semi")
+
+
+def number_records(df: DataFrame, base: str = "s", order: str = "ordinal", ranges: int = 200) -> DataFrame:
+    """Ids base1, base2, .. by order. Approximate quantiles cut the order into ranges; a record's number is its place in its
+    range plus the sizes of the ranges before, so no task sees more than a range."""
+    cuts = df.agg(F.percentile_approx(order, [i / ranges for i in range(1, ranges)], 1000)).first()[0]
+    part = F.size(F.filter(F.array(*map(F.lit, sorted(set(cuts)))), lambda c: c < F.col(order))) if cuts else F.lit(0)
+    x = df.withColumn("_p", part)
+    w = Window.partitionBy("_p").orderBy(order)
+    sizes = x.groupBy("_p").agg(F.count("*").alias("_c"))
+    before = sizes.withColumn("_b", F.sum("_c").over(Window.partitionBy(F.lit(0)).orderBy("_p")) - F.col("_c")).select("_p", "_b")
+    return x.withColumn("_n", F.row_number().over(w)).join(F.broadcast(before), "_p").withColumn("id", F.concat(F.lit(base), (F.col("_n") + F.col("_b")).cast("string"))).drop("_p", "_n", "_b")
+
+
+def suffix_repeats(df: DataFrame, key: str = "id", order: str = "ordinal") -> DataFrame:
+    """The second record of an id becomes id_1, the third id_2."""
+    n = F.row_number().over(Window.partitionBy(key).orderBy(order)) - 1
+    return df.withColumn("_n", n).withColumn("new_id", F.when(F.col("_n") == 0, F.col(key)).otherwise(F.concat(F.col(key), F.lit("_"), F.col("_n").cast("string")))).drop("_n")
+
+
+def repeated(df: DataFrame, key: str) -> DataFrame:
+    return df.groupBy(key).agg(F.count("*").alias("n")).where("n > 1")
+
+
+def first_of_each(df: DataFrame, key: str, order: str) -> DataFrame:
+    return df.groupBy(key).agg(F.min(order).alias(order))
+
+
+def to_bed(df: DataFrame, half_open: bool = False) -> DataFrame:
+    """Whole records; the end is the last position, or with half_open one past it."""
+    n = F.length("seq").cast("long")
+    return df.select(F.col("id").alias("contig"), F.lit(0).cast("long").alias("start"), (n if half_open else n - 1).alias("end"))
+
+
+def extract(spans: DataFrame, seqs: DataFrame) -> DataFrame:
+    """Sub-sequences of spans(contig, start, end), 0-based half-open."""
+    x = spans.join(seqs.select(F.col("id").alias("contig"), "seq"), "contig")
+    return x.withColumn("seq", F.substring("seq", (F.col("start") + 1).cast("int"), (F.col("end") - F.col("start")).cast("int")))
+
+
+def exact_hits(df: DataFrame, key: str, seq: str, probe: str) -> DataFrame:
+    """(key, start, end) of all places of a probe, overlapping ones too, by built-in functions."""
+    n = F.length(seq) - len(probe)
+    at = F.filter(F.sequence(F.lit(0), F.greatest(n, F.lit(0))), lambda i: F.substring(F.col(seq), i + 1, F.lit(len(probe))) == probe)
+    return df.where(F.contains(F.col(seq), F.lit(probe))).select(key, F.explode(at).alias("start")).withColumn("end", F.col("start") + len(probe))
+
+
+def _infix(pattern: str, text: str, k: int) -> list[tuple[int, int]]:
+    """Places of least edit distance (at most k) of pattern in text: each end, with the start nearest to it."""
+    m = len(pattern)
+    cost, start = list(range(m + 1)), [0] * (m + 1)
+    best, out = k, []
+    for j, c in enumerate(text, 1):
+        diagonal, dstart = cost[0], j - 1
+        cost[0], start[0] = 0, j
+        for i in range(1, m + 1):
+            here, hstart = cost[i], start[i]
+            sub = diagonal + (pattern[i - 1] != c)
+            if sub <= here + 1 and sub <= cost[i - 1] + 1:
+                cost[i], start[i] = sub, dstart
+            elif cost[i - 1] + 1 <= here + 1:
+                cost[i], start[i] = cost[i - 1] + 1, start[i - 1]
+            else:
+                cost[i] = here + 1
+            diagonal, dstart = here, hstart
+        if cost[m] < best:
+            best, out = cost[m], []
+        if cost[m] == best:
+            out.append((start[m], j))
+    return out
+
+
+def primer_hits(df: DataFrame, forward: str, reverse: str, k: int = 0, key: str = "id", seq: str = "seq") -> DataFrame:
+    """(key, start, end, type) of both primers in both orientations within k edits; places found twice count once."""
+    flip = str.maketrans("ACGTacgt", "TGCAtgca")
+    probes = [("forward", forward), ("reverse", reverse), ("forward", forward[::-1].translate(flip)), ("reverse", reverse[::-1].translate(flip))]
+
+    @F.pandas_udf("array<struct<start:int,end:int,type:string>>")
+    def find(s: pd.Series) -> pd.Series:
+        def one(text):
+            seen = {}
+            for kind, p in probes:
+                for a, b in _infix(p, text or "", k):
+                    seen.setdefault((a, b), kind)
+            return [{"start": a, "end": b, "type": t} for (a, b), t in sorted(seen.items())]
+
+        return s.map(one)
+
+    return df.select(key, F.explode(find(seq)).alias("h")).select(key, "h.*")
+
+
+def amplicons(hits: DataFrame, key: str = "id") -> DataFrame:
+    """Pairs of a left and a later, not overlapping right hit of different types on one record."""
+    r = hits.select(F.col(key).alias("_k"), F.col("start").alias("right_start"), F.col("end").alias("right_end"), F.col("type").alias("_t"))
+    return hits.join(r, (F.col(key) == F.col("_k")) & (F.col("right_start") >= F.col("end")) & (F.col("type") != F.col("_t"))).select(key, F.col("start").alias("left_start"), F.col("end").alias("left_end"), "right_start", "right_end")
+
+
+def msa_columns(msa: DataFrame, alphabet: str = "ACGT", seq: str = "seq", gaps: str = "nan") -> DataFrame:
+    """Per alignment column: depth, gap fraction and conservation, 1 - H / log(alphabet size).
+
+    Letters outside the alphabet are gaps. Columns with gaps: 'nan' gives null, 'ignore' counts the rest, 'include' takes the
+    gap as one more letter, 'error' raises.
+    """
+    if gaps not in ("nan", "ignore", "include", "error"):
+        raise ValueError(f"unknown gap mode {gaps}")
+    letters = F.split(F.upper(seq), "")
+    c = msa.select(F.posexplode(F.filter(letters, lambda x: x != "")).alias("position", "raw"))
+    c = c.withColumn("c", F.when(F.col("raw").isin(*alphabet), F.col("raw")).otherwise("-"))
+    f = c.groupBy("position", "c").agg(F.count("*").alias("n"))
+    f = f.withColumn("m", F.when((F.col("c") == "-") & F.lit(gaps != "include"), None).otherwise(F.col("n")).cast("double"))
+    t = f.groupBy("position").agg(F.sum("n").alias("depth"), F.sum(F.when(F.col("c") == "-", F.col("n")).otherwise(0)).alias("gapped"), F.sum("m").alias("_t"), F.sum(F.col("m") * F.log("m")).alias("_s"))
+    size = len(alphabet) + (gaps == "include")
+    entropy = F.log("_t") - F.col("_s") / F.col("_t")
+    cons = F.when(F.col("_t") > 0, 1 - entropy / math.log(size))
+    if gaps == "nan":
+        cons = F.when(F.col("gapped") == 0, cons)
+    if gaps == "error":
+        cons = F.when(F.col("gapped") > 0, F.raise_error(F.lit("an alignment column has gaps")).cast("double")).otherwise(cons)
+    return t.select("position", "depth", (F.col("gapped") / F.col("depth")).alias("gap_fraction"), cons.alias("conservation"), (1 - cons).alias("variation"))
+
+
+def uniform(seed: int, *cols: Column) -> Column:
+    """A number in [0, 1) from a seeded hash: the same for a row wherever and whenever it is computed."""
+    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *cols), 11) / F.lit(float(1 << 53))
+
+
+def sample_reads(refs: DataFrame, length: int, seed: int, units: str = "units", circular: bool = False) -> DataFrame:
+    """Reads of a fixed length from refs(contig, seq, units): place and strand from the hash of (seed, contig, number)."""
+    n = F.length("seq")
+    x = refs.where((F.col(units) > 0) & (n >= length)).select("contig", "seq", F.explode(F.sequence(F.lit(1).cast("long"), F.col(units).cast("long"))).alias("number"))
+    places = n if circular else n - length + 1
+    x = x.withColumn("start", F.floor(uniform(seed, F.col("contig"), F.col("number")) * places).cast("long")).withColumn("strand", F.when(uniform(seed + 1, F.col("contig"), F.col("number")) < 0.5, "+").otherwise("-"))
+    x = x.withColumn("end", F.col("start") + length).withColumn("wrapped", F.col("end") > n)
+    around = F.concat("seq", F.substring("seq", 1, length)) if circular else F.col("seq")
+    bases = F.substring(around, (F.col("start") + 1).cast("int"), F.lit(length))
+    return x.select(F.concat_ws("_", F.lit("read"), "contig", F.col("number").cast("string")).alias("read_id"), "contig", "start", "end", "strand", "wrapped", F.when(F.col("strand") == "+", bases).otherwise(reverse_complement(bases)).alias("seq"))
+
+
+def mutate(df: DataFrame, rate: float, seed: int, transition_ratio: float = 2.0, indel_rate: float = 0.0, key: str = "id", seq: str = "seq") -> DataFrame:
+    """round(length * rate) point mutations of each record at distinct places; transitions with chance r / (r + 1); then
+    indels of one base. The generator is seeded by the record's id, so results don't depend on partitions."""
+    import zlib
+
+    import numpy as np
+
+    swaps = {"A": ("G", "CT"), "G": ("A", "CT"), "C": ("T", "AG"), "T": ("C", "AG")}
+
+    def run(batches):
+        for pdf in batches:
+            out, subs, indels = [], [], []
+            for k, s in zip(pdf[key], pdf[seq], strict=True):
+                rng = np.random.default_rng([seed, zlib.crc32(str(k).encode())])
+                b = list(s or "")
+                n, done = round(len(b) * rate), 0
+                for i in rng.permutation(len(b)):
+                    if done == n:
+                        break
+                    if (c := b[i].upper()) in swaps:
+                        same, other = swaps[c]
+                        b[i] = same if rng.random() < transition_ratio / (transition_ratio + 1) else other[rng.integers(2)]
+                        done += 1
+                m = round(len(b) * indel_rate)
+                for _ in range(m):
+                    i = int(rng.integers(len(b) + 1)) if b else 0
+                    if rng.random() < 0.5 or not b:
+                        b.insert(i, "ACGT"[rng.integers(4)])
+                    else:
+                        del b[min(i, len(b) - 1)]
+                out.append("".join(b))
+                subs.append(done)
+                indels.append(m)
+            yield pdf.assign(**{seq: out, "substitutions": subs, "indels": indels})
+
+    return df.mapInPandas(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + ", substitutions long, indels long")
