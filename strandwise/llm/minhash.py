@@ -4,9 +4,11 @@ One pass sketches each document: the sorted set of its word-shingle hashes is sp
 ``bands * rows`` bins by one permutation, empty bins borrow from a random filled bin (the same
 choice in every document), and each band of ``rows`` bins becomes a bucket key. Documents of equal
 sets are folded first, so a group of copies counts once. In a bucket each document is paired with
-one centre only, and a pair is linked after a count on the full sets. Buckets whose members are
-still in different components then get a second centre, and what is left is compared across
-components, so that no link between components is lost to the star shape.
+one centre, the smallest; the documents around a centre meet once, however many buckets they share,
+in blocks of bounded size. There each is counted against the centre on the full sets, and then
+against those that are not yet linked to it through others and whose signature doesn't rule it out, so
+that no link between components is lost to the star shape. Only links of a spanning forest leave a
+block; a pair of candidates is never a row.
 
 At a similarity of 0.8 and 30 bands of 5 rows a pair shares no bucket with probability 7e-6.
 """
@@ -25,8 +27,7 @@ from .common import materialize, small_batches, text_or_empty
 from .components import connected_components
 from .textkernel import mix64, shingle_sets
 
-BANDS, ROWS, SHINGLE, PERCENT = 30, 5, 5, 80
-_rng = np.random.Generator(np.random.PCG64(0xD0C5))
+BANDS, ROWS, SHINGLE, PERCENT, BLOCK = 30, 5, 5, 80, 1024
 _PROBES = 1024
 
 
@@ -97,25 +98,65 @@ def sketches(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(run, schema)
 
 
-def shingle_arrays(docs: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, set): the sorted distinct shingle hashes."""
+def full_sets(docs: DataFrame, shingle: int, bins: int) -> DataFrame:
+    """(doc_id, set, sig): the sorted distinct shingle hashes as bytes, and one byte of each bin of the signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        probes, _ = _tables(bins)
         for b in batches:
             sets = list(shingle_sets(b.column(1), shingle))
-            offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-            flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int64)))], names=["doc_id", "set"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, set array<long>")
-
-
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of pairs(u, v) whose full sets reach the similarity."""
-    a = sets.select(F.col("doc_id").alias("u"), F.col("set").alias("a"))
-    b = sets.select(F.col("doc_id").alias("v"), F.col("set").alias("b"))
-    both = pairs.join(a, "u").join(b, "v").select("u", "v", F.size("a").alias("na"), F.size("b").alias("nb"), F.size(F.array_intersect("a", "b")).alias("common"))
-    return both.where(f"100L * common >= {percent}L * (na + nb - common)").select("u", "v")
+            sigs = [(mix64(signature(u, bins, probes)) >> np.uint64(56)).astype(np.uint8).tobytes() if len(u) else b"" for u in sets]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([u.tobytes() for u in sets], pa.binary()), pa.array(sigs, pa.binary())], names=["doc_id", "set", "sig"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, set binary, sig binary")
+
+
+def _links_around(bins: int, percent: int):
+    """The function that finds a spanning forest of the links among the documents of one block around a centre."""
+    p = percent / 100
+    enough = max(1.0, bins * p - 6 * (bins * p * (1 - p)) ** 0.5)
+
+    def run(t: pa.Table) -> pa.Table:
+        doc, side = np.asarray(t["doc_id"]), np.asarray(t["s"])
+        sets = [np.frombuffer(x, np.uint64) for x in t["set"].to_pylist()]
+        sig = np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint8).reshape(len(doc), bins)
+        n = np.array([len(x) for x in sets])
+        label, out = np.arange(len(doc)), []
+
+        def count(i: int, js: np.ndarray) -> np.ndarray:
+            """Those of js whose full sets reach the similarity with that of i."""
+            flat = np.concatenate([sets[j] for j in js])
+            at = np.minimum(np.searchsorted(sets[i], flat), n[i] - 1)
+            hit = np.concatenate([[0], np.cumsum(sets[i][at] == flat)])
+            ends = np.cumsum(n[js])
+            common = hit[ends] - hit[ends - n[js]]
+            return js[100 * common >= percent * (n[i] + n[js] - common)]
+
+        def join(i: int, js: np.ndarray) -> None:
+            for at in range(0, len(js), 64):
+                part = js[at : at + 64]
+                part = part[label[part] != label[i]]
+                if len(part):
+                    for j in count(i, part):
+                        if label[j] != label[i]:
+                            label[label == label[j]] = label[i]
+                            out.append((max(doc[i], doc[j]), min(doc[i], doc[j])))
+
+        def fits(i: int, js: np.ndarray) -> np.ndarray:
+            return js[(label[js] != label[i]) & (100 * np.minimum(n[js], n[i]) >= percent * np.maximum(n[js], n[i]))]
+
+        centre = int(np.flatnonzero(side == -1)[0])
+        rest = np.flatnonzero(side >= 0)
+        join(centre, fits(centre, rest))
+        left, right = np.flatnonzero(side == t["lo"][0].as_py()), np.flatnonzero(side == t["hi"][0].as_py())
+        for k, i in enumerate(left):
+            js = fits(i, right[k + 1 :] if t["lo"][0].as_py() == t["hi"][0].as_py() else right)
+            if len(js):
+                join(i, js[(sig[js] == sig[i]).sum(1) >= enough])
+        u, v = zip(*out, strict=True) if out else ((), ())
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+    return run
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -131,37 +172,21 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     usable = sk.where("n > 0 and doc_id is not null")
     classes = materialize(usable.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
     reps = usable.join(classes.select("rep", F.col("h1").alias("g1"), F.col("h2").alias("g2")), (F.col("doc_id") == F.col("rep")) & (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")), "left_semi").dropDuplicates(["doc_id", "h1", "h2"])
-    member = reps.select(F.explode("keys").alias("key"), "doc_id", "n")
+    member = reps.select(F.explode("keys").alias("key"), "doc_id")
     shared = member.groupBy("key").agg(F.min("doc_id").alias("centre"), F.count("*").alias("m")).where("m > 1").select(F.col("key").alias("k"), "centre")
-    buckets = materialize(member.join(shared, member.key == shared.k).select("key", "doc_id", "n", "centre"))
-
-    edges = materialize(buckets.where("doc_id <> centre").select(F.col("doc_id").alias("u"), F.col("centre").alias("v")).distinct())
-    involved = buckets.select("doc_id").distinct()
+    buckets = materialize(member.join(shared, member.key == shared.k).where("doc_id <> centre").select("centre", "doc_id").distinct())
+
+    blocks = buckets.groupBy("centre").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("k")).select(F.col("centre").alias("c1"), "k")
+    x = buckets.join(blocks, buckets.centre == blocks.c1).withColumn("s", F.pmod(F.xxhash64("doc_id"), F.col("k")).cast("int"))
+    x = x.select("centre", "doc_id", "s", "k", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("j"))
+    x = x.select("centre", "doc_id", "s", F.least("s", "j").alias("lo"), F.greatest("s", "j").alias("hi"))
+    hubs = blocks.select(F.col("c1").alias("centre"), F.explode(F.expr("flatten(transform(sequence(0, k - 1), a -> transform(sequence(a, k - 1), b -> struct(a AS lo, b AS hi))))")).alias("b"))
+    x = materialize(x.unionByName(hubs.select("centre", F.col("centre").alias("doc_id"), F.lit(-1).alias("s"), "b.lo", "b.hi")))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    sets = materialize(shingle_arrays(texts.join(involved, "doc_id", "left_semi"), shingle).dropDuplicates(["doc_id"]))
-    links = materialize(_verified(edges, sets, percent))
-
-    def labelled() -> tuple[DataFrame, DataFrame]:
-        comp = materialize(connected_components(links))
-        named = buckets.join(comp, buckets.doc_id == comp.node, "left").select("key", "doc_id", "n", F.coalesce("component", "doc_id").alias("comp"))
-        named = materialize(named)
-        open_keys = named.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select(F.col("key").alias("k"), "c0")
-        return comp, materialize(named.join(open_keys, named.key == open_keys.k).select("key", "doc_id", "n", "comp", "c0"))
-
-    def fits(x: str, y: str) -> str:
-        return f"100L * least({x}, {y}) >= {percent}L * greatest({x}, {y})"
-
-    # A second centre for each bucket that is still split: a pseudo-random member of its first component.
-    _, open_members = labelled()
-    second = open_members.where("comp = c0").groupBy("key").agg(F.min_by(F.struct("doc_id", "n"), F.xxhash64("doc_id", "key")).alias("c")).select(F.col("key").alias("k"), F.col("c.doc_id").alias("v"), F.col("c.n").alias("vn"))
-    more = open_members.where("comp <> c0").join(second, F.col("key") == F.col("k")).where(fits("n", "vn")).select(F.col("doc_id").alias("u"), "v").distinct().join(edges, ["u", "v"], "left_anti")
-    links = materialize(links.unionByName(_verified(materialize(more), sets, percent)))
-    # What is left: members of different components in one bucket.
-    _, open_members = labelled()
-    o = open_members
-    left, right = o.select("key", F.col("doc_id").alias("u"), F.col("n").alias("un"), F.col("comp").alias("uc")), o.select("key", F.col("doc_id").alias("v"), F.col("n").alias("vn"), F.col("comp").alias("vc"))
-    rest = left.join(right, "key").where(f"uc > vc and {fits('un', 'vn')}").select("u", "v").distinct().join(edges, ["u", "v"], "left_anti")
-    links = materialize(links.unionByName(_verified(materialize(rest), sets, percent)))
+    needed = materialize(x.select(F.col("doc_id").alias("d")).distinct())
+    sets = full_sets(texts.join(needed, F.col("doc_id") == F.col("d"), "left_semi"), shingle, bands * rows).dropDuplicates(["doc_id"])
+    placed = x.join(sets, "doc_id").groupBy("centre", "lo", "hi")
+    links = materialize(placed.applyInArrow(_links_around(bands * rows, percent), "u long, v long"))
     comp = connected_components(links)
 
     # Back from classes to documents.
