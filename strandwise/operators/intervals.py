@@ -21,6 +21,8 @@ def mark_runs(df: DataFrame, keys: list[str], start: str = "start", end: str = "
 
 def merge_runs(df: DataFrame, keys: list[str], start: str = "start", end: str = "end", gap: int = 0, aggs: list[Column] | None = None, closed: bool = False) -> DataFrame:
     """One row a run: keys, start, end, spans and further aggregates."""
+    if "run" in keys:
+        raise ValueError("run names the result; rename the key")
     m = mark_runs(df, keys, start, end, gap, closed)
     return m.groupBy(*keys, "run").agg(F.min(start).alias("start"), F.max(end).alias("end"), F.count("*").alias("spans"), *(aggs or []))
 
@@ -39,8 +41,8 @@ def loci(hsps: DataFrame, gap: int = 200, min_coverage: float = 80.0, edge_cover
     """
     x = hsps.withColumn("q_low", F.least("q_start", "q_end")).withColumn("q_high", F.greatest("q_start", "q_end"))
     x = x.withColumn("s_low", F.least("s_start", "s_end")).withColumn("s_high", F.greatest("s_start", "s_end"))
-    x = mark_runs(x, ["contig", "target"], "q_low", "q_high", gap, True, ["s_low", "s_high"])
-    keys = ["contig", "target", "run"]
+    x = mark_runs(x, ["contig", "target"], "q_low", "q_high", gap, True, ["s_low", "s_high"]).withColumnRenamed("run", "locus")
+    keys = ["contig", "target", "locus"]
     covered = union_length(x.select(*keys, F.col("s_low").alias("start"), F.col("s_high").alias("end")), keys, closed=True)
     best = x.groupBy(*keys).agg(
         F.min("q_low").alias("q_low"),

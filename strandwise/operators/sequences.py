@@ -133,7 +133,7 @@ def msa_columns(msa: DataFrame, alphabet: str = "ACGT", seq: str = "seq", gaps:
     """
     if gaps not in ("nan", "ignore", "include", "error"):
         raise ValueError(f"unknown gap mode {gaps}")
-    letters = F.split(F.upper(seq), "")
+    letters = F.split(F.translate(seq, "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"), "")
     c = msa.select(F.posexplode(F.filter(letters, lambda x: x != "")).alias("position", "raw"))
     c = c.withColumn("c", F.when(F.col("raw").isin(*alphabet), F.col("raw")).otherwise("-"))
     f = c.groupBy("position", "c").agg(F.count("*").alias("n"))
