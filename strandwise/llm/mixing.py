@@ -103,6 +103,8 @@ def mix(docs: DataFrame, size: str = "_size", weights: tuple[int, ...] = WEIGHTS
     documents are drawn like others but count nothing; a source without words is not taken. Repeated rows are drawn each
     for themselves, rows with equal doc_id in the order of their text. An empty table gives an empty one.
     """
+    if block < 2 * (LANDING + 2):
+        raise ValueError(f"a block must hold at least {2 * (LANDING + 2)} rows, or its leftovers don't get fewer")
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.withColumnRenamed(size, "_size") if size != "_size" else docs

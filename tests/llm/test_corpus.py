@@ -1,0 +1,181 @@
+import base64
+import gzip
+import hashlib
+import io
+import re
+import zlib
+
+import numpy as np
+import pytest
+from helpers import DOCS, WORD, awkward
+from pyspark.sql import functions as F
+
+from strandwise.llm import mixing, packing, pii, quality, sharding, warc
+
+
+def _docs(spark):
+    return spark.createDataFrame(awkward(), DOCS), awkward()
+
+
+def test_hilbert_is_continuous():
+    c = np.array(np.meshgrid(*[np.arange(8)] * 3)).reshape(3, -1).T
+    path = c[np.argsort(packing.hilbert_index(c, 3))]
+    assert (np.abs(np.diff(path, axis=0)).sum(1) == 1).all()
+
+
+@pytest.mark.parametrize("partition_bytes", [4000, 8 << 20])
+def test_pack_round_trip(spark, partition_bytes):
+    df, rows = _docs(spark)
+    p = packing.pack(df, partition_bytes=partition_bytes).toPandas()
+    t = packing.Tokenizer(packing.default_tokenizer())
+    truth = {r[0]: np.array([*t.slow.encode(r[1] or "", add_special_tokens=False).ids, 1], "<u4") for r in rows}
+    assert p.length.sum() == sum(len(truth[r[0]]) for r in rows)
+    for r in p.itertuples():
+        ids = truth[r.doc_id]
+        assert r.doc_tokens == len(ids) and r.ids_crc32 == zlib.crc32(ids[r.start : r.start + r.length].tobytes())
+    for _, g in p.sort_values("offset").groupby("sequence_id"):
+        assert (g.offset.to_numpy() == np.concatenate([[0], np.cumsum(g.length)[:-1]])).all()
+        n = int(g.length.sum())
+        assert n <= 2048 and n & (n - 1) == 0
+    assert packing.pack(df.limit(0)).count() == 0
+
+
+def test_tokenizer_agrees_on_special_strings():
+    t = packing.Tokenizer(packing.default_tokenizer())
+    for s in ("a <|endoftext|> b", "don't  stop\n\n now", "", "é ü x", "\x00", "<|endoftext"):
+        assert t.ids(s).tolist() == t.slow.encode(s, add_special_tokens=False).ids
+
+
+def test_shards(spark):
+    df, rows = _docs(spark)
+    df = df.drop("shard")
+    got = sharding.shuffle_into_shards(df, bucket_rows=16)
+    assert got.columns == [*df.columns, "shard", "slot"]
+    x = got.select("doc_id", "shard", "slot").toPandas()
+    counts = x.groupby("shard").slot.agg(list)
+    assert sorted(x.doc_id) == sorted(r[0] for r in rows) and len(counts) == 8
+    assert all(sorted(s) == list(range(len(s))) for s in counts) and max(map(len, counts)) - min(map(len, counts)) <= 1
+    again = sharding.shuffle_into_shards(df.repartition(7), bucket_rows=16).select("doc_id", "shard", "slot").toPandas()
+    assert set(map(tuple, x.to_numpy())) == set(map(tuple, again.to_numpy()))
+    assert x.sort_values(["shard", "slot"]).doc_id.tolist() != sorted(x.doc_id)
+    with pytest.raises(ValueError):
+        sharding.shuffle_into_shards(df.withColumn("slot", F.lit(1)))
+    assert sharding.shuffle_into_shards(df.limit(0)).count() == 0
+
+
+def test_targets_against_refilling(spark):
+    sizes = [("a", 10), ("b", 1000), ("c", 5), (None, 300), ("d", 0), ("e", 40)]
+    got = {r.source: r.target for r in mixing.targets(spark.createDataFrame(sizes, "source string, _size long")).collect()}
+    order = sorted((s for s, _ in sizes if s is not None)) + [None]
+    w = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}
+    size, full, total = dict(sizes), set(), sum(v for _, v in sizes)
+    while True:
+        free = [s for s in order if s not in full]
+        level = (total - sum(3 * size[s] for s in full)) / sum(w[s] for s in free)
+        over = {s for s in free if level * w[s] > 3 * size[s]}
+        if not over:
+            break
+        full |= over
+    for s in order:
+        assert got[s] == pytest.approx(3 * size[s] if s in full else level * w[s])
+    assert sum(got.values()) == pytest.approx(total)
+
+
+def test_flight_keeps_both_totals():
+    rng = np.random.default_rng(1)
+    x, p = rng.integers(0, 500, 300), rng.random(300)
+    q, left = mixing.flight(x, p)
+    assert len(left) <= 2 and q.sum() == pytest.approx(p.sum()) and (q * x).sum() == pytest.approx((p * x).sum())
+    assert set(np.delete(q, left)) <= {0.0, 1.0}
+    mixing.flight(np.zeros(5), np.full(5, 0.5))
+
+
+def test_mix(spark):
+    df, rows = _docs(spark)
+    sized = mixing.with_sizes(df)
+    assert {r.doc_id: r._size for r in sized.collect()} == {r[0]: len(WORD.findall(r[1] or "")) for r in rows}
+    for block in (32, 8192):
+        m = mixing.mix(sized, block=block).select("doc_id", "source", "_size", "source_size", "target", "_copies").toPandas()
+        assert len(m) == len(rows) and m._copies.between(0, 3).all()
+        m["taken"] = m._size * m._copies
+        for _, g in m.groupby("source", dropna=False):
+            assert abs(g.taken.sum() - g.target.iloc[0]) <= max(30, 0.2 * g.target.iloc[0]) or g._size.max() > g.target.iloc[0] / 3
+        again = mixing.mix(mixing.with_sizes(df.repartition(5)), block=block).select("doc_id", "_copies").toPandas()
+        assert sorted(map(tuple, m[["doc_id", "_copies"]].to_numpy())) == sorted(map(tuple, again.to_numpy()))
+    assert mixing.mix(sized.limit(0)).count() == 0
+
+
+PII = "mail a.b@c.de, x@y (no) @z.com 1.2.3.4 and 1.2.3.4.5 256.1.1.1 v 4111 1111 1111 1111 5500-0000-0000-0004 4111111111111112 +1 (444) 555-4984 +12 call (415) 555-2671 me [at] site.org é+49 30 1234567 a@b.c@d.e 00001.2.3.4"
+
+
+def _base(text):
+    kinds = [(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", None), (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda s: all(int(x) <= 255 for x in s.split("."))), (r"[0-9]([\x20-]?[0-9])+", lambda s: 16 <= len(d := re.sub("[^0-9]", "", s)) <= 19 and pii.luhn(d)), (r"\+[0-9][\x20().0-9-]+[0-9]", lambda s: 8 <= len(re.sub("[^0-9]", "", s)) <= 15)]
+    return [f"{n}:{m.start()}:{m.end()}" for n, (p, ok) in zip(pii.KINDS, kinds, strict=True) for m in re.finditer(p, text) if not ok or ok(m.group())]
+
+
+def test_pii(spark):
+    texts = [PII, None, "", "nothing here", PII[::-1], "@" * 30 + "a@b.cc" * 3, "1" * 3000 + ".1" * 2000]
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate([*texts, PII])], "doc_id long, text string, spans string")
+    got = pii.digest_columns(pii.find(df)).collect()
+    assert len(got) == len(texts) + 1
+    for r in got:
+        want = _base([*texts, PII][r.doc_id] or "")
+        assert r.base_sha256 == hashlib.sha256(",".join(want).encode()).hexdigest()
+        assert set(want) <= set(filter(None, r.spans.split(",")))
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(w.startswith(k + ":") for w in want) for k in pii.KINDS]
+    assert pii.find(df.limit(0)).count() == 0
+
+
+def test_em_finds_the_reliable_labeler():
+    rng = np.random.default_rng(0)
+    y = rng.random(4000) < 0.6
+    v = np.stack([np.where(rng.random(4000) < a, np.where(y, 1, -1), np.where(y, -1, 1)) for a in (0.95, 0.8, 0.75, 0.55)], 1)
+    u, back, n = np.unique(v, axis=0, return_inverse=True, return_counts=True)
+    p, tables = pii.em(u, n)
+    right = [(tables[1, j, 2] + tables[0, j, 0]) / 2 for j in range(4)]
+    assert np.argmax(right) == 0 and ((p[back.reshape(-1)] > 0.5) == y).mean() > 0.93
+
+
+def test_quality_on_held_out_labels(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    m = quality.fit(docs, labels.where("doc_id % 3 <> 0"))
+    got = quality.score(docs, m).join(labels.where("doc_id % 3 = 0"), "doc_id").select("_score", "quality").toPandas()
+    assert ((got._score >= 0.5) == (got.quality == 1)).mean() > 0.97
+
+
+def test_quality_of_awkward_rows(spark):
+    df, rows = _docs(spark)
+    labels = spark.createDataFrame([(r[0], r[0] % 2, None) for r in rows[:60]] + [(1, None, None), (None, 1, None), (3, 0, None), (9999, 1, None)], "doc_id long, quality int, toxic int")
+    got = quality.score(df, quality.fit(df, labels)).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert 0 <= r._score <= 1 and (r._score == 0 or WORD.findall(r.text or ""))
+    nothing = quality.fit(df.limit(0), labels.limit(0))
+    assert {r._score for r in quality.score(df, nothing).where("text = 'one'").collect()} == {0.5}
+    assert quality.score(df.drop("lang", "source", "n_chars"), nothing).count() == len(rows)
+
+
+def test_warc_round_trip(spark):
+    rows = [(i, f"http://h/{i}", h, "extra") for i, h in enumerate(["<p>a</p>", "<p>b</p>", "<p>a</p>", None, "", "é\r\n\r\n" * 9, "x" * 300_000])] + [(0, None, "<p>a</p>", None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, payload_digest string")
+    got = warc.round_trip(df).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        data = {p: (h or "").encode() for p, _, h, _ in rows}[r.page_id]
+        same = max(p for p, _, h, _ in rows if (h or "").encode() == data)
+        assert (r.payload_bytes, r.payload_digest) == (len(data), base64.b32encode(hashlib.sha1(data).digest()).decode())
+        assert (r.record_type, r.refers_to) == (("response", None) if r.page_id == same else ("revisit", same))
+    assert {r.record_type for r in warc.round_trip(df, min_bytes=1 << 20).collect()} == {"response"}
+    assert warc.round_trip(df.limit(0)).count() == 0
+
+
+def test_warc_reader_refuses_damage():
+    a, b = warc.record(1, "http://x", b"payload", None), warc.record(2, None, b"payload", 1)
+    read = lambda data: [warc.page_of(*r) for r in warc.read_records(io.BytesIO(data))]
+    assert [p["page_id"] for p in read(a + b)] == [1, 2] and read(b)[0]["payload_bytes"] == 7
+    assert gzip.decompress(a).startswith(b"WARC/1.1\r\n")
+    broken = gzip.compress(gzip.decompress(a).replace(b"payload\r", b"PAYLOAD\r"))
+    for data in (a[:-5], broken, a[:20] + b"\x00" + a[21:], gzip.compress(b"junk\r\n\r\n")):
+        with pytest.raises(warc.WarcError):
+            read(data)
