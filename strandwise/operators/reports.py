@@ -38,7 +38,7 @@ def classifier_summary(report: DataFrame, keys: list[str]) -> DataFrame:
     lineage = [F.when(none, F.lit("Unclassified") if r == "domain" else F.lit(None)).otherwise(F.col(r)).alias(r) for r in RANKS]
     s = x.select(*keys, "taxid", *lineage, "reads").groupBy(*keys, "taxid", *RANKS).agg(F.sum("reads").alias("reads"))
     t = s.groupBy(*keys).agg(F.sum("reads").alias("_t"))
-    s = s.join(F.broadcast(t), keys) if keys else s.join(F.broadcast(t))
+    s = s.join(t, keys) if keys else s.join(F.broadcast(t))
     return s.withColumn("percent", F.try_divide(100.0 * F.col("reads"), F.col("_t"))).drop("_t").where("reads > 0")
 
 
@@ -92,7 +92,7 @@ def term_counts(annotations: DataFrame, terms: DataFrame, keep_zeros: bool = Fal
     c = annotations.select(F.explode("terms").alias("_t")).groupBy("_t").agg(F.count("*").alias("term_counts"))
     x = live.join(c, F.col("term") == F.col("_t"), "left").withColumn("term_counts", F.coalesce("term_counts", F.lit(0))).drop("_t")
     every, own = x.agg(F.sum("term_counts").alias("_a")), x.groupBy("namespace").agg(F.sum("term_counts").alias("_o"))
-    x = x.join(F.broadcast(own), "namespace").join(F.broadcast(every))
+    x = x.join(own, "namespace").join(F.broadcast(every))
     x = x.withColumn("percent", F.coalesce(F.try_divide(100.0 * F.col("term_counts"), F.col("_a")), F.lit(0.0))).withColumn("percent_in_namespace", F.coalesce(F.try_divide(100.0 * F.col("term_counts"), F.col("_o")), F.lit(0.0))).drop("_a", "_o")
     return x if keep_zeros else x.where("term_counts > 0")
 

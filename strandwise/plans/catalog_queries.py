@@ -53,7 +53,7 @@ def derep_first(spark, sf):
 
 def _lineage(spark, sf):
     n, r, c = t(spark, sf, "nation"), t(spark, sf, "region"), t(spark, sf, "customer")
-    x = c.join(F.broadcast(n), c.c_nationkey == n.n_nationkey).join(F.broadcast(r), n.n_regionkey == r.r_regionkey)
+    x = c.join(n, c.c_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey)
     return x.select(F.col("r_name").alias("domain"), F.col("n_name").alias("phylum"), F.when(F.col("c_custkey") % 7 == 0, "NA").when(F.col("c_custkey") % 11 == 0, "").otherwise(F.col("c_mktsegment")).alias("class"), "c_custkey", "c_acctbal")
 
 
