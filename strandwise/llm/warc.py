@@ -1,8 +1,8 @@
 """WARC archives: one gzip member a record, written to the shared folder and read back in sequence.
 
 Writing: payload digests come first and are small; of equal payloads the largest page_id is the
-response and the others revisit it. Pages then go to archives of bounded size, each written under a
-temporary name by one task and renamed, so a task that runs again leaves the same file. Reading: a
+response and the others revisit it. Each task then writes its pages to archives of bounded size, under a
+temporary name and renamed, so a task that runs again leaves the same files. Reading: a
 task streams one archive in blocks of 64 kB through an incremental zlib decompressor, takes each
 record's block by its Content-Length, and verifies length and digests before it yields the record.
 """
@@ -149,20 +149,32 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, archive_byte
     payload = F.col("html").cast("binary")
     prints = src.select("page_id", F.sha1(payload).alias("sha"), F.octet_length("html").cast("long").alias("n"))
     prints = materialize(prints)
-    total = prints.agg(F.sum("n")).first()[0] or 0
     best = prints.where(F.col("n") >= min_bytes).groupBy("sha", "n").agg(F.max("page_id").alias("to"), F.count("*").alias("c")).where("c > 1")
     to = prints.join(best.select(F.col("sha").alias("s2"), F.col("n").alias("n2"), "to"), (F.col("sha") == F.col("s2")) & (F.col("n") == F.col("n2"))).where("page_id <> to").select(F.col("page_id").alias("p2"), F.col("sha").alias("s3"), "to").distinct()
-    # a repeated page_id with the winning payload: all rows but the first are revisits of the page itself
-    x = src.withColumn("sha", F.sha1(F.col("html").cast("binary"))).join(to, (F.col("page_id") == F.col("p2")) & (F.col("sha") == F.col("s3")), "left").select("page_id", "url", "html", "to")
-    parts = max(1, -(-total // archive_bytes), min(pages.sparkSession.sparkContext.defaultParallelism, 1 + total // (1 << 20)))
-    x = x.repartition(parts, "page_id").sortWithinPartitions("page_id", F.sha1(F.col("html").cast("binary")))
+    # Written first: a small table of revisits is then known to be small, and the pages need not move to meet it.
+    to = materialize(to)
+    x = src.withColumn("sha", F.sha1(F.col("html").cast("binary"))).join(to, (F.col("page_id") == F.col("p2")) & (F.col("sha") == F.col("s3")), "left").select("page_id", "url", "html", "sha", "to")
+    # Rows of one page_id must be together to tell which of them is the response; where ids are unique nothing need move.
+    if not prints.groupBy("page_id").count().where("count > 1").isEmpty():
+        x = x.repartition("page_id").sortWithinPartitions("page_id", "sha")
+    x = x.select("page_id", "url", "html", "to")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, out, n, size, last = TaskContext.get().partitionId(), None, 0, 0, None
+        part, turn, out, n, size, last = TaskContext.get().partitionId(), 0, None, 0, 0, None
         fs, root = pafs.FileSystem.from_uri(path)
-        final, temporary = f"{root}/part-{part:06d}.warc.gz", f"{root}/.part-{part:06d}-{uuid.uuid4().hex}"
+        temporary = f"{root}/.part-{part:06d}-{uuid.uuid4().hex}"
+
+        def close() -> pa.RecordBatch:
+            nonlocal turn, out, n, size
+            name = f"part-{part:06d}-{turn:04d}.warc.gz"
+            out.close()
+            fs.move(temporary, f"{root}/{name}")
+            done = pa.RecordBatch.from_pydict({"path": [f"{path}/{name}"], "records": [n], "bytes": [size]})
+            turn, out, n, size = turn + 1, None, 0, 0
+            return done
+
         for b in batches:
             for p, url, html, to in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if out is None:
@@ -176,10 +188,10 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, archive_byte
                 r = record(p, url, data, to)
                 out.write(r)
                 n, size = n + 1, size + len(r)
+                if size >= archive_bytes:
+                    yield close()
         if out is not None:
-            out.close()
-            fs.move(temporary, final)
-            yield pa.RecordBatch.from_pydict({"path": [f"{path}/part-{part:06d}.warc.gz"], "records": [n], "bytes": [size]})
+            yield close()
 
     return materialize(x.mapInArrow(run, MANIFEST))
 
