@@ -1,15 +1,16 @@
 """Packing along a space-filling curve.
 
 A document's hashed word counts are projected to three dimensions, each dimension is cut to 8 bits,
-and the cell's place on the Hilbert curve is the sort key. A range exchange by (key, doc_id) puts
-neighbours on the curve into the same partition; ties of equal documents are split by doc_id, so a
-group of copies fills many partitions. Each partition tokenises its documents in order and cuts the
+and the cell's place on the Hilbert curve is the sort key. Cut points of (key, doc_id), from a
+sample, put neighbours on the curve into the same partition; ties of equal documents are split by
+doc_id, so a group of copies fills many partitions. Each document moves once, with its text. Each partition tokenises its documents in order and cuts the
 stream into sequences of exactly ``length`` ids. What is left at a partition's end is cut into
 sequences of power-of-two lengths, the longest first, which need no padding either.
 """
 
 from __future__ import annotations
 
+import bisect
 import os
 import zlib
 from collections.abc import Iterator
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import small_batches
 from .textkernel import utf8_chunks, word_hashes, words
 
-LENGTH, END, DIMS, BITS = 2048, 1, 3, 8
+LENGTH, END, DIMS, BITS, SAMPLE = 2048, 1, 3, 8, 20_000
 #: The text pattern of this byte-level BPE, as its vocabulary's documentation gives it (fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -59,7 +60,7 @@ class Tokenizer:
     def ids(self, text: str) -> np.ndarray:
         if self.fast is None or any(s in text for s in self.special):
             return np.array(self.slow.encode(text, add_special_tokens=False).ids, "<u4")
-        return self.fast.encode_to_numpy(text).astype("<u4", copy=False)
+        return np.array(self.fast.encode_ordinary(text), "<u4")
 
 
 def hilbert_index(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -99,10 +100,14 @@ def curve_keys(column: pa.Array, dims: int = DIMS, bits: int = BITS) -> np.ndarr
         h = word_hashes(data, starts, ends)
         count = np.diff(first)
         cells = np.empty((len(off) - 1, dims), np.int64)
-        for d in range(dims):
-            sign = ((h >> np.uint64(7 * d + 3)) & np.uint64(1)).astype(np.int64) * 2 - 1
-            total = np.concatenate([[0], np.cumsum(sign)])
-            cells[:, d] = np.searchsorted(cuts, (total[first[1:]] - total[first[:-1]]) / np.sqrt(np.maximum(count, 1)))
+        root = np.sqrt(np.maximum(count, 1))
+        for d in range(0, dims, 2):  # two sums share one running total, each in 32 bits
+            pair = ((h >> np.uint64(7 * d + 3)) & np.uint64(1)) | (((h >> np.uint64(7 * d + 10)) & np.uint64(1)) << np.uint64(32))
+            total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(pair)])
+            ups = total[first[1:]] - total[first[:-1]]
+            for e, up in ((d, ups & np.uint64(0xFFFFFFFF)), (d + 1, ups >> np.uint64(32))):
+                if e < dims:
+                    cells[:, e] = np.searchsorted(cuts, (2 * up.astype(np.int64) - count) / root)
         out[row : row + len(off) - 1] = hilbert_index(cells, bits)
     return out
 
@@ -114,6 +119,29 @@ def _normal_cuts(n: int) -> np.ndarray:
     return np.array([spread.inv_cdf(i / n) for i in range(1, n)])
 
 
+def _boundaries(src: DataFrame, rows: int, parts: int, sample: int = SAMPLE, seed: int = 3) -> list[tuple[int, int]]:
+    """(key, doc_id) cut points for about ``parts`` partitions of equal bytes, from about ``sample`` documents drawn by hash.
+
+    They only balance the partitions: every document is placed by its own key.
+    """
+    if parts <= 1 or not rows:
+        return []
+
+    def sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(curve_keys(b.column(1))), b.column(2)], names=["doc_id", "key", "n"])
+
+    lots = int((1 << 20) * min(1.0, max(sample, 20 * parts) / rows))
+    drawn = src.where(F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 20)) < lots).select("doc_id", "text", F.octet_length("text").cast("long").alias("n"))
+    found = sorted((r["key"], -1 if r["doc_id"] is None else r["doc_id"], r["n"]) for r in drawn.mapInArrow(sized, "doc_id long, key long, n long").collect())
+    each, held, cuts = sum(n for *_, n in found) / parts, 0, []
+    for key, doc, n in found:
+        if held >= each * (len(cuts) + 1) and (not cuts or cuts[-1] < (key, doc)):
+            cuts.append((key, doc))
+        held += n
+    return cuts
+
+
 def pack(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH, end: int = END, partition_bytes: int = 8 << 20) -> DataFrame:
     """The pieces (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset) of docs(doc_id, text).
 
@@ -126,20 +154,21 @@ def pack(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH, en
     path = tokenizer or default_tokenizer()
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
 
+    total, rows = docs.agg(F.sum(F.octet_length("text")), F.count("*")).first()
+    parts = max(1, -(-(total or 0) // partition_bytes))
+    cuts = _boundaries(src, rows, parts)
+
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(curve_keys(b.column(1)))], names=["doc_id", "text", "key"])
+            keys = curve_keys(b.column(1))
+            part = [bisect.bisect_right(cuts, at) for at in zip(keys.tolist(), np.asarray(b.column(0).fill_null(-1)).tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(keys), pa.array(part, pa.int32())], names=["doc_id", "text", "key", "part"])
 
-    total = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(1, -(-total // partition_bytes))
-    ordered = src.mapInArrow(keyed, "doc_id long, text string, key long").repartitionByRange(parts, "key", "doc_id").sortWithinPartitions("key", "doc_id")
+    ordered = src.mapInArrow(keyed, "doc_id long, text string, key long, part int").repartitionById(len(cuts) + 1, "part").sortWithinPartitions("part", "key", "doc_id")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
         t = Tokenizer(path)
-        base = TaskContext.get().partitionId() << 32
-        sequence, room = 0, length
+        base, sequence, room = 0, 0, length
         tail: list[list] = []  # the pieces of the sequence that is open, with their ids
         names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
@@ -157,6 +186,8 @@ def pack(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH, en
             sequence, room, tail = sequence + 1, length, []
 
         for b in batches:
+            if b.num_rows:
+                base = b.column(2)[0].as_py() << 32
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 ids = np.append(t.ids(text), np.uint32(end)).astype("<u4")
                 at = 0
@@ -185,4 +216,4 @@ def pack(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH, en
         if rows:
             yield batch(rows)
 
-    return ordered.select("doc_id", "text").mapInArrow(cut, SCHEMA)
+    return ordered.select("doc_id", "text", "part").mapInArrow(cut, SCHEMA)
