@@ -150,7 +150,7 @@ def sequence_type(seq: Column | str) -> Column:
 def complexity(seq: Column | str, k: int = 3) -> Column:
     """Distinct k-mers over the most there could be; 0 if shorter than k."""
     n = F.length(col(seq)) - k + 1
-    kmers = F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(col(seq), i, F.lit(k)))
+    kmers = F.regexp_extract_all(col(seq), F.lit(f"(?s)(?=(.{{{k}}}))"), 1)  # one pass, overlapping
     return F.when(n >= 1, F.size(F.array_distinct(kmers)) / F.least(n, F.lit(4**k))).otherwise(0.0)
 
 

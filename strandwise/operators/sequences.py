@@ -70,9 +70,11 @@ def extract(spans: DataFrame, seqs: DataFrame) -> DataFrame:
 
 def exact_hits(df: DataFrame, key: str, seq: str, probe: str) -> DataFrame:
     """(key, start, end) of all places of a probe, overlapping ones too, by built-in functions."""
-    n = F.length(seq) - len(probe)
-    at = F.filter(F.sequence(F.lit(0), F.greatest(n, F.lit(0))), lambda i: F.substring(F.col(seq), i + 1, F.lit(len(probe))) == probe)
-    return df.where(F.contains(F.col(seq), F.lit(probe))).select(key, F.explode(at).alias("start")).withColumn("end", F.col("start") + len(probe))
+    parts = F.split(F.col(seq), f"(?=\\Q{probe}\\E)", -1)  # cut in front of every place, in one pass
+    x = df.where(F.contains(F.col(seq), F.lit(probe))).select(key, F.startswith(F.col(seq), F.lit(probe)).alias("_f"), F.transform(parts, lambda p: F.length(p)).alias("_l"))
+    later = F.when(F.size("_l") > 1, F.transform(F.sequence(F.lit(1), F.size("_l") - 1), lambda i: F.aggregate(F.slice("_l", 1, i), F.lit(0), lambda t, n: t + n))).otherwise(F.array().cast("array<int>"))
+    at = F.concat(F.when(F.col("_f"), F.array(F.lit(0))).otherwise(F.array().cast("array<int>")), later)
+    return x.select(key, F.explode(at).alias("start")).withColumn("end", F.col("start") + len(probe))
 
 
 def _infix(pattern: str, text: str, k: int) -> list[tuple[int, int]]:
