@@ -28,16 +28,17 @@ def global_alignment(a: str, b: str, score: Callable[[str, str], float], gap_ope
     low = -1e18
     best = np.full((3, n + 1, m + 1), low)  # pair, gap in b, gap in a
     best[0, 0, 0] = 0
+    steps = np.arange(m) * gap_extend
+    rows = {c: np.array([score(c, d) for d in b]) for c in set(a)}
     for i in range(1, n + 1):
         best[1, i, 0] = gap_open + (i - 1) * gap_extend
     for j in range(1, m + 1):
         best[2, 0, j] = gap_open + (j - 1) * gap_extend
     for i in range(1, n + 1):
-        s = np.array([score(a[i - 1], c) for c in b])
-        best[0, i, 1:] = best[:, i - 1, :-1].max(0) + s
+        best[0, i, 1:] = best[:, i - 1, :-1].max(0) + rows[a[i - 1]]
         best[1, i, 1:] = np.maximum(np.maximum(best[0, i - 1, 1:], best[2, i - 1, 1:]) + gap_open, best[1, i - 1, 1:] + gap_extend)
-        for j in range(1, m + 1):
-            best[2, i, j] = max(max(best[0, i, j - 1], best[1, i, j - 1]) + gap_open, best[2, i, j - 1] + gap_extend)
+        opened = np.maximum(best[0, i, :-1], best[1, i, :-1]) + gap_open - steps  # a gap in a from column k reaches j at the
+        best[2, i, 1:] = np.maximum.accumulate(opened) + steps  # cost of opening at k and j - 1 - k extensions
     i, j, k = n, m, int(best[:, n, m].argmax())
     total, x, y = float(best[k, n, m]), [], []
     while i or j:

@@ -103,10 +103,10 @@ def tiered_lookup(spark, sf):
 
 
 def _wanted(spark, sf):
-    return t(spark, sf, "orders").where("o_orderkey % 10 = 3").select(F.concat(F.lit("GCA_"), (F.col("o_orderkey") * 2).cast("string"), F.lit(".1")).alias("accession"))
+    return t(spark, sf, "orders").select(F.concat(F.lit("GCA_"), (F.col("o_orderkey") * 2).cast("string"), F.lit(".1")).alias("accession"))
 
 
-_WANTED = "w AS (SELECT o_orderkey * 2 AS k FROM orders WHERE o_orderkey % 10 = 3)"
+_WANTED = "w AS (SELECT o_orderkey * 2 AS k FROM orders)"
 
 
 @query(f"WITH {_WANTED} SELECT 'GCA_' || k || '.1' AS wanted, o_totalprice AS total FROM w JOIN orders ON o_orderkey = k")
@@ -121,11 +121,11 @@ def wanted_missing(spark, sf):
     return catalog.wanted_lookup(_wanted(spark, sf), c, "acc")[1]
 
 
-@query("""WITH u AS (SELECT p_partkey, p_brand FROM part WHERE p_partkey % 5 = 0), d AS (SELECT p_partkey, upper(p_brand) AS p_brand FROM part WHERE p_partkey % 3 = 0)
+@query("""WITH u AS (SELECT p_partkey, p_brand FROM part WHERE p_size > 40), d AS (SELECT p_partkey, upper(p_brand) AS p_brand FROM part)
 SELECT p_partkey, p_brand, TRUE AS user_supplied FROM u UNION ALL SELECT p_partkey, p_brand, FALSE FROM d WHERE p_partkey NOT IN (SELECT p_partkey FROM u)""")
 def community_merge(spark, sf):
-    p = t(spark, sf, "part").select("p_partkey", "p_brand")
-    return catalog.merge_communities(p.where("p_partkey % 5 = 0"), p.where("p_partkey % 3 = 0").withColumn("p_brand", F.upper("p_brand")), "p_partkey")
+    p = t(spark, sf, "part").select("p_partkey", "p_brand", "p_size")
+    return catalog.merge_communities(p.where("p_size > 40").drop("p_size"), p.drop("p_size").withColumn("p_brand", F.upper("p_brand")), "p_partkey")
 
 
 @query()
@@ -133,10 +133,10 @@ def random_per_group(spark, sf):
     return catalog.random_per_group(t(spark, sf, "part").select("p_brand", "p_partkey", "p_size"), ["p_brand"], "p_partkey", 42, 10, F.col("p_size") > 40)
 
 
-@query("""SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey % 13 = 1 AND EXISTS (SELECT 1 FROM orders WHERE o_custkey % 13 = 1)""")
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderpriority = '1-URGENT'")
 def select_by_taxid(spark, sf):
-    o = t(spark, sf, "orders").select("o_orderkey", "o_custkey", (F.col("o_custkey") % 13).cast("string").alias("a"), F.col("o_orderkey").cast("string").alias("taxid"))
-    return catalog.by_lineage_taxid(o, "1", ["a"]).select("o_orderkey", "o_custkey")
+    o = t(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderpriority", F.col("o_orderstatus").alias("taxid"))
+    return catalog.by_lineage_taxid(o, "1-URGENT", ["o_orderpriority"]).select("o_orderkey", "o_custkey")
 
 
 # --- intervals ------------------------------------------------------------------------------------------
@@ -397,10 +397,10 @@ def best_hits(spark, sf):
     return reports.best_hits(x, "l_orderkey", ["l_partkey", "l_discount"], F.col("l_quantity") > 25, [F.col("l_discount"), F.col("l_linenumber"), F.col("l_partkey")])
 
 
-@query(r"""WITH w AS (SELECT lang, unnest(string_split(text, ' ')) AS term FROM documents), c AS (SELECT lang AS namespace, term, count(*) AS n FROM w WHERE length(term) = 3 GROUP BY 1, 2)
+@query(r"""WITH w AS (SELECT lang, unnest(string_split(text, ' ')) AS term FROM documents), c AS (SELECT lang AS namespace, term, count(*) AS n FROM w WHERE term <> '' GROUP BY 1, 2)
 SELECT namespace, term, n AS term_counts, round(100.0 * n / sum(n) OVER (), 9) AS percent, round(100.0 * n / sum(n) OVER (PARTITION BY namespace), 9) AS percent_in_namespace FROM c""")
 def term_counts(spark, sf):
-    w = t(spark, sf, "documents").select("lang", F.filter(F.split("text", " "), lambda x: F.length(x) == 3).alias("w"))
+    w = t(spark, sf, "documents").select("lang", F.filter(F.split("text", " "), lambda x: x != "").alias("w"))
     a = w.select(F.transform("w", lambda x: F.concat_ws("|", "lang", x)).alias("terms"))
     terms = a.select(F.explode("terms").alias("term")).distinct().select("term", F.substring_index("term", "|", 1).alias("namespace"), F.lit(False).alias("is_obsolete"))
     x = reports.term_counts(a, terms)
@@ -410,13 +410,13 @@ def term_counts(spark, sf):
 def _report(spark, sf):
     c = t(spark, sf, "conversations")
     rank = F.when(F.col("turn") % 5 == 0, "D").when(F.col("turn") % 3 == 0, "P").when(F.col("turn") % 2 == 0, "C").otherwise("-")
-    return c.select("conv_id", F.col("turn").alias("ordinal"), rank.alias("rank"), F.substring("text", 1, 12).alias("name"))
+    return c.select("conv_id", F.col("turn").alias("ordinal"), rank.alias("rank"), F.col("text").alias("name"))
 
 
 _RANK = "CASE WHEN turn % 5 = 0 THEN 'D' WHEN turn % 3 = 0 THEN 'P' WHEN turn % 2 = 0 THEN 'C' ELSE '-' END"
 
 
-@query(f"""WITH r AS (SELECT conv_id, turn, {_RANK} AS rank, left(text, 12) AS name FROM conversations), p AS (SELECT *, max(CASE WHEN rank = 'D' THEN turn END) OVER w AS d, max(CASE WHEN rank = 'P' THEN turn END) OVER w AS p, max(CASE WHEN rank = 'C' THEN turn END) OVER w AS c FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING))
+@query(f"""WITH r AS (SELECT conv_id, turn, {_RANK} AS rank, text AS name FROM conversations), p AS (SELECT *, max(CASE WHEN rank = 'D' THEN turn END) OVER w AS d, max(CASE WHEN rank = 'P' THEN turn END) OVER w AS p, max(CASE WHEN rank = 'C' THEN turn END) OVER w AS c FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING))
 SELECT p.conv_id, p.turn AS ordinal, a.name AS domain, b.name AS phylum, e.name AS class FROM p LEFT JOIN r a ON a.conv_id = p.conv_id AND a.turn = p.d LEFT JOIN r b ON b.conv_id = p.conv_id AND b.turn = p.p AND p.p > coalesce(p.d, -1) LEFT JOIN r e ON e.conv_id = p.conv_id AND e.turn = p.c AND p.c > greatest(coalesce(p.d, -1), coalesce(p.p, -1))""")
 def forward_fill(spark, sf):
     return reports.forward_fill_lineage(_report(spark, sf), ["conv_id"], ("domain", "phylum", "class")).select("conv_id", "ordinal", "domain", "phylum", "class")
@@ -436,10 +436,10 @@ def genome_overview(spark, sf):
     return reports.genome_overview(s.select(F.col("s_suppkey").alias("genome"), F.col("s_acctbal").alias("size")), q, lin).select("genome", "size", "phylum", "n")
 
 
-@query("""SELECT o_orderkey, CASE WHEN o_custkey % 4 = 0 THEN 'customer-' || o_custkey ELSE CAST(o_custkey AS VARCHAR) END AS name FROM orders""")
+@query("SELECT o_orderkey, coalesce(c_name, CAST(o_custkey AS VARCHAR)) AS name FROM orders LEFT JOIN customer ON c_custkey = o_custkey AND c_mktsegment = 'BUILDING'")
 def rename_by_map(spark, sf):
     o = t(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").cast("string").alias("name"))
-    m = t(spark, sf, "orders").where("o_custkey % 4 = 0").select(F.col("o_custkey").cast("string").alias("old")).distinct().withColumn("new", F.concat(F.lit("customer-"), "old"))
+    m = t(spark, sf, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").cast("string").alias("old"), F.col("c_name").alias("new"))
     return reports.rename_by_map(o, "name", m)
 
 
@@ -454,9 +454,9 @@ def sequence_metrics(spark, sf):
     return d.select("doc_id", F.round(columns.gc_fraction("text"), 9).alias("gc"), columns.sequence_type("text").alias("kind"), columns.complexity("text").cast("double").alias("complexity"))
 
 
-@query("SELECT doc_id, reverse(translate(text, 'ACGTacgt', 'TGCAtgca')) AS seq FROM documents WHERE length(text) <= 400")
+@query("SELECT doc_id, reverse(translate(text, 'ACGTacgt', 'TGCAtgca')) AS seq FROM documents")
 def reverse_complements(spark, sf):
-    return sequences.filter_length(t(spark, sf, "documents"), most=400, seq="text").select("doc_id", columns.reverse_complement("text").alias("seq"))
+    return t(spark, sf, "documents").select("doc_id", columns.reverse_complement("text").alias("seq"))
 
 
 @query("SELECT count(*) AS before, count(*) FILTER (length(text) BETWEEN 500 AND 2000) AS after FROM documents")
@@ -464,16 +464,16 @@ def filter_length(spark, sf):
     return sequences.filter_counts(t(spark, sf, "documents"), 500, 2000, "text")
 
 
-@query("SELECT doc_id, source FROM documents WHERE source IN (SELECT DISTINCT source FROM documents WHERE doc_id % 7 = 0 AND lang = 'en')")
+@query("SELECT doc_id, source FROM documents WHERE source IN (SELECT DISTINCT source FROM documents WHERE lang = 'en' AND n_chars >= 5000)")
 def filter_values(spark, sf):
-    d = t(spark, sf, "documents").select("doc_id", "source", "lang")
-    return sequences.by_values(d, "source", d.where("doc_id % 7 = 0 and lang = 'en'").select("source")).select("doc_id", "source")
+    d = t(spark, sf, "documents").select("doc_id", "source", "lang", "n_chars")
+    return sequences.by_values(d, "source", d.where("lang = 'en' and n_chars >= 5000").select("source")).select("doc_id", "source")
 
 
-@query("SELECT doc_id, source FROM documents WHERE source NOT IN (SELECT source FROM documents WHERE doc_id < 5)")
+@query("SELECT doc_id, source FROM documents WHERE source NOT IN (SELECT source FROM documents WHERE n_chars >= 20000)")
 def filter_values_inverse(spark, sf):
-    d = t(spark, sf, "documents").select("doc_id", "source")
-    return sequences.by_values(d, "source", d.where("doc_id < 5").select("source"), invert=True)
+    d = t(spark, sf, "documents").select("doc_id", "source", "n_chars")
+    return sequences.by_values(d, "source", d.where("n_chars >= 20000").select("source"), invert=True).select("doc_id", "source")
 
 
 @query("SELECT doc_id, CASE WHEN n = 1 THEN source ELSE source || '_' || (n - 1) END AS new_id FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents)")
@@ -499,10 +499,10 @@ def primer_exact(spark, sf):
     return sequences.exact_hits(t(spark, sf, "documents"), "doc_id", "text", "tion").select("doc_id", F.col("start").cast("long").alias("start"))
 
 
-@query("""WITH d AS (SELECT doc_id, text, unnest(range(1, length(text) + 1)) AS i FROM documents WHERE length(text) <= 2000), a AS (SELECT doc_id, i - 1 AS s FROM d WHERE substr(text, i, 4) = 'thor'), b AS (SELECT doc_id, i - 1 AS s FROM d WHERE substr(text, i, 4) = 'ated'),
+@query("""WITH d AS (SELECT doc_id, text, unnest(range(1, length(text) + 1)) AS i FROM documents WHERE contains(text, 'thor') AND contains(text, 'ated')), a AS (SELECT doc_id, i - 1 AS s FROM d WHERE substr(text, i, 4) = 'thor'), b AS (SELECT doc_id, i - 1 AS s FROM d WHERE substr(text, i, 4) = 'ated'),
 h AS (SELECT doc_id, s, 'forward' AS t FROM a UNION ALL SELECT doc_id, s, 'reverse' FROM b) SELECT l.doc_id, l.s AS left_start, r.s AS right_start FROM h l JOIN h r ON l.doc_id = r.doc_id AND r.s >= l.s + 4 AND l.t <> r.t""")
 def amplicons(spark, sf):
-    d = sequences.filter_length(t(spark, sf, "documents"), most=2000, seq="text")
+    d = t(spark, sf, "documents")
     h = sequences.exact_hits(d, "doc_id", "text", "thor").withColumn("type", F.lit("forward")).unionByName(sequences.exact_hits(d, "doc_id", "text", "ated").withColumn("type", F.lit("reverse")))
     return sequences.amplicons(h, "doc_id").select("doc_id", F.col("left_start").cast("long").alias("left_start"), F.col("right_start").cast("long").alias("right_start"))
 
@@ -513,11 +513,11 @@ def primer_approximate(spark, sf):
     return sequences.primer_hits(d, "tioned", "ations", 1)
 
 
-@query("""WITH d AS (SELECT translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') AS s FROM benchmark), p AS (SELECT i AS position, substr(s, CAST(i + 1 AS BIGINT), 1) AS c FROM (SELECT s, unnest(range(0, 20)) AS i FROM d) WHERE substr(s, CAST(i + 1 AS BIGINT), 1) <> ''),
+@query("""WITH d AS (SELECT translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') AS s FROM benchmark), p AS (SELECT i AS position, substr(s, CAST(i + 1 AS BIGINT), 1) AS c FROM (SELECT s, unnest(range(0, length(s))) AS i FROM d)),
 f AS (SELECT position, CASE WHEN c IN ('A', 'E', 'I', 'N', 'O', 'T', 'H', 'R', 'S') THEN c ELSE '-' END AS c, count(*) AS n FROM p GROUP BY 1, 2), s AS (SELECT position, sum(n) AS depth, sum(n) FILTER (c = '-') AS g, sum(n) FILTER (c <> '-') AS m, sum(n * ln(n)) FILTER (c <> '-') AS e FROM f GROUP BY position)
 SELECT CAST(position AS INTEGER) AS position, CAST(depth AS BIGINT) AS depth, round(coalesce(g, 0) / depth, 9) AS gap_fraction, round(CASE WHEN m > 0 THEN 1 - (ln(m) - e / m) / ln(9) END, 9) AS conservation FROM s""")
 def msa_columns(spark, sf):
-    x = sequences.msa_columns(t(spark, sf, "benchmark").select(F.substring("text", 1, 20).alias("seq")), "AEINOTHRS", gaps="ignore")
+    x = sequences.msa_columns(t(spark, sf, "benchmark").select(F.col("text").alias("seq")), "AEINOTHRS", gaps="ignore")
     return x.select("position", "depth", F.round("gap_fraction", 9).alias("gap_fraction"), F.round("conservation", 9).alias("conservation"))
 
 
@@ -540,7 +540,7 @@ def cigar_identity(spark, sf):
 
 @query()
 def simulate_reads(spark, sf):
-    d = t(spark, sf, "documents").where("lang = 'en'")
+    d = t(spark, sf, "documents")
     return sequences.sample_reads(d.select(F.col("doc_id").cast("string").alias("contig"), F.col("text").alias("seq"), F.lit(3).alias("units")), 100, 7, circular=True)
 
 
@@ -549,9 +549,10 @@ def point_mutations(spark, sf):
     return sequences.mutate(t(spark, sf, "benchmark").select(F.col("item_id").cast("string").alias("id"), F.col("text").alias("seq")), 0.05, 3)
 
 
-@query()
+@query("""SELECT CAST(item_id AS VARCHAR) AS id, 100.0 * (length(text) - 3) / length(text) AS percent_identity, 100.0 * (length(text) - 3) / length(text) AS percent_covered, 1 AS deletion_runs, 0 AS substitutions FROM benchmark""")
 def alignment_differences(spark, sf):
-    b = t(spark, sf, "benchmark").select(F.col("item_id").cast("string").alias("id"), F.substring("text", 1, 60).alias("ref"), F.substring("text", 4, 60).alias("query"))
+    """Each passage against itself without its first three letters: one deletion, all else equal."""
+    b = t(spark, sf, "benchmark").select(F.col("item_id").cast("string").alias("id"), F.col("text").alias("ref"), F.expr("substring(text, 4)").alias("query"))
     return alignment.alignment_summary(alignment.positions(alignment.align_pairs(b)))
 
 
