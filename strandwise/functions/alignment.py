@@ -129,3 +129,12 @@ def cs_operations(df: DataFrame, key: str = "query") -> DataFrame:
         return s.map(lambda v: parse_cs(v or ""))
 
     return df.select(key, F.posexplode(parse("cs")).alias("ordinal", "o")).select(key, "ordinal", "o.*")
+
+
+def introns(operations: DataFrame, key: str = "query") -> DataFrame:
+    """(key, introns array of offset and length in bases of the sequence, from the start of the aligned part) of cs_operations."""
+    bases = F.when(F.col("op").isin("match", "sub"), 3 * F.col("n")).when(F.col("op") == "ins", 0).otherwise(F.col("n"))
+    w = Window.partitionBy(key).orderBy("ordinal").rowsBetween(Window.unboundedPreceding, 0)
+    x = operations.withColumn("_o", (F.sum(bases).over(w) - bases).cast("int"))
+    found = F.collect_list(F.when(F.col("op") == "intron", F.struct(F.col("_o").alias("offset"), F.col("n").alias("length"))))
+    return x.groupBy(key).agg(F.array_sort(found).alias("introns"))

@@ -241,3 +241,50 @@ def mutation_text(kind: Column | str, ref: Column | str, pos: Column | str, alt:
     """A210R, A210del, ins210:KL, fs210+1."""
     p = col(pos).cast("string")
     return F.when(col(kind) == "sub", F.concat(col(ref), p, col(alt))).when(col(kind) == "del", F.concat(col(ref), p, F.lit("del"))).when(col(kind) == "ins", F.concat(F.lit("ins"), p, F.lit(":"), col(alt))).when(col(kind) == "fs", F.concat(F.lit("fs"), p, col(alt)))
+
+
+# --- coding sequences ------------------------------------------------------------------------------------
+
+#: Residues of the standard genetic code, codons in the order of TCAG.
+_CODE = "FFLLSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG"
+
+
+def translate_codons(seq: Column | str) -> Column:
+    """The protein of whole codons by the standard code, a part of a codon at the end left out; unknown codons read X."""
+    s = F.translate(col(seq), "acgtuU", "ACGTTT")
+    index = F.lit("TCAG")
+
+    def residue(codon: Column) -> Column:
+        a, b, c = (F.instr(index, F.substring(codon, k, 1)) for k in (1, 2, 3))
+        return F.when((a > 0) & (b > 0) & (c > 0), F.substring(F.lit(_CODE), (a - 1) * 16 + (b - 1) * 4 + c, F.lit(1))).otherwise("X")
+
+    return F.array_join(F.transform(F.regexp_extract_all(s, F.lit("(?s)(.{3})"), F.lit(1)), residue), "")  # one pass, however long
+
+
+def without_spans(seq: Column, spans: Column) -> Column:
+    """A text without the (offset, length) spans, which are sorted and don't overlap."""
+    done = F.aggregate(spans, F.struct(F.lit("").alias("kept"), F.lit(0).alias("at")), lambda t, x: F.struct(F.concat(t["kept"], F.substring(seq, t["at"] + 1, x["offset"] - t["at"])).alias("kept"), (x["offset"] + x["length"]).alias("at")))
+    return F.concat(done["kept"], F.substring(seq, done["at"] + 1, F.length(seq)))
+
+
+def coding_columns(seq: str, strand: str, start: str, end: str, protein: str, protein_start: str, protein_end: str, protein_length: str, introns: str) -> tuple[Column, Column]:
+    """(protein, coding sequence) of an alignment of a reference protein to a sequence, whole at both ends.
+
+    Residues of the reference beyond the aligned part are read from the bases beside it, in frame, up to a stop; introns
+    (array of offset, length from the start of the aligned part, in coding direction) are cut out; a stop codon that follows at
+    once belongs to the coding sequence, not to the protein.
+    """
+    minus, n = F.col(strand) == "-", F.length(seq)
+    coding = F.when(minus, reverse_complement(seq)).otherwise(F.col(seq))
+    a = F.when(minus, n - F.col(end)).otherwise(F.col(start)).cast("int")
+    b = F.when(minus, n - F.col(start)).otherwise(F.col(end)).cast("int")
+    behind = (3 * (F.col(protein_length) - F.col(protein_end))).cast("int")
+    after = F.substring_index(translate_codons(F.substring(coding, b + 1, F.greatest(behind, F.lit(0)))), "*", 1)
+    room = F.least(a - a % 3, (3 * F.col(protein_start)).cast("int"))
+    before = F.substring_index(translate_codons(F.substring(coding, a - room + 1, room)), "*", -1)
+    body = without_spans(F.substring(coding, a + 1, b - a), F.coalesce(F.col(introns), F.array().cast("array<struct<offset:int,length:int>>")))
+    upto = b + 3 * F.length(after)
+    next_codon = F.substring(coding, upto + 1, F.lit(3))
+    stop = F.when(translate_codons(next_codon) == "*", next_codon).otherwise("")
+    cds = F.concat(F.substring(coding, a - 3 * F.length(before) + 1, 3 * F.length(before)), body, F.substring(coding, b + 1, 3 * F.length(after)), stop)
+    return F.concat(before, F.col(protein), after).alias("protein"), cds.alias("coding_sequence")

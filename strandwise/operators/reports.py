@@ -167,3 +167,26 @@ def stage_flags(samples: DataFrame, stages: dict[str, DataFrame], key: str = "sa
     for name, df in stages.items():
         samples = samples.join(df.select(F.col(key).alias("_k")).distinct(), F.col(key) == F.col("_k"), "left").withColumn(name, F.when(F.col("_k").isNotNull(), "Yes").otherwise("No")).drop("_k")
     return samples
+
+
+def reads_screen(identities: DataFrame, detections: DataFrame, least_detection: float = 80.0, least_identity: float = 90.0) -> DataFrame:
+    """Targets that the reads show: detection at depth 1 (percent) and mean identity both reach their thresholds.
+
+    identities(target, pid) has one row a read, detections(target, depth, detection) shares from 0 to 1; the row ``total`` of
+    all targets is left out. Targets without reads are left out.
+    """
+    seen = detections.where((F.col("target") != "total") & (F.col("depth") == 1) & (F.col("detection") * 100 >= least_detection)).select("target", "detection")
+    s = identities.groupBy("target").agg(F.count("pid").alias("n_reads"), F.avg("pid").alias("mean_pid"))
+    return seen.join(s, "target").where(F.col("mean_pid") >= least_identity)
+
+
+def split_colliding(targets: DataFrame, name: str = "target", kind: str = "type") -> DataFrame:
+    """Names that occur with more than one type get the type as a suffix (``x__nt``, ``x__aa``); others stay."""
+    both = targets.groupBy(name).agg((F.min(kind) != F.max(kind)).alias("_both")).where("_both").select(F.col(name).alias("_k"))
+    x = targets.join(both, F.col(name) == F.col("_k"), "left")
+    return x.withColumn(name, F.when(F.col("_k").isNotNull(), F.concat(name, F.lit("__"), kind)).otherwise(F.col(name))).drop("_k")
+
+
+def runs_of_samples(runs: DataFrame, sample: str = "sample", run: str = "run") -> DataFrame:
+    """The runs that make up each sample, in order, by exact name; a sample's runs are few, repeated rows count once."""
+    return runs.groupBy(sample).agg(F.array_sort(F.collect_set(run)).alias("runs")).withColumn("n_runs", F.size("runs"))

@@ -139,10 +139,11 @@ def offsets(df: DataFrame, units: str, order: list[str], keys: list[str]) -> Dat
 
 
 def split_by_length(df: DataFrame, total: str, length: str, order: list[str], keys: list[str]) -> DataFrame:
-    """``share`` of a group's units for each contig: differences of the rounded running target, so shares add up."""
+    """``share`` of a group's units for each contig: differences of the rounded running target, so shares add up. Groups without
+    length get 0."""
     w = Window.partitionBy(*keys)
     upto = F.sum(length).over(w.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    x = df.withColumn("_cum", F.bround(F.col(total) * upto / F.sum(length).over(w)))
+    x = df.withColumn("_cum", F.coalesce(F.bround(F.try_divide(F.col(total) * upto, F.sum(length).over(w))), F.lit(0.0)))
     before = F.lag("_cum", 1, 0).over(w.orderBy(*order))
     return x.withColumn("share", (F.col("_cum") - before).cast("long")).drop("_cum")
 

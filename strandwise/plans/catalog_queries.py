@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import alignment, columns
-from ..operators import catalog, intervals, ontology, reports, sequences, stats
+from ..operators import catalog, community, intervals, ontology, reports, sequences, stats
 from ..streaming import extensions
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -556,6 +556,68 @@ def alignment_differences(spark, sf):
     return alignment.alignment_summary(alignment.positions(alignment.align_pairs(b)))
 
 
+# --- simulated communities ------------------------------------------------------------------------------------------
+
+
+@query()
+def fragments(spark, sf):
+    d = t(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("contig"), F.col("text").alias("seq"), F.lit(3).alias("units"))
+    return community.sample_fragments(d, 11, 120.0, 20.0, 60)
+
+
+@query()
+def paired_mates(spark, sf):
+    d = t(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("contig"), F.col("text").alias("seq"), F.lit(2).alias("units"))
+    return community.mates(community.sample_fragments(d, 5, 200.0, 30.0, 75, circular=True, allow_n=True), 75)
+
+
+@query()
+def lognormal_weights(spark, sf):
+    return community.abundance_weights(t(spark, sf, "part").select("p_partkey", "p_brand"), "p_partkey", 3, 1.0)
+
+
+@query("""WITH g AS (SELECT s_suppkey AS genome, 5000 + s_suppkey AS genome_size FROM supplier), r AS (SELECT l_suppkey AS genome, count(*) AS reads, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS bases FROM lineitem GROUP BY 1),
+ x AS (SELECT g.genome, genome_size, coalesce(reads, 0) AS reads, coalesce(bases, 0) AS bases FROM g LEFT JOIN r ON r.genome = g.genome)
+SELECT genome, reads, bases, round(bases / genome_size, 9) AS mean_coverage, round(bases / genome_size / sum(bases / genome_size) OVER (), 9) AS rel_abundance FROM x""")
+def genome_truth(spark, sf):
+    g = t(spark, sf, "supplier").select(F.col("s_suppkey").alias("genome"), (F.col("s_suppkey") + 5000).alias("genome_size"))
+    r = t(spark, sf, "lineitem").select(F.col("l_suppkey").alias("genome"), F.lit(0).cast("long").alias("start"), F.col("l_quantity").cast("long").alias("end"))
+    return community.genome_truth(g, r).select("genome", "reads", "bases", F.round("mean_coverage", 9).alias("mean_coverage"), F.round("rel_abundance", 9).alias("rel_abundance"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_suppkey AS genome, n_name AS phylum FROM lineitem LEFT JOIN (SELECT s_suppkey, n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey) ON s_suppkey = l_suppkey")
+def read_truth(spark, sf):
+    g = t(spark, sf, "supplier").join(t(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("genome"), F.col("n_name").alias("phylum"))
+    r = t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_suppkey").alias("genome"))
+    return community.read_truth(r, g, "genome", ("phylum",))
+
+
+@query("""WITH d AS (SELECT l_suppkey AS target, avg(CASE WHEN l_returnflag = 'N' THEN 1.0 ELSE 0.0 END) AS detection FROM lineitem GROUP BY 1)
+SELECT l_suppkey AS target, count(*) AS n_reads, round(avg(100 - l_discount * 100), 9) AS mean_pid FROM lineitem JOIN d ON target = l_suppkey WHERE detection * 100 >= 50 GROUP BY 1 HAVING avg(100 - l_discount * 100) >= 95""")
+def reads_screen(spark, sf):
+    x = t(spark, sf, "lineitem")
+    d = x.groupBy(F.col("l_suppkey").cast("string").alias("target")).agg(F.avg(F.when(F.col("l_returnflag") == "N", 1.0).otherwise(0.0)).alias("detection")).withColumn("depth", F.lit(1))
+    i = x.select(F.col("l_suppkey").cast("string").alias("target"), (100 - F.col("l_discount") * 100).alias("pid"))
+    s = reports.reads_screen(i, d, 50.0, 95.0)
+    return s.select(F.col("target").cast("long").alias("target"), "n_reads", F.round("mean_pid", 9).alias("mean_pid"))
+
+
+@query("""WITH b AS (SELECT source FROM documents GROUP BY 1 HAVING count(DISTINCT lang) > 1) SELECT doc_id, CASE WHEN source IN (SELECT source FROM b) THEN source || '__' || lang ELSE source END AS source FROM documents""")
+def split_colliding(spark, sf):
+    return reports.split_colliding(t(spark, sf, "documents").select("doc_id", "source", "lang"), "source", "lang").select("doc_id", "source")
+
+
+@query("SELECT o_custkey AS sample, count(DISTINCT o_orderkey) AS n_runs, min(o_orderkey) AS first FROM orders GROUP BY 1")
+def runs_of_samples(spark, sf):
+    x = reports.runs_of_samples(t(spark, sf, "orders").select(F.col("o_custkey").alias("sample"), F.col("o_orderkey").alias("run")))
+    return x.select("sample", F.col("n_runs").cast("long").alias("n_runs"), F.col("runs")[0].alias("first"))
+
+
+@query("SELECT doc_id, CAST(length(text) // 3 AS INTEGER) AS residues FROM documents")
+def codon_lengths(spark, sf):
+    return t(spark, sf, "documents").select("doc_id", F.length(columns.translate_codons("text")).alias("residues"))
+
+
 # --- trees, sets, streams -------------------------------------------------------------------------------------------
 
 

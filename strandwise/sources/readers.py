@@ -316,3 +316,8 @@ def sample_of_path(suffix: str) -> Column:
 
 def first_in_file(df: DataFrame, order: str = "ordinal") -> DataFrame:
     return df.withColumn("_n", F.row_number().over(Window.partitionBy("file").orderBy(order))).where("_n = 1").drop("_n")
+
+
+def benchmarks(spark: SparkSession, path: str | list[str], suffix: str = ".tsv") -> DataFrame:
+    """The union of a workflow's time and memory tables, ``process`` being the file's name without its suffix."""
+    return spark.read.csv(path, sep="\t", header=True).withColumn("process", sample_of_path(suffix.replace(".", r"\.")))

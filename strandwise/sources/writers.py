@@ -113,3 +113,27 @@ def tree_rows(df: DataFrame, kind: str, shade: str, label: str = "data", shape:
     else:
         raise ValueError(f"unknown kind {kind}")
     return spark.createDataFrame([(h,) for h in head], "value string").unionByName(df.select(rows.alias("value")))
+
+
+def alignment_blocks(aligned: DataFrame, width: int = 60) -> DataFrame:
+    """(id, text) of gapped pairs in blocks of ``width`` columns: reference, marks (| equal, . other), query, each with the
+    number of its last residue in the block."""
+    a, b, n = F.col("gapped_ref"), F.col("gapped_query"), F.length("gapped_ref")
+
+    def block(i: Column) -> Column:
+        at = i * width + 1
+        x, y = F.substring(a, at, F.lit(width)), F.substring(b, at, F.lit(width))
+        k = F.sequence(F.lit(1), F.length(x))
+        marks = F.array_join(F.transform(k, lambda j: F.when((F.substring(x, j, F.lit(1)) == "-") | (F.substring(y, j, F.lit(1)) == "-"), " ").when(F.substring(x, j, F.lit(1)) == F.substring(y, j, F.lit(1)), "|").otherwise(".")), "")
+        upto = [F.length(F.translate(F.substring(s, F.lit(1), at + width - 1), "-", "")).cast("string") for s in (a, b)]
+        return F.concat(F.lit("ref    "), x, F.lit("  "), upto[0], F.lit("\n       "), marks, F.lit("\nquery  "), y, F.lit("  "), upto[1])
+
+    blocks = F.transform(F.sequence(F.lit(0), ((n - 1) / width).cast("int")), block)
+    return aligned.select("id", F.when(n > 0, F.array_join(blocks, "\n\n")).otherwise("").alias("text"))
+
+
+def biom_rows(long: DataFrame, feature: str = "feature", sample: str = "sample", value: str = "value") -> DataFrame:
+    """A sparse feature table as JSON lines, one a feature: its id and the non-zero values by sample."""
+    kept = long.where(F.col(value) != 0)
+    m = F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(sample).cast("string"), F.col(value)))))
+    return kept.groupBy(feature).agg(m.alias("data")).select(F.to_json(F.struct(F.col(feature).alias("id"), "data")).alias("value"))
