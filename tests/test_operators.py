@@ -108,6 +108,36 @@ def test_alignment():
         alignment.parse_cs("?")
 
 
+def test_alignment_against_recursion():
+    """The best score by trying every last column; the alignment returned has it and spells both sequences."""
+    from functools import cache
+
+    rng = random.Random(8)
+    for _ in range(60):
+        a, b = ("".join(rng.choices("ACD", k=rng.randint(0, 7))) for _ in range(2))
+        opened, extended = rng.choice([(-11.0, -1.0), (-3.0, -1.0), (-2.0, -0.5)])
+        score = alignment.similarity()
+
+        @cache
+        def best(i, j, state):
+            if i == j == 0:
+                return 0.0 if state == 0 else float("-inf")
+            if state == 0:
+                return max(best(i - 1, j - 1, k) for k in range(3)) + score(a[i - 1], b[j - 1]) if i and j else float("-inf")
+            p, q = (i - 1, j) if state == 1 else (i, j - 1)
+            return max(best(p, q, k) + (extended if k == state else opened) for k in range(3)) if min(p, q) >= 0 else float("-inf")
+
+        x, y, got = alignment.global_alignment(a, b, score, opened, extended)
+        assert got == pytest.approx(max(best(len(a), len(b), k) for k in range(3)))
+        assert (x.replace("-", ""), y.replace("-", "")) == (a, b) and len(x) == len(y) and ("-", "-") not in zip(x, y, strict=True)
+        paid, last = 0.0, None
+        for p, q in zip(x, y, strict=True):
+            kind = "a" if p == "-" else "b" if q == "-" else None
+            paid += score(p, q) if kind is None else extended if kind == last else opened
+            last = kind
+        assert paid == pytest.approx(got)
+
+
 def test_primers(spark):
     df = spark.createDataFrame([("a", "TTTACGTACTTTTTTGGCCATTT")], "id string, seq string")
     hits = sequences.primer_hits(df, "ACGTAC", "TGGCC", 0)
