@@ -91,7 +91,8 @@ def term_counts(annotations: DataFrame, terms: DataFrame, keep_zeros: bool = Fal
     live = terms.where(~F.col("is_obsolete"))
     c = annotations.select(F.explode("terms").alias("_t")).groupBy("_t").agg(F.count("*").alias("term_counts"))
     x = live.join(c, F.col("term") == F.col("_t"), "left").withColumn("term_counts", F.coalesce("term_counts", F.lit(0))).drop("_t")
-    every, own = x.agg(F.sum("term_counts").alias("_a")), x.groupBy("namespace").agg(F.sum("term_counts").alias("_o"))
+    own = x.groupBy("namespace").agg(F.sum("term_counts").alias("_o"))
+    every = own.agg(F.sum("_o").alias("_a"))
     x = x.join(own, "namespace").join(F.broadcast(every))
     x = x.withColumn("percent", F.coalesce(F.try_divide(100.0 * F.col("term_counts"), F.col("_a")), F.lit(0.0))).withColumn("percent_in_namespace", F.coalesce(F.try_divide(100.0 * F.col("term_counts"), F.col("_o")), F.lit(0.0))).drop("_a", "_o")
     return x if keep_zeros else x.where("term_counts > 0")
