@@ -24,6 +24,8 @@ from .common import small_batches
 from .textkernel import utf8_chunks, word_hashes, words
 
 LENGTH, END, DIMS, BITS, SAMPLE = 2048, 1, 3, 8, 20_000
+#: The most partitions that cut points are found for; larger tables have larger partitions, which are sorted with spill and streamed.
+MOST_PARTS = 16_384
 #: The text pattern of this byte-level BPE, as its vocabulary's documentation gives it (fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -120,7 +122,8 @@ def _normal_cuts(n: int) -> np.ndarray:
 
 
 def _boundaries(src: DataFrame, rows: int, parts: int, sample: int = SAMPLE, seed: int = 3) -> list[tuple[int, int]]:
-    """(key, doc_id) cut points for about ``parts`` partitions of equal bytes, from about ``sample`` documents drawn by hash.
+    """(key, doc_id) cut points for about ``parts`` partitions of equal bytes, from about ``sample`` documents drawn by hash, or
+    20 a partition if that is more: 327,680 at most.
 
     They only balance the partitions: every document is placed by its own key.
     """
@@ -155,7 +158,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH, en
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
 
     total, rows = docs.agg(F.sum(F.octet_length("text")), F.count("*")).first()
-    parts = max(1, -(-(total or 0) // partition_bytes))
+    parts = min(MOST_PARTS, max(1, -(-(total or 0) // partition_bytes)))
     cuts = _boundaries(src, rows, parts)
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
