@@ -106,9 +106,7 @@ def near_duplicate_vectors(df: DataFrame, cosine: float = 0.95, seed: int = 2024
 
     def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x, ok = matrix(b.column(1))
-            if x.shape[1] != width:
-                ok[:] = False
+            x, ok = matrix(b.column(1), width)
             v = [None] * len(ok)
             idx = np.flatnonzero(ok)
             for i, r in zip(idx.tolist(), pack(unit(x[idx])).to_pylist() if len(idx) else [], strict=True):

@@ -6,9 +6,9 @@ import numpy as np
 import pyarrow as pa
 
 
-def matrix(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(rows x width float64, usable): unusable rows are null, empty, of another width than the first
-    usable row's, zero, or hold null or non-finite components; they are zero in the matrix."""
+def matrix(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rows x width float64, usable): unusable rows are null, empty, of another width than
+    the one given, zero, or hold null or non-finite components; they are zero in the matrix."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     n = len(column)
@@ -16,11 +16,10 @@ def matrix(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     flat = column.flatten().cast(pa.float64())
     holes = np.asarray(flat.is_null())
     v = np.asarray(flat.fill_null(np.nan), dtype=np.float64)
-    width = int(np.bincount(lens[lens > 0]).argmax()) if (lens > 0).any() else 0
     out = np.zeros((n, width))
-    ok = lens == width if width else np.zeros(n, bool)
+    ok = lens == width
     starts = np.concatenate([[0], np.cumsum(lens)])[:-1]
-    if width and ok.any():
+    if ok.any():
         at = starts[ok][:, None] + np.arange(width)
         rows = v[at]
         good = np.isfinite(rows).all(1) & ~holes[at].any(1) & (rows != 0).any(1)

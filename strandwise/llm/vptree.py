@@ -114,8 +114,8 @@ def nearest(df: DataFrame, is_query: Column, k: int = 20, factor: float = 1.0, s
 
     def usable(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x, ok = matrix(b.column(1))
-            if x.shape[1] == width and ok.any():
+            x, ok = matrix(b.column(1), width)
+            if ok.any():
                 m = pa.array(ok)
                 x = x[ok]
                 yield pa.RecordBatch.from_arrays([b.column(0).filter(m), b.column(2).filter(m), pack(x), pa.array((x * x).sum(1))], names=["vec_id", "is_query", "v", "n2"])
