@@ -7,13 +7,16 @@ as drawn), packing. Every stage works on all that its predecessor kept.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandwise.llm import linededup, minhash, mixing, packing, quality
-from strandwise.llm.common import materialize, release, scratch_mark, table
+from strandwise.llm.common import materialize, release, scratch_mark, set_apart, table
 
 KEEP_SCORE = 0.5
+READ = ("doc_id", "text", "lang", "source", "n_chars")
+#: Columns that the stages add for a while; columns of documents with such names are kept apart and come back.
+ADDED = ("_p_text", "_p_meta", "_score", "_lines", "_dropped", "_kept", "_size", "source_size", "target", "_copies", "_copy")
 _before: list[int] = []
 
 
@@ -24,28 +27,36 @@ def _begin() -> None:
     _before[:] = [scratch_mark()]
 
 
+def _apart(docs: DataFrame) -> tuple[DataFrame, list[Column]]:
+    return set_apart(docs, READ, ADDED, ())
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     _begin()
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return quality.score(docs, model).where(F.col("_score") >= KEEP_SCORE).select(*docs.columns)
+    docs, columns = _apart(docs)
+    return quality.score(docs, model).where(F.col("_score") >= KEEP_SCORE).select(*columns)
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     _begin()
+    docs, columns = _apart(docs)
     clean = linededup.drop_boilerplate_lines(docs, F.col("source"))
-    return clean.withColumn("n_chars", F.when(F.col("_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    return clean.withColumn("n_chars", F.when(F.col("_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*columns)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     _begin()
     kept = materialize(minhash.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_kept")).distinct())
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    docs, columns = _apart(docs)
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi").select(*columns)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     _begin()
+    docs, columns = _apart(docs)
     mixed = mixing.mix(mixing.with_sizes(docs)).where("_copies > 0")
-    return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_copies"))).select(*docs.columns)
+    return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_copies"))).select(*columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

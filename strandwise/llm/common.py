@@ -11,7 +11,7 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows that Spark hands to a Python worker at once; small enough for documents of 100 kB.
@@ -69,6 +69,22 @@ def release(start: int, stop: int | None = None) -> None:
 atexit.register(release, 0)
 
 
+def set_apart(df: DataFrame, used: tuple[str, ...], inner: tuple[str, ...], made: tuple[str, ...], *more: Column) -> tuple[DataFrame, list[Column]]:
+    """df with ``more`` columns, safe to add columns ``inner`` and ``made`` to, and how to select its own columns again.
+
+    If an unused column has one of these names (in any case), all unused columns travel in one struct. A column named like
+    one in ``made`` gives way to it; all others come back.
+    """
+    clash = {c.lower() for c in (*inner, *made)}
+    if not any(c.lower() in clash for c in df.columns if c not in used):
+        return df.select("*", *more) if more else df, [F.col(f"`{c}`") for c in df.columns]
+    rest = [c for c in df.columns if c not in used]
+    gone = {c.lower() for c in made}
+    back = [F.col(f"`{c}`") if c in used else F.col("_rest").getField(f"c{rest.index(c)}").alias(c) for c in df.columns if c.lower() not in gone]
+    packed = F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(rest))).alias("_rest")
+    return df.select(*(F.col(f"`{c}`") for c in df.columns if c in used), packed, *more), back
+
+
 def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, set_apart
 
 RATIO, MIN_PAGES = 0.1, 3
 
@@ -21,9 +21,9 @@ def drop_boilerplate_lines(df: DataFrame, site: Column, text: str = "text", rati
 
     Lines end at a line feed; blank lines stay. A line that a page repeats counts once for that page and goes each time.
     A null text stays null with 0 lines and is not a page; null sites form a site of their own. Repeated rows are pages
-    each. A page may become empty but no row is dropped. Columns named _site, _lines or _dropped must not exist.
+    each. A page may become empty but no row is dropped. Input columns named _lines or _dropped give way to those made here.
     """
-    pages = df.withColumn("_site", site.cast("string"))
+    pages, columns = set_apart(df, (text,), ("_site", "s", "_common", "_all", "_kept"), ("_lines", "_dropped"), site.cast("string").alias("_site"))
     lines = F.split(F.col(text), "\n")
     distinct = F.array_distinct(F.transform(F.filter(lines, lambda x: F.trim(x) != ""), lambda x: F.xxhash64(x)))
     totals = pages.where(F.col(text).isNotNull()).groupBy("_site").agg(F.count("*").alias("total"))
@@ -37,5 +37,5 @@ def drop_boilerplate_lines(df: DataFrame, site: Column, text: str = "text", rati
     x = x.withColumn("_kept", F.when(F.col("_common").isNotNull() & F.col(text).isNotNull(), kept))
     clean = F.when(F.col("_kept").isNotNull(), F.array_join("_kept", "\n")).otherwise(F.col(text))
     dropped = F.when(F.col("_kept").isNotNull(), F.col("_all") - F.size("_kept")).otherwise(F.lit(0))
-    names = [clean.alias(c) if c == text else F.col(f"`{c}`") for c in df.columns]
-    return x.select(*names, F.col("_all").cast("long").alias("_lines"), dropped.cast("long").alias("_dropped"))
+    x = x.withColumn("_dropped", dropped.cast("long")).withColumn(text, clean)
+    return x.select(*columns, F.col("_all").cast("long").alias("_lines"), "_dropped")

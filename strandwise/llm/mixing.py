@@ -21,14 +21,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import materialize, small_batches, text_or_empty
+from .common import materialize, set_apart, small_batches
 from .textkernel import word_counts
 
 WEIGHTS, MOST, BLOCK, LANDING = (5, 2, 1), 3, 8192, 12
 
 
 def with_sizes(docs: DataFrame, column: str = "_size") -> DataFrame:
-    """All columns and the number of words of the text (null: 0)."""
+    """All columns and the number of words of the text (null: 0), in place of an input column of that name."""
+    docs = docs.drop(column)
     schema = T.StructType([*docs.schema.fields, T.StructField(column, T.LongType())])
     at = docs.columns.index("text")
 
@@ -101,13 +102,15 @@ def mix(docs: DataFrame, size: str = "_size", weights: tuple[int, ...] = WEIGHTS
 
     docs has doc_id, source and its sizes in ``size`` (see with_sizes). A null source is a source of its own. Empty
     documents are drawn like others but count nothing; a source without words is not taken. Repeated rows are drawn each
-    for themselves, rows with equal doc_id in the order of their text. An empty table gives an empty one.
+    for themselves, rows with equal doc_id in the order of their text. An empty table gives an empty one. Input
+    columns named like the three made here give way to them.
     """
     if block < 2 * (LANDING + 2):
         raise ValueError(f"a block must hold at least {2 * (LANDING + 2)} rows, or its leftovers don't get fewer")
     spark = docs.sparkSession
     small_batches(spark)
-    docs = docs.withColumnRenamed(size, "_size") if size != "_size" else docs
+    docs = docs.drop("_size").withColumnRenamed(size, "_size") if size != "_size" else docs
+    docs, columns = set_apart(docs, ("doc_id", "text", "source", "_size"), ("_src", "_blocks", "_base", "_p", "_order", "_owed", "_part", "_left"), ("source_size", "target", "_copies"))
     t = materialize(targets(docs.select("source", "_size"), weights, most))
     facts = t.select(F.col("source").alias("_src"), "source_size", "target", F.ceil(F.col("rows") / block).alias("_blocks"))
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
@@ -145,4 +148,4 @@ def mix(docs: DataFrame, size: str = "_size", weights: tuple[int, ...] = WEIGHTS
         if not last:
             fewer = F.greatest(F.ceil(F.col("_blocks") * (LANDING + 2) / block), F.lit(1)).cast("long")
             open_rows = step.where("_left").withColumn("_blocks", fewer).withColumn("_part", F.pmod(F.xxhash64(F.lit(seed + 1), "_order"), F.col("_blocks")))
-    return done.withColumn("_copies", (F.col("_base") + F.col("_p")).cast("long")).drop("_base", "_p", "_order", "_blocks", "_owed", "_part", "_left")
+    return done.withColumn("_copies", (F.col("_base") + F.col("_p")).cast("long")).select(*columns, "source_size", "target", "_copies")

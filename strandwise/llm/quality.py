@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, small_batches
+from .common import materialize, set_apart, small_batches
 from .pii import fit_logistic
 from .textkernel import utf8_chunks, word_hashes, words
 
@@ -169,13 +169,16 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, unlabelled
     truth = labels.where("quality is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.avg("quality") >= 0.5).cast("double").alias("y"))
     n, total = truth.count(), docs.count()
     pick = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 20))
-    # Both samples are drawn by the hash before any feature is made, whatever the size of the table.
-    lots = (1 << 20) * min(1.0, max(labelled / max(n, 1), unlabelled / max(total, 1)))
-    drawn = _prepared(docs).where((pick < F.lit(int(lots))) & F.col("doc_id").isNotNull())
+    # Both samples are drawn by the hash before any feature is made, whatever the size of either table: the labelled one
+    # holds about ``labelled`` ids at most, which bounds the broadcast.
+    lots, open_lots = (int((1 << 20) * min(1.0, most / max(rows, 1))) for most, rows in ((labelled, n), (unlabelled, total - n)))
+    chosen = truth.where(pick < F.lit(lots)).select(F.col("doc_id").alias("_chosen"))
+    prepared = _prepared(docs).where("doc_id is not null").join(F.broadcast(chosen), F.col("doc_id") == F.col("_chosen"), "left")
+    drawn = prepared.where(F.col("_chosen").isNotNull() | (pick < F.lit(open_lots))).drop("_chosen")
     x = drawn.mapInArrow(run, "doc_id long, x array<float>").join(truth.withColumnRenamed("doc_id", "d"), F.col("doc_id") == F.col("d"), "left").select("doc_id", pick.alias("h"), "x", "y")
     x = materialize(x)
-    yes = x.where(F.col("y").isNotNull() & (F.col("h") < F.lit(int((1 << 20) * min(1.0, labelled / max(n, 1)))))).toPandas()
-    no = x.where(F.col("y").isNull() & (F.col("h") < F.lit(int((1 << 20) * min(1.0, unlabelled / max(total - n, 1)))))).select("doc_id", "h", "x").toPandas()
+    yes = x.where(F.col("y").isNotNull() & (F.col("h") < F.lit(lots))).toPandas()
+    no = x.where(F.col("y").isNull() & (F.col("h") < F.lit(open_lots))).select("doc_id", "h", "x").toPandas()
     yes, no = yes.sort_values(["h", "doc_id"]), no.sort_values(["h", "doc_id"])
     width = TEXT_FEATURES + 2 * HASHED + 2
     a, b = (np.array([np.asarray(v) for v in d["x"]], float).reshape(len(d), width) for d in (yes, no))
@@ -185,13 +188,15 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, unlabelled
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """All rows and columns of docs with _p_text, _p_meta and _score, each P(good).
 
-    Null, empty and wordless texts have score 0. Missing metadata columns count as null. Columns of these three names, or
-    beginning with _in_, must not exist in docs.
+    Null, empty and wordless texts have score 0. Missing metadata columns count as null. Input columns of
+    these three names give way to them.
     """
     small_batches(docs.sparkSession)
+    made, read = ("_p_text", "_p_meta", "_score"), ("text", "lang", "source", "n_chars")
+    docs, columns = set_apart(docs, ("doc_id", *read), tuple(f"_in_{c}" for c in read), made)
     names = docs.columns
     work = docs.select(*(F.col(f"`{c}`") for c in names), F.coalesce("text", F.lit("")).alias("_in_text"), *(F.lit(None).cast(k).alias(f"_in_{c}") if c not in names else F.col(c).cast(k).alias(f"_in_{c}") for c, k in (("lang", "string"), ("source", "string"), ("n_chars", "long"))))
-    schema = T.StructType([*docs.schema.fields, *(T.StructField(c, T.DoubleType()) for c in ("_p_text", "_p_meta", "_score"))])
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(c, T.DoubleType()) for c in made)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k = len(names)
@@ -199,6 +204,6 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             xt = text_features(b.column(k))
             a, m, s = model.score(xt, meta_features(b.column(k + 1), b.column(k + 2), b.column(k + 3)))
             s = np.where((xt != 0).any(1), s, 0.0)
-            yield pa.RecordBatch.from_arrays([*b.columns[:k], pa.array(a), pa.array(m), pa.array(s)], names=[*names, "_p_text", "_p_meta", "_score"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:k], pa.array(a), pa.array(m), pa.array(s)], names=[*names, *made])
 
-    return work.mapInArrow(run, schema)
+    return work.mapInArrow(run, schema).select(*columns, *made)

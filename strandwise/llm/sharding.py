@@ -14,35 +14,40 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize
+from .common import materialize, set_apart
 
 BUCKET_ROWS = 2048
+#: Buckets whose sizes are added up in one task; the sums of so many are added up in another.
+STRIDE = 8192
 
 
 def shuffle_into_shards(df: DataFrame, key: str = "doc_id", shards: int = 8, seed: int = 17, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """All rows and columns of df with (shard int, slot long).
 
-    The order depends on the keys, the seed and the number of rows. Rows of equal key, null among them, share a bucket
-    and are ordered by a hash of the whole row; rows equal in all columns may swap, which changes nothing. Every row is
-    in exactly one place; an empty table gives an empty one.
+    The order depends on the rows, the seed and their number. The bucket and the order within come from a hash of the
+    whole row (maps aside), so a key that many rows share, null among them, spreads over the buckets; rows equal in all
+    columns may swap, which changes nothing. Every row is in exactly one place; an empty table gives an empty one. Input
+    columns named shard or slot give way to those made here.
     """
-    clash = {"_bucket", "_at", "_b", "_perm", "_before", "shard", "slot"} & set(df.columns)
-    if clash:
-        raise ValueError(f"columns {sorted(clash)} are made here; rename those of the input")
+    row = F.xxhash64(*[f"`{c}`" for c, kind in df.dtypes if "map<" not in kind and "variant" not in kind])
+    df, columns = set_apart(df, (key,), ("_row", "_bucket", "_at", "_b", "_perm", "_before"), ("shard", "slot"), row.alias("_row"))
     total = df.count()
     buckets = max(1, -(-total // bucket_rows))
-    bucket = F.pmod(F.xxhash64(F.lit(seed), key), F.lit(buckets)).cast("int")
-    sizes = df.select(bucket.alias("_b")).groupBy("_b").count()
-    laid = Window.partitionBy(F.lit(0)).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    plan = sizes.withColumn("_before", F.coalesce(F.sum("count").over(laid), F.lit(0)))
+    bucket = F.pmod(F.xxhash64(F.lit(seed), key, "_row"), F.lit(buckets)).cast("int")
+    sizes = materialize(df.select(bucket.alias("_b")).groupBy("_b").count().withColumn("_g", F.expr(f"_b div {STRIDE}")))
+    over_groups = Window.partitionBy(F.lit(0)).orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)
+    groups = sizes.groupBy("_g").agg(F.sum("count").alias("n")).withColumn("_start", F.coalesce(F.sum("n").over(over_groups), F.lit(0)))
+    within = Window.partitionBy("_g").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    plan = sizes.withColumn("_before", F.coalesce(F.sum("count").over(within), F.lit(0))).join(groups.select("_g", "_start"), "_g")
+    plan = plan.withColumn("_before", F.col("_start") + F.col("_before"))
     perm = F.shuffle(F.sequence(F.lit(0).cast("long"), F.col("count") - 1), F.lit(seed))
     # Written once: a rerun of a lost task reads the same permutations.
     plan = materialize(plan.sort("_b").select("_b", "_before", perm.alias("_perm")))
-    inside = Window.partitionBy("_bucket").orderBy(F.xxhash64(F.lit(seed + 1), key), F.col(key), F.xxhash64(*[f"`{c}`" for c, kind in df.dtypes if "map<" not in kind and "variant" not in kind]))
+    inside = Window.partitionBy("_bucket").orderBy(F.xxhash64(F.lit(seed + 1), key), F.col(key), "_row")
     placed = df.withColumn("_bucket", bucket).withColumn("_at", F.row_number().over(inside))
     placed = placed.join(plan, F.col("_bucket") == F.col("_b"))
     pos = F.col("_before") + F.element_at("_perm", F.col("_at"))
-    return placed.withColumn("_at", pos).select(*(F.col(f"`{c}`") for c in df.columns), F.pmod(F.col("_at"), F.lit(shards)).cast("int").alias("shard"), F.expr(f"_at div {shards}").alias("slot"))
+    return placed.withColumn("_at", pos).select(*columns, F.pmod(F.col("_at"), F.lit(shards)).cast("int").alias("shard"), F.expr(f"_at div {shards}").alias("slot"))
 
 
 def write_shards(df: DataFrame, path: str, **options) -> None:

@@ -55,6 +55,15 @@ def test_stages(spark, tmp_path):
     assert raw.index.is_unique
 
 
+def test_stages_keep_columns_of_clashing_names(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 120").select("*", *(F.lit(c).alias(c) for c in ("_score", "_dropped", "_kept", "target", "_copies", "_copy", "_p")))
+    for i, (_, stage) in enumerate(corpus_pipeline.STAGES[:4]):
+        stage(spark, docs, SF).write.parquet(str(tmp_path / str(i)))
+        docs = spark.read.parquet(str(tmp_path / str(i)))
+        assert docs.columns[:5] == ["doc_id", "text", "lang", "source", "n_chars"] and docs.count() > 0
+        assert all(r[c] == c for r in docs.collect() for c in docs.columns[5:]) and len(docs.columns) == 12
+
+
 def test_run_gives_the_last_stage(spark):
     a = corpus_pipeline.run(spark, SF)
     assert a.columns[0] == "doc_id" and a.agg(F.sum("length")).first()[0] > 0
