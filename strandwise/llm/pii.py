@@ -12,7 +12,9 @@ and feature patterns, whose number is bounded by the votes and bins, not by the
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -91,6 +93,13 @@ def proposed_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
+def apart_from(spans: list[tuple[int, int, int]], base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Those of spans that touch no base span; each is looked up in the base starts and the furthest end up to there."""
+    order = sorted((s, e) for _, s, e in base)
+    starts, reach = [s for s, _ in order], list(accumulate((e for _, e in order), max))
+    return [x for x in spans if not (n := bisect_left(starts, x[2])) or reach[n - 1] <= x[1]]
+
+
 def votes(text: str, kind: int, start: int, end: int, base: bool) -> tuple[int, ...]:
     """1 for personal data, -1 against, 0 abstains: pattern, gazetteer, cue words, surroundings."""
     s, d = text[start:end], _digits(text[start:end])
@@ -129,8 +138,7 @@ def scan(docs: DataFrame) -> DataFrame:
                 spans = []
                 if "@" in text or digit.search(text) or "at]" in text or "at)" in text:
                     base = base_spans(text)
-                    taken = {(s, e) for _, s, e in base}
-                    more = [x for x in proposed_spans(text) if not any(s < x[2] and x[1] < e for s, e in taken)]
+                    more = apart_from(proposed_spans(text), base)
                     for is_base, found in ((True, base), (False, more)):
                         for k, s, e in found:
                             code = [k, *votes(text, k, s, e, is_base), *features(text, k, s, e)]

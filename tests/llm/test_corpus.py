@@ -108,6 +108,13 @@ def test_shards(spark):
     assert sharding.shuffle_into_shards(df.limit(0)).count() == 0
 
 
+def test_spans_apart_from_base_spans():
+    rng = np.random.default_rng(4)
+    for _ in range(200):
+        base, more = ([(0, int(a), int(a + n)) for a, n in zip(rng.integers(0, 80, k), rng.integers(1, 12, k), strict=True)] for k in (rng.integers(0, 6), 12))
+        assert pii.apart_from(more, base) == [x for x in more if not any(s < x[2] and x[1] < e for _, s, e in base)]
+
+
 def test_targets_against_refilling(spark):
     sizes = [("a", 10), ("b", 1000), ("c", 5), (None, 300), ("d", 0), ("e", 40)]
     got = {r.source: r.target for r in mixing.targets(spark.createDataFrame(sizes, "source string, _size long")).collect()}
