@@ -2,17 +2,18 @@
 
 One view is the text itself (shares of character classes, word statistics, repetition), the other
 the page's metadata (language, source, stated length). Both start from labelled documents. In each
-round either view labels the unlabelled documents it is most sure of, in the proportion of the
-classes, for the other view to learn from. On labelled documents held back from training each view
-is calibrated, and the two calibrated log-odds are combined. Only a bounded sample of labelled and
-unlabelled rows (``labelled``, ``unlabelled``) comes to the driver; features and scores are computed
-where the documents are, in one pass each.
+round either view labels all unlabelled documents it is sure of, weighed towards the proportion of
+the classes, for the other view to learn from. On labelled documents held back from training each
+view is calibrated, and the two calibrated log-odds are combined. Only a bounded sample of labelled
+rows (``labelled``) comes to the driver. Features are made once where the documents are and kept in
+short rows; means, spreads and every Newton step come from sums over all of them, so the driver sees
+sums only, of a fixed size for each of at most ``PARTS`` tasks (or as many as there are cores).
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,8 +26,10 @@ from .common import materialize, set_apart, small_batches
 from .pii import fit_logistic
 from .textkernel import utf8_chunks, word_hashes, words
 
-LABELLED, UNLABELLED, ROUNDS, SURE, HASHED = 20_000, 20_000, 4, 0.95, 32
+LABELLED, ROUNDS, SURE, HASHED = 20_000, 4, 0.95, 32
 TEXT_FEATURES = 13
+#: A pseudo-label weighs half a label; the tasks of a pass over the features; a distributed Newton fit ends at this step.
+WEIGHT, PARTS, SMALL_STEP = 0.5, 64, 1e-4
 _CLASSES = np.zeros((6, 256), np.int32)
 _CLASSES[0, 65:91] = 1  # upper case
 _CLASSES[1, 97:123] = 1  # lower case
@@ -64,18 +67,27 @@ def text_features(column: pa.Array) -> np.ndarray:
     return out
 
 
-def meta_features(lang: pa.Array, source: pa.Array, chars: pa.Array) -> np.ndarray:
-    """Hashed language and source, stated length and whether it is missing."""
+def meta_codes(lang: pa.Array, source: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed language and source."""
+    return tuple(np.array([zlib.crc32((x if x is not None else "\x00none").encode()) % HASHED for x in column.to_pylist()], np.int32) for column in (lang, source))
+
+
+def meta_matrix(lang: np.ndarray, source: np.ndarray, chars: np.ndarray) -> np.ndarray:
+    """Rows of metadata features from hashed language and source and the stated length (-1 if missing)."""
     out = np.zeros((len(chars), 2 * HASHED + 2))
-    for at, column in ((0, lang), (HASHED, source)):
-        codes = [zlib.crc32((x if x is not None else "\x00none").encode()) % HASHED for x in column.to_pylist()]
-        out[np.arange(len(codes)), at + np.array(codes, int)] = 1
-    c = np.asarray(chars.cast(pa.float64()).fill_null(-1.0))
-    out[:, -2] = np.log1p(np.maximum(c, 0)) / 10
-    out[:, -1] = c < 0
+    rows = np.arange(len(chars))
+    out[rows, lang] = 1
+    out[rows, HASHED + source] = 1
+    out[:, -2] = np.log1p(np.maximum(chars, 0)) / 10
+    out[:, -1] = chars < 0
     return out
 
 
+def meta_features(lang: pa.Array, source: pa.Array, chars: pa.Array) -> np.ndarray:
+    """Hashed language and source, stated length and whether it is missing."""
+    return meta_matrix(*meta_codes(lang, source), np.asarray(chars.cast(pa.float64()).fill_null(-1.0)))
+
+
 def _logit(x: np.ndarray, w: np.ndarray) -> np.ndarray:
     return np.clip(x @ w[:-1] + w[-1], -30, 30)
 
@@ -107,36 +119,88 @@ class Model:
         return tuple(1 / (1 + np.exp(-np.clip(x, -30, 30))) for x in (a, b, c))
 
 
-def cotrain(xt: np.ndarray, xm: np.ndarray, y: np.ndarray, ut: np.ndarray, um: np.ndarray, rounds: int = ROUNDS, sure: float = SURE) -> Model:
-    """The model from labelled (xt, xm, y) and unlabelled (ut, um) rows; every fifth labelled row is held back."""
+def pseudo_labels(x: np.ndarray, history: list[np.ndarray], sure: float) -> np.ndarray:
+    """What one view gives the other: per row the label of the first round whose weights are sure of it, NaN if none is."""
+    given = np.full(len(x), np.nan)
+    for w in history:
+        p = 1 / (1 + np.exp(-_logit(x, w)))
+        open_rows = np.isnan(given)
+        given[open_rows & (p >= sure)] = 1.0
+        given[open_rows & (1 - p >= sure)] = 0.0
+    return given
+
+
+def class_sums(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Rows for class 0 and 1: count, loss, gradient and Hessian of the rows of x with that label (NaN: none)."""
+    k = len(w)
+    out = np.zeros((2, 2 + k + k * k))
+    for c in (0, 1):
+        z = np.hstack([x[y == c], np.ones((int((y == c).sum()), 1))])
+        t = np.clip(z @ w, -30, 30)
+        p = 1 / (1 + np.exp(-t))
+        out[c, :2] = len(z), np.log1p(np.exp(-t if c else t)).sum()
+        out[c, 2 : 2 + k] = z.T @ (c - p)
+        out[c, 2 + k :] = ((z * np.maximum(p * (1 - p), 1e-6)[:, None]).T @ z).reshape(-1)
+    return out
+
+
+class _Newton:
+    """Ridge logistic regression whose sums are given at ``w`` from outside; a step that raises the loss is halved."""
+
+    def __init__(self, w: np.ndarray, ridge: float = 1.0):
+        self.w, self.ridge, self.done = w, ridge, False
+        self.best, self.least = w, np.inf
+
+    def take(self, sums: np.ndarray) -> None:
+        """Move on by loss, gradient and Hessian at ``w``."""
+        k, w = len(self.w), self.w
+        loss = sums[1] + self.ridge * (w @ w) / 2
+        if loss > self.least * (1 + 1e-9) + 1e-9:
+            self.w = (w + self.best) / 2
+            self.done = bool(np.abs(self.w - self.best).max() < SMALL_STEP)
+            return
+        self.best, self.least = w, loss
+        step = np.linalg.solve(sums[2 + k :].reshape(k, k) + self.ridge * np.eye(k), sums[2 : 2 + k] - self.ridge * w)
+        self.w = w + step
+        self.done = bool(np.abs(step).max() < SMALL_STEP)
+
+
+def cotrain(xt: np.ndarray, xm: np.ndarray, y: np.ndarray, scales: Callable[[], tuple], sums: Callable[..., dict[str, np.ndarray]], rounds: int = ROUNDS, sure: float = SURE) -> Model:
+    """The model from labelled rows (xt, xm, y) and from all unlabelled ones through their sums; every fifth labelled row is held back.
+
+    ``scales()`` gives means and spreads of both views over all rows, ``sums(scales, histories, at, sure)`` the ``class_sums``
+    over all unlabelled rows with the pseudo-labels of the histories for each view, at its weights.
+    """
     if len(y) < 20 or len(np.unique(y)) < 2:
         return Model()
-    ts = (np.vstack([xt, ut]).mean(0), np.vstack([xt, ut]).std(0) + 1e-3)
-    ms = (np.vstack([xm, um]).mean(0), np.vstack([xm, um]).std(0) + 1e-3)
-    a, b, ua, ub = (xt - ts[0]) / ts[1], (xm - ms[0]) / ms[1], (ut - ts[0]) / ts[1], (um - ms[0]) / ms[1]
+    ts, ms = scales()
+    a, b = (xt - ts[0]) / ts[1], (xm - ms[0]) / ms[1]
     held = np.arange(len(y)) % 5 == 4
     if len(np.unique(y[held])) < 2 or len(np.unique(y[~held])) < 2:
         held = np.zeros(len(y), bool)
     train, cal = ~held, held if held.any() else ~held
-    given = {"text": np.full(len(ut), np.nan), "meta": np.full(len(ut), np.nan)}  # pseudo-labels for that view
     share = float(y[train].mean())
-    w = {}
-    for r in range(rounds + 1):
-        for view, x, u in (("text", a, ua), ("meta", b, ub)):
-            g = given[view]
-            got = ~np.isnan(g)
-            # a pseudo-label weighs half a label
-            w[view] = fit_logistic(np.vstack([x[train], u[got]]), np.concatenate([y[train], g[got]]), np.concatenate([np.ones(train.sum()), np.full(got.sum(), 0.5)]))
-        if r == rounds:
-            break
-        for view, other, u in (("text", "meta", ua), ("meta", "text", ub)):
-            p = 1 / (1 + np.exp(-_logit(u, w[view])))
-            room = max(1, len(u) // (4 * rounds))
-            free = np.isnan(given[other])
-            for label, certain, part in ((1.0, p, share), (0.0, 1 - p, 1 - share)):
-                best = np.flatnonzero(free & (certain >= sure))
-                best = best[np.argsort(-certain[best], kind="stable")[: max(1, int(room * part))]]
-                given[other][best] = label
+    own = {"text": a[train], "meta": b[train]}
+    w = {view: fit_logistic(x, y[train], np.ones(int(train.sum()))) for view, x in own.items()}
+    history: dict[str, list[np.ndarray]] = {"text": [], "meta": []}
+    for _ in range(rounds):
+        for view in history:
+            history[view].append(w[view])
+        fits = {view: _Newton(w[view]) for view in w}
+        for _ in range(30):
+            given = sums((ts, ms), history, {view: f.w for view, f in fits.items()}, sure)
+            for view, f in fits.items():
+                if f.done:
+                    continue
+                total = class_sums(own[view], y[train], f.w).sum(0)
+                n = given[view][:, 0]
+                for c, part in ((0, 1 - share), (1, share)):
+                    # the class that has more than its share is weighed down to it
+                    total += WEIGHT * min(1.0, part * n.sum() / max(n[c], 1)) * given[view][c]
+                f.take(total)
+            if all(f.done for f in fits.values()):
+                break
+        w = {view: f.w for view, f in fits.items()}
     m = Model(w["text"], w["meta"], ts, ms)
     one = np.ones(int(cal.sum()))
     m.text_cal = fit_logistic(_logit(a[cal], w["text"])[:, None], y[cal], one)
@@ -153,36 +217,82 @@ def _prepared(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), has("lang", "string").alias("lang"), has("source", "string").alias("source"), has("n_chars", "long").alias("n_chars"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, unlabelled: int = UNLABELLED, seed: int = 5) -> Model:
-    """Learn from labels(doc_id, quality); of each kind of row at most about the given numbers, drawn by a hash of doc_id.
+def _unpacked(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Text and metadata features of the columns t, lang, source, chars."""
+    xt = np.frombuffer(b"".join(b.column("t").to_pylist()), "<f4").reshape(b.num_rows, TEXT_FEATURES).astype(float)
+    return xt, meta_matrix(*(np.asarray(b.column(c)) for c in ("lang", "source", "chars")))
 
-    Labels that contradict each other count by their mean; null labels and labels of missing documents are left out.
+
+def _summed(rows: DataFrame, part: Callable[[pa.RecordBatch], np.ndarray]) -> np.ndarray | None:
+    """The sum of ``part`` over all batches of feature rows, one vector a task; None if there is no row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for b in batches:
+            if b.num_rows:
+                v = part(b)
+                total = v if total is None else total + v
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total.astype("<f8").tobytes()], pa.binary())], names=["v"])
+
+    found = [np.frombuffer(r["v"], "<f8") for r in rows.mapInArrow(run, "v binary").collect()]
+    return np.sum(found, axis=0) if found else None
+
+
+def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, seed: int = 5) -> Model:
+    """Learn from labels(doc_id, quality) and all of docs; at most about ``labelled`` labelled rows, drawn by a hash of doc_id.
+
+    Labels that contradict each other count by their mean; null labels and labels of missing documents are left out. All rows
+    of docs give means and spreads; all without a label, those of null doc_id among them, are scored in each round.
     """
-    small_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    small_batches(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = np.hstack([text_features(b.column(1)), meta_features(b.column(2), b.column(3), b.column(4))])
-            rows = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.reshape(-1).astype(np.float32)))
-            yield pa.RecordBatch.from_arrays([b.column(0), rows], names=["doc_id", "x"])
-
-    truth = labels.where("quality is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.avg("quality") >= 0.5).cast("double").alias("y"))
-    n, total = truth.count(), docs.count()
-    pick = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 20))
-    # Both samples are drawn by the hash before any feature is made, whatever the size of either table: the labelled one
-    # holds about ``labelled`` ids at most, which bounds the broadcast.
-    lots, open_lots = (int((1 << 20) * min(1.0, most / max(rows, 1))) for most, rows in ((labelled, n), (unlabelled, total - n)))
-    chosen = truth.where(pick < F.lit(lots)).select(F.col("doc_id").alias("_chosen"))
-    prepared = _prepared(docs).where("doc_id is not null").join(F.broadcast(chosen), F.col("doc_id") == F.col("_chosen"), "left")
-    drawn = prepared.where(F.col("_chosen").isNotNull() | (pick < F.lit(open_lots))).drop("_chosen")
-    x = drawn.mapInArrow(run, "doc_id long, x array<float>").join(truth.withColumnRenamed("doc_id", "d"), F.col("doc_id") == F.col("d"), "left").select("doc_id", pick.alias("h"), "x", "y")
-    x = materialize(x)
-    yes = x.where(F.col("y").isNotNull() & (F.col("h") < F.lit(lots))).toPandas()
-    no = x.where(F.col("y").isNull() & (F.col("h") < F.lit(open_lots))).select("doc_id", "h", "x").toPandas()
-    yes, no = yes.sort_values(["h", "doc_id"]), no.sort_values(["h", "doc_id"])
-    width = TEXT_FEATURES + 2 * HASHED + 2
-    a, b = (np.array([np.asarray(v) for v in d["x"]], float).reshape(len(d), width) for d in (yes, no))
-    return cotrain(a[:, :TEXT_FEATURES], a[:, TEXT_FEATURES:], yes["y"].to_numpy(float), b[:, :TEXT_FEATURES], b[:, TEXT_FEATURES:])
+            t = pa.array([r.tobytes() for r in text_features(b.column(1)).astype("<f4")], pa.binary())
+            lang, source = meta_codes(b.column(2), b.column(3))
+            chars = b.column(4).cast(pa.float64()).fill_null(-1.0)
+            yield pa.RecordBatch.from_arrays([b.column(0), t, pa.array(lang, pa.int32()), pa.array(source, pa.int32()), chars], names=["doc_id", "t", "lang", "source", "chars"])
+
+    truth = labels.where("quality is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("d")).agg((F.avg("quality") >= 0.5).cast("double").alias("y"))
+    lots = int((1 << 20) * min(1.0, labelled / max(truth.count(), 1)))
+    made = materialize(_prepared(docs).mapInArrow(run, "doc_id long, t binary, lang int, source int, chars double"))
+    # rows without an id have no label and need not meet in one task
+    known = made.where("doc_id is not null").join(truth, F.col("doc_id") == F.col("d"), "left").drop("d")
+    x = known.unionByName(made.where("doc_id is null").withColumn("y", F.lit(None).cast("double")))
+    x = materialize(x.withColumn("h", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 20))))
+    yes = x.where(F.col("y").isNotNull() & (F.col("h") < F.lit(lots))).toPandas().sort_values(["h", "doc_id"])
+    xt, xm = _unpacked(pa.RecordBatch.from_pandas(yes[["t", "lang", "source", "chars"]], preserve_index=False)) if len(yes) else (np.zeros((0, TEXT_FEATURES)), np.zeros((0, 2 * HASHED + 2)))
+    small_batches(spark, 8192)
+    rows = x.select("t", "lang", "source", "chars", "y").coalesce(max(PARTS, spark.sparkContext.defaultParallelism))
+    unlabelled = rows.where("y is null")
+
+    def scales() -> tuple:
+        def part(b: pa.RecordBatch) -> np.ndarray:
+            z = np.hstack(_unpacked(b))
+            return np.concatenate([[len(z)], z.sum(0), (z * z).sum(0)])
+
+        v = _summed(rows, part)
+        mean, square = v[1:].reshape(2, -1) / v[0]
+        spread = np.sqrt(np.maximum(square - mean * mean, 0)) + 1e-3
+        return tuple((mean[cut], spread[cut]) for cut in (slice(0, TEXT_FEATURES), slice(TEXT_FEATURES, None)))
+
+    def sums(scale: tuple, history: dict[str, list[np.ndarray]], at: dict[str, np.ndarray], sure: float) -> dict[str, np.ndarray]:
+        def part(b: pa.RecordBatch) -> np.ndarray:
+            a, m = ((z - s[0]) / s[1] for z, s in zip(_unpacked(b), scale, strict=True))
+            text = class_sums(a, pseudo_labels(m, history["meta"], sure), at["text"])
+            meta = class_sums(m, pseudo_labels(a, history["text"], sure), at["meta"])
+            return np.concatenate([text.reshape(-1), meta.reshape(-1)])
+
+        sizes = [2 * (2 + len(at[view]) + len(at[view]) ** 2) for view in ("text", "meta")]
+        v = _summed(unlabelled, part)
+        v = np.zeros(sum(sizes)) if v is None else v
+        return {"text": v[: sizes[0]].reshape(2, -1), "meta": v[sizes[0] :].reshape(2, -1)}
+
+    model = cotrain(xt, xm, yes["y"].to_numpy(float), scales, sums)
+    small_batches(spark)
+    return model
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

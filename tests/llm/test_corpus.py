@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from helpers import DOCS, WORD, awkward
 from pyspark.sql import functions as F
@@ -231,3 +232,34 @@ def test_warc_reader_refuses_damage():
     for data in (a[:-5], broken, a[:20] + b"\x00" + a[21:], gzip.compress(b"junk\r\n\r\n")):
         with pytest.raises(warc.WarcError):
             read(data)
+
+
+def test_quality_learns_from_every_unlabelled_row(spark, monkeypatch):
+    """Sums over all unlabelled rows, whatever the bound of labelled ones: counts, means and one fit against plain NumPy."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
+    docs = docs.unionByName(docs.where("doc_id < 50").withColumn("doc_id", F.lit(None).cast("long")))
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    seen = {}
+
+    def spy(xt, xm, y, scales, sums, **kw):
+        seen["scales"], seen["labelled"] = scales(), len(y)
+        w = {"text": np.zeros(xt.shape[1] + 1), "meta": np.zeros(xm.shape[1] + 1)}
+        sure_of_all = {v: [np.concatenate([x[:-1], [9.0]])] for v, x in w.items()}
+        seen["sums"] = sums(seen["scales"], sure_of_all, w, 0.95)
+        return quality.Model()
+
+    monkeypatch.setattr(quality, "cotrain", spy)
+    quality.fit(docs, labels, labelled=100)
+    t = docs.toPandas()
+    lab = set(labels.where("quality is not null").toPandas().doc_id)
+    xt = quality.text_features(pa.array(t.text.fillna("")))
+    xm = quality.meta_features(pa.array(t.lang), pa.array(t.source), pa.array(t.n_chars, from_pandas=True).cast("int64"))
+    for (mean, spread), x in zip(seen["scales"], (xt, xm), strict=True):
+        assert np.allclose(mean, x.mean(0), atol=1e-5) and np.allclose(spread, x.std(0) + 1e-3, atol=1e-4)
+    free = ~t.doc_id.isin(lab).to_numpy()
+    assert seen["labelled"] < 200 < free.sum()
+    for view, x, (mean, spread) in zip(("text", "meta"), (xt, xm), seen["scales"], strict=True):
+        z = np.hstack([(x[free] - mean) / spread, np.ones((free.sum(), 1))])
+        got = seen["sums"][view][1]
+        assert got[0] == free.sum() and np.allclose(got[2 : 2 + z.shape[1]], 0.5 * z.sum(0), atol=0.05)
+        assert np.allclose(got[2 + z.shape[1] :], (0.25 * z.T @ z).reshape(-1), rtol=1e-3, atol=0.1)
