@@ -32,6 +32,9 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _MORE_EMAIL = re.compile(r"[A-Za-z0-9._%+-]{1,64} ?(?:\[at\]|\(at\)|\{at\}) ?[A-Za-z0-9-]{1,63}(?: ?(?:\.|\[dot\]|\(dot\)|\{dot\}) ?[A-Za-z0-9-]{1,63})+", re.I)
+_DIGIT = re.compile(r"[0-9]")
+#: What every match of _MORE_EMAIL holds.
+_AT = re.compile(r"at[\])}]", re.I)
 _MORE_PHONE = re.compile(r"(?<![\w+.-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![\w-])")
 _MORE_IP = re.compile(r"(?<![\w:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\w:])")
 # Gazetteers and cue words (fixed values).
@@ -82,7 +85,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 def proposed_spans(text: str) -> list[tuple[int, int, int]]:
     """Wider matches, base ones possibly among them."""
     out = []
-    if "at]" in text or "at)" in text or "at}" in text or "AT]" in text or "AT)" in text:
+    if _AT.search(text):
         out += [(0, m.start(), m.end()) for m in _MORE_EMAIL.finditer(text)]
     if ":" in text:
         out += [(1, m.start(), m.end()) for m in _MORE_IP.finditer(text)]
@@ -126,17 +129,21 @@ def features(text: str, kind: int, start: int, end: int) -> tuple[int, ...]:
     return (min(n // 6, 4), int(share * 4.999), min(seps, 3), int(start == 0 or text[start - 1] == "\n"))
 
 
+def may_hold(text: str) -> bool:
+    """False only for texts without any base or proposed span: each needs '@', a digit, a written-out at, or the colons of IPv6."""
+    return "@" in text or _DIGIT.search(text) is not None or text.count(":") >= 7 or _AT.search(text) is not None
+
+
 def scan(docs: DataFrame) -> DataFrame:
     """(doc_id, spans): base and proposed spans with their vote and feature patterns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digit = re.compile(r"[0-9]")
         kind_of = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("base", pa.bool_()), ("pattern", pa.string())]))
         for b in batches:
             out = []
             for text in b.column(1).to_pylist():
                 spans = []
-                if "@" in text or digit.search(text) or "at]" in text or "at)" in text:
+                if may_hold(text):
                     base = base_spans(text)
                     more = apart_from(proposed_spans(text), base)
                     for is_base, found in ((True, base), (False, more)):

@@ -179,6 +179,14 @@ def test_pii(spark):
     assert pii.find(df.limit(0)).count() == 0
 
 
+def test_pii_proposes_each_form_without_digits(spark):
+    forms = ["jane {at} site {dot} org", "JANE [AT] SITE [DOT] ORG", "JANE (AT) SITE (DOT) ORG", "JANE {AT} SITE.ORG", "jane [At] site [Dot] org", "jane (aT) site.org", "jane[at]site.org", "jane (at) site.org", "abcd:ef:ab:cd:ef:ab:cd:ef"]
+    for more in ("", " 7"):
+        df = spark.createDataFrame(list(enumerate(f"write {x} now{more}" for x in forms)), "doc_id long, text string")
+        got = {r.doc_id: [(s["kind"], s["start"], s["end"]) for s in r.spans if not s["base"]] for r in pii.scan(df).collect()}
+        assert got == {i: [(int(":" in x), 6, 6 + len(x))] for i, x in enumerate(forms)}
+
+
 def test_em_finds_the_reliable_labeler():
     rng = np.random.default_rng(0)
     y = rng.random(4000) < 0.6
