@@ -5,8 +5,9 @@ component sqrt(M^2 - |x|^2), M being the largest norm of all rows, and each quer
 dealt to shards by a hash; a shard's distinct vectors are split at the median distance from a
 vantage point until a leaf holds few of them, and each child keeps the range of its distances. A
 query first searches its most promising leaf; a leaf is then skipped when the triangle inequality
-puts it beyond ``factor`` times the distance of the k-th best so far. Factor 1 is the exact search,
-a smaller factor skips more.
+puts it beyond ``factor`` times the distance of the k-th best so far. A second walk then takes every
+vector that reaches the k-th best product, however many tie there. Factor 1 is the exact search, a
+smaller factor skips more.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import materialize, small_batches
 from .vectors import matrix, pack, unpack
 
-LEAF, SPARE = 64, 8
+LEAF = 64
 
 
 def build(x: np.ndarray, top: float, seed: int = 1, leaf: int = LEAF) -> dict[str, np.ndarray]:
@@ -54,8 +55,8 @@ def build(x: np.ndarray, top: float, seed: int = 1, leaf: int = LEAF) -> dict[st
     return {"x": x, "order": order, "vantage": np.array(vantage), "parent": np.array(parent), "low": np.array(low), "high": np.array(high), "leaves": np.array(leaves).reshape(-1, 3), "top": np.array([top])}
 
 
-def search(t: dict[str, np.ndarray], q: np.ndarray, k: int, factor: float) -> np.ndarray:
-    """For each query the rows of the k largest inner products found; -1 where there are fewer."""
+def search(t: dict[str, np.ndarray], q: np.ndarray, k: int, factor: float) -> list[np.ndarray]:
+    """For each query all rows found whose inner product is at least the k-th largest, less a margin for rounding."""
     x, top = t["x"], float(t["top"][0])
     q2 = (q * q).sum(1)
     inner = t["vantage"] >= 0
@@ -67,28 +68,38 @@ def search(t: dict[str, np.ndarray], q: np.ndarray, k: int, factor: float) -> np
         p = t["parent"][n]
         d = dist[:, at[p]]
         bound[:, n] = np.maximum(bound[:, p], np.maximum(d - t["high"][n], t["low"][n] - d))
-    reach = bound[:, t["leaves"][:, 0]] - 1e-7
+    # a distance is the root of a difference, so it may be off by the root of a rounding of the largest term
+    reach = bound[:, t["leaves"][:, 0]] - 1e-6 * np.sqrt(top + q2)[:, None]
     best = np.full((len(q), k), -np.inf)
-    who = np.full((len(q), k), -1)
 
     def visit(leaf: int, active: np.ndarray) -> None:
         _, a, b = t["leaves"][leaf]
         rows = t["order"][a:b]
         s = np.hstack([best[active], q[active] @ x[rows].T])
-        ids = np.hstack([who[active], np.broadcast_to(rows, (len(active), len(rows)))])
-        keep = np.argpartition(-s, k - 1, axis=1)[:, :k] if s.shape[1] > k else np.broadcast_to(np.arange(s.shape[1]), s.shape)
-        best[active], who[active] = np.take_along_axis(s, keep, 1), np.take_along_axis(ids, keep, 1)
+        best[active] = -np.partition(-s, k - 1, axis=1)[:, :k]
+
+    def distance(product: np.ndarray) -> np.ndarray:
+        known = np.isfinite(product)
+        return np.where(known, np.sqrt(np.maximum(top + q2 - 2 * np.where(known, product, 0), 0)), np.inf)
 
     first = reach.argmin(1)
     for leaf in range(len(t["leaves"])):
         if len(active := np.flatnonzero(first == leaf)):
             visit(leaf, active)
     for leaf in np.argsort(reach.mean(0)):
-        worst = best.min(1)
-        tau = np.where(np.isfinite(worst), np.sqrt(np.maximum(top + q2 - 2 * np.where(np.isfinite(worst), worst, 0), 0)), np.inf)
-        if len(active := np.flatnonzero((first != leaf) & (reach[:, leaf] <= factor * tau))):
+        if len(active := np.flatnonzero((first != leaf) & (reach[:, leaf] <= factor * distance(best.min(1))))):
             visit(leaf, active)
-    return who
+    least = best.min(1) - 4 * x.shape[1] * np.finfo(float).eps * np.sqrt(q2 * top)
+    tau, asked, found = distance(least), [np.zeros(0, int)], [np.zeros(0, int)]
+    for leaf, (_, a, b) in enumerate(t["leaves"]):
+        active = np.flatnonzero((first == leaf) | (reach[:, leaf] <= factor * tau))
+        if len(active):
+            rows = t["order"][a:b]
+            i, j = np.nonzero(q[active] @ x[rows].T >= least[active][:, None])
+            asked.append(active[i])
+            found.append(rows[j])
+    which, rows = np.concatenate(asked), np.concatenate(found)
+    return np.split(rows[np.argsort(which, kind="stable")], np.cumsum(np.bincount(which, minlength=len(q)))[:-1])
 
 
 def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -148,11 +159,16 @@ def nearest(df: DataFrame, is_query: Column, k: int = 20, factor: float = 1.0, s
             t = dict(np.load(io.BytesIO(ts["tree"][0].as_py())))
             q, mine = unpack(qs["v"].combine_chunks(), width), np.asarray(qs["vec_id"])
             starts = np.concatenate([[0], t["ends"][:-1]])
-            who = search(t, q, k + SPARE, factor)
+            # rows of the query's own vec_id may rank before the k
+            own = dict(zip(*(u.tolist() for u in np.unique(t["ids"], return_counts=True)), strict=True))
+            found_rows = search(t, q, k + max(own.get(me, 0) for me in mine.tolist()), factor)
             for i, me in enumerate(mine.tolist()):
-                p = who[i][who[i] >= 0]
+                p = found_rows[i]
                 s = products(np.broadcast_to(q[i], (len(p), width)), t["x"][p])
-                found = sorted((-a, c) for a, b in zip(s.tolist(), p.tolist(), strict=True) for c in t["ids"][starts[b] : min(t["ends"][b], starts[b] + k + 1)].tolist() if c != me)[:k]
+                # rows lie in the order of their smallest vec_id
+                first = np.lexsort((p, -s))[: k + own.get(me, 0)]
+                near = ((a, t["ids"][starts[b] : t["ends"][b]]) for a, b in zip(s[first].tolist(), p[first].tolist(), strict=True))
+                found = sorted((-a, c) for a, ids in near for c in ids[ids != me][:k].tolist())[:k]
                 out["query_id"].append(me)
                 out["ids"].append([c for _, c in found])
                 out["scores"].append([-a for a, _ in found])

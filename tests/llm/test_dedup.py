@@ -100,6 +100,24 @@ def test_nearest_is_exact_at_factor_one(spark, shard_rows):
         assert [found[k + 1] for k in range(20)] == [(i, -s) for s, i in want]
 
 
+@pytest.mark.parametrize("shard_rows", [64, 10_000])
+def test_nearest_orders_ties_of_many_distinct_vectors(spark, shard_rows):
+    """0/1 vectors with many distinct ones at one product, and a query whose vec_id repeats more than k times."""
+    rng = np.random.default_rng(3)
+    x = [(int(i), v.astype(float)) for i, v in zip(rng.permutation(600), rng.random((600, 24)) < 0.3, strict=True) if v.any()]
+    copied = next(p for p in x if p[0] % 20 == 0)
+    x += [copied] * 30
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in x], "vec_id long, embedding array<float>")
+    got = {}
+    for r in vptree.nearest(df, F.col("vec_id") % 20 == 0, k=20, shard_rows=shard_rows, block=16).collect():
+        got.setdefault(r.query_id, {})[r.rank] = (r.vec_id, r.score)
+    assert set(got) == {i for i, _ in x if i % 20 == 0}
+    for q, found in got.items():
+        v = dict(x)[q]
+        want = sorted((-_product(v, w), i) for i, w in x if i != q)[:20]
+        assert [found[k + 1] for k in range(20)] == [(i, -s) for s, i in want]
+
+
 def test_nearest_recall_below_one(spark):
     rows, _ = _vectors(400)
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, l int")
