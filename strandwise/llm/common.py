@@ -8,16 +8,21 @@ was running, never an earlier pass over the corpus.
 from __future__ import annotations
 
 import atexit
+import contextlib
+import contextvars
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows that Spark hands to a Python worker at once; small enough for documents of 100 kB.
 ARROW_ROWS = 512
 
-_scratch: list[tuple[SparkSession, str]] = []
+_scratch: dict[str, SparkSession] = {}
+_scope: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("scratch", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,9 +40,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession) -> str:
-    """A fresh path in the shared folder, removed when the interpreter ends or by ``release``."""
+    """A fresh path in the shared folder, removed by ``discard``, at the end of the ``scratch_scope`` that it was made in, or when
+    the interpreter ends."""
     path = f"{shared_dir(spark)}/strandwise-{uuid.uuid4().hex}"
-    _scratch.append((spark, path))
+    _scratch[path] = spark
+    if (scope := _scope.get()) is not None:
+        scope.append(path)
     return path
 
 
@@ -46,27 +54,49 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def scratch_mark() -> int:
-    return len(_scratch)
-
-
-def release(start: int, stop: int | None = None) -> None:
-    """Delete scratch tables made between two marks; their readers must have been written by then."""
-    stop = len(_scratch) if stop is None else stop
-    for spark, path in _scratch[start:stop]:
-        try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-        except Exception:  # the session may have ended; the folder is then the cluster's to clean
-            pass
-    _scratch[start:stop] = []
-
-
-atexit.register(release, 0)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    return out
+
+
+def _delete(path: str) -> None:
+    spark = _scratch.pop(path, None)
+    if spark is None:
+        return
+    try:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    except Exception:  # the session may have ended; the folder is then the cluster's to clean
+        pass
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete materialized tables that nothing lazy reads any more."""
+    for t in tables:
+        _delete(t._scratch_path)
+
+
+@contextlib.contextmanager
+def scratch_scope(keep: list[DataFrame] | None = None) -> Iterator[None]:
+    """Deletes at its end what was made within it, but for tables put into ``keep``; other scratch tables aren't touched."""
+    mine: list[str] = []
+    token = _scope.set(mine)
+    try:
+        yield
+    finally:
+        _scope.reset(token)
+        kept = {t._scratch_path for t in keep or []}
+        for path in mine:
+            if path not in kept:
+                _delete(path)
+            elif (outer := _scope.get()) is not None:
+                outer.append(path)
+
+
+@atexit.register
+def _delete_all() -> None:
+    for path in list(_scratch):
+        _delete(path)
 
 
 def set_apart(df: DataFrame, used: tuple[str, ...], inner: tuple[str, ...], made: tuple[str, ...], *more: Column) -> tuple[DataFrame, list[Column]]:
@@ -85,8 +115,23 @@ def set_apart(df: DataFrame, used: tuple[str, ...], inner: tuple[str, ...], made
     return df.select(*(F.col(f"`{c}`") for c in df.columns if c in used), packed, *more), back
 
 
-def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def small_batches(spark: SparkSession) -> None:
+    """Python functions get at most ARROW_ROWS rows at once. All operators set the same, so none changes what another has planned."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+
+
+def gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """Batches put together to about ``rows`` rows; for short rows only."""
+    held: list[pa.RecordBatch] = []
+    n = 0
+    for b in batches:
+        held.append(b)
+        n += b.num_rows
+        if n >= rows:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, n = [], 0
+    if n:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

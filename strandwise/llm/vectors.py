@@ -37,11 +37,12 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-300)
 
 
-def pack(x: np.ndarray) -> pa.Array:
-    """Each row as little-endian float64 bytes."""
-    x = np.ascontiguousarray(x, dtype="<f8")
+def pack(x: np.ndarray, dtype: str = "<f8") -> pa.Array:
+    """Each row as little-endian bytes."""
+    x = np.ascontiguousarray(x, dtype=dtype)
     return pa.array([r.tobytes() for r in x], pa.binary())
 
 
-def unpack(column: pa.Array, width: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), "<f8").reshape(len(column), width)
+def unpack(column: pa.Array, width: int, dtype: str = "<f8") -> np.ndarray:
+    """The packed rows in double precision."""
+    return np.frombuffer(b"".join(column.to_pylist()), dtype).reshape(len(column), width).astype(np.float64)
