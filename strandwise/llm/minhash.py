@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, small_batches, text_or_empty
+from .common import discard, materialize, small_batches, text_or_empty
 from .components import connected_components
 from .textkernel import mix64, shingle_sets
 
@@ -60,55 +60,56 @@ def signature(u: np.ndarray, bins: int, probes: np.ndarray) -> np.ndarray:
     return sig
 
 
-def sketches(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
-    """(doc_id, n, h1, h2, keys): set size, a 128-bit hash of the set, and the bucket keys."""
-    bins = bands * rows
-    schema = T.StructType.fromDDL("doc_id long, n long, h1 long, h2 long, keys array<long>")
+def _set_hash(u: np.ndarray) -> tuple[int, int]:
+    """128 bits of a set of hashes, as two signed numbers; (0, 0) for the empty set."""
+    if not len(u):
+        return 0, 0
+    both = np.array([u.sum(dtype=np.uint64), np.bitwise_xor.reduce(mix64(u + np.uint64(7)))], np.uint64).view(np.int64)
+    return int(both[0]), int(both[1])
+
+
+def sketches(docs: DataFrame, shingle: int, bands: int, rows: int, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, carried long columns, n, h1, h2, keys): set size, a 128-bit hash of the set, and the bucket keys."""
+    bins, ids = bands * rows, ("doc_id", *carry)
+    schema = T.StructType.fromDDL(", ".join(f"`{c}` long" for c in ids) + ", n long, h1 long, h2 long, keys array<long>")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         probes, factors = _tables(bins)
         band = mix64(np.arange(1, bands + 1, dtype=np.uint64))
         for b in batches:
-            n, h1, h2, keys, lens = [], [], [], [], []
-            for u in shingle_sets(b.column(1), shingle):
+            n, prints, keys, lens = [], [], [], []
+            for u in shingle_sets(b.column(0), shingle):
                 n.append(len(u))
+                prints.append(_set_hash(u))
+                lens.append(bands if len(u) else 0)
                 if len(u):
-                    h1.append(int(u.sum(dtype=np.uint64)))
-                    h2.append(int(np.bitwise_xor.reduce(mix64(u + np.uint64(7)))))
                     s = (mix64(signature(u, bins, probes)) * factors).reshape(bands, rows).sum(1, dtype=np.uint64)
                     keys.append(mix64(s + band).view(np.int64))
-                    lens.append(bands)
-                else:
-                    h1.append(0)
-                    h2.append(0)
-                    lens.append(0)
             flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
             offsets = np.concatenate([[0], np.cumsum(lens)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    b.column(0),
-                    pa.array(n, pa.int64()),
-                    pa.array(np.array(h1, np.uint64).view(np.int64)),
-                    pa.array(np.array(h2, np.uint64).view(np.int64)),
-                    pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)),
-                ],
-                names=["doc_id", "n", "h1", "h2", "keys"],
-            )
+            h = np.array(prints, np.int64).reshape(-1, 2)
+            made = [pa.array(n, pa.int64()), pa.array(h[:, 0]), pa.array(h[:, 1]), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))]
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], *made], names=[*ids, "n", "h1", "h2", "keys"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(run, schema)
+    return docs.select(text_or_empty().alias("text"), *(F.col(c).cast("long").alias(c) for c in ids)).mapInArrow(run, schema)
 
 
-def full_sets(docs: DataFrame, shingle: int, bins: int) -> DataFrame:
-    """(doc_id, set, sig): the sorted distinct shingle hashes as bytes, and one byte of each bin of the signature."""
+def full_sets(texts: DataFrame, shingle: int, bins: int) -> DataFrame:
+    """(cid, set, sig) of texts(text, cid, n, h1, h2): the sorted distinct shingle hashes as bytes, and one byte of each bin of the
+    signature; of the texts under one doc_id only that of the class passes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         probes, _ = _tables(bins)
         for b in batches:
-            sets = list(shingle_sets(b.column(1), shingle))
-            sigs = [(mix64(signature(u, bins, probes)) >> np.uint64(56)).astype(np.uint8).tobytes() if len(u) else b"" for u in sets]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([u.tobytes() for u in sets], pa.binary()), pa.array(sigs, pa.binary())], names=["doc_id", "set", "sig"])
+            cids, sets, sigs = [], [], []
+            for u, cid, n, h1, h2 in zip(shingle_sets(b.column(0), shingle), *(c.to_pylist() for c in b.columns[1:]), strict=True):
+                if len(u) == n and _set_hash(u) == (h1, h2):
+                    cids.append(cid)
+                    sets.append(u.tobytes())
+                    sigs.append((mix64(signature(u, bins, probes)) >> np.uint64(56)).astype(np.uint8).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(cids, pa.int64()), pa.array(sets, pa.binary()), pa.array(sigs, pa.binary())], names=["cid", "set", "sig"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, set binary, sig binary")
+    return texts.select("text", "cid", "n", "h1", "h2").mapInArrow(run, "cid long, set binary, sig binary").dropDuplicates(["cid"])
 
 
 def _links_around(bins: int, percent: int):
@@ -117,7 +118,7 @@ def _links_around(bins: int, percent: int):
     enough = max(1.0, bins * p - 6 * (bins * p * (1 - p)) ** 0.5)
 
     def run(t: pa.Table) -> pa.Table:
-        doc, side = np.asarray(t["doc_id"]), np.asarray(t["s"])
+        doc, side = np.asarray(t["cid"]), np.asarray(t["s"])
         sets = [np.frombuffer(x, np.uint64) for x in t["set"].to_pylist()]
         sig = np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint8).reshape(len(doc), bins)
         n = np.array([len(x) for x in sets])
@@ -159,39 +160,47 @@ def _links_around(bins: int, percent: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for docs(doc_id, text).
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for docs(doc_id, text), and the ``carry`` columns of docs, which are numbers.
 
     Links documents whose sets of ``shingle``-word shingles have 100 * |both| >= percent * |either|;
     component_id is the smallest doc_id reachable, kept marks that document. Null, empty and
     wordless texts have the empty set and link with nothing. Repeated rows of one doc_id come back
-    as often as they came. A null doc_id is never linked. Other columns are not looked at.
+    as often as they came; a doc_id with several texts is several documents, each with its own links.
+    A null doc_id is never linked. Texts of any length are taken whole, in pieces of a megabyte. An
+    empty table gives an empty one. Other columns are not looked at.
     """
     small_batches(docs.sparkSession)
-    sk = materialize(sketches(docs, shingle, bands, rows))
+    sk = materialize(sketches(docs, shingle, bands, rows, carry))
     usable = sk.where("n > 0 and doc_id is not null")
-    classes = materialize(usable.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
-    reps = usable.join(classes.select("rep", F.col("h1").alias("g1"), F.col("h2").alias("g2")), (F.col("doc_id") == F.col("rep")) & (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")), "left_semi").dropDuplicates(["doc_id", "h1", "h2"])
-    member = reps.select(F.explode("keys").alias("key"), "doc_id")
-    shared = member.groupBy("key").agg(F.min("doc_id").alias("centre"), F.count("*").alias("m")).where("m > 1").select(F.col("key").alias("k"), "centre")
-    buckets = materialize(member.join(shared, member.key == shared.k).where("doc_id <> centre").select("centre", "doc_id").distinct())
+    classes = usable.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"))
+    # a doc_id may stand for several classes; a class is known by a number that is written once
+    classes = materialize(classes.withColumn("cid", F.monotonically_increasing_id()))
+    prints = classes.select("rep", "cid", F.col("h1").alias("g1"), F.col("h2").alias("g2"), F.col("n").alias("gn"))
+    same = (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")) & (F.col("n") == F.col("gn"))
+    member = usable.join(prints, same & (F.col("doc_id") == F.col("rep"))).select(F.explode("keys").alias("key"), "cid")
+    shared = member.groupBy("key").agg(F.min("cid").alias("centre"), F.max("cid").alias("other")).where("centre <> other").select(F.col("key").alias("k"), "centre")
+    buckets = materialize(member.join(shared, member.key == shared.k).where("cid <> centre").select("centre", "cid").distinct())
 
     blocks = buckets.groupBy("centre").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("k")).select(F.col("centre").alias("c1"), "k")
-    x = buckets.join(blocks, buckets.centre == blocks.c1).withColumn("s", F.pmod(F.xxhash64("doc_id"), F.col("k")).cast("int"))
-    x = x.select("centre", "doc_id", "s", "k", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("j"))
-    x = x.select("centre", "doc_id", "s", F.least("s", "j").alias("lo"), F.greatest("s", "j").alias("hi"))
+    x = buckets.join(blocks, buckets.centre == blocks.c1).withColumn("s", F.pmod(F.xxhash64("cid"), F.col("k")).cast("int"))
+    x = x.select("centre", "cid", "s", "k", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("j"))
+    x = x.select("centre", "cid", "s", F.least("s", "j").alias("lo"), F.greatest("s", "j").alias("hi"))
     hubs = blocks.select(F.col("c1").alias("centre"), F.explode(F.expr("flatten(transform(sequence(0, k - 1), a -> transform(sequence(a, k - 1), b -> struct(a AS lo, b AS hi))))")).alias("b"))
-    x = materialize(x.unionByName(hubs.select("centre", F.col("centre").alias("doc_id"), F.lit(-1).alias("s"), "b.lo", "b.hi")))
+    x = materialize(x.unionByName(hubs.select("centre", F.col("centre").alias("cid"), F.lit(-1).alias("s"), "b.lo", "b.hi")))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    needed = materialize(x.select(F.col("doc_id").alias("d")).distinct())
-    sets = full_sets(texts.join(needed, F.col("doc_id") == F.col("d"), "left_semi"), shingle, bands * rows).dropDuplicates(["doc_id"])
-    placed = x.join(sets, "doc_id").groupBy("centre", "lo", "hi")
+    needed = materialize(classes.join(x.select(F.col("cid").alias("d")).distinct(), F.col("cid") == F.col("d"), "left_semi"))
+    sets = full_sets(texts.join(needed, F.col("doc_id") == F.col("rep")), shingle, bands * rows)
+    placed = x.join(sets, "cid").groupBy("centre", "lo", "hi")
     links = materialize(placed.applyInArrow(_links_around(bands * rows, percent), "u long, v long"))
     comp = connected_components(links)
+    discard(buckets, x, needed, links)
 
-    # Back from classes to documents.
-    known = classes.join(comp, classes.rep == comp.node, "left").select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), F.col("n").alias("gn"), F.coalesce("component", "rep").alias("component"))
-    out = sk.join(known, (sk.h1 == known.g1) & (sk.h2 == known.g2) & (sk.n == known.gn), "left")
+    # Back from classes to documents; a component is named by its smallest doc_id.
+    named = comp.join(classes.select("cid", "rep"), comp.node == F.col("cid"))
+    lowest = named.groupBy("component").agg(F.min("rep").alias("low")).withColumnRenamed("component", "c2")
+    known = prints.join(comp.join(lowest, comp.component == lowest.c2).select("node", "low"), F.col("cid") == F.col("node"), "left").select("g1", "g2", "gn", F.coalesce("low", "rep").alias("component"))
+    out = sk.join(known, same, "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None)).when(F.col("n") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
-    out = out.select("doc_id", F.col("n").alias("n_shingles"), component.cast("long").alias("component_id"))
+    out = out.select("doc_id", *carry, F.col("n").alias("n_shingles"), component.cast("long").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

@@ -20,6 +20,18 @@ def test_near_duplicates_against_all_pairs(spark, k):
         assert (r.n_shingles, r.component_id, r.kept) == (len(sets[r.doc_id]), want[r.doc_id], want[r.doc_id] == r.doc_id)
 
 
+def test_near_duplicates_of_repeated_ids(spark):
+    """doc_id 1 with two texts, each near another document: no link is lost, by brute force over rows."""
+    one, two = ([f"{c}{i}" for i in range(60)] for c in "ab")
+    rows = [(1, one), (1, two), (2, [*one, "x"]), (3, [*two, "y"]), (4, ["z", *two]), (4, one), (4, one), (0, ["q"] * 9)]
+    rows = [(i, " ".join(w)) for i, w in rows]
+    got = sorted((r.doc_id, r.n_shingles, r.component_id, r.tag) for r in minhash.near_duplicates(spark.createDataFrame([(*r, n) for n, r in enumerate(rows)], "doc_id long, text string, tag long"), carry=("tag",)).collect())
+    sets = [shingles(t, 5) for _, t in rows]
+    label = components(range(len(rows)), [(a, b) for a in range(len(rows)) for b in range(a) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])])
+    low = {c: min(i for (i, _), d in zip(rows, label.values(), strict=True) if d == c) for c in label.values()}
+    assert got == sorted((i, len(sets[n]), low[label[n]], n) for n, (i, _) in enumerate(rows))
+
+
 def test_near_duplicates_of_one_large_group(spark):
     base = [f"w{i}" for i in range(200)]
     rows = []
@@ -70,6 +82,21 @@ def test_embeddings_against_all_pairs(spark):
     assert embedding_dedup.near_duplicate_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_embeddings_of_repeated_ids_and_two_widths(spark):
+    """One vec_id with several vectors: each row has its own links, by brute force over rows."""
+    rng = np.random.default_rng(8)
+    a, c, e = rng.standard_normal((3, 16))
+    rows = [(1, a), (1, a + 0.01 * rng.standard_normal(16)), (2, a + 0.01 * rng.standard_normal(16)), (3, c), (3, -c), (4, c), (0, e), (0, e), (5, c[:8]), (6, c[:8] * 2), (7, None)]
+    df = spark.createDataFrame([(i, None if v is None else v.tolist()) for i, v in rows], "vec_id long, embedding array<double>")
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in embedding_dedup.near_duplicate_vectors(df).collect())
+    u = [None if v is None else v / np.linalg.norm(v) for _, v in rows]
+    linked = [(x, y) for x in range(len(u)) for y in range(x) if u[x] is not None and u[y] is not None and len(u[x]) == len(u[y]) and u[x] @ u[y] >= 0.95]
+    label = components(range(len(u)), linked)
+    low = {c: min(i for (i, _), d in zip(rows, label.values(), strict=True) if d == c) for c in label.values()}
+    links = [sum(n in p for p in linked) for n in range(len(u))]
+    assert got == sorted((i, links[n], low[label[n]]) for n, (i, _) in enumerate(rows))
+
+
 def test_embeddings_in_blocks(spark):
     rng = np.random.default_rng(5)
     base = rng.standard_normal(16)
@@ -118,6 +145,16 @@ def test_nearest_orders_ties_of_many_distinct_vectors(spark, shard_rows):
         assert [found[k + 1] for k in range(20)] == [(i, -s) for s, i in want]
 
 
+def test_nearest_of_repeated_query_ids_and_two_widths(spark):
+    rows = [(20, [1.0, 0.0]), (20, [0.0, 1.0]), (1, [3.0, 1.0]), (2, [1.0, 4.0]), (40, [1.0, 1.0, 1.0]), (3, [2.0, 0.0, 0.0]), (4, None)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for parts in (1, 3):
+        got = sorted(r[:] for r in vptree.nearest(df.repartition(parts), F.col("vec_id") % 20 == 0).collect())
+        asks = min([1.0, 0.0], [0.0, 1.0], key=lambda v: np.array(v, "<f8").tobytes())
+        want = sorted(((np.dot(asks, v), i) for i, v in ((1, [3.0, 1.0]), (2, [1.0, 4.0]))), reverse=True)
+        assert got == [(20, k + 1, i, s) for k, (s, i) in enumerate(want)] + [(40, 1, 3, 2.0)]
+
+
 def test_nearest_recall_below_one(spark):
     rows, _ = _vectors(400)
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, l int")
