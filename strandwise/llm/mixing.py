@@ -12,32 +12,23 @@ choices the one nearest to the balance is taken.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .common import materialize, set_apart, small_batches
-from .textkernel import word_counts
 
 WEIGHTS, MOST, BLOCK, LANDING = (5, 2, 1), 3, 8192, 12
 
 
 def with_sizes(docs: DataFrame, column: str = "_size") -> DataFrame:
     """All columns and the number of words of the text (null: 0), in place of an input column of that name."""
-    docs = docs.drop(column)
-    schema = T.StructType([*docs.schema.fields, T.StructField(column, T.LongType())])
-    at = docs.columns.index("text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(word_counts(b.column(at)))], names=[*b.schema.names, column])
-
-    return docs.mapInArrow(run, schema)
+    words = F.regexp_count(F.col("text"), F.lit(r"[^\x20\x09-\x0D]+"))
+    return docs.drop(column).withColumn(column, F.coalesce(words, F.lit(0)).cast("long"))
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
@@ -46,7 +37,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     Together the targets are the sum of all sizes. A target stops at ``most`` times the source's size
     and the excess goes to the others by weight: with level L, target = min(most * size, L * weight).
     Sources by ascending most * size / weight fill up one after the other, so L is the greatest of the
-    levels that result when the first i of them are full. One row a source meets in one task.
+    levels that result when the first i of them are full. One row a source, of two numbers and its name, meets in one task.
     """
     s = sizes.groupBy("source").agg(F.sum("_size").alias("source_size"), F.count("*").alias("rows"))
     n = len(weights)
@@ -101,31 +92,33 @@ def mix(docs: DataFrame, size: str = "_size", weights: tuple[int, ...] = WEIGHTS
     """All rows and columns of docs with (source_size, target, _copies): how often the mix takes each row.
 
     docs has doc_id, source and its sizes in ``size`` (see with_sizes). A null source is a source of its own. Empty
-    documents are drawn like others but count nothing; a source without words is not taken. Repeated rows are drawn each
-    for themselves, rows with equal doc_id in the order of their text. An empty table gives an empty one. Input
-    columns named like the three made here give way to them.
+    documents are drawn like others but count nothing; a source without words is not taken. The draw depends on the rows
+    alone, not on their order or partitions: it goes by a hash of the whole row (maps aside), so rows that share a null or
+    repeated doc_id spread over the blocks, and rows equal in all columns, which meet in one block, are interchangeable. An
+    empty table gives an empty one. Very long texts are passed on as they are. Input columns named like the three made here
+    give way to them.
     """
     if block < 2 * (LANDING + 2):
         raise ValueError(f"a block must hold at least {2 * (LANDING + 2)} rows, or its leftovers don't get fewer")
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.drop("_size").withColumnRenamed(size, "_size") if size != "_size" else docs
-    docs, columns = set_apart(docs, ("doc_id", "text", "source", "_size"), ("_src", "_blocks", "_base", "_p", "_order", "_owed", "_part", "_left"), ("source_size", "target", "_copies"))
+    order = F.xxhash64(F.lit(seed), *[f"`{c}`" for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind])
+    docs, columns = set_apart(docs, ("doc_id", "text", "source", "_size"), ("_src", "_blocks", "_base", "_p", "_order", "_owed", "_part", "_left"), ("source_size", "target", "_copies"), order.alias("_order"))
     t = materialize(targets(docs.select("source", "_size"), weights, most))
     facts = t.select(F.col("source").alias("_src"), "source_size", "target", F.ceil(F.col("rows") / block).alias("_blocks"))
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     x = docs.join(facts, F.col("source").eqNullSafe(F.col("_src"))).drop("_src")
     x = x.withColumn("_base", F.floor(ratio)).withColumn("_p", ratio - F.floor(ratio))
-    x = x.withColumn("_order", F.xxhash64(F.lit(seed), "doc_id", *(["text"] if "text" in docs.columns else [])))
     x = x.withColumn("_owed", F.lit(0.0)).withColumn("_part", F.pmod(F.xxhash64(F.lit(seed + 1), "_order"), F.col("_blocks"))).withColumn("_left", F.lit(True))
     schema = x.schema
 
     def settle(g: pa.Table) -> pa.Table:
         last = g["_blocks"][0].as_py() <= 1
-        order = np.lexsort((np.asarray(g["doc_id"].fill_null(-1)), np.asarray(g["_order"])))
+        order = np.lexsort((np.asarray(g["_size"]), np.asarray(g["doc_id"].fill_null(-1)), np.asarray(g["_order"])))
         sizes, pi = np.asarray(g["_size"]).astype(float)[order], np.asarray(g["_p"])[order]
         p, left = flight(sizes, pi, LANDING)
-        owed = float((sizes * pi).sum() - (sizes * np.where(np.isin(np.arange(len(p)), left), 0, p)).sum()) + float(np.asarray(g["_owed"]).sum())
+        owed = float((sizes * pi).sum() - (sizes * np.where(np.isin(np.arange(len(p)), left), 0, p)).sum()) + math.fsum(g["_owed"].to_pylist())
         if last and left:
             p[left] = landing(sizes[left], p[left], owed)
             left = []

@@ -38,7 +38,9 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sized = materialize(mixing.with_sizes(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).select("doc_id", "source", "_size"))
+    """The text is gone before the draw, but not its hash, which tells documents of equal doc_id and size apart."""
+    sized = mixing.with_sizes(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    sized = materialize(sized.select("doc_id", "source", "_size", F.xxhash64("text").alias("_print")))
     taken = mixing.mix(sized)
     return taken.select("doc_id", F.col("_size").alias("size"), "source_size", "target", (F.col("_size") * F.col("_copies")).alias("taken"), "source")
 
