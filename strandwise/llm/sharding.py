@@ -17,6 +17,8 @@ from pyspark.sql.window import Window
 from .common import materialize, set_apart
 
 BUCKET_ROWS = 2048
+#: Buckets whose permutations one task draws.
+TOGETHER = 64
 #: Buckets whose sizes are added up in one task; the sums of so many are added up in another.
 STRIDE = 8192
 
@@ -24,10 +26,12 @@ STRIDE = 8192
 def shuffle_into_shards(df: DataFrame, key: str = "doc_id", shards: int = 8, seed: int = 17, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """All rows and columns of df with (shard int, slot long).
 
-    The order depends on the rows, the seed and their number. The bucket and the order within come from a hash of the
-    whole row (maps aside), so a key that many rows share, null among them, spreads over the buckets; rows equal in all
-    columns may swap, which changes nothing. Every row is in exactly one place; an empty table gives an empty one. Input
-    columns named shard or slot give way to those made here.
+    The order depends on the rows and the seed alone, not on partitions: the bucket and the order within come from a hash of
+    the whole row (maps aside), so a key that many rows share, null among them, spreads over the buckets, and each
+    permutation is drawn by the task and at the turn that its bucket's number gives; rows equal in all columns may swap, which
+    changes nothing. More equal rows than fill ``16 * bucket_rows`` make a bucket that is not permuted but only sorted, with
+    spill. Every row is in exactly one place; null and very long texts are rows like others; an empty table gives an empty
+    one. Input columns named shard or slot give way to those made here.
     """
     row = F.xxhash64(*[f"`{c}`" for c, kind in df.dtypes if "map<" not in kind and "variant" not in kind])
     df, columns = set_apart(df, (key,), ("_row", "_bucket", "_at", "_b", "_perm", "_before"), ("shard", "slot"), row.alias("_row"))
@@ -40,13 +44,15 @@ def shuffle_into_shards(df: DataFrame, key: str = "doc_id", shards: int = 8, see
     within = Window.partitionBy("_g").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     plan = sizes.withColumn("_before", F.coalesce(F.sum("count").over(within), F.lit(0))).join(groups.select("_g", "_start"), "_g")
     plan = plan.withColumn("_before", F.col("_start") + F.col("_before"))
-    perm = F.shuffle(F.sequence(F.lit(0).cast("long"), F.col("count") - 1), F.lit(seed))
+    # shuffle() draws from the seed and the partition's number, row by row; so both are fixed by the bucket
+    perm = F.when(F.col("count") <= 16 * bucket_rows, F.shuffle(F.sequence(F.lit(0).cast("long"), F.col("count") - 1), F.lit(seed)))
+    plan = plan.repartitionById(-(-buckets // TOGETHER), F.expr(f"_b div {TOGETHER}").cast("int")).sortWithinPartitions("_b")
     # Written once: a rerun of a lost task reads the same permutations.
-    plan = materialize(plan.sort("_b").select("_b", "_before", perm.alias("_perm")))
+    plan = materialize(plan.select("_b", "_before", perm.alias("_perm")))
     inside = Window.partitionBy("_bucket").orderBy(F.xxhash64(F.lit(seed + 1), key), F.col(key), "_row")
     placed = df.withColumn("_bucket", bucket).withColumn("_at", F.row_number().over(inside))
     placed = placed.join(plan, F.col("_bucket") == F.col("_b"))
-    pos = F.col("_before") + F.element_at("_perm", F.col("_at"))
+    pos = F.col("_before") + F.coalesce(F.element_at("_perm", F.col("_at")), F.col("_at") - 1)
     return placed.withColumn("_at", pos).select(*columns, F.pmod(F.col("_at"), F.lit(shards)).cast("int").alias("shard"), F.expr(f"_at div {shards}").alias("slot"))
 
 
