@@ -1,11 +1,13 @@
 """Packing along a space-filling curve.
 
 A document's hashed word counts are projected to three dimensions, each dimension is cut to 8 bits,
-and the cell's place on the Hilbert curve is the sort key. Cut points of (key, doc_id), from a
-sample, put neighbours on the curve into the same partition; ties of equal documents are split by
-doc_id, so a group of copies fills many partitions. Each document moves once, with its text. Each partition tokenises its documents in order and cuts the
-stream into sequences of exactly ``length`` ids. What is left at a partition's end is cut into
-sequences of power-of-two lengths, the longest first, which need no padding either.
+and the cell's place on the Hilbert curve is the sort key. Cut points of (key, row hash), from a
+sample, put neighbours on the curve into the same partition; ties of equal texts are split by the
+hash of doc_id and text, so a group of copies fills many partitions. Each document moves once, with
+its text. Each partition tokenises its documents in order and cuts the stream into sequences of
+exactly ``length`` ids; rows that a mix repeats one after the other go along the curve once each
+turn, not side by side. What is left at a partition's end is cut into sequences of power-of-two
+lengths, the longest first, which need no padding either.
 """
 
 from __future__ import annotations
@@ -24,8 +26,9 @@ from .common import small_batches
 from .textkernel import utf8_chunks, word_hashes, words
 
 LENGTH, END, DIMS, BITS, SAMPLE = 2048, 1, 3, 8, 20_000
-#: The most partitions that cut points are found for; larger tables have larger partitions, which are sorted with spill and streamed.
-MOST_PARTS = 16_384
+#: The most partitions that cut points are found for; larger tables have larger partitions, which are sorted with spill and
+#: streamed, so a task's memory stays the same: 100 TB in 65,536 tasks are 1.5 GB each.
+MOST_PARTS = 65_536
 #: The text pattern of this byte-level BPE, as its vocabulary's documentation gives it (fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -122,8 +125,8 @@ def _normal_cuts(n: int) -> np.ndarray:
 
 
 def _boundaries(src: DataFrame, rows: int, parts: int, sample: int = SAMPLE, seed: int = 3) -> list[tuple[int, int]]:
-    """(key, doc_id) cut points for about ``parts`` partitions of equal bytes, from about ``sample`` documents drawn by hash, or
-    20 a partition if that is more: 327,680 at most.
+    """(key, row hash) cut points for about ``parts`` partitions of equal bytes, from about ``sample`` rows drawn one by one, or
+    8 a partition if that is more: 524,288 at most.
 
     They only balance the partitions: every document is placed by its own key.
     """
@@ -132,15 +135,15 @@ def _boundaries(src: DataFrame, rows: int, parts: int, sample: int = SAMPLE, see
 
     def sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(curve_keys(b.column(1))), b.column(2)], names=["doc_id", "key", "n"])
-
-    lots = int((1 << 20) * min(1.0, max(sample, 20 * parts) / rows))
-    drawn = src.where(F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 20)) < lots).select("doc_id", "text", F.octet_length("text").cast("long").alias("n"))
-    found = sorted((r["key"], -1 if r["doc_id"] is None else r["doc_id"], r["n"]) for r in drawn.mapInArrow(sized, "doc_id long, key long, n long").collect())
-    each, held, cuts = sum(n for *_, n in found) / parts, 0, []
-    for key, doc, n in found:
-        if held >= each * (len(cuts) + 1) and (not cuts or cuts[-1] < (key, doc)):
-            cuts.append((key, doc))
+            yield pa.RecordBatch.from_arrays([pa.array(curve_keys(b.column(0))), b.column(1), b.column(2)], names=["key", "h", "n"])
+
+    drawn = src.sample(min(1.0, max(sample, 8 * parts) / rows), seed).select("text", "h", F.octet_length("text").cast("long").alias("n"))
+    found = drawn.mapInArrow(sized, "key long, h long, n long").toPandas().sort_values(["key", "h"])
+    keys, hashes, sizes = (found[c].tolist() for c in ("key", "h", "n"))
+    each, held, cuts = sum(sizes) / parts, 0, []
+    for key, h, n in zip(keys, hashes, sizes, strict=True):
+        if held >= each * (len(cuts) + 1) and (not cuts or cuts[-1] < (key, h)):
+            cuts.append((key, h))
         held += n
     return cuts
 
@@ -148,26 +151,34 @@ def _boundaries(src: DataFrame, rows: int, parts: int, sample: int = SAMPLE, see
 def pack(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH, end: int = END, partition_bytes: int = 8 << 20) -> DataFrame:
     """The pieces (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset) of docs(doc_id, text).
 
-    A null text is empty: its document is the end id alone. Repeated rows are packed each. Sequence ids are unique, with
-    the partition in the upper 31 bits; pieces fill a sequence without gaps. An empty table gives no piece, other columns
-    are not looked at.
+    A null text is empty: its document is the end id alone. Repeated rows are packed each; only rows equal in doc_id and text
+    can't be parted by a cut point, and are sorted with spill and streamed. A very long text is tokenised whole and cut over
+    as many sequences as it fills. Sequence ids are unique, with the partition in the upper 31 bits; pieces fill a sequence
+    without gaps. An empty table gives no piece, other columns are not looked at.
     """
     spark = docs.sparkSession
-    small_batches(spark, 256)
+    small_batches(spark)
     path = tokenizer or default_tokenizer()
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    src = src.withColumn("h", F.xxhash64(F.lit(5), "doc_id", "text"))
 
     total, rows = docs.agg(F.sum(F.octet_length("text")), F.count("*")).first()
     parts = min(MOST_PARTS, max(1, -(-(total or 0) // partition_bytes)))
     cuts = _boundaries(src, rows, parts)
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before, turn = None, 0
         for b in batches:
-            keys = curve_keys(b.column(1))
-            part = [bisect.bisect_right(cuts, at) for at in zip(keys.tolist(), np.asarray(b.column(0).fill_null(-1)).tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(keys), pa.array(part, pa.int32())], names=["doc_id", "text", "key", "part"])
-
-    ordered = src.mapInArrow(keyed, "doc_id long, text string, key long, part int").repartitionById(len(cuts) + 1, "part").sortWithinPartitions("part", "key", "doc_id")
+            keys, h = curve_keys(b.column(1)), b.column(2).to_pylist()
+            part = [bisect.bisect_right(cuts, at) for at in zip(keys.tolist(), h, strict=True)]
+            turns = []
+            for x in h:
+                turn = turn + 1 if x == before else 0
+                before = x
+                turns.append(turn)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(keys), pa.array(part, pa.int32()), pa.array(turns, pa.int32())], names=["doc_id", "text", "h", "key", "part", "turn"])
+
+    ordered = src.mapInArrow(keyed, "doc_id long, text string, h long, key long, part int, turn int").repartitionById(len(cuts) + 1, "part").sortWithinPartitions("part", "turn", "key", "h")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = Tokenizer(path)
