@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize, scratch_path, small_batches
 
-DATE, READ = "2024-01-01T00:00:00Z", 1 << 16
+DATE, READ, SALTS = "2024-01-01T00:00:00Z", 1 << 16, 16
 MANIFEST = "path string, records long, bytes long"
 
 
@@ -34,22 +34,24 @@ def digest(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def record_id(page_id: int) -> str:
+def record_id(page_id: int | str) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}')}>"
 
 
-def record(page_id: int, url: str | None, payload: bytes, refers_to: int | None, date: str = DATE) -> bytes:
-    """One record as a gzip member. A revisit keeps the HTTP header, whose Content-Length is that of the full payload."""
+def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, date: str = DATE, place: str = "") -> bytes:
+    """One record as a gzip member. A revisit keeps the HTTP header, whose Content-Length is that of the full payload. A page
+    without an id is named by its ``place`` in the archives."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if refers_to is not None else http + payload
-    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {record_id(page_id)}", f"WARC-Date: {date}"]
+    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {record_id(place if page_id is None else page_id)}", f"WARC-Date: {date}"]
     if url:
         head.append("WARC-Target-URI: " + url.replace("\r", "%0D").replace("\n", "%0A"))
     head.append(f"WARC-Payload-Digest: sha1:{digest(payload)}")
     head.append(f"WARC-Block-Digest: sha1:{digest(block)}")
     if refers_to is not None:
         head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {record_id(refers_to)}", f"X-Refers-To-Page: {refers_to}"]
-    head += [f"X-Page: {page_id}", "Content-Type: application/http;msgtype=response", f"Content-Length: {len(block)}"]
+    head += [f"X-Page: {page_id}"] if page_id is not None else []
+    head += ["Content-Type: application/http;msgtype=response", f"Content-Length: {len(block)}"]
     z = zlib.compressobj(6, zlib.DEFLATED, 31)
     return z.compress("\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n") + z.flush()
 
@@ -132,37 +134,42 @@ def page_of(fields: dict[str, str], block: bytes) -> dict:
     size, claimed = int(_fields(http)["content-length"]), fields["warc-payload-digest"].removeprefix("sha1:")
     if fields["warc-type"] == "response" and (len(payload) != size or digest(payload) != claimed):
         raise WarcError(f"payload of {fields.get('warc-record-id')} differs from its digest or length")
-    to = fields.get("x-refers-to-page")
-    return {"page_id": int(fields["x-page"]), "payload_bytes": size, "payload_digest": claimed, "record_type": fields["warc-type"], "refers_to": None if to is None else int(to), "url": fields.get("warc-target-uri"), "payload": payload if fields["warc-type"] == "response" else None}
+    to, page = fields.get("x-refers-to-page"), fields.get("x-page")
+    return {"page_id": None if page is None else int(page), "payload_bytes": size, "payload_digest": claimed, "record_type": fields["warc-type"], "refers_to": None if to is None else int(to), "url": fields.get("warc-target-uri"), "payload": payload if fields["warc-type"] == "response" else None}
 
 
 def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, archive_bytes: int = 32 << 20) -> DataFrame:
     """Write pages(page_id, url, html) to ``path`` (shared by all executors) and return (path, records, bytes) per archive.
 
     The payload is the html in UTF-8, a null html is empty; other columns are not looked at. Payloads of fewer than
-    ``min_bytes`` are never revisited. A page_id that repeats with equal payloads is one response and revisits of it. A
-    null page_id is an error, as nothing could refer to it.
+    ``min_bytes`` are never revisited. A page_id that repeats with equal payloads is one response and revisits of it. A page
+    without a page_id is a response always, as nothing could refer to it, and is read back without one. A very long payload is
+    one record. An empty table gives no archive.
     """
     small_batches(pages.sparkSession)
     src = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce("html", F.lit("")).alias("html"))
-    src = src.withColumn("page_id", F.coalesce("page_id", F.raise_error("a page has no page_id").cast("long")))
     payload = F.col("html").cast("binary")
     prints = src.select("page_id", F.sha1(payload).alias("sha"), F.octet_length("html").cast("long").alias("n"))
     prints = materialize(prints)
-    best = prints.where(F.col("n") >= min_bytes).groupBy("sha", "n").agg(F.max("page_id").alias("to"), F.count("*").alias("c")).where("c > 1")
-    to = prints.join(best.select(F.col("sha").alias("s2"), F.col("n").alias("n2"), "to"), (F.col("sha") == F.col("s2")) & (F.col("n") == F.col("n2"))).where("page_id <> to").select(F.col("page_id").alias("p2"), F.col("sha").alias("s3"), "to").distinct()
+    named = prints.where("page_id is not null")
+    best = named.where(F.col("n") >= min_bytes).groupBy("sha", "n").agg(F.max("page_id").alias("to"), F.count("*").alias("c")).where("c > 1")
+    # a payload that very many pages share, such as the empty one, is dealt over SALTS tasks
+    best = best.select(F.col("sha").alias("s2"), F.col("n").alias("n2"), "to", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt2"))
+    salted = named.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int"))
+    to = salted.join(best, (F.col("sha") == F.col("s2")) & (F.col("n") == F.col("n2")) & (F.col("salt") == F.col("salt2"))).where("page_id <> to").select(F.col("page_id").alias("p2"), F.col("sha").alias("s3"), "to").distinct()
     # Written first: a small table of revisits is then known to be small, and the pages need not move to meet it.
     to = materialize(to)
     x = src.withColumn("sha", F.sha1(F.col("html").cast("binary"))).join(to, (F.col("page_id") == F.col("p2")) & (F.col("sha") == F.col("s3")), "left").select("page_id", "url", "html", "sha", "to")
     # Rows of one page_id must be together to tell which of them is the response; where ids are unique nothing need move.
-    if not prints.groupBy("page_id").count().where("count > 1").isEmpty():
-        x = x.repartition("page_id").sortWithinPartitions("page_id", "sha")
+    if not named.groupBy("page_id").count().where("count > 1").isEmpty():
+        # those without an id spread by their payload
+        x = x.repartition(F.coalesce("page_id", F.xxhash64("sha", "url"))).sortWithinPartitions("page_id", "sha")
     x = x.select("page_id", "url", "html", "to")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, turn, out, n, size, last = TaskContext.get().partitionId(), 0, None, 0, 0, None
+        part, turn, out, n, size, last, seen = TaskContext.get().partitionId(), 0, None, 0, 0, None, 0
         fs, root = pafs.FileSystem.from_uri(path)
         temporary = f"{root}/.part-{part:06d}-{uuid.uuid4().hex}"
 
@@ -181,11 +188,12 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, archive_byte
                     fs.create_dir(root, recursive=True)
                     out = fs.open_output_stream(temporary)
                 data = html.encode()
-                if to is None:
+                if to is None and p is not None:
                     if last == (p, now := digest(data)) and len(data) >= min_bytes:
                         to = p
                     last = (p, now)
-                r = record(p, url, data, to)
+                seen += 1
+                r = record(p, url, data, to, place=f"{path}/{part}/{seen}")
                 out.write(r)
                 n, size = n + 1, size + len(r)
                 if size >= archive_bytes:
