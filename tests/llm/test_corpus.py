@@ -12,6 +12,7 @@ from helpers import DOCS, WORD, awkward
 from pyspark.sql import functions as F
 
 from strandwise.llm import linededup, mixing, packing, pii, quality, sharding, warc
+from strandwise.llm.textkernel import word_hashes
 
 
 def _docs(spark):
@@ -77,6 +78,36 @@ def test_keys_that_many_rows_share_spread_over_buckets(spark):
         sharding.STRIDE = was
 
 
+def test_shards_do_not_depend_on_shuffle_partitions(spark):
+    df = spark.range(3000).select((F.col("id") % 400).alias("doc_id"), F.concat(F.lit("t"), (F.col("id") % 900).cast("string")).alias("text"))
+    seen = []
+    for n in ("4", "7"):
+        was = spark.conf.get("spark.sql.shuffle.partitions")
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        try:
+            seen.append(sorted(r[:] for r in sharding.shuffle_into_shards(df.repartition(int(n)), bucket_rows=16).collect()))
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", was)
+    assert seen[0] == seen[1]
+    same = sharding.shuffle_into_shards(df.select(F.lit(1).alias("doc_id"), F.lit("x").alias("text")), bucket_rows=16).toPandas()
+    assert sorted(same.slot * 8 + same.shard) == list(range(3000))
+
+
+def test_written_shards(spark, tmp_path):
+    df = spark.range(500).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
+    sharding.write_shards(df, f"file://{tmp_path}/out", bucket_rows=16)
+    back = spark.read.parquet(f"file://{tmp_path}/out").toPandas()
+    want = sharding.shuffle_into_shards(df, bucket_rows=16).toPandas()
+    assert sorted(map(tuple, back[["doc_id", "shard", "slot"]].to_numpy())) == sorted(map(tuple, want[["doc_id", "shard", "slot"]].to_numpy()))
+
+
+def test_repeated_copies_are_packed_apart(spark):
+    rows = [(i, f"document number {i} " * 20) for i in range(40)]
+    p = packing.pack(spark.createDataFrame([r for r in rows for _ in range(3)], "doc_id long, text string").coalesce(1)).toPandas()
+    p = p[p.start == 0].sort_values(["sequence_id", "offset"])
+    assert len(p) == 120 and (p.doc_id.to_numpy()[1:] != p.doc_id.to_numpy()[:-1]).all()
+
+
 def test_packing_in_few_partitions(spark, monkeypatch):
     df, _ = _docs(spark)
     monkeypatch.setattr(packing, "MOST_PARTS", 3)
@@ -158,6 +189,14 @@ def test_mix(spark):
     assert mixing.mix(sized.limit(0)).count() == 0
 
 
+def test_mix_of_repeated_ids_agrees_between_runs(spark):
+    rng = np.random.default_rng(2)
+    rows = [(1 if i % 2 else None if i % 6 == 0 else i, f"s{i % 3}", int(n), i % 50) for i, n in enumerate(rng.integers(1, 300, 400))]
+    df = spark.createDataFrame(rows, "doc_id long, source string, _size long, _print long")
+    runs = [sorted(map(str, mixing.mix(df.repartition(n, F.rand(n)), block=32).collect())) for n in (1, 6)]
+    assert runs[0] == runs[1]
+
+
 PII = "mail a.b@c.de, x@y (no) @z.com 1.2.3.4 and 1.2.3.4.5 256.1.1.1 v 4111 1111 1111 1111 5500-0000-0000-0004 4111111111111112 +1 (444) 555-4984 +12 call (415) 555-2671 me [at] site.org é+49 30 1234567 a@b.c@d.e 00001.2.3.4"
 
 
@@ -231,6 +270,12 @@ def test_warc_round_trip(spark):
     assert warc.round_trip(df.limit(0)).count() == 0
 
 
+def test_warc_pages_without_id(spark):
+    rows = [(None, "http://h/1", "a"), (None, "http://h/1", "a"), (None, None, None), (4, None, "a"), (5, None, "a"), (5, None, "b"), (5, None, "b")]
+    got = warc.round_trip(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert sorted(map(str, (tuple(r[c] for c in ("page_id", "payload_bytes", "record_type", "refers_to")) for r in got))) == sorted(map(str, [(None, 1, "response", None), (None, 1, "response", None), (None, 0, "response", None), (4, 1, "revisit", 5), (5, 1, "response", None), (5, 1, "response", None), (5, 1, "revisit", 5)]))
+
+
 def test_warc_reader_refuses_damage():
     a, b = warc.record(1, "http://x", b"payload", None), warc.record(2, None, b"payload", 1)
     read = lambda data: [warc.page_of(*r) for r in warc.read_records(io.BytesIO(data))]
@@ -247,9 +292,15 @@ def test_quality_learns_from_every_unlabelled_row(spark, monkeypatch):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
     docs = docs.unionByName(docs.where("doc_id < 50").withColumn("doc_id", F.lit(None).cast("long")))
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
-    seen = {}
+    seen, words, chosen = {}, [], quality._vocabulary
 
-    def spy(xt, xm, y, scales, sums, **kw):
+    def keep(*args):
+        words.append(chosen(*args))
+        return words[0]
+
+    monkeypatch.setattr(quality, "_vocabulary", keep)
+
+    def spy(xt, xm, y, scales, sums, held):
         seen["scales"], seen["labelled"] = scales(), len(y)
         w = {"text": np.zeros(xt.shape[1] + 1), "meta": np.zeros(xm.shape[1] + 1)}
         sure_of_all = {v: [np.concatenate([x[:-1], [9.0]])] for v, x in w.items()}
@@ -260,7 +311,7 @@ def test_quality_learns_from_every_unlabelled_row(spark, monkeypatch):
     quality.fit(docs, labels, labelled=100)
     t = docs.toPandas()
     lab = set(labels.where("quality is not null").toPandas().doc_id)
-    xt = quality.text_features(pa.array(t.text.fillna("")))
+    xt = quality.text_features(pa.array(t.text.fillna("")), words[0])
     xm = quality.meta_features(pa.array(t.lang), pa.array(t.source), pa.array(t.n_chars, from_pandas=True).cast("int64"))
     for (mean, spread), x in zip(seen["scales"], (xt, xm), strict=True):
         assert np.allclose(mean, x.mean(0), atol=1e-5) and np.allclose(spread, x.std(0) + 1e-3, atol=1e-4)
@@ -271,3 +322,64 @@ def test_quality_learns_from_every_unlabelled_row(spark, monkeypatch):
         got = seen["sums"][view][1]
         assert got[0] == free.sum() and np.allclose(got[2 : 2 + z.shape[1]], 0.5 * z.sum(0), atol=0.05)
         assert np.allclose(got[2 + z.shape[1] :], (0.25 * z.T @ z).reshape(-1), rtol=1e-3, atol=0.1)
+
+
+def test_word_features_against_counting():
+    texts = ["alpha beta alpha", "", "gamma", "beta " * 7 + "delta", None, "alpha"]
+    hashes = {w: int(word_hashes(*_one_word(w))[0]) for w in ("alpha", "beta", "delta")}
+    vocabulary = np.sort(np.array(list(hashes.values()), np.uint64))
+    got = quality.text_features(pa.array(texts), vocabulary)[:, quality.TEXT_FEATURES :]
+    for row, text in zip(got, texts, strict=True):
+        w = (text or "").split()
+        assert row.tolist() == [w.count(next(k for k, v in hashes.items() if v == h)) / max(len(w), 1) for h in vocabulary.tolist()]
+
+
+def _one_word(w):
+    data = np.frombuffer(w.encode(), np.uint8)
+    return data, np.array([0]), np.array([len(data)])
+
+
+def _plain_fit(x, y, n, ridge=1.0):
+    """Weighted ridge logistic regression by small damped Newton steps."""
+    x, w = np.hstack([x, np.ones((len(x), 1))]), np.zeros(x.shape[1] + 1)
+    for _ in range(200):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        w = w + 0.5 * np.linalg.solve((x * (n * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ x + ridge * np.eye(len(w)), x.T @ (n * (y - p)) - ridge * w)
+    return w
+
+
+def test_cotraining_against_plain_numpy(spark):
+    """The whole of fit() again in memory: every row, every round, every pseudo-label."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    m = quality.fit(docs, labels)
+    t = docs.join(labels.groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("double").alias("y")), "doc_id", "left").withColumn("held", F.pmod(F.xxhash64(F.lit(6), "doc_id"), F.lit(5)) == 4).toPandas()
+    xt = quality.text_features(pa.array(t.text.fillna("")), m.words).astype("<f4").astype(float)
+    xm = quality.meta_features(pa.array(t.lang), pa.array(t.source), pa.array(t.n_chars, from_pandas=True).cast("int64"))
+    a, b = ((x - x.mean(0)) / (x.std(0) + 1e-3) for x in (xt, xm))
+    known, y = t.y.notna().to_numpy(), t.y.to_numpy()
+    train, cal, free = known & ~t.held.to_numpy(), known & t.held.to_numpy(), ~known
+    share, view = y[train].mean(), {"text": a, "meta": b}
+    w = {v: _plain_fit(x[train], y[train], np.ones(train.sum())) for v, x in view.items()}
+    given = {v: np.full(free.sum(), np.nan) for v in view}
+    for _ in range(quality.ROUNDS):
+        for v, x in view.items():
+            p = 1 / (1 + np.exp(-(x[free] @ w[v][:-1] + w[v][-1])))
+            given[v] = np.where(np.isnan(given[v]), np.where(p >= 0.95, 1.0, np.where(p <= 0.05, 0.0, np.nan)), given[v])
+        new = {}
+        for v, other in (("text", "meta"), ("meta", "text")):
+            g, n = given[other], np.array([(given[other] == c).sum() for c in (0, 1)])
+            part = [0.5 * min(1.0, s * n.sum() / max(n[c], 1)) for c, s in ((0, 1 - share), (1, share))]
+            got = ~np.isnan(g)
+            x = np.concatenate([view[v][train], view[v][free][got]])
+            new[v] = _plain_fit(x, np.concatenate([y[train], g[got]]), np.concatenate([np.ones(train.sum()), np.where(g[got] == 1, part[1], part[0])]))
+        w = new
+    logits = np.stack([view[v] @ w[v][:-1] + w[v][-1] for v in ("text", "meta")], 1)
+    one = np.ones(cal.sum())
+    cals = [_plain_fit(logits[cal, i : i + 1], y[cal], one) for i in (0, 1)]
+    views = np.stack([logits[:, i] * c[0] + c[1] for i, c in enumerate(cals)], 1)
+    both = _plain_fit(views[cal], y[cal], one)
+    want = 1 / (1 + np.exp(-np.clip(views @ both[:-1] + both[-1], -30, 30)))
+    got = {r.doc_id: r._score for r in quality.score(docs, m).collect()}
+    worded = (xt != 0).any(1)
+    assert max(abs(got[i] - s) for i, s, k in zip(t.doc_id, want, worded, strict=True) if k) < 5e-3
