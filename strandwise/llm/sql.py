@@ -47,12 +47,13 @@ FROM v JOIN c ON c.node = v.vec_id LEFT JOIN n ON n.a = v.vec_id
 
 ORACLES["op7_line_dedup"] = r"""
 WITH d AS (SELECT doc_id, source, text, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL),
-t AS (SELECT source, count(*) AS total FROM d GROUP BY source),
-x AS (SELECT source, unnest(list_distinct(l)) AS line FROM d),
+u AS (SELECT DISTINCT source, text, l FROM d),
+t AS (SELECT source, count(*) AS total FROM u GROUP BY source),
+x AS (SELECT source, unnest(list_distinct(l)) AS line FROM u),
 b AS (
   SELECT x.source, list(x.line) AS b FROM (
     SELECT source, line, count(*) AS n FROM x WHERE trim(line) <> '' GROUP BY source, line HAVING count(*) >= 3
-  ) x JOIN t ON t.source IS NOT DISTINCT FROM x.source WHERE x.n > CAST(0.1 AS DOUBLE) * t.total GROUP BY x.source
+  ) x JOIN t ON t.source IS NOT DISTINCT FROM x.source WHERE x.n > CAST(0.01 AS DOUBLE) * t.total GROUP BY x.source
 ), k AS (
   SELECT d.doc_id, d.l, CASE WHEN b.b IS NULL THEN d.l ELSE list_filter(d.l, lambda y: NOT list_contains(b.b, y)) END AS k
   FROM d LEFT JOIN b ON b.source IS NOT DISTINCT FROM d.source

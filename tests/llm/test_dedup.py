@@ -178,4 +178,6 @@ def test_lines_against_loop(spark):
             assert (r.text, r._lines, r._dropped) == ("", 1, 0)
         else:
             assert (r.text, r._dropped) == ((f"own {i}\n", 2) if i % 2 else (f"own {i}", 0))
+    copies = spark.createDataFrame([(i, "same\npage", "c") for i in range(9)] + [(9, "same\nother", "c")], "doc_id long, text string, source string")
+    assert {r._dropped for r in linededup.drop_boilerplate_lines(copies, F.col("source")).collect()} == {0}
     assert linededup.drop_boilerplate_lines(df.limit(0), F.col("source")).count() == 0
