@@ -11,20 +11,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandwise.llm import linededup, minhash, mixing, packing, quality
-from strandwise.llm.common import materialize, release, scratch_mark, set_apart, table
+from strandwise.llm.common import discard, materialize, scratch_scope, set_apart, table
 
 KEEP_SCORE = 0.5
 READ = ("doc_id", "text", "lang", "source", "n_chars")
 #: Columns that the stages add for a while; columns of documents with such names are kept apart and come back.
-ADDED = ("_p_text", "_p_meta", "_score", "_lines", "_dropped", "_kept", "_size", "source_size", "target", "_copies", "_copy")
-_before: list[int] = []
-
-
-def _begin() -> None:
-    """Scratch tables of the stage before are of no use once its result was written and read again."""
-    if _before:
-        release(_before[0], _before[1] if len(_before) > 1 else None)
-    _before[:] = [scratch_mark()]
+ADDED = ("_p_text", "_p_meta", "_score", "_lines", "_dropped", "_row", "_copy_of", "_size", "source_size", "target", "_copies", "_copy")
 
 
 def _apart(docs: DataFrame) -> tuple[DataFrame, list[Column]]:
@@ -32,35 +24,63 @@ def _apart(docs: DataFrame) -> tuple[DataFrame, list[Column]]:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    _begin()
+    """Documents that the co-trained classifier scores KEEP_SCORE or more, with the columns of documents.
+
+    The classifier learns from ``labels`` and all of docs. Null, empty and wordless texts score 0 and go, whatever their
+    other columns; nulls elsewhere are values like others. Repeated rows score alike, so stay or go together. A score of
+    exactly KEEP_SCORE stays, so if there are too few labels to learn from, every document with words stays. Long texts are
+    scored whole. An empty table gives an empty one.
+    """
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
     docs, columns = _apart(docs)
     return quality.score(docs, model).where(F.col("_score") >= KEEP_SCORE).select(*columns)
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    _begin()
+    """All documents without the lines that are boilerplate within their source; n_chars is counted anew where lines went.
+
+    Null sources are a source of their own; a null text stays null. No row goes, so repeated rows stay and are cleaned alike; a
+    text may become empty. Long texts are cleaned whole. An empty table gives an empty one.
+    """
     docs, columns = _apart(docs)
     clean = linededup.drop_boilerplate_lines(docs, F.col("source"))
     return clean.withColumn("n_chars", F.when(F.col("_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*columns)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    _begin()
-    kept = materialize(minhash.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_kept")).distinct())
+    """One document of each group of near copies: the one of smallest doc_id (nulls last), and of several rows of it one.
+
+    Groups are found among rows, so rows that repeat a doc_id or have none are told apart, and copies among them go as well.
+    Null, empty and wordless texts are near nothing and stay. Long texts are compared whole. An empty table gives an empty one.
+    """
     docs, columns = _apart(docs)
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi").select(*columns)
+    # rows are numbered once and written, so that every later read knows them by the same number
+    rows = materialize(docs.withColumn("_row", F.monotonically_increasing_id()))
+    keyed = rows.select(F.col("_row").alias("doc_id"), "text", F.col("doc_id").cast("long").alias("_id"))
+    found = materialize(minhash.near_duplicates(keyed, carry=("_id",)).select(F.col("doc_id").alias("_row"), "_id", F.col("component_id").alias("_group")))
+    best = F.min_by("_row", F.struct(F.col("_id").isNull(), "_id", "_row")).alias("_stays")
+    groups = found.groupBy(F.col("_group").alias("_g")).agg(F.count("*").alias("_n"), best).where("_n > 1")
+    gone = materialize(found.join(groups, F.col("_group") == F.col("_g")).where("_row <> _stays").select(F.col("_row").alias("_copy_of")))
+    return rows.join(gone, F.col("_row") == F.col("_copy_of"), "left_anti").select(*columns)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    _begin()
+    """Documents as often as the mix takes them: repeated one after the other, or left out.
+
+    Null sources are a source of their own; null and empty texts have no words, so cost a source nothing. Rows that repeat are
+    drawn each. Long texts stay whole. The draw depends on the rows alone. An empty table gives an empty one.
+    """
     docs, columns = _apart(docs)
     mixed = mixing.mix(mixing.with_sizes(docs)).where("_copies > 0")
     return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_copies"))).select(*columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    _begin()
+    """Sequences of tokens along the curve, a row for each piece of a document (see packing.pack).
+
+    A null text is empty and is its end id alone; rows that repeat are packed each, and not side by side; long texts are cut
+    over several sequences. An empty table gives no piece.
+    """
     return packing.pack(docs)
 
 
@@ -77,11 +97,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage."""
+    """The rows of the last stage. Each stage's scratch tables go when its result is written, and that when the next one's is."""
     docs = table(spark, sf_dir, "documents")
-    for i, (_, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
-        if i + 1 < len(STAGES):
-            _before.append(scratch_mark())  # what the next stage reads is kept
-            docs = materialize(out)
-    return out
+    for _, stage in STAGES[:-1]:
+        kept: list[DataFrame] = []
+        with scratch_scope(keep=kept):
+            kept.append(materialize(stage(spark, docs, sf_dir)))
+        if hasattr(docs, "_scratch_path"):
+            discard(docs)
+        docs = kept[0]
+    return STAGES[-1][1](spark, docs, sf_dir)
