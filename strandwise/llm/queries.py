@@ -59,6 +59,13 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean.select("doc_id", F.col("_lines").alias("n_lines"), F.col("_dropped").alias("n_dropped"), F.length("text").cast("long").alias("n_chars_left"), F.md5("text").alias("text_md5"))
 
 
+def line_dedup_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for raw pages by the host of their URL."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", F.col("html").alias("text"))
+    clean = linededup.drop_boilerplate_lines(pages, F.lower(F.regexp_extract("url", r"^[A-Za-z]+://([^/:?#]+)", 1)))
+    return clean.select("page_id", F.col("_lines").alias("n_lines"), F.col("_dropped").alias("n_dropped"), F.md5("text").alias("text_md5"))
+
+
 def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vptree.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
@@ -83,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op5_pii,
         op6_minhash_near_dedup,
         op7_line_dedup,
+        line_dedup_pages,
         op8_nearest_neighbours,
         op9_quality_classifier,
         op10_warc_round_trip,

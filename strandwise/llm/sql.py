@@ -72,3 +72,18 @@ WITH u AS (
 ), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 20
 """
+
+ORACLES["line_dedup_pages"] = r"""
+WITH d AS (SELECT page_id, lower(regexp_extract(url, '^[A-Za-z]+://([^/:?#]+)', 1)) AS host, html, string_split(html, chr(10)) AS l FROM pages WHERE html IS NOT NULL),
+u AS (SELECT DISTINCT host, html, l FROM d), t AS (SELECT host, count(*) AS total FROM u GROUP BY host), x AS (SELECT host, unnest(list_distinct(l)) AS line FROM u),
+b AS (
+  SELECT x.host, list(x.line) AS b FROM (
+    SELECT host, line, count(*) AS n FROM x WHERE trim(line) <> '' GROUP BY host, line HAVING count(*) >= 3
+  ) x JOIN t ON t.host IS NOT DISTINCT FROM x.host WHERE x.n > CAST(0.01 AS DOUBLE) * t.total GROUP BY x.host
+), k AS (
+  SELECT d.page_id, d.l, CASE WHEN b.b IS NULL THEN d.l ELSE list_filter(d.l, lambda y: NOT list_contains(b.b, y)) END AS k
+  FROM d LEFT JOIN b ON b.host IS NOT DISTINCT FROM d.host
+)
+SELECT page_id, CAST(len(l) AS BIGINT) AS n_lines, CAST(len(l) - len(k) AS BIGINT) AS n_dropped, md5(array_to_string(k, chr(10))) AS text_md5 FROM k
+UNION ALL SELECT page_id, 0, 0, NULL FROM pages WHERE html IS NULL
+"""
