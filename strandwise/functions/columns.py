@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import RANKS
@@ -58,6 +58,7 @@ def safe_name(x: Column | str) -> Column:
     return F.regexp_replace(F.regexp_replace(col(x), r"[\s/,#()\[\]]+", "_"), r"_+", "_").transform(lambda v: F.regexp_replace(v, "^_|_$", ""))
 
 
+#: Suffixes of the public archive's files; its base address is in download_link.
 LINK_SUFFIXES = {"fasta": "_genomic.fna.gz", "genbank": "_genomic.gbff.gz", "protein": "_protein.faa.gz", "gff": "_genomic.gff.gz", "nt-cds": "_cds_from_genomic.fna.gz", "feature-tab": "_feature_table.txt.gz", "report": "_assembly_report.txt", "stats": "_assembly_stats.txt"}
 
 
@@ -71,9 +72,14 @@ def download_link(ftp_path: Column | str, accession: Column | str, asm_name: Col
     return F.concat(base, F.lit("/"), F.substring_index(base, "/", -1), suffix)
 
 
-def natural_key(x: Column | str, width: int = 20) -> Column:
-    """Sorts digit runs by value: contig_2 before contig_10."""
-    return F.array_join(F.transform(F.regexp_extract_all(col(x), F.lit(r"(\d+|\D+)"), 1), lambda p: F.when(p.rlike(r"^\d"), F.lpad(p, width, "0")).otherwise(p)), "")
+def natural_key(x: Column | str) -> Column:
+    """Sorts digit runs by value, of any length: contig_2 before contig_10. A run is preceded by the number of its digits."""
+
+    def part(p: Column) -> Column:
+        digits = F.regexp_replace(p, "^0+(?=.)", "")
+        return F.when(p.rlike(r"^\d"), F.concat(F.lpad(F.length(digits).cast("string"), 9, "0"), digits)).otherwise(p)
+
+    return F.array_join(F.transform(F.regexp_extract_all(col(x), F.lit(r"(\d+|\D+)"), 1), part), "")
 
 
 # --- lineages ---------------------------------------------------------------------------------------
@@ -109,6 +115,31 @@ def last_taxid(x: Column | str) -> Column:
     return F.regexp_replace(F.element_at(F.split(col(x), ";"), -1), r"\*$", "")
 
 
+def supported(x: Column | str) -> Column:
+    """A classifier's value; null where it found no support."""
+    return F.when(~F.lower(F.trim(col(x))).isin("no support", "na", ""), col(x))
+
+
+def classified_taxid(status: Column | str, lineage: Column | str) -> Column:
+    """Last taxid of a classifier's lineage; null if no taxid was assigned. Header rows (``classification``) give null too."""
+    return F.when(~col(status).isin("no taxid assigned", "classification"), supported(last_taxid(lineage)))
+
+
+def rank_name(x: Column | str) -> Column:
+    """superkingdom reads as domain."""
+    return F.when(col(x) == "superkingdom", "domain").otherwise(col(x))
+
+
+def synthetic_taxid(ranks: list[Column]) -> Column:
+    """Rank names joined by underscores, spaces too; a missing one reads NA."""
+    return F.regexp_replace(F.concat_ws("_", *(F.coalesce(r, F.lit("NA")) for r in ranks)), " ", "_")
+
+
+def taxon_stem(x: Column | str) -> Column:
+    """A taxon's name as part of a file's: what isn't a letter, a digit, a dot or a dash is one hyphen a run."""
+    return F.regexp_replace(F.regexp_replace(F.trim(col(x)), r"[^A-Za-z0-9.-]+", "-"), r"^-+|-+$", "")
+
+
 def report_rank(code: Column | str, name: Column | str) -> Column:
     """R1 rows named like a domain count as domain."""
     return F.when((col(code) == "R1") & F.trim(col(name)).isin("Bacteria", "Archaea", "Eukaryota", "Viruses"), "D").otherwise(col(code))
@@ -118,13 +149,22 @@ def fill_unclassified(x: Column | str) -> Column:
     return F.when(~F.lower(col(x)).startswith("unclassified_"), col(x))
 
 
+def marker_ranks(region: str, names: list[str]) -> list[Column]:
+    """Rank columns of a marker-gene table, unclassified values null. ITS tables get the domain Eukarya wherever a kingdom was
+    found; 18S tables call their kingdom domain; others stay."""
+    out = [fill_unclassified(n).alias("domain" if region == "18S" and n == "kingdom" else n) for n in names]
+    if region == "ITS":
+        out.insert(0, F.when(is_assigned(fill_unclassified("kingdom")), "Eukarya").alias("domain"))
+    return out
+
+
 # --- sequences ----------------------------------------------------------------------------------------
 
 
 def gc_fraction(seq: Column | str, any_case: bool = False) -> Column:
     """Share of G and C; 0 for an empty sequence. Lower case counts only if asked for."""
-    s = F.upper(col(seq)) if any_case else col(seq)
-    return F.when(F.length(s) == 0, 0.0).otherwise(F.length(F.regexp_replace(s, "[^GC]", "")) / F.length(s))
+    s = col(seq)
+    return F.when(F.length(s) == 0, 0.0).otherwise(F.length(F.regexp_replace(s, "[^GCgc]" if any_case else "[^GC]", "")) / F.length(s))
 
 
 def windows_of(length: Column, size: int, step: int) -> Column:
@@ -150,12 +190,17 @@ def sequence_type(seq: Column | str) -> Column:
 def complexity(seq: Column | str, k: int = 3) -> Column:
     """Distinct k-mers over the most there could be; 0 if shorter than k."""
     n = F.length(col(seq)) - k + 1
-    kmers = F.regexp_extract_all(col(seq), F.lit(f"(?s)(?=(.{{{k}}}))"), 1)  # one pass, overlapping
-    return F.when(n >= 1, F.size(F.array_distinct(kmers)) / F.least(n, F.lit(4**k))).otherwise(0.0)
+    step = 2048  # k-mers of one piece at a time, so that memory holds the different ones and one piece
+
+    def piece(seen: Column, i: Column) -> Column:
+        return F.array_union(seen, F.regexp_extract_all(F.substring(col(seq), i + 1, F.lit(step + k - 1)), F.lit(f"(?s)(?=(.{{{k}}}))"), 1))
+
+    seen = F.aggregate(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(step)), F.array().cast("array<string>"), piece)
+    return F.when(n >= 1, F.size(seen) / F.least(n, F.lit(4**k))).otherwise(0.0)
 
 
 def non_acgt_fraction(seq: Column | str) -> Column:
-    return F.coalesce(F.try_divide(F.length(F.regexp_replace(F.upper(col(seq)), "[ACGT]", "")), F.length(col(seq))), F.lit(0.0))
+    return F.coalesce(F.try_divide(F.length(F.regexp_replace(col(seq), "[ACGTacgt]", "")), F.length(col(seq))), F.lit(0.0))
 
 
 def wrap_sequence(seq: Column | str, width: int = 60) -> Column:
@@ -176,34 +221,30 @@ def cigar_ops(cigar: Column | str) -> Column:
     return F.transform(F.regexp_extract_all(col(cigar), F.lit(r"(\d+[MIDNSHP=X])"), 1), lambda p: F.struct(F.regexp_extract(p, r"\d+", 0).cast("int").alias("n"), F.substring(p, -1, 1).alias("op")))
 
 
-def cigar_sum(cigar: Column | str, ops: str) -> Column:
-    return F.aggregate(F.filter(cigar_ops(cigar), lambda x: x["op"].isin(*ops)), F.lit(0).cast("long"), lambda a, x: a + x["n"])
+#: Which operations each counter adds up; gap events are counted, not added up.
+_COUNTERS = {"aligned_columns": "MID=X", "query_aligned": "MI=X", "gap_events": "ID", "soft_clipped": "S", "hard_clipped": "H", "full_length": "MI=XSH", "matched_columns": "M=X"}
 
 
-def cigar_events(cigar: Column | str, ops: str) -> Column:
-    return F.size(F.filter(cigar_ops(cigar), lambda x: x["op"].isin(*ops))).cast("long")
+def cigar_totals(cigar: Column | str) -> Column:
+    """A struct of all counters of a CIGAR string, in one pass over its operations."""
+    zero = F.struct(*(F.lit(0).cast("long").alias(c) for c in _COUNTERS))
 
+    def add(t: Column, x: Column) -> Column:
+        return F.struct(*(F.when(x["op"].isin(*ops), t[c] + (F.lit(1) if c == "gap_events" else x["n"])).otherwise(t[c]).alias(c) for c, ops in _COUNTERS.items()))
 
-def cigar_columns(cigar: Column | str) -> list[Column]:
-    """aligned_columns, query_aligned, gap_events, soft_clipped, hard_clipped, full_length."""
-    return [
-        cigar_sum(cigar, "MID=X").alias("aligned_columns"),
-        cigar_sum(cigar, "MI=X").alias("query_aligned"),
-        cigar_events(cigar, "ID").alias("gap_events"),
-        cigar_sum(cigar, "S").alias("soft_clipped"),
-        cigar_sum(cigar, "H").alias("hard_clipped"),
-        cigar_sum(cigar, "MI=XSH").alias("full_length"),
-    ]
+    return F.aggregate(cigar_ops(cigar), zero, add)
 
 
-def identity_columns(cigar: Column | str, nm: Column | str) -> list[Column]:
-    """Percent identity over all columns, and with each gap counted once."""
-    every, gaps = cigar_sum(cigar, "MID=X"), cigar_events(cigar, "ID")
-    matches = every - col(nm)
-    return [
-        F.try_divide(100.0 * matches, every).alias("pid_gap_aware"),
-        F.try_divide(100.0 * matches, cigar_sum(cigar, "M=X") + gaps).alias("pid_gap_compressed"),
-    ]
+def with_cigar(df: DataFrame, cigar: str = "cigar", nm: str | None = "nm") -> DataFrame:
+    """df with aligned_columns, query_aligned, gap_events, soft_clipped, hard_clipped, full_length and, with ``nm``, pid_gap_aware
+    (percent identity over all columns) and pid_gap_compressed (each gap counted once). A CIGAR string is parsed once."""
+    x = df.withColumn("_cigar", cigar_totals(cigar))
+    t = F.col("_cigar")
+    out = [t[c].alias(c) for c in _COUNTERS if c != "matched_columns"]
+    if nm is not None:
+        matches = 100.0 * (t["aligned_columns"] - F.col(nm))
+        out += [F.try_divide(matches, t["aligned_columns"]).alias("pid_gap_aware"), F.try_divide(matches, t["matched_columns"] + t["gap_events"]).alias("pid_gap_compressed")]
+    return x.select(*(F.col(f"`{c}`") for c in df.columns), *out)
 
 
 def usable_alignment(flag: Column | str, secondary: bool = False) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import warnings
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +16,17 @@ LEVELS = {"complete": "Complete Genome", "chromosome": "Chromosome", "scaffold":
 LEVEL_SCORE = {"Complete Genome": 4, "Chromosome": 3, "Scaffold": 2, "Contig": 1}
 
 
+@dataclass(frozen=True)
+class Selection:
+    """Selected rows, the rank and spelling of their taxon, and what the user should know."""
+
+    rows: DataFrame
+    taxon: str
+    rank: str | None
+    derep_rank: str | None = None
+    notes: tuple[str, ...] = ()
+
+
 class TaxonNotFound(ValueError):
     pass
 
@@ -47,7 +59,7 @@ def resolve_taxon(df: DataFrame, name: str, rank: str | None = None) -> tuple[st
     """(canonical spelling, rank) of a taxon named in any case; all ranks are looked up in one scan."""
     want = normalize_taxon(name).lower()
     ranks = (rank,) if rank else RANKS
-    hits = df.select(F.explode(F.array(*(F.struct(F.lit(r).alias("rank"), F.col(r).alias("name")) for r in ranks))).alias("x")).where(F.lower("x.name") == want).select("x.*").distinct().limit(16).collect()
+    hits = df.select(F.explode(F.array(*(F.struct(F.lit(r).alias("rank"), F.col(r).alias("name")) for r in ranks))).alias("x")).where(F.lower("x.name") == want).select("x.*").distinct().collect()
     found = sorted({(h["name"], h["rank"]) for h in hits if h["name"] not in ("NA", "")}, key=lambda x: RANKS.index(x[1]))
     if not found:
         raise TaxonNotFound(name)
@@ -147,11 +159,11 @@ def random_per_group(df: DataFrame, group: list[str], key: str, seed: int, n: in
 
 
 def alive(df: DataFrame, key: Column, known: DataFrame, known_key: Column) -> DataFrame:
-    return df.join(known.select(known_key.alias("_k")).distinct(), key == F.col("_k"), "left_semi")
+    return df.join(known.select(known_key.alias("_k")), key == F.col("_k"), "left_semi")
 
 
 def dead(df: DataFrame, key: Column, known: DataFrame, known_key: Column) -> DataFrame:
-    return df.join(known.select(known_key.alias("_k")).distinct(), key == F.col("_k"), "left_anti")
+    return df.join(known.select(known_key.alias("_k")), key == F.col("_k"), "left_anti")
 
 
 def draw_live(df: DataFrame, dead_keys: DataFrame, group: list[str], key: str, seed: int, n: int, first: Column | None = None) -> DataFrame:
@@ -183,10 +195,10 @@ def tiered_lookup(rows: DataFrame, key: str, tiers: list[DataFrame], value: str)
 
 
 def merge_communities(user: DataFrame, drawn: DataFrame, key: str) -> DataFrame:
-    """Both, one row a key; the user's rows win."""
+    """Both, one row a key; the user's rows win, and of several the one whose columns come first."""
     both = user.withColumn("user_supplied", F.lit(True)).unionByName(drawn.withColumn("user_supplied", F.lit(False)), allowMissingColumns=True)
-    w = Window.partitionBy(key).orderBy(F.desc("user_supplied"))
-    return both.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    order = [F.when(F.col("user_supplied"), 0).otherwise(1), *(F.col(c) for c, kind in both.dtypes if "map<" not in kind)]
+    return best_per_group(both, [key], order, both.columns)
 
 
 def by_lineage_taxid(df: DataFrame, taxid: str, rank_taxids: list[str], own: str = "taxid") -> DataFrame:
@@ -210,3 +222,90 @@ def build_ncbi_catalog(sections: list[DataFrame], lineages: DataFrame, checkm: D
     x = x.join(lineages, "taxid", "left")
     c = checkm.withColumn("_core", accession_core("accession")).drop("accession")
     return x.withColumn("_core", accession_core("assembly_accession")).join(c, "_core", "left").drop("_core")
+
+
+def expand_targets(df: DataFrame, targets: list[str]) -> list[str]:
+    """Target names with ``all`` put in full: every assigned domain of the table, in order; each name once."""
+    out: list[str] = []
+    for t in targets:
+        out += [r[0] for r in taxa(df, "domain").collect()] if t.strip().lower() == "all" else [normalize_taxon(t)]
+    return list(dict.fromkeys(out))
+
+
+def quality_floor(df: DataFrame, spec: CatalogSpec, least: float = 70.0, below: float = 10.0) -> DataFrame:
+    """Genomes complete and clean enough to be taken without dereplication; unknown values don't pass."""
+    return df.where((number(spec.completeness) >= least) & (number(spec.contamination) < below))
+
+
+def without_filled(candidates: DataFrame, dead_keys: DataFrame, filled: DataFrame, key: str, group: list[str]) -> DataFrame:
+    """Candidates neither known to be dead nor of a group that has its genome already."""
+    x = candidates.join(dead_keys.select(key), key, "left_anti")
+    return x.join(filled.select(*group), group, "left_anti")
+
+
+def lineage_by_taxid(rows: DataFrame, catalog: DataFrame, ranks: tuple[str, ...] = RANKS, key: str = "taxid") -> DataFrame:
+    """rows with the lineage of their taxid: of a taxid's catalog rows the least assigned name at each rank."""
+    known = catalog.groupBy(F.col(key).alias("_t")).agg(*(F.min(assigned(r)).alias(f"_{r}") for r in ranks))
+    x = rows.join(known, F.col(key) == F.col("_t"), "left")
+    return x.select(*(c for c in rows.columns if c not in ranks), *(F.col(f"_{r}").alias(r) for r in ranks))
+
+
+def select_references(df: DataFrame, spec: CatalogSpec, target: str, rank: str | None = None, derep: str | None = "auto", representatives: bool = False, levels: list[str] | None = None) -> Selection:
+    """Reference genomes of a taxon: resolved, filtered, and dereplicated at a rank (auto: two finer) or under the quality
+    floor if not. ``all`` takes every domain."""
+    whole = target.strip().lower() == "all"
+    name, at = ("all", "domain") if whole else resolve_taxon(df, target, rank)
+    x = pool(df, spec, None if whole else at, None if whole else name, representatives, levels)
+    notes = []
+    with warnings.catch_warnings(record=True) as seen:
+        warnings.simplefilter("always")
+        fine = resolve_derep_rank(at, derep)
+    notes += [str(w.message) for w in seen]
+    if fine is None:
+        return Selection(quality_floor(x, spec), name, at, None, tuple(notes))
+    return Selection(dereplicate(x, spec, fine), name, at, fine, tuple(notes))
+
+
+def counts_by_rank(df: DataFrame, spec: CatalogSpec, rank: str | None = None, taxon: str | None = None) -> DataFrame:
+    """(rank, n_taxa, n_representative_taxa) under one scope, from one scan: distinct taxa of all genomes and of the
+    representatives alone, from the scope's rank downward."""
+    x = pool(df, spec, rank, taxon)
+    rep = F.col(spec.representative) == spec.representative_value
+    ranks = RANKS[RANKS.index(rank) :] if rank else RANKS
+    one = x.agg(*(F.countDistinct(assigned(r)).alias(r) for r in ranks), *(F.countDistinct(F.when(rep, assigned(r))).alias(f"{r}_rep") for r in ranks))
+    rows = F.array(*(F.struct(F.lit(r).alias("rank"), F.col(r).alias("n_taxa"), F.col(f"{r}_rep").alias("n_representative_taxa")) for r in ranks))
+    return one.select(F.explode(rows).alias("x")).select("x.*")
+
+
+def genome_counts(df: DataFrame, spec: CatalogSpec, **filters) -> DataFrame:
+    """(n_genomes, n_representatives) of a pool."""
+    return pool(df, spec, **filters).agg(F.count("*").alias("n_genomes"), F.count_if(F.col(spec.representative) == spec.representative_value).alias("n_representatives"))
+
+
+def with_quality(df: DataFrame) -> DataFrame:
+    """completeness and contamination from the checkm2 columns, or from the checkm ones where those are missing or blank."""
+
+    def first(what: str) -> Column:
+        found = [number(c) for c in (f"checkm2_{what}", f"checkm_{what}") if c in df.columns]
+        return F.coalesce(*found) if found else F.lit(None).cast("double")
+
+    return df.withColumn("completeness", first("completeness")).withColumn("contamination", first("contamination"))
+
+
+def community_rows(df: DataFrame, spec: CatalogSpec, user_supplied: bool, own: str, other: str, ranks: tuple[str, ...] = RANKS) -> DataFrame:
+    """Catalog rows in the community schema: accession, user_supplied, ranks under the prefix ``own`` and, null until they are
+    looked up, under ``other``, and the two pins."""
+    mine = [assigned(r).alias(f"{own}_{r}") for r in ranks]
+    theirs = [F.lit(None).cast("string").alias(f"{other}_{r}") for r in ranks]
+    pins = [(F.col(c).cast("double") if c in df.columns else F.lit(None).cast("double")).alias(c) for c in ("pinned_rel_abundance", "pinned_coverage")]
+    return df.select(F.col(spec.accession).alias("accession"), F.lit(user_supplied).alias("user_supplied"), *mine, *theirs, *pins)
+
+
+def build_gtdb_catalog(sections: list[DataFrame], columns: list[str], lineage: str = "gtdb_taxonomy") -> DataFrame:
+    """The union of the metadata sections with seven rank columns from the lineage, projected; no row at all is an error."""
+    from ..functions.columns import lineage_strict
+
+    x = assembly_union(sections)
+    if x.isEmpty():
+        raise ValueError("the metadata tables have no rows")
+    return x.select(*lineage_strict(lineage), *columns)

@@ -142,3 +142,62 @@ def simulate(genomes: DataFrame, contigs: DataFrame, seed: int, total: int, read
     reads = got.withColumn("_c", back).withColumn("genome", F.col("_c.genome")).withColumn("contig", F.col("_c.contig")).drop("_c")
     reads = reads.withColumn("read_id", F.concat_ws("_", "genome", "contig", F.regexp_extract("read_id", r"_(\d+(?:/[12])?)$", 1)))
     return Community(g, reads, genome_truth(g, reads), read_truth(reads.drop("seq"), g, "genome", ranks))
+
+
+def planned_units(genomes: DataFrame, total: int | None = None, median: float | None = None, read_length: int = 150, paired: bool = False, fragment: int | None = None) -> DataFrame:
+    """Reads of each genome by abundance (``total``) or by coverage (``median``, times the weight); exactly one is to be given."""
+    if (total is None) == (median is None):
+        raise ValueError("give either a number of reads or a coverage")
+    if total is not None:
+        return units_by_share(genomes, total, paired=paired)
+    return units_by_coverage(genomes, median, read_length, paired, fragment)
+
+
+def sizes_of(seqs: DataFrame, key: str = "genome") -> DataFrame:
+    """(genome, genome_size) of seqs(genome, seq)."""
+    return seqs.groupBy(key).agg(F.sum(F.length("seq").cast("long")).alias("genome_size"))
+
+
+def reconciled(selected: DataFrame, fetched: DataFrame, key: str = "accession") -> tuple[DataFrame, DataFrame]:
+    """(selected rows whose file came, accessions whose file didn't)."""
+    return selected.join(fetched.select(key), key, "left_semi"), selected.select(key).join(fetched.select(key), key, "left_anti")
+
+
+def truth_tables(truth: DataFrame, taxonomies: tuple[str, ...] = ("gtdb", "ncbi"), ranks: tuple[str, ...] = RANKS, value: str = "rel_abundance") -> dict[str, DataFrame]:
+    """Per taxonomy the truth per genome with that taxonomy's ranks under plain names, and the abundance per rank and taxon."""
+    out = {}
+    for t in taxonomies:
+        others = [f"{o}_{r}" for o in taxonomies for r in ranks]
+        plain = truth.select(*(c for c in truth.columns if c not in others), *(F.col(f"{t}_{r}").alias(r) for r in ranks))
+        out[t] = plain
+        out[f"{t}_per_rank"] = stats.truth_per_rank(plain, list(ranks), value)
+    return out
+
+
+def reproducible(genomes: DataFrame, value: str = "rel_abundance", key: str = "accession") -> DataFrame:
+    """(accession, rel_abundance) with six decimals, to be given as pins another time."""
+    return genomes.select(key, F.round(value, 6).alias("rel_abundance"))
+
+
+def catalog_summary(rows: DataFrame, catalog: DataFrame, accession: str) -> DataFrame:
+    """The first catalog row, by accession, of each of the community's accession cores."""
+    from ..functions.columns import accession_core
+
+    first = catalog.withColumn("_core", accession_core(accession)).where("_core <> ''").groupBy("_core").agg(F.min_by(F.struct(*catalog.columns), accession).alias("_r"))
+    wanted = rows.select(F.col("accession").alias("wanted"), accession_core("accession").alias("_w")).distinct()
+    return wanted.join(first, F.col("_w") == F.col("_core")).select("wanted", "_r.*")
+
+
+def run_community(genomes: DataFrame, contigs: DataFrame, seed: int, total: int, mutation_rate: float = 0.0, **reads) -> tuple[Community, DataFrame]:
+    """The phases after selection: sequences mutated if asked for, then sizes, abundance, reads and truth (see ``simulate``), and the
+    table that reproduces the abundances."""
+    from .sequences import mutate
+
+    made = None
+    if mutation_rate:
+        named = F.to_json(F.struct("genome", "contig"))
+        changed = mutate(contigs.select(named.alias("id"), "genome", "contig", "seq"), mutation_rate, seed)
+        contigs, made = changed.select("genome", "contig", "seq"), changed.groupBy("genome").agg(F.sum("substitutions").alias("substitutions"), F.sum("indels").alias("indels"))
+    c = simulate(genomes, contigs, seed, total, **reads)
+    truth = genome_truth(c.genomes, c.reads, made) if made is not None else c.truth
+    return Community(c.genomes, c.reads, truth, c.per_read), reproducible(truth, key="genome")

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .ordered import running_sum
+
 
 def mark_runs(df: DataFrame, keys: list[str], start: str = "start", end: str = "end", gap: int = 0, closed: bool = False, tie: list[str] | None = None) -> DataFrame:
     """df with ``run``, the number of the run within its keys.
@@ -63,7 +65,8 @@ def resolve_regions(found: DataFrame, least: float = 0.5) -> DataFrame:
     """Best target of each place: loci of a contig are swept by (start, end) and join the current cluster if they overlap any
     of its members by the share of the shorter span; the best has the highest bitscore, then pident * length.
 
-    Membership depends on what the cluster already holds, so a contig's loci are swept in one Python call.
+    Membership depends on what the cluster already holds, so it is swept in Python; but a cluster never reaches over a place
+    that no locus covers, so a contig is cut there first and its pieces are swept apart.
     """
 
     def sweep(pdf):
@@ -88,16 +91,106 @@ def resolve_regions(found: DataFrame, least: float = 0.5) -> DataFrame:
         close()
         return pd.DataFrame(out, columns=["contig", "start", "end", "target", "pident", "bitscore", "members", "alternates"])
 
-    return found.select("contig", "target", "q_low", "q_high", "pident", "bitscore").groupBy("contig").applyInPandas(sweep, REGION)
+    parts = mark_runs(found.select("contig", "target", "q_low", "q_high", "pident", "bitscore"), ["contig"], "q_low", "q_high", tie=["target"])
+    return parts.groupBy("contig", "run").applyInPandas(sweep, REGION)
 
 
 def islands(regions: DataFrame, lengths: DataFrame, gap: int = 5000, buffer: int = 0, min_contig: int = 20_000, times: float = 3.0, min_span: int = 2_000, min_regions: int = 3) -> DataFrame:
-    """Chains of regions within a gap that pass the extraction gate, buffered and clamped to the contig, numbered per contig."""
+    """Chains of regions within a gap that pass the extraction gate, buffered and clamped to the contig, numbered per contig, with
+    the chain's own bounds and the contig's length beside."""
     x = merge_runs(regions, ["contig"], gap=gap, closed=True).join(lengths, "contig")
     span = F.col("end") - F.col("start") + 1
     x = x.where((F.col("length") >= min_contig) & (F.col("length") >= times * span) & (span >= min_span) & (F.col("spans") >= min_regions))
     n = F.row_number().over(Window.partitionBy("contig").orderBy("start"))
-    return x.select("contig", F.concat_ws("_", F.col("contig"), F.lit("island"), n.cast("string")).alias("island"), F.greatest(F.col("start") - buffer, F.lit(1)).alias("start"), F.least(F.col("end") + buffer, F.col("length")).alias("end"), F.col("spans").alias("regions"))
+    return x.select(
+        "contig",
+        F.concat_ws("_", F.col("contig"), F.lit("island"), n.cast("string")).alias("island"),
+        F.greatest(F.col("start") - buffer, F.lit(1)).alias("start"),
+        F.least(F.col("end") + buffer, F.col("length")).alias("end"),
+        F.col("spans").alias("regions"),
+        F.col("start").alias("island_start"),
+        F.col("end").alias("island_end"),
+        F.col("length").alias("contig_length"),
+    )
+
+
+def named_islands(found: DataFrame) -> DataFrame:
+    """islands() under the ids that files and tables share: safe contig name, _island_, buffered start-end."""
+    from ..functions.columns import safe_name
+
+    return found.withColumn("island", F.concat(safe_name(F.col("contig").cast("string")), F.lit("_island_"), F.col("start").cast("string"), F.lit("-"), F.col("end").cast("string")))
+
+
+def island_sequences(found: DataFrame, seqs: DataFrame) -> DataFrame:
+    """(island, contig, seq) sliced from seqs(id, seq); bounds are 1-based and inclusive. Islands of one contig meet its text once."""
+    cuts = found.groupBy("contig").agg(F.collect_list(F.struct("island", "start", "end")).alias("_i"))
+    x = cuts.join(seqs.select(F.col("id").alias("contig"), "seq"), "contig")
+    x = x.select("contig", "seq", F.explode("_i").alias("i"))
+    return x.select("i.island", "contig", F.substring("seq", F.col("i.start").cast("int"), (F.col("i.end") - F.col("i.start") + 1).cast("int")).alias("seq"))
+
+
+def region_islands(regions: DataFrame, found: DataFrame) -> DataFrame:
+    """regions with the island that each lies in, or null."""
+    i = found.select(F.col("contig").alias("_c"), "island", F.col("island_start").alias("_s"), F.col("island_end").alias("_e"))
+    return regions.join(i, (F.col("contig") == F.col("_c")) & (F.col("start") >= F.col("_s")) & (F.col("end") <= F.col("_e")), "left").drop("_c", "_s", "_e")
+
+
+def identity_filter(hsps: DataFrame, nucleotides: float = 80.0, residues: float = 70.0, kind: str = "target_type") -> DataFrame:
+    """Hits whose percent identity reaches the threshold of their kind, nt or aa."""
+    return hsps.where(F.col("pident") >= F.when(F.col(kind) == "aa", residues).otherwise(nucleotides))
+
+
+def contig_summary(found: DataFrame, lengths: DataFrame, regions: DataFrame | None = None, islands: DataFrame | None = None) -> DataFrame:
+    """Per contig with loci(contig, target, q_low, q_high): length, bases that targets align to (each once), their percent, different
+    and total targets, and if given the number of resolved regions and the ids of its islands, joined by ; or none."""
+    bases = union_length(found.select("contig", F.col("q_low").alias("start"), F.col("q_high").alias("end")), ["contig"], closed=True)
+    hits = found.groupBy("contig").agg(F.countDistinct("target").alias("num_unique_target_hits"), F.count("*").alias("num_total_target_hits"))
+    x = bases.withColumnRenamed("covered", "bases_aligned_to_targets").join(hits, "contig").join(lengths, "contig")
+    x = x.withColumn("perc_contig_aligned_to_targets", F.try_divide(100.0 * F.col("bases_aligned_to_targets"), F.col("length")))
+    if regions is not None:
+        x = x.join(regions.groupBy("contig").agg(F.count("*").alias("num_regions")), "contig", "left").na.fill(0, ["num_regions"])
+    if islands is not None:
+        ids = islands.groupBy("contig").agg(F.array_join(F.array_sort(F.collect_list("island")), ";").alias("island_ids"))
+        x = x.join(ids, "contig", "left").withColumn("island_ids", F.coalesce("island_ids", F.lit("none")))
+    return x
+
+
+def screen_assemblies(hits: list[tuple[str, DataFrame]], gap: int = 200, **gates) -> DataFrame:
+    """Loci of every assembly in one table with ``assembly`` first: assemblies are one key, not a loop of results."""
+    every = None
+    for name, df in hits:
+        one = df.withColumn("contig", F.struct(F.lit(name).alias("assembly"), F.col("contig").cast("string").alias("contig")))
+        every = one if every is None else every.unionByName(one)
+    x = loci(every, gap, **gates)
+    return x.select(F.col("contig.assembly").alias("assembly"), F.col("contig.contig").alias("contig"), *(c for c in x.columns if c != "contig"))
+
+
+def assembly_names(paths: list[str]) -> list[str]:
+    """File names without the suffix, or whole paths without it if two are alike."""
+    import os
+
+    short = [os.path.basename(p).rsplit(".", 1)[0] for p in paths]
+    return short if len(set(short)) == len(short) else [p.rsplit(".", 1)[0] for p in paths]
+
+
+def require_overlap(subjects: DataFrame, targets: DataFrame, key: str) -> None:
+    """An error if no subject id is among the targets."""
+    if subjects.select(key).join(targets.select(key), key, "left_semi").isEmpty():
+        raise ValueError("none of the targets is in the search results")
+
+
+def detection_state(spans: DataFrame, contigs: DataFrame, enough: float = 1.0) -> DataFrame:
+    """Per contig of contigs(contig, length): covered bases, covered intervals and whether the share covered reaches ``enough``;
+    a contig of length 0 is done."""
+    runs = merge_runs(split_wrapped(spans.join(contigs, "contig")), ["contig"])
+    s = runs.groupBy("contig").agg(F.sum(F.col("end") - F.col("start")).alias("covered"), F.count("*").alias("intervals"))
+    x = contigs.join(s, "contig", "left").na.fill(0, ["covered", "intervals"])
+    return x.withColumn("done", (F.col("length") == 0) | (F.col("covered") >= enough * F.col("length")))
+
+
+def contig_lengths(seqs: DataFrame) -> DataFrame:
+    """(contig, length) of seqs(id, seq); of contigs with one name the longest."""
+    return seqs.groupBy(F.col("id").alias("contig")).agg(F.max(F.length("seq").cast("long")).alias("length"))
 
 
 def sliding_windows(contigs: DataFrame, size: int, step: int) -> DataFrame:
@@ -110,8 +203,8 @@ def sliding_windows(contigs: DataFrame, size: int, step: int) -> DataFrame:
 def window_statistics(windows: DataFrame, value: str = "value", per: list[str] | None = None) -> DataFrame:
     """Fold, signed fold, z-score, log2 fold and average-rank percentile of each window against all or its group.
 
-    Totals come from an aggregate joined back, ranks from counts of the distinct values, so nothing is ranked row by row;
-    without groups the distinct values of one column are still ordered in one task.
+    Totals come from an aggregate joined back, ranks from running counts of the distinct values, so nothing is ranked row by
+    row and without groups no task sees all values.
     """
     keys = per or []
     v = F.col(value)
@@ -119,14 +212,21 @@ def window_statistics(windows: DataFrame, value: str = "value", per: list[str] |
     k = keys or ["_k"]
     stats = one.groupBy(*k).agg(F.avg(value).alias("_mean"), F.stddev_samp(value).alias("_sd"), F.count(value).alias("_n"))
     freq = one.groupBy(*k, v.alias("_v")).agg(F.count("*").alias("_c"))
-    upto = F.sum("_c").over(Window.partitionBy(*k).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
-    ranked = freq.withColumn("_rank", upto - (F.col("_c") - 1) / 2.0).drop("_c")
+    if keys:
+        freq = freq.withColumn("_upto", F.sum("_c").over(Window.partitionBy(*k).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)))
+    else:
+        freq = running_sum(freq, "_v", "_c", "_upto")
+    ranked = freq.withColumn("_rank", F.col("_upto") - (F.col("_c") - 1) / 2.0).drop("_c", "_upto")
     x = one.join(stats, k)
     x = x.withColumn("_v", v).join(ranked, [*k, "_v"])
-    fold = F.try_divide(v, F.col("_mean"))
-    out = x.withColumn("fold", fold).withColumn("signed_fold", F.when(fold >= 1, fold).otherwise(F.try_divide(F.lit(-1.0), fold)))
-    out = out.withColumn("zscore", F.try_divide(v - F.col("_mean"), F.col("_sd"))).withColumn("log2_fold", F.log2((v + 1e-6) / (F.col("_mean") + 1e-6)))
-    return out.withColumn("percentile", 100.0 * F.col("_rank") / F.col("_n")).drop("_mean", "_sd", "_n", "_rank", "_v", "_k")
+    return _against(x, v, F.col("_mean"), F.col("_sd")).withColumn("percentile", 100.0 * F.col("_rank") / F.col("_n")).drop("_mean", "_sd", "_n", "_rank", "_v", "_k")
+
+
+def _against(x: DataFrame, v: Column, mean: Column, sd: Column) -> DataFrame:
+    """x with fold, signed fold (0 where the fold is 0), z-score and log2 fold of a value against a mean and deviation."""
+    fold = F.try_divide(v, mean)
+    signed = F.when(fold == 0, 0.0).when(fold >= 1, fold).otherwise(F.try_divide(F.lit(-1.0), fold))
+    return x.withColumn("fold", fold).withColumn("signed_fold", signed).withColumn("zscore", F.try_divide(v - mean, sd)).withColumn("log2_fold", F.log2((v + 1e-6) / (mean + 1e-6)))
 
 
 def extreme_windows(stats: DataFrame, metric: str, threshold: float, high: bool, value: str = "value") -> DataFrame:
@@ -151,12 +251,29 @@ def region_percentiles(regions: DataFrame, windows: DataFrame) -> DataFrame:
     """
     w = windows.groupBy(F.col("value").alias("v")).agg(F.count("*").alias("n"))
     r = regions.select(F.col("coverage").alias("v")).distinct().withColumn("n", F.lit(0).cast("long"))
-    axis = w.unionByName(r).groupBy("v").agg(F.sum("n").alias("n"))
-    axis = axis.withColumn("upto", F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("v").rowsBetween(Window.unboundedPreceding, 0)))
+    axis = running_sum(w.unionByName(r).groupBy("v").agg(F.sum("n").alias("n")), "v", "n", "upto")
     total = windows.agg(F.count("*").alias("total"))
     return regions.join(axis.select(F.col("v").alias("coverage"), "upto"), "coverage").join(F.broadcast(total)).withColumn("percentile", 100.0 * F.col("upto") / F.col("total")).drop("upto", "total")
 
 
+def region_metrics(regions: DataFrame, windows: DataFrame, per_contig: bool = False) -> DataFrame:
+    """regions(contig, start, end, coverage) with length, fold, signed_fold, zscore, log2_fold against all windows or those of the
+    contig, and percentile, the share of those windows that are at most the region's mean."""
+    if per_contig:
+        base = windows.groupBy("contig").agg(F.avg("value").alias("_mean"), F.stddev_samp("value").alias("_sd"), F.count("value").alias("_n"))
+        w = windows.select("contig", F.col("value").alias("coverage"), F.lit(1).cast("long").alias("_w"))
+        axis = w.unionByName(regions.select("contig", "coverage", F.lit(0).cast("long").alias("_w"))).groupBy("contig", "coverage").agg(F.sum("_w").alias("_w"))
+        upto = F.sum("_w").over(Window.partitionBy("contig").orderBy("coverage").rowsBetween(Window.unboundedPreceding, 0))
+        x = regions.join(axis.select("contig", "coverage", upto.alias("_upto")), ["contig", "coverage"]).join(base, "contig")
+        x = x.withColumn("percentile", 100.0 * F.col("_upto") / F.col("_n"))
+    else:
+        base = windows.agg(F.avg("value").alias("_mean"), F.stddev_samp("value").alias("_sd"))
+        x = region_percentiles(regions, windows).join(F.broadcast(base))
+    x = x.withColumn("length", F.col("end") - F.col("start"))
+    x = _against(x, F.col("coverage"), F.col("_mean"), F.col("_sd"))
+    return x.select("contig", "start", "end", "length", "coverage", "percentile", "zscore", "signed_fold", "fold", "log2_fold")
+
+
 def overlap_sums(regions: DataFrame, spans: DataFrame, bin_size: int, where: Column | None = None) -> DataFrame:
     """Per region (contig, start, end) the bases that it shares with spans; both sides meet in equal bins, each pair once."""
     s = spans if where is None else spans.where(where)

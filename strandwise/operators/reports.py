@@ -68,9 +68,13 @@ def top_and_other(df: DataFrame, name: str, value: str, keys: list[str] | None =
     s = df.groupBy(*k, name).agg(F.sum(value).alias(value))
     if least is not None:
         keep = F.col(value) >= least
-    else:
-        s = s.withColumn("_n", F.row_number().over(Window.partitionBy(*(k or [F.lit(0)])).orderBy(F.desc(value), name)))
+    elif k:
+        s = s.withColumn("_n", F.row_number().over(Window.partitionBy(*k).orderBy(F.desc(value), name)))
         keep = F.col("_n") <= n
+    else:
+        top = s.orderBy(F.desc(value), name).limit(n).select(F.struct(name).alias("_top"))
+        s = s.join(F.broadcast(top), F.struct(name).eqNullSafe(F.col("_top")), "left")
+        keep = F.col("_top").isNotNull()
     return s.withColumn(name, F.when(keep, F.col(name)).otherwise(F.lit("Other"))).groupBy(*k, name).agg(F.sum(value).alias(value))
 
 
@@ -86,11 +90,15 @@ def best_annotations(hits: DataFrame) -> DataFrame:
     return best_hits(hits, "gene", ["ko", "function"], passes, [F.col("evalue"), F.col("ordinal")])
 
 
-def term_counts(annotations: DataFrame, terms: DataFrame, keep_zeros: bool = False) -> DataFrame:
-    """Count of each living term over annotations(gene, terms array), its percent of all and within its namespace."""
+def counted_terms(annotations: DataFrame) -> DataFrame:
+    """(term, term_counts) of annotations(terms array)."""
+    return annotations.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("term_counts"))
+
+
+def term_shares(counts: DataFrame, terms: DataFrame, keep_zeros: bool = False) -> DataFrame:
+    """Count of each living term, its percent of all and within its namespace."""
     live = terms.where(~F.col("is_obsolete"))
-    c = annotations.select(F.explode("terms").alias("_t")).groupBy("_t").agg(F.count("*").alias("term_counts"))
-    x = live.join(c, F.col("term") == F.col("_t"), "left").withColumn("term_counts", F.coalesce("term_counts", F.lit(0))).drop("_t")
+    x = live.join(counts, "term", "left").withColumn("term_counts", F.coalesce("term_counts", F.lit(0)))
     own = x.groupBy("namespace").agg(F.sum("term_counts").alias("_o"))
     every = own.agg(F.sum("_o").alias("_a"))
     x = x.join(own, "namespace").join(F.broadcast(every))
@@ -98,6 +106,11 @@ def term_counts(annotations: DataFrame, terms: DataFrame, keep_zeros: bool = Fal
     return x if keep_zeros else x.where("term_counts > 0")
 
 
+def term_counts(annotations: DataFrame, terms: DataFrame, keep_zeros: bool = False) -> DataFrame:
+    """Shares of annotations(gene, terms array) over all living terms; unknown terms don't count (see unknown_terms)."""
+    return term_shares(counted_terms(annotations), terms, keep_zeros)
+
+
 def unknown_terms(annotations: DataFrame, terms: DataFrame) -> DataFrame:
     return annotations.select(F.explode("terms").alias("term")).distinct().join(terms, "term", "left_anti")
 
@@ -129,10 +142,14 @@ def coverage_with_gate(df: DataFrame, coverage: str, detected: str, least: float
     return df.withColumn(coverage, F.when(F.col(detected) <= least, 0.0).otherwise(F.col(coverage)))
 
 
-def genome_overview(stats: DataFrame, quality: DataFrame, lineage: DataFrame, key: str = "genome") -> DataFrame:
-    """Statistics, quality and lineage by key; blank ranks read Not Assigned."""
+def genome_overview(stats: DataFrame, quality: DataFrame, lineage: DataFrame, key: str = "genome", missing: str = "Not Assigned") -> DataFrame:
+    """Statistics, quality and lineage by key; blank ranks read as ``missing``."""
     x = stats.join(quality, key).join(lineage, key)
-    return x.select(*(c for c in x.columns if c not in RANKS), *(F.coalesce(F.when(F.trim(r) != "", F.col(r)), F.lit("Not Assigned")).alias(r) for r in RANKS))
+    return x.select(*(c for c in x.columns if c not in RANKS), *(F.coalesce(F.when(F.trim(r) != "", F.col(r)), F.lit(missing)).alias(r) for r in RANKS))
+
+
+def by_lineage(df: DataFrame, key: str) -> DataFrame:
+    return df.orderBy(*(F.col(r).asc_nulls_last() for r in RANKS if r in df.columns), key)
 
 
 def good_bins(df: DataFrame, completeness: float, redundancy: float, name: str = "bin") -> DataFrame:
@@ -191,3 +208,122 @@ def split_colliding(targets: DataFrame, name: str = "target", kind: str = "type"
 def runs_of_samples(runs: DataFrame, sample: str = "sample", run: str = "run") -> DataFrame:
     """The runs that make up each sample, in order, by exact name; a sample's runs are few, repeated rows count once."""
     return runs.groupBy(sample).agg(F.array_sort(F.collect_set(run)).alias("runs")).withColumn("n_runs", F.size("runs"))
+
+
+#: Rank codes that a plot of a report keeps.
+STANDARD_CODES = ("D", "P", "C", "O", "F", "G", "S", "U", "R", "R1")
+
+
+def standard_ranks(report: DataFrame) -> DataFrame:
+    """Lines of the standard ranks; those in between go."""
+    return report.where(F.col("rank").isin(*STANDARD_CODES))
+
+
+def keyed_tables(first: DataFrame, others: list[DataFrame], key: str) -> DataFrame:
+    """Coverage with annotation and taxonomy of the same genes or contigs, by key and not by place; keys that another table lacks
+    keep nulls there."""
+    for df in others:
+        first = first.join(df, key, "left")
+    return first
+
+
+def function_coverage(genes: DataFrame, key: str = "ko", value: str = "coverage") -> DataFrame:
+    """Coverage summed by function; genes without one are one group with a null key."""
+    return genes.groupBy(key).agg(F.sum(value).alias(value))
+
+
+def taxid_coverage(rows: DataFrame, key: str = "taxid", value: str = "coverage", ranks: tuple[str, ...] = RANKS) -> DataFrame:
+    """Coverage summed by taxid; rows without a taxid, or whose whole lineage is missing (such as the root), are one group with a
+    null taxid. The lineage decides row by row, in whatever order tables come."""
+    from ..functions.columns import assigned
+
+    named = F.coalesce(*(assigned(r) for r in ranks)).isNotNull()
+    return rows.groupBy(F.when(named, assigned(key)).alias(key)).agg(F.sum(value).alias(value))
+
+
+def enriched(combined: DataFrame, key: str, facts: DataFrame, columns: list[str], missing: str, none: str | None = None) -> DataFrame:
+    """A combined table with the facts of its keys: ``missing`` where there are none, and ``none`` as the key of the null group."""
+    f = facts.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_k")).agg(F.min(F.struct(*columns)).alias("_f"))
+    x = combined.join(f, F.col(key) == F.col("_k"), "left")
+    label = F.coalesce(F.col(key).cast("string"), F.lit(none)) if none is not None else F.col(key)
+    rest = [c for c in combined.columns if c != key]
+    return x.select(label.alias(key), *(F.coalesce(F.col(f"_f.{c}").cast("string"), F.lit(missing)).alias(c) for c in columns), *rest)
+
+
+def contig_taxonomy(samples: list[tuple[str, DataFrame]], method: str = "none", value: str = "coverage") -> DataFrame:
+    """Contig tables of all samples as one: coverage by taxid with the all-missing fold, normalised, with the lineage of each taxid
+    (NA) and Not classified for the rest."""
+    from . import stats
+
+    summed = [(name, taxid_coverage(df, value=value)) for name, df in samples]
+    long = None
+    for name, df in summed:
+        one = df.select(F.coalesce("taxid", F.lit("")).alias("feature"), F.lit(name).alias("sample"), F.col(value).alias("value"))
+        long = one if long is None else long.unionByName(one)
+    every = long.select("feature").distinct().join(F.broadcast(long.sparkSession.createDataFrame([(n,) for n, _ in samples], "sample string")))
+    long = every.join(long, ["feature", "sample"], "left").na.fill(0.0, ["value"])
+    done = stats.normalize(long, method)
+    shown = {"none": "value", "cpm": "cpm"}.get(method, "normalized")
+    wide = done.groupBy("feature").pivot("sample", [n for n, _ in samples]).agg(F.sum(shown))
+    facts = None
+    for _, df in samples:
+        one = df.select("taxid", *RANKS)
+        facts = one if facts is None else facts.unionByName(one)
+    wide = wide.withColumn("taxid", F.when(F.col("feature") != "", F.col("feature"))).drop("feature").select("taxid", *(n for n, _ in samples))
+    return enriched(wide, "taxid", facts, list(RANKS), "NA", "Not classified")
+
+
+def marker_table(taxonomy: DataFrame, counts: DataFrame, key: str = "ASV_ID") -> DataFrame:
+    """Taxonomy and counts of the features that both tables have."""
+    return taxonomy.join(counts, key)
+
+
+def union_of_samples(samples: list[tuple[str, DataFrame | None]], name: str = "sample") -> DataFrame:
+    """The rows of all samples with the sample first; samples without a table are left out, all without one is an error."""
+    out = None
+    for sample, df in samples:
+        if df is not None:
+            one = df.select(F.lit(sample).alias(name), *df.columns)
+            out = one if out is None else out.unionByName(one, allowMissingColumns=True)
+    if out is None:
+        raise ValueError("no sample has a table")
+    return out
+
+
+#: What each output is sorted by; ties by what follows.
+ORDERS = {
+    "terms": (("namespace", True), ("depth", True), ("term", True)),
+    "percent": (("percent", False), ("name", True)),
+    "abundance": (("abundance", False), ("taxon", True)),
+    "taxid": (("taxid", True),),
+}
+
+
+def in_order(df: DataFrame, kind: str) -> DataFrame:
+    """df in one of the output orders; columns of the order that it lacks are passed over."""
+    return df.orderBy(*(F.col(c).asc_nulls_last() if up else F.col(c).desc_nulls_last() for c, up in ORDERS[kind] if c in df.columns))
+
+
+def taxonomy_bars(report: DataFrame, code: str, keys: list[str] | None = None, n: int = 10, least: float | None = None) -> DataFrame:
+    """(keys, name, percent) of one rank for a bar chart: percents by name, the n largest or those of at least ``least`` percent,
+    the rest as Other."""
+    x = report.withColumn("name", F.trim("name")).withColumn("rank", report_rank("rank", "name")).where(F.col("rank") == code)
+    return top_and_other(x.select(*(keys or []), "name", "percent"), "name", "percent", keys, n, least)
+
+
+def by_column_name(df: DataFrame, names: list[str]) -> DataFrame:
+    """The named columns in the order given; unknown names are an error that lists the known ones."""
+    unknown = [n for n in names if n not in df.columns]
+    if unknown:
+        raise ValueError(f"no columns {unknown}; known: {df.columns}")
+    return df.select(*(F.col(f"`{n}`") for n in names))
+
+
+def header_report(wanted: DataFrame, records: DataFrame, key: str = "id") -> DataFrame:
+    """(key, found) for each wanted header."""
+    return wanted.select(key).distinct().join(records.select(F.col(key).alias("_k")).distinct(), F.col(key) == F.col("_k"), "left").select(key, F.col("_k").isNotNull().alias("found"))
+
+
+def accession_report(found: DataFrame, missing: DataFrame) -> DataFrame:
+    """(wanted, status) of both halves of a lookup of wanted accessions."""
+    return found.select("wanted", F.lit("found").alias("status")).distinct().unionByName(missing.select("wanted", F.lit("not found").alias("status")).distinct())

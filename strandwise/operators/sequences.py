@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.columns import reverse_complement
+from .ordered import running_sum
 
 
 def filter_length(df: DataFrame, least: int | None = None, most: int | None = None, seq: str = "seq") -> DataFrame:
@@ -30,16 +31,15 @@ def by_values(df: DataFrame, key: str, values: DataFrame, invert: bool = False)
     return df.join(values.select(F.trim(values.columns[0]).alias(key)).distinct(), key, "left_anti" if invert else "left_semi")
 
 
-def number_records(df: DataFrame, base: str = "s", order: str = "ordinal", ranges: int = 200) -> DataFrame:
-    """Ids base1, base2, .. by order. Approximate quantiles cut the order into ranges; a record's number is its place in its
-    range plus the sizes of the ranges before, so no task sees more than a range."""
-    cuts = df.agg(F.percentile_approx(order, [i / ranges for i in range(1, ranges)], 1000)).first()[0]
-    part = F.size(F.filter(F.array(*map(F.lit, sorted(set(cuts)))), lambda c: c < F.col(order))) if cuts else F.lit(0)
-    x = df.withColumn("_p", part)
-    w = Window.partitionBy("_p").orderBy(order)
-    sizes = x.groupBy("_p").agg(F.count("*").alias("_c"))
-    before = sizes.withColumn("_b", F.sum("_c").over(Window.partitionBy(F.lit(0)).orderBy("_p")) - F.col("_c")).select("_p", "_b")
-    return x.withColumn("_n", F.row_number().over(w)).join(F.broadcast(before), "_p").withColumn("id", F.concat(F.lit(base), (F.col("_n") + F.col("_b")).cast("string"))).drop("_p", "_n", "_b")
+def number_records(df: DataFrame, base: str = "s", order: str = "ordinal") -> DataFrame:
+    """Ids base1, base2, .. by order, numbered range by range."""
+    x = running_sum(df.withColumn("_one", F.lit(1)), order, "_one", "_n")
+    return x.withColumn("id", F.concat(F.lit(base), F.col("_n").cast("string"))).drop("_one", "_n")
+
+
+def rename(df: DataFrame, prefix: str = "", suffix: str = "", key: str = "id") -> DataFrame:
+    """Ids between a prefix and a suffix."""
+    return df.withColumn(key, F.concat(F.lit(prefix), F.col(key), F.lit(suffix)))
 
 
 def suffix_repeats(df: DataFrame, key: str = "id", order: str = "ordinal") -> DataFrame:
@@ -63,9 +63,13 @@ def to_bed(df: DataFrame, half_open: bool = False) -> DataFrame:
 
 
 def extract(spans: DataFrame, seqs: DataFrame) -> DataFrame:
-    """Sub-sequences of spans(contig, start, end), 0-based half-open."""
-    x = spans.join(seqs.select(F.col("id").alias("contig"), "seq"), "contig")
-    return x.withColumn("seq", F.substring("seq", (F.col("start") + 1).cast("int"), (F.col("end") - F.col("start")).cast("int")))
+    """Sub-sequences of spans(contig, start, end), 0-based half-open. Spans meet their contig's text in groups of bounded size and
+    are cut from it there, so the text isn't repeated for each."""
+    part = F.pmod(F.xxhash64(*spans.columns), F.lit(8)).alias("_part")
+    cuts = spans.groupBy("contig", part).agg(F.collect_list(F.struct(*spans.columns)).alias("_s"))
+    x = cuts.join(seqs.select(F.col("id").alias("contig"), "seq"), "contig").select("seq", F.explode("_s").alias("s"))
+    x = x.select("s.*", "seq")
+    return x.select(*spans.columns, F.substring("seq", (F.col("start") + 1).cast("int"), (F.col("end") - F.col("start")).cast("int")).alias("seq"))
 
 
 def exact_hits(df: DataFrame, key: str, seq: str, probe: str) -> DataFrame:
@@ -77,33 +81,50 @@ def exact_hits(df: DataFrame, key: str, seq: str, probe: str) -> DataFrame:
     return x.select(key, F.explode(at).alias("start")).withColumn("end", F.col("start") + len(probe))
 
 
-def _infix(pattern: str, text: str, k: int) -> list[tuple[int, int]]:
-    """Places of least edit distance (at most k) of pattern in text: each end, with the start nearest to it."""
-    m = len(pattern)
-    cost, start = list(range(m + 1)), [0] * (m + 1)
-    best, out = k, []
+def _bits(pattern: str, text: str, k: int) -> list[int]:
+    """Ends in text of the places of least edit distance (at most k) of pattern: the columns of the distance table as bit vectors,
+    a few integer operations a letter (Myers 1999)."""
+    m, masks = len(pattern), {}
+    for i, c in enumerate(pattern):
+        masks[c] = masks.get(c, 0) | 1 << i
+    full, top = (1 << m) - 1, 1 << (m - 1)
+    up, down, cost, best, ends = full, 0, m, k, []
     for j, c in enumerate(text, 1):
-        diagonal, dstart = cost[0], j - 1
-        cost[0], start[0] = 0, j
-        for i in range(1, m + 1):
-            here, hstart = cost[i], start[i]
-            sub = diagonal + (pattern[i - 1] != c)
-            if sub <= here + 1 and sub <= cost[i - 1] + 1:
-                cost[i], start[i] = sub, dstart
-            elif cost[i - 1] + 1 <= here + 1:
-                cost[i], start[i] = cost[i - 1] + 1, start[i - 1]
-            else:
-                cost[i] = here + 1
-            diagonal, dstart = here, hstart
-        if cost[m] < best:
-            best, out = cost[m], []
-        if cost[m] == best:
-            out.append((start[m], j))
+        same = masks.get(c, 0)
+        diagonal = (((same & up) + up) ^ up) | same | down
+        rise = down | ~(diagonal | up) & full
+        fall = up & diagonal
+        cost += 1 if rise & top else -1 if fall & top else 0
+        rise, fall = (rise << 1) & full, (fall << 1) & full
+        up = (fall | ~((same | down) | rise)) & full
+        down = rise & (same | down)
+        if cost < best:
+            best, ends = cost, []
+        if cost == best:
+            ends.append(j)
+    return ends
+
+
+def _starts(pattern: str, text: str, ends: list[int], k: int) -> list[tuple[int, int]]:
+    """(start, end) of places known by their end: the start that is nearest to it, found in the few letters before."""
+    out = []
+    for end in ends:
+        piece = text[max(0, end - len(pattern) - k) : end][::-1]
+        back, row = pattern[::-1], list(range(len(pattern) + 1))
+        best = (row[-1], 0)
+        for j, c in enumerate(piece, 1):
+            new = [j]
+            for i, d in enumerate(back, 1):
+                new.append(min(row[i] + 1, new[-1] + 1, row[i - 1] + (d != c)))
+            row = new
+            best = min(best, (row[-1], j))
+        out.append((end - best[1], end))
     return out
 
 
 def primer_hits(df: DataFrame, forward: str, reverse: str, k: int = 0, key: str = "id", seq: str = "seq") -> DataFrame:
-    """(key, start, end, type) of both primers in both orientations within k edits; places found twice count once."""
+    """(key, start, end, type) of the places of least edit distance, at most k, of both primers in both orientations, each end with
+    the start nearest to it; places found twice count once. Texts are read once for each probe, as bit vectors."""
     flip = str.maketrans("ACGTacgt", "TGCAtgca")
     probes = [("forward", forward), ("reverse", reverse), ("forward", forward[::-1].translate(flip)), ("reverse", reverse[::-1].translate(flip))]
 
@@ -112,8 +133,8 @@ def primer_hits(df: DataFrame, forward: str, reverse: str, k: int = 0, key: str
         def one(text):
             seen = {}
             for kind, p in probes:
-                for a, b in _infix(p, text or "", k):
-                    seen.setdefault((a, b), kind)
+                for place in _starts(p, text or "", _bits(p, text or "", k), k):
+                    seen.setdefault(place, kind)
             return [{"start": a, "end": b, "type": t} for (a, b), t in sorted(seen.items())]
 
         return s.map(one)
@@ -204,3 +225,64 @@ def mutate(df: DataFrame, rate: float, seed: int, transition_ratio: float = 2.0,
             yield pdf.assign(**{seq: out, "substitutions": subs, "indels": indels})
 
     return df.mapInPandas(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + ", substitutions long, indels long")
+
+
+def one_insertion(records: DataFrame) -> str:
+    """The sequence of the only record of an insertion file; none or several are an error."""
+    got = records.select("seq").limit(2).collect()
+    if len(got) != 1:
+        raise ValueError("the insertion file must hold exactly one sequence")
+    return got[0]["seq"]
+
+
+def clock_seed() -> int:
+    """Hour, minute and second as a number, for runs without a seed of their own; it is printed with the result."""
+    import time
+
+    now = time.localtime()
+    return now.tm_hour * 10_000 + now.tm_min * 100 + now.tm_sec
+
+
+def parse_place(place: str) -> tuple[str, int]:
+    """contig:position, 0-based; the contig may hold colons."""
+    contig, colon, at = place.rpartition(":")
+    if not colon or not at.isdigit():
+        raise ValueError(f"not a contig:position of a position of 0 or more: {place}")
+    return contig, int(at)
+
+
+def insertion_places(contigs: DataFrame, n: int, seed: int, place: str | None = None, back_to_back: bool = False) -> DataFrame:
+    """(number, contig, position) of n insertions into contigs(contig, length).
+
+    The first goes to ``place`` if given; others to a contig drawn by length and a position drawn in it, by hashes of
+    (seed, number). ``back_to_back`` puts all where the first goes. Positions are those of the sequence as it came.
+    """
+    spark = contigs.sparkSession
+    first = None
+    if place is not None:
+        contig, at = parse_place(place)
+        room = contigs.where(F.col("contig") == contig).select("length").first()
+        if room is None or at > room[0]:
+            raise ValueError(f"{place} is not in the input")
+        first = (contig, at)
+    total = contigs.agg(F.sum("length").alias("_all"))
+    upto = running_sum(contigs.withColumn("_o", F.xxhash64("contig").cast("double")), "_o", "length", "_upto", ["contig"]).select("contig", "length", "_upto")
+    draws = 1 if back_to_back and first is None else 0 if back_to_back else n - (first is not None)
+    drawn = spark.range(1, draws + 1).select(F.col("id").alias("number")).join(F.broadcast(total))
+    drawn = drawn.withColumn("_at", F.floor(uniform(seed, F.col("number")) * F.col("_all")).cast("long"))
+    x = drawn.join(upto, (F.col("_at") < F.col("_upto")) & (F.col("_at") >= F.col("_upto") - F.col("length")))
+    x = x.select("number", "contig", F.floor(uniform(seed + 1, F.col("number")) * (F.col("length") + 1)).cast("long").alias("position"))
+    if first is not None:
+        x = x.withColumn("number", F.col("number") + 1).unionByName(spark.createDataFrame([(1, *first)], "number long, contig string, position long"))
+    if back_to_back:
+        x = x.select(F.explode(F.sequence(F.lit(1).cast("long"), F.lit(n).cast("long"))).alias("number"), "contig", "position")
+    return x
+
+
+def insert_pieces(seqs: DataFrame, places: DataFrame, piece: str) -> DataFrame:
+    """seqs(contig, seq) with the piece put in at all its places; several at one position follow each other."""
+    p = places.groupBy("contig").agg(F.array_sort(F.collect_list(F.col("position").cast("int"))).alias("_p"))
+    cuts = F.concat(F.array(F.lit(0)), F.col("_p"), F.array(F.length("seq")))
+    parts = F.transform(F.sequence(F.lit(1), F.size("_p") + 1), lambda i: F.substring(F.col("seq"), F.element_at(cuts, i) + 1, F.element_at(cuts, i + 1) - F.element_at(cuts, i)))
+    x = seqs.join(p, "contig", "left")
+    return x.withColumn("seq", F.when(F.col("_p").isNull(), F.col("seq")).otherwise(F.array_join(parts, piece))).select(*seqs.columns)

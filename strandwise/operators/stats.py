@@ -6,20 +6,44 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .ordered import exact_percentiles, running_sum
+
 PERCENTS = (0.01, 0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99)
+#: Of a coverage overview.
+WIDE_PERCENTS = (0.0001, 0.001, 0.01, 0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99, 0.999, 0.9999)
 
 
-def column_summary(df: DataFrame, value: str, keys: list[str] | None = None, percents: tuple[float, ...] = PERCENTS) -> DataFrame:
-    """n, min, max, sum, mean, median, population deviation and percentiles (linear interpolation); non-numbers are left out."""
-    v = F.col(value).try_cast("double")
-    names = [f"p{round(p * 100):02d}" for p in percents]
-    x = df.groupBy(*(keys or [])).agg(F.count(v).alias("n"), F.min(v).alias("min"), F.max(v).alias("max"), F.sum(v).alias("sum"), F.avg(v).alias("mean"), F.percentile(v, 0.5).alias("median"), F.stddev_pop(v).alias("sd"), F.percentile(v, list(percents)).alias("_p"))
-    return x.select("*", *(F.col("_p")[i].alias(n) for i, n in enumerate(names))).drop("_p")
+def percent_name(p: float) -> str:
+    """p01, p50, p99_9."""
+    t = f"{100 * p:.4f}".rstrip("0").rstrip(".")
+    return "p" + (t.zfill(2) if "." not in t else t.replace(".", "_"))
 
 
-def overview(df: DataFrame, value: str, key: str) -> DataFrame:
-    """The same per key and, with a null key and is_total, over all, in one pass."""
-    return df.groupingSets([[], [key]], key).agg(F.grouping(key).cast("int").alias("is_total"), F.count(value).alias("n"), F.avg(value).alias("mean"), F.percentile(value, 0.5).alias("median"), F.stddev_samp(value).alias("sd"), F.min(value).alias("min"), F.max(value).alias("max"))
+def column_summary(df: DataFrame, value: str, keys: list[str] | None = None, percents: tuple[float, ...] = PERCENTS) -> DataFrame:
+    """n, min, max, sum, mean, median, population deviation and percentiles (linear interpolation); non-numbers are left out.
+
+    Without keys the percentiles come from running counts of distinct values over many tasks.
+    """
+    v = F.col(value).try_cast("double")
+    names = [percent_name(p) for p in percents]
+    plain = [F.count(v).alias("n"), F.min(v).alias("min"), F.max(v).alias("max"), F.sum(v).alias("sum"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("sd")]
+    if not keys:
+        p = exact_percentiles(df.select(v.alias("_v")), "_v", (0.5, *percents), ["median", *names])
+        x = df.agg(*plain).join(F.broadcast(p))
+    else:
+        x = df.groupBy(*keys).agg(*plain, F.percentile(v, [0.5, *percents]).alias("_p")).select("*", *(F.col("_p")[i].alias(n) for i, n in enumerate(["median", *names]))).drop("_p")
+    return x.select(*(keys or []), "n", "min", "max", "sum", "mean", "median", "sd", *names)
+
+
+def overview(df: DataFrame, value: str, key: str, percents: tuple[float, ...] = ()) -> DataFrame:
+    """n, mean, median, sample deviation, min, max and percentiles per key and, with a null key and is_total, over all."""
+    names = [percent_name(p) for p in percents]
+    plain = [F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), F.min(value).alias("min"), F.max(value).alias("max")]
+    each = df.groupBy(key).agg(*plain, F.percentile(value, [0.5, *percents]).alias("_p")).select("*", F.lit(0).alias("is_total"), *(F.col("_p")[i].alias(n) for i, n in enumerate(["median", *names])))
+    every = df.agg(*plain).join(F.broadcast(exact_percentiles(df, value, (0.5, *percents), ["median", *names])))
+    cols = ["is_total", "n", "mean", "median", "sd", "min", "max", *names]
+    nobody = F.lit(None).cast(df.schema[key].dataType).alias(key)
+    return each.select(F.col(key), *cols).unionByName(every.withColumn("is_total", F.lit(1)).select(nobody, *cols))
 
 
 def drop_zero_samples(long: DataFrame, sample: str = "sample", value: str = "value") -> tuple[DataFrame, DataFrame]:
@@ -118,8 +142,45 @@ def assembly_summary(contigs: DataFrame, keys: list[str], thresholds: tuple[int,
     return h.where("length > 0").groupBy(*keys).agg(*aggs)
 
 
+def assembly_table(seqs: DataFrame, assemblies: DataFrame, key: str = "assembly") -> DataFrame:
+    """assembly_summary of seqs(assembly, seq) with ambiguous characters (all but A, C, G, T in any case) and GC content in percent,
+    2 decimals; assemblies without a contig stay, with nulls."""
+    acgt, gc = F.length(F.regexp_replace("seq", "[^ACGTacgt]", "")), F.length(F.regexp_replace("seq", "[^GCgc]", ""))
+    x = seqs.select(key, F.length("seq").cast("long").alias("length"), acgt.cast("long").alias("_acgt"), gc.cast("long").alias("_gc"))
+    more = x.groupBy(key).agg(F.sum(F.col("length") - F.col("_acgt")).alias("ambiguous"), F.round(F.try_divide(100.0 * F.sum("_gc"), F.sum("_acgt")), 2).alias("gc_content"))
+    return assemblies.select(key).distinct().join(assembly_summary(x, [key]), key, "left").join(more, key, "left")
+
+
+def transposed(df: DataFrame, key: str, names: list[str]) -> DataFrame:
+    """One row a measure and one column for each of the named rows; values as text, NA where missing."""
+    measures = [c for c in df.columns if c != key]
+    pairs = F.array(*(F.struct(F.lit(i).alias("_i"), F.lit(c).alias("measure"), F.col(c).cast("string").alias("v")) for i, c in enumerate(measures)))
+    x = df.select(F.col(key).cast("string").alias("_k"), F.explode(pairs).alias("p")).select("_k", "p.*")
+    wide = x.groupBy("_i", "measure").pivot("_k", names).agg(F.min("v"))
+    return wide.na.fill("NA", names).orderBy("_i").drop("_i")
+
+
+def reference_table(depths: DataFrame, contigs: DataFrame, reads: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(per reference, per contig) statistics of depths(contig, start, end, depth), contigs(contig, ref, length) and, if given,
+    reads(contig, pid): identities of contigs without reads are null and their reads 0. A contig name under several references
+    counts for the last of them by name."""
+    c = contigs.groupBy("contig").agg(F.max_by(F.struct("ref", "length"), "ref").alias("_r")).select("contig", "_r.ref", "_r.length")
+    d = depths.join(c.select("contig", "ref"), "contig")
+    out = []
+    for keys in (["ref"], ["ref", "contig"]):
+        lengths = c.groupBy(*keys).agg(F.sum("length").alias("length"), F.count("*").alias("num_contigs"))
+        x = depth_statistics(d, lengths.select(*keys, "length"), keys)
+        if keys == ["ref"]:
+            x = x.join(lengths.select("ref", "num_contigs"), "ref")
+        if reads is not None:
+            x = x.join(identity_statistics(reads.join(c.select("contig", "ref"), "contig"), keys).select(*keys, "mean_pid", "median_pid", F.col("n_reads").alias("num_mapped_reads")), keys, "left").na.fill(0, ["num_mapped_reads"])
+        out.append(x)
+    return out[0], out[1]
+
+
 def apportion(df: DataFrame, weight: str, order: list[str], total: int, keys: list[str] | None = None, even: bool = False) -> DataFrame:
-    """Whole units that add up to ``total`` by largest remainder, ties by ``order``; pairs with ``even``."""
+    """Whole units that add up to ``total`` by largest remainder, ties by ``order``; pairs with ``even``. Without keys rows are
+    ranked range by range, so no task sees all."""
     k = keys or []
     unit = 2 if even else 1
     t = df.groupBy(*k).agg(F.sum(weight).alias("_t"))
@@ -127,9 +188,12 @@ def apportion(df: DataFrame, weight: str, order: list[str], total: int, keys: li
     x = x.withColumn("_x", F.col(weight) / F.col("_t") * (total // unit)).withColumn("_f", F.floor("_x").cast("long"))
     left = x.groupBy(*k).agg((F.lit(total // unit) - F.sum("_f")).alias("_left"))
     x = x.join(left, k) if k else x.join(F.broadcast(left))
-    w = Window.partitionBy(*(k or [F.lit(0)])).orderBy(F.desc(F.col("_x") - F.col("_f")), *order)
-    x = x.withColumn("units", (F.col("_f") + F.when(F.row_number().over(w) <= F.col("_left"), 1).otherwise(0)) * unit)
-    return x.drop("_t", "_x", "_f", "_left")
+    if k:
+        x = x.withColumn("_rank", F.row_number().over(Window.partitionBy(*k).orderBy(F.desc(F.col("_x") - F.col("_f")), *order)))
+    else:
+        x = running_sum(x.withColumn("_rest", F.col("_f") - F.col("_x")).withColumn("_one", F.lit(1)), "_rest", "_one", "_rank", order).drop("_rest", "_one")
+    x = x.withColumn("units", (F.col("_f") + F.when(F.col("_rank") <= F.col("_left"), 1).otherwise(0)) * unit)
+    return x.drop("_t", "_x", "_f", "_left", "_rank")
 
 
 def offsets(df: DataFrame, units: str, order: list[str], keys: list[str]) -> DataFrame:

@@ -13,9 +13,16 @@ from ..functions.columns import is_assigned, number
 
 
 def lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """(file, ordinal, value): ordinals rise along each file; files are not split, so that they do."""
-    raw = spark.read.format("text").option("wholetext", True).load(path).select(F.input_file_name().alias("file"), F.col("value").alias("t"))
-    return raw.select("file", F.posexplode(F.split(F.regexp_replace(F.regexp_replace("t", "\r\n?", "\n"), "\n$", ""), "\n")).alias("ordinal", "value")).withColumn("ordinal", F.col("ordinal").cast("long"))
+    """(file, ordinal, value): the lines of each file numbered from 0.
+
+    Files are split and read line by line. Within a block numbers come from the order of reading, and a small table of the
+    blocks' line counts gives the lines before each.
+    """
+    raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_b"), F.monotonically_increasing_id().alias("_m"), "value")
+    blocks = raw.groupBy("file", "_b").agg(F.min("_m").alias("_first"), F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("file").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = blocks.select("file", "_b", "_first", before.alias("_before"))
+    return raw.join(blocks, ["file", "_b"]).select("file", (F.col("_before") + F.col("_m") - F.col("_first")).alias("ordinal"), "value")
 
 
 def catalog(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
@@ -116,6 +123,36 @@ def sam(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return x.select(p[0].alias("query_name"), p[1].cast("int").alias("flag"), p[2].alias("reference_name"), (p[3].cast("long") - 1).alias("reference_start"), p[4].cast("int").alias("mapq"), p[5].alias("cigar"), p[9].alias("query_sequence"), tags.alias("tags")).withColumn("nm", F.col("tags")["NM"].try_cast("long"))
 
 
+def bam(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Alignment records of BAM files with the columns of ``sam``, block by block: each BGZF block is inflated in turn and records
+    are decoded as they come, so a file is one task but never in memory. Tags of the types A, c, C, s, S, i, I, f, Z and H."""
+    from .bgzf import alignments
+
+    def run(batches):
+        for b in batches:
+            for p in b.column(0).to_pylist():
+                yield from alignments(p)
+
+    files = spark.read.format("binaryFile").load(path).select("path")
+    n = max(1, files.count())
+    return files.repartition(min(n, 4096)).mapInArrow(run, "query_name string, flag int, reference_name string, reference_start long, mapq int, cigar string, query_sequence string, tags map<string,string>").withColumn("nm", F.col("tags")["NM"].try_cast("long"))
+
+
+#: Letters of the alphabets; degenerate and gap letters count as gaps.
+ALPHABETS = {"DNA": "ACGT", "Protein": "ACDEFGHIKLMNPQRSTVWY", "3Di": "ACDEFGHIKLMNPQRSTVWY"}
+_ALSO = {"DNA": "RYSWKMBDHVN-.", "Protein": "BZXJUO*-.", "3Di": "X-."}
+
+
+def msa(spark: SparkSession, path: str | list[str], kind: str = "DNA") -> DataFrame:
+    """Aligned sequences (id, seq, ordinal) in capitals; letters beyond the alphabet and rows of unequal length are errors."""
+    x = fasta(spark, path).select("id", F.upper("seq").alias("seq"), "ordinal")
+    allowed = "".join("\\" + c if c in "-.*" else c for c in ALPHABETS[kind] + _ALSO[kind])
+    bad = F.regexp_extract("seq", f"[^{allowed}]", 0)
+    width = x.agg(F.max(F.length("seq")).alias("_w"))
+    seq = F.when(bad != "", F.raise_error(F.concat(F.lit(f"not a {kind} letter: "), bad))).when(F.length("seq") != F.col("_w"), F.raise_error(F.concat(F.lit("not as long as the others: "), F.col("id")))).otherwise(F.col("seq"))
+    return x.join(F.broadcast(width)).select("id", seq.alias("seq"), "ordinal")
+
+
 def bed(spark: SparkSession, path: str | list[str], value: str = "value") -> DataFrame:
     return spark.read.option("sep", "\t").schema(schema.BED.replace("value double", f"{value} double")).csv(path)
 
@@ -247,6 +284,17 @@ def coding_sequences(records: DataFrame) -> DataFrame:
     return c.select(head.alias("header"), start.alias("start"), end.alias("end"), F.when(minus, "-").otherwise("+").alias("strand"), F.when(minus, reverse_complement(s)).otherwise(s).alias("nucleotides"), F.col("translation").alias("protein"))
 
 
+def coding_table(records: DataFrame) -> DataFrame:
+    """(locus, protein_id, gene, product, locus_tag, location, translation) of the coding features, NA where nothing is stated."""
+    c = coding_features(records)
+    return c.select("locus", *(F.coalesce(k, F.lit(schema.MISSING)).alias(k) for k in ("protein_id", "gene", "product", "locus_tag")), "location", "translation")
+
+
+def whole_nucleotides(records: DataFrame) -> DataFrame:
+    """(id, seq) of all records, by their version or else their locus."""
+    return records.select(F.when(is_assigned("accession"), F.col("accession")).otherwise(F.col("locus")).alias("id"), "seq")
+
+
 def paf(spark: SparkSession, path: str) -> DataFrame:
     """Pairwise alignments with their cs tag."""
     p = F.split("value", "\t")
@@ -265,6 +313,15 @@ def ordered_values(spark: SparkSession, path: str) -> DataFrame:
     return lines(spark, path).select(F.trim("value").alias("value"), "ordinal").where("value <> ''").groupBy("value").agg(F.min("ordinal").alias("ordinal"))
 
 
+def coverages(spark: SparkSession, given: str | float, names: DataFrame) -> DataFrame:
+    """(name, value) for names(name): one number for all of them, or a table's own; a name that the table lacks is left out."""
+    try:
+        return names.select("name", F.lit(float(given)).alias("value"))
+    except ValueError:
+        table = spark.read.option("sep", "\t").schema("name string, value double").csv(given).where("value is not null")
+        return names.select("name").join(table, "name")
+
+
 def proportions(spark: SparkSession, path: str) -> DataFrame:
     """(name, value, share): shares add up to one."""
     x = spark.read.option("sep", "\t").schema("name string, value double").csv(path).where("value is not null")
@@ -314,6 +371,31 @@ def sample_of_path(suffix: str) -> Column:
     return F.regexp_replace(F.element_at(F.split(F.input_file_name(), "/"), -1), f"{suffix}$", "")
 
 
+def samples(names: list[str], paths: list[str], suffix: str) -> list[str]:
+    """One name a path: those given, which must be as many and all different, or else file names without the suffix."""
+    import os
+
+    if names and len(names) != len(paths):
+        raise ValueError(f"{len(names)} sample names for {len(paths)} files")
+    out = names or [os.path.basename(p).removesuffix(suffix) for p in paths]
+    if len(set(out)) != len(out):
+        raise ValueError("sample names must differ")
+    return out
+
+
+def file_of_accession(wanted: DataFrame, files: DataFrame) -> DataFrame:
+    """(accession, path) of wanted(accession) and files(path): any version and either prefix matches; the file of the same
+    prefix and version comes first, then by path. Wanted ones without a file have a null path."""
+    from ..functions.columns import accession_core, accession_digits
+
+    name = F.element_at(F.split("path", "/"), -1)
+    key = F.regexp_extract(name, r"(GC[AF]_[0-9]+)", 1)
+    f = files.select("path", accession_core(key).alias("_d"), name.alias("_name")).where("_d <> ''")
+    w = wanted.select("accession", accession_digits("accession").alias("_w"))
+    best = F.min_by("path", F.struct((~F.contains("_name", F.col("accession"))).alias("a"), "path"))
+    return w.join(f, F.col("_w") == F.col("_d"), "left").groupBy("accession").agg(best.alias("path"))
+
+
 def first_in_file(df: DataFrame, order: str = "ordinal") -> DataFrame:
     return df.withColumn("_n", F.row_number().over(Window.partitionBy("file").orderBy(order))).where("_n = 1").drop("_n")
 

@@ -14,7 +14,8 @@ def rendered(df: DataFrame, missing: str = MISSING) -> DataFrame:
 
 
 def half_even(column: Column, digits: int) -> Column:
-    """Rounding as Python does it, half to even on the exact binary value, through an exact decimal."""
+    """Rounding as Python does it, half to even on the exact binary value. A cast to decimal would round the shortest text of the
+    number (2.675 to 2.68, where its value is below the half), so values go to Python in Arrow batches, at sinks only."""
 
     @F.pandas_udf("double")
     def r(x):
@@ -24,10 +25,11 @@ def half_even(column: Column, digits: int) -> Column:
 
 
 def catalog(df: DataFrame, path: str, accession: str, files: int | None = None) -> None:
-    """Parquet ranged and sorted by lineage, so that row groups can be skipped by any rank."""
+    """Parquet ranged and sorted by lineage, zstd at level 9, in row groups of at most 256,000 rows, so that groups can be skipped
+    by any rank."""
     keys = [c for c in RANKS if c in df.columns] + [accession]
     x = df.repartitionByRange(files, *keys) if files else df.repartitionByRange(*keys)
-    x.sortWithinPartitions(*keys).write.mode("overwrite").option("compression", "zstd").option("parquet.block.size", 64 << 20).parquet(path)
+    x.sortWithinPartitions(*keys).write.mode("overwrite").option("compression", "zstd").option("parquet.compression.codec.zstd.level", "9").option("parquet.block.row.count.limit", "256000").parquet(path)
 
 
 def tsv(df: DataFrame, path: str, missing: str = MISSING, compression: str = "none") -> None:
@@ -137,3 +139,61 @@ def biom_rows(long: DataFrame, feature: str = "feature", sample: str = "sample",
     kept = long.where(F.col(value) != 0)
     m = F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(sample).cast("string"), F.col(value)))))
     return kept.groupBy(feature).agg(m.alias("data")).select(F.to_json(F.struct(F.col(feature).alias("id"), "data")).alias("value"))
+
+
+READ_COLUMNS = ("contig", "read_ID", "read_length", "read_aligned_bases", "ref_start", "ref_end", "soft_clipped", "hard_clipped", "clipped_percent", "percent_identity_gap_aware", "percent_identity_gap_compressed")
+
+
+def read_summary(reads: DataFrame) -> DataFrame:
+    """The eleven columns of a per-read table from alignment records (reference_name, query_name, flag, reference_start, cigar, nm):
+    1-based inclusive positions, percents as text with two decimals."""
+    from ..functions.columns import mate_name, with_cigar
+
+    x = with_cigar(reads)
+    span = F.aggregate(F.transform(F.regexp_extract_all("cigar", F.lit(r"(\d+)[MDN=X]"), 1), lambda n: n.cast("long")), F.lit(0).cast("long"), lambda a, n: a + n)
+    clipped = F.col("soft_clipped") + F.col("hard_clipped")
+    two = [F.format_string("%.2f", half_even(c, 2)) for c in (F.try_divide(100.0 * clipped, F.col("full_length")), F.col("pid_gap_aware"), F.col("pid_gap_compressed"))]
+    cols = [F.col("reference_name"), mate_name("query_name", "flag"), F.col("full_length"), F.col("query_aligned"), F.col("reference_start") + 1, F.col("reference_start") + span, F.col("soft_clipped"), F.col("hard_clipped"), *two]
+    return x.select(*(c.alias(n) for c, n in zip(cols, READ_COLUMNS, strict=True)))
+
+
+def biom_document(long: DataFrame, path: str, feature: str = "feature", sample: str = "sample", value: str = "value", table: str = "table") -> None:
+    """A BIOM 1.0 document (sparse, JSON) of a feature table as a folder of text parts, to be read in order: features and samples
+    are numbered by name, and entries are made where they are; only the sample names, one a column, come to the driver."""
+    import json
+
+    spark = long.sparkSession
+    samples = sorted(str(r[0]) for r in long.select(sample).distinct().collect())
+    number = F.array_position(F.array(*map(F.lit, samples)), F.col(sample).cast("string")) - 1
+    rows = long.select(F.col(feature).cast("string").alias("f")).distinct()
+    rows = running_rows(rows)
+    kept = long.where(F.col(value) != 0).join(rows, F.col(feature).cast("string") == F.col("f"))
+    n, entries = rows.count(), kept.select("i", number.alias("j"), F.col(value).cast("double").alias("v"))
+    head = {"id": table, "format": "Biological Observation Matrix 1.0.0", "type": "OTU table", "matrix_type": "sparse", "matrix_element_type": "float", "shape": [n, len(samples)], "columns": [{"id": x, "metadata": None} for x in samples]}
+    start = json.dumps(head)[:-1]
+    part = "part int, k long, value string"
+    first_row, first_entry = rows.agg(F.min("i")).first()[0], entries.orderBy("i", "j").first()
+    comma = F.when(F.col("i") == first_row, "").otherwise(",")
+    text = spark.createDataFrame([(0, 0, start + ', "rows": ['), (2, 0, '], "data": ['), (4, 0, "]}")], part)
+    text = text.unionByName(rows.select(F.lit(1).alias("part"), F.col("i").alias("k"), F.concat(comma, F.to_json(F.struct(F.col("f").alias("id")))).alias("value")))
+    same = (F.col("i") == first_entry["i"]) & (F.col("j") == first_entry["j"]) if first_entry else F.lit(False)
+    text = text.unionByName(entries.select(F.lit(3).alias("part"), (F.col("i") * len(samples) + F.col("j")).alias("k"), F.concat(F.when(same, "").otherwise(","), F.lit("["), F.col("i").cast("string"), F.lit(","), F.col("j").cast("string"), F.lit(","), F.col("v").cast("string"), F.lit("]")).alias("value")))
+    text.repartitionByRange("part", "k").sortWithinPartitions("part", "k").select("value").write.mode("overwrite").text(path)
+
+
+def running_rows(names: DataFrame) -> DataFrame:
+    """(f, i): distinct names numbered from 0 in the order of a hash of each, range by range."""
+    from ..operators.ordered import running_sum
+
+    x = names.withColumn("_h", F.xxhash64("f").cast("double")).withColumn("_one", F.lit(1))
+    return running_sum(x, "_h", "_one", "i", ["f"]).select("f", (F.col("i") - 1).alias("i"))
+
+
+def mutations(listed: DataFrame, path: str) -> None:
+    """(id, value) of alignment.mutations_or_note: a block of lines for each id under its name."""
+    listed.select(F.concat(F.lit("## "), "id", F.lit("\n"), "value")).write.mode("overwrite").text(path)
+
+
+def coverages(truth: DataFrame, path: str, name: str = "genome", value: str = "mean_coverage") -> None:
+    """name and value of the genomes that have one, without a header."""
+    truth.where(F.col(value).isNotNull()).select(F.col(name).cast("string"), F.col(value).cast("string")).write.mode("overwrite").option("sep", "\t").csv(path)

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandwise.functions import alignment, columns
-from strandwise.operators import catalog, intervals, ontology, reports, sequences, stats
+from strandwise.operators import catalog, intervals, ontology, ordered, reports, sequences, stats
 from strandwise.schema import NCBI, RANKS
 from strandwise.sources import readers, writers
 
@@ -74,7 +74,7 @@ def test_accessions(spark):
 
 
 def test_cigar(spark):
-    r = spark.createDataFrame([("3H5S10M2I4M1D6M", 4)], "c string, nm int").select(*columns.cigar_columns("c"), *columns.identity_columns("c", "nm")).first()
+    r = spark.createDataFrame([("3H5S10M2I4M1D6M", 4)], "c string, nm int").transform(lambda d: columns.with_cigar(d, "c")).first()
     assert (r.aligned_columns, r.query_aligned, r.gap_events, r.soft_clipped, r.hard_clipped, r.full_length) == (23, 22, 2, 5, 3, 30)
     assert r.pid_gap_aware == pytest.approx(100 * 19 / 23) and r.pid_gap_compressed == pytest.approx(100 * 19 / 22)
 
@@ -97,17 +97,90 @@ def test_apportionment_adds_up(spark):
 
 def test_closure_survives_cycles(spark):
     e = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a")], "child string, parent string")
-    assert {(r.node, r.ancestor) for r in ontology.closure(e, max_depth=5).collect()} >= {("a", "c"), ("c", "b")}
+    got = {(r.node, r.ancestor): r.depth for r in ontology.closure(e).collect()}
+    assert got == {(a, b): (ord(b) - ord(a)) % 3 for a in "abc" for b in "abc"}
+
+
+def test_closure_of_a_long_chain(spark):
+    e = spark.range(100).select(F.col("id").cast("string").alias("child"), (F.col("id") + 1).cast("string").alias("parent"))
+    got = {int(r.ancestor): r.depth for r in ontology.closure(e).where("node = '0'").collect()}
+    assert got == {i: i for i in range(101)}
+    assert {int(r[0]) for r in ontology.descendants(e, "20").collect()} == set(range(20))
 
 
 def test_alignment():
     a, b, s = alignment.global_alignment("ACDEFG", "ACFG", alignment.similarity())
     assert (a, b, s) == ("ACDEFG", "AC--FG", 20 - 12)
-    assert [o["op"] for o in alignment.parse_cs(":5*gcaK+AB-acg-a~gt12ag")] == ["match", "sub", "ins", "del", "fs", "intron"]
+    assert [o["op"] for o in alignment.parse_cs(":5*gcaK+AB-acg-a~gt12ag")] == ["match", "sub", "del", "ins", "fs", "intron"]
     with pytest.raises(ValueError):
         alignment.parse_cs("?")
 
 
+def _plain_cs(ops, ref, at):
+    """Protein, frameshifts and introns of parsed operations, letter by letter."""
+    protein, shifts, gaps, base = "", [], [], 0
+    for o in ops:
+        op, n = o["op"], o["n"]
+        if op == "match":
+            protein, at, base = protein + ref[at : at + n], at + n, base + 3 * n
+        elif op in ("sub", "tail"):
+            protein, at, base = protein + alignment.translate(o["alt"]), at + 1, base + (3 if op == "sub" else n)
+        elif op == "del":
+            at += n
+        elif op == "ins":
+            protein, base = protein + alignment.translate(o["alt"]), base + n
+        elif op == "fs":
+            shifts.append((at + 1, n))
+            protein, at, base = (protein + o["ref"], at + 1, base + 3 + n) if n < 0 else (protein, at, base + n)
+        else:
+            if op == "intron":
+                gaps.append((base, n))
+            base += n
+    return protein, shifts, gaps
+
+
+@pytest.mark.parametrize(
+    "cs, at, protein, shifts, gaps",
+    [
+        (":5", 0, "MKLVW", [], []),
+        (":2*gcaL:2", 0, "MKAVW", [], []),
+        (":1+KL:2", 0, "MVW", [], []),
+        (":3-gcaaaa:2", 0, "MKLAKVW", [], []),
+        (":3-g:2", 0, "MKLVW", [(4, 1)], []),
+        (":3-gcacc:2", 0, "MKLAVW", [(4, 2)], []),
+        (":3*atV:1", 0, "MKLVW", [(4, -1)], []),
+        (":3*aV:1", 0, "MKLVW", [(4, -2)], []),
+        (":2~gt70ag:3", 0, "MKLVW", [], [(6, 70)]),
+        (":3*gcV~gt70ag-a:1", 0, "MKLAW", [], [(11, 70)]),
+        (":3*gV~gt70ag-ca:1", 0, "MKLAW", [], [(10, 70)]),
+        (":2", 3, "VW", [], []),
+    ],
+)
+def test_cs_strings(spark, cs, at, protein, shifts, gaps):
+    ref = "MKLVW"
+    assert _plain_cs(alignment.parse_cs(cs), ref, at) == (protein, shifts, gaps)
+    df = spark.createDataFrame([("q", cs, ref, at)], "query string, cs string, seq string, qstart int")
+    ops = alignment.cs_operations(df)
+    r = alignment.translated(ops, df).join(alignment.introns(ops), "query").first()
+    assert (r.protein, r.frameshifts, [tuple(i) for i in r.introns]) == (protein, ";".join(f"fs{p}{n:+d}" for p, n in shifts), gaps)
+
+
+@pytest.mark.parametrize("cs", [":3ZZ:2", ":", ":3*gc", "*acgtK", "+ab", "~gt5", ":3XY"])
+def test_cs_strings_that_are_wrong(cs):
+    with pytest.raises(ValueError):
+        alignment.parse_cs(cs)
+
+
+def test_substitution_matrix():
+    m = alignment.blosum62()
+    assert all(m[a, b] == m[b, a] for a, b in m) and len(m) == 24 * 24
+    assert (m["W", "W"], m["A", "R"], m["C", "E"], m["I", "V"], m["*", "*"], m["A", "*"]) == (11, -1, -4, 3, 1, -4)
+    again = alignment.read_matrix("# c\n  A R\nA 4 -1\nR -1 5\n")
+    assert again == {k: m[k] for k in again}
+    # a gap in the middle is worth it only for what the matrix says
+    assert alignment.global_alignment("MKWVTFISLL", "MKWVISLL", alignment.similarity(m))[:2] == ("MKWVTFISLL", "MKWV--ISLL")
+
+
 def test_alignment_against_recursion():
     """The best score by trying every last column; the alignment returned has it and spells both sequences."""
     from functools import cache
@@ -187,3 +260,133 @@ def test_sinks(spark, tmp_path):
     assert (tmp_path / "t.tsv").read_text().splitlines()[:2] == ["id\tv", "a\tNA"]
     assert df.select(writers.half_even(F.col("v"), 2)).collect()[1][0] == 2.67
     assert writers.tree_rows(df.select("id"), "binary", "blue").count() == 10
+
+
+def test_running_sums_and_percentiles(spark):
+    rng = random.Random(3)
+    v = [rng.choice([None, *range(40)]) for _ in range(500)] + [7] * 300
+    df = spark.createDataFrame([(i, x, 1) for i, x in enumerate(v)], "i int, v int, one int")
+    for ranges in (1, 7, 64):
+        got = {r.i: r.s for r in ordered.running_sum(df, "v", "one", "s", ["i"], ranges).collect()}
+        order = sorted(range(len(v)), key=lambda i: (v[i] is not None, v[i] or 0, i))
+        assert got == {i: n + 1 for n, i in enumerate(order)}
+    import numpy as np
+
+    ps = (0.0, 0.001, 0.3, 0.5, 0.95, 1.0)
+    got = ordered.exact_percentiles(df, "v", ps, [f"p{i}" for i in range(6)]).first()
+    assert list(got) == pytest.approx(np.quantile([x for x in v if x is not None], ps).tolist())
+
+
+def test_primers_against_a_full_table(spark):
+    rng = random.Random(5)
+
+    def cost(p, s):
+        row = list(range(len(s) + 1))
+        for i, c in enumerate(p, 1):
+            new = [i]
+            for j, d in enumerate(s, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (c != d)))
+            row = new
+        return row[-1]
+
+    for _ in range(40):
+        text, p, k = "".join(rng.choices("ACGT", k=60)), "".join(rng.choices("ACGT", k=8)), rng.randint(0, 3)
+        ends = [min(cost(p, text[a:e]) for a in range(max(0, e - len(p) - k), e + 1)) for e in range(1, 61)]
+        best = min(ends)
+        want = [e for e, c in enumerate(ends, 1) if c == best and best <= k]
+        assert sequences._bits(p, text, k) == want
+        for a, e in sequences._starts(p, text, want, k):
+            assert cost(p, text[a:e]) == best and all(cost(p, text[b:e]) > best for b in range(a + 1, e))
+
+
+def test_regions_swept_in_pieces(spark):
+    """The sweep over whole contigs, in plain Python."""
+    rng = random.Random(6)
+    rows = [(f"c{rng.randint(0, 2)}", f"t{i % 9}", (a := rng.randint(1, 400)), a + rng.randint(0, 40), float(rng.randint(70, 100)), float(rng.randint(1, 500))) for i in range(150)]
+    got = sorted(tuple(r) for r in intervals.resolve_regions(spark.createDataFrame(rows, "contig string, target string, q_low long, q_high long, pident double, bitscore double")).collect())
+    want = []
+    for contig in sorted({r[0] for r in rows}):
+        clusters = []
+        for r in sorted((r for r in rows if r[0] == contig), key=lambda r: (r[2], r[3], r[1])):
+            inside = clusters and any(min(r[3], m[3]) - max(r[2], m[2]) + 1 >= 0.5 * min(r[3] - r[2] + 1, m[3] - m[2] + 1) for m in clusters[-1])
+            clusters[-1].append(r) if inside else clusters.append([r])
+        for c in clusters:
+            best = sorted(c, key=lambda r: (-r[5], -r[4] * (r[3] - r[2] + 1), r[1]))
+            want.append((contig, min(r[2] for r in c), max(r[3] for r in c), best[0][1], best[0][4], best[0][5], len(c), ";".join(r[1] for r in best[1:]) or None))
+    assert [g[:3] + g[5:7] for g in got] == [w[:3] + w[5:7] for w in sorted(want)]
+
+
+def _bam(path):
+    """A two-record file in two compressed blocks."""
+    import gzip
+    import struct
+
+    def rec(name, flag, ref, pos, cigar, seq, tags):
+        ops = b"".join(struct.pack("<I", n << 4 | "MIDNSHP=X".index(o)) for n, o in cigar)
+        codes = ["=ACMGRSVTWYHKDBN".index(c) for c in seq] + [0] * (len(seq) % 2)
+        packed = bytes(a << 4 | b for a, b in zip(codes[::2], codes[1::2], strict=True))
+        body = struct.pack("<iiBBHHHiiii", ref, pos, len(name) + 1, 60, 0, len(cigar), flag, len(seq), -1, -1, 0) + name.encode() + b"\0" + ops + packed + b"\xff" * len(seq) + tags
+        return struct.pack("<i", len(body)) + body
+
+    text = b"@HD\tVN:1.6\n"
+    head = b"BAM\1" + struct.pack("<i", len(text)) + text + struct.pack("<i", 1) + struct.pack("<i", 3) + b"c1\0" + struct.pack("<i", 1000)
+    data = head + rec("r1", 0x41, 0, 9, [(5, "S"), (20, "M"), (2, "D")], "ACGTN", b"NMC\x03" + b"RGZx\0" + b"XAB" + b"s" + struct.pack("<Ihh", 2, 1, 2)) + rec("r2", 4, -1, -1, [], "AC", b"")
+    with open(path, "wb") as f:
+        f.write(gzip.compress(data[:70]) + gzip.compress(data[70:]) + gzip.compress(b""))
+
+
+def test_bam(spark, tmp_path):
+    _bam(tmp_path / "x.bam")
+    got = readers.bam(spark, f"file://{tmp_path}/x.bam").orderBy("query_name").collect()
+    assert [(r.query_name, r.flag, r.reference_name, r.reference_start, r.cigar, r.query_sequence, r.nm) for r in got] == [("r1", 0x41, "c1", 9, "5S20M2D", "ACGTN", 3), ("r2", 4, "*", -1, "*", "AC", None)]
+    assert got[0].tags == {"NM": "3", "RG": "x"}
+
+
+def test_msa_reader(spark, tmp_path):
+    (tmp_path / "a.fa").write_text(">a\nac-t\n>b\nNCGT\n")
+    assert [r.seq for r in readers.msa(spark, str(tmp_path / "a.fa"), "DNA").orderBy("ordinal").collect()] == ["AC-T", "NCGT"]
+    for bad in (">a\nACZT\n", ">a\nACG\n>b\nAC\n"):
+        (tmp_path / "b.fa").write_text(bad)
+        with pytest.raises(Exception, match="not a"):
+            readers.msa(spark, str(tmp_path / "b.fa"), "DNA").collect()
+
+
+def test_names_of_samples_and_insertions(spark):
+    assert readers.samples([], ["/a/x-1.tsv", "y.tsv"], ".tsv") == ["x-1", "y"]
+    for names, paths in ((["a"], ["x", "y"]), (["a", "a"], ["x", "y"])):
+        with pytest.raises(ValueError):
+            readers.samples(names, paths, "")
+    assert sequences.parse_place("c:1:9") == ("c:1", 9)
+    with pytest.raises(ValueError):
+        sequences.parse_place("c:-1")
+    df = spark.createDataFrame([("c", 100)], "contig string, length long")
+    assert len({r.position for r in sequences.insertion_places(df, 4, 1, back_to_back=True).collect()}) == 1
+    with pytest.raises(ValueError):
+        sequences.insertion_places(df, 1, 1, "c:101")
+    assert sequences.one_insertion(spark.createDataFrame([("A",)], "seq string")) == "A"
+    with pytest.raises(ValueError):
+        sequences.one_insertion(spark.createDataFrame([("A",), ("C",)], "seq string"))
+    assert 0 <= sequences.clock_seed() <= 235959
+
+
+def test_natural_key_of_long_numbers(spark):
+    names = ["c" + "9" * 25, "c1" + "0" * 25, "c2", "c10", "c02x"]
+    got = [r[0] for r in spark.createDataFrame([(n,) for n in names], "n string").orderBy(columns.natural_key("n"), "n").collect()]
+    assert got == ["c2", "c02x", "c10", "c" + "9" * 25, "c1" + "0" * 25]
+
+
+def test_half_even(spark):
+    v = [2.675, 0.125, 15.625, -0.125, 1e9 + 0.005, None]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in v], "v double").select(writers.half_even(F.col("v"), 2)).collect()]
+    assert got == [None if x is None else round(x, 2) for x in v]
+
+
+def test_row_groups(spark, tmp_path):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    df = spark.range(600_000).select(F.lit("b").alias("domain"), F.col("id").cast("string").alias("accession"))
+    writers.catalog(df, str(tmp_path / "c"), "accession", 1)
+    m = pq.ParquetFile(glob.glob(str(tmp_path / "c" / "*.parquet"))[0]).metadata
+    assert max(m.row_group(i).num_rows for i in range(m.num_row_groups)) <= 256_000 and m.row_group(0).column(0).compression == "ZSTD"
