@@ -14,6 +14,8 @@ from pyspark.sql.window import Window
 
 from ..functions import alignment, columns
 from ..operators import catalog, community, intervals, ontology, reports, sequences, stats
+from ..schema import NCBI
+from ..shared import checkpoint
 from ..streaming import extensions
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,10 +79,41 @@ def derep_across_domains(spark, sf):
     return catalog.dereplicate(x, None, "class", key=[-F.col("c_acctbal"), F.col("c_custkey")]).select("domain", "class", "c_custkey")
 
 
-@query("""SELECT o_orderkey, o_orderpriority, o_totalprice FROM orders WHERE o_orderstatus IN ('F', 'O') AND o_orderpriority LIKE '1-%' AND nullif(o_orderstatus, 'NA') IS NOT NULL AND o_totalprice >= 1000""")
+def genomes(spark, sf):
+    """Parts as rows of a genome catalog, with the columns that selection reads."""
+    p = t(spark, sf, "part")
+    half = F.when(F.col("p_partkey") % 2 == 0, "GCF_").otherwise("GCA_")
+    level = F.element_at(F.array(*map(F.lit, ("Contig", "Scaffold", "Chromosome", "Complete Genome"))), (F.col("p_size") % 4 + 1).cast("int"))
+    return p.select(
+        F.concat(half, F.lpad(F.col("p_partkey").cast("string"), 9, "0"), F.lit(".1")).alias("assembly_accession"),
+        F.when(F.col("p_size") % 10 == 0, "reference genome").otherwise("na").alias("refseq_category"),
+        level.alias("assembly_level"),
+        F.when(F.col("p_partkey") % 7 == 0, "NA").otherwise((F.col("p_size") * 2).cast("string")).alias("checkm_completeness"),
+        F.when(F.col("p_partkey") % 5 == 0, "").otherwise((F.col("p_partkey") % 13).cast("string")).alias("checkm_contamination"),
+        F.when(F.col("p_partkey") % 3 == 0, F.lit(None).cast("string")).otherwise((F.col("p_partkey") * 10).cast("string")).alias("genome_size_ungapped"),
+        (F.col("p_partkey") * 11).cast("string").alias("genome_size"),
+        (F.col("p_partkey") % 6).cast("string").alias("contig_count"),
+        F.col("p_partkey").alias("taxid"),
+        F.substring_index("p_type", " ", 1).alias("domain"),
+        F.when(F.col("p_partkey") % 17 == 0, "NA").otherwise(F.col("p_brand")).alias("phylum"),
+        F.col("p_type").alias("class"),
+        *(F.lit("NA").alias(r) for r in ("order", "family", "genus")),
+        F.col("p_name").alias("species"),
+    )
+
+
+GENOMES = """g AS (SELECT CASE WHEN p_partkey % 2 = 0 THEN 'GCF_' ELSE 'GCA_' END || lpad(CAST(p_partkey AS VARCHAR), 9, '0') || '.1' AS assembly_accession, p_partkey AS k,
+  CASE WHEN p_size % 10 = 0 THEN 'reference genome' ELSE 'na' END AS refseq_category, ['Contig', 'Scaffold', 'Chromosome', 'Complete Genome'][p_size % 4 + 1] AS assembly_level, p_size % 4 + 1 AS score,
+  CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE p_size * 2.0 END AS comp, CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE (p_partkey % 13) * 1.0 END AS cont,
+  CASE WHEN p_partkey % 3 = 0 THEN p_partkey * 11.0 ELSE p_partkey * 10.0 END AS size, p_partkey % 6 AS contigs,
+  string_split(p_type, ' ')[1] AS domain, CASE WHEN p_partkey % 17 = 0 THEN NULL ELSE p_brand END AS phylum, p_type AS class, p_name AS species FROM part)"""
+
+
+@query(f"WITH {GENOMES} SELECT assembly_accession, class FROM g WHERE phylum = 'Brand#13' AND assembly_level IN ('Complete Genome', 'Chromosome') AND assembly_accession LIKE 'GCF%' AND domain IN ('STANDARD', 'ECONOMY')")
 def pool_filters(spark, sf):
-    o = t(spark, sf, "orders")
-    return o.where(F.col("o_orderstatus").isin("F", "O") & F.col("o_orderpriority").startswith("1-") & columns.is_assigned("o_orderstatus") & (F.col("o_totalprice") >= 1000)).select("o_orderkey", "o_orderpriority", "o_totalprice")
+    g = genomes(spark, sf)
+    x = catalog.pool(g, NCBI, "phylum", "Brand#13", levels=["complete", "chromosome"], prefix="refseq", domains=["STANDARD", "ECONOMY"])
+    return x.select("assembly_accession", "class")
 
 
 @query("SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)")
@@ -402,8 +435,10 @@ SELECT namespace, term, n AS term_counts, round(100.0 * n / sum(n) OVER (), 9) A
 def term_counts(spark, sf):
     w = t(spark, sf, "documents").select("lang", F.filter(F.split("text", " "), lambda x: x != "").alias("w"))
     a = w.select(F.transform("w", lambda x: F.concat_ws("|", "lang", x)).alias("terms"))
-    terms = a.select(F.explode("terms").alias("term")).distinct().select("term", F.substring_index("term", "|", 1).alias("namespace"), F.lit(False).alias("is_obsolete"))
-    x = reports.term_counts(a, terms)
+    # the terms are those that were counted, so the texts are read once
+    c = checkpoint(reports.counted_terms(a))
+    terms = c.select("term", F.substring_index("term", "|", 1).alias("namespace"), F.lit(False).alias("is_obsolete"))
+    x = reports.term_shares(c, terms)
     return x.select("namespace", F.expr("substring(term, length(namespace) + 2)").alias("term"), "term_counts", F.round("percent", 9).alias("percent"), F.round("percent_in_namespace", 9).alias("percent_in_namespace"))
 
 
@@ -509,7 +544,7 @@ def amplicons(spark, sf):
 
 @query()
 def primer_approximate(spark, sf):
-    d = t(spark, sf, "benchmark").select(F.col("item_id").cast("string").alias("id"), F.col("text").alias("seq"))
+    d = t(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("id"), F.col("text").alias("seq"))
     return sequences.primer_hits(d, "tioned", "ations", 1)
 
 
@@ -533,9 +568,8 @@ def lineage_split(spark, sf):
 def cigar_identity(spark, sf):
     q, n = F.col("l_quantity").cast("long").cast("string"), F.col("l_linenumber").cast("string")
     x = t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.concat(F.lit("5S"), q, F.lit("M3I"), n, F.lit("D")).alias("cigar"), (F.col("l_linenumber") + 3).alias("nm"))
-    a, b, g, s = columns.cigar_columns("cigar")[:4]
-    pa, pc = columns.identity_columns("cigar", "nm")
-    return x.select("l_orderkey", "l_linenumber", a, b, g, s, F.round(pa, 6).alias("pid_gap_aware"), F.round(pc, 6).alias("pid_gap_compressed"))
+    x = columns.with_cigar(x)
+    return x.select("l_orderkey", "l_linenumber", "aligned_columns", "query_aligned", "gap_events", "soft_clipped", F.round("pid_gap_aware", 6).alias("pid_gap_aware"), F.round("pid_gap_compressed", 6).alias("pid_gap_compressed"))
 
 
 @query()
@@ -546,14 +580,14 @@ def simulate_reads(spark, sf):
 
 @query()
 def point_mutations(spark, sf):
-    return sequences.mutate(t(spark, sf, "benchmark").select(F.col("item_id").cast("string").alias("id"), F.col("text").alias("seq")), 0.05, 3)
+    return sequences.mutate(t(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("id"), F.col("text").alias("seq")), 0.05, 3)
 
 
 @query("""SELECT CAST(item_id AS VARCHAR) AS id, 100.0 * (length(text) - 3) / length(text) AS percent_identity, 100.0 * (length(text) - 3) / length(text) AS percent_covered, 1 AS deletion_runs, 0 AS substitutions FROM benchmark""")
 def alignment_differences(spark, sf):
     """Each passage against itself without its first three letters: one deletion, all else equal."""
     b = t(spark, sf, "benchmark").select(F.col("item_id").cast("string").alias("id"), F.col("text").alias("ref"), F.expr("substring(text, 4)").alias("query"))
-    return alignment.alignment_summary(alignment.positions(alignment.align_pairs(b)))
+    return alignment.alignment_summary(alignment.positions(alignment.align_pairs(b, alignment.similarity())))
 
 
 # --- simulated communities ------------------------------------------------------------------------------------------

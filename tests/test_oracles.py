@@ -7,7 +7,7 @@ import os
 import duckdb
 import pytest
 
-from strandwise.plans import catalog_queries
+from strandwise.plans import every
 
 SF = "/root/testdata/sf0.001"
 
@@ -28,15 +28,15 @@ def duck():
     return c
 
 
-@pytest.mark.parametrize("name", sorted(catalog_queries.QUERIES))
+@pytest.mark.parametrize("name", sorted(every.QUERIES))
 def test_query(spark, duck, name):
-    df = catalog_queries.QUERIES[name](spark, SF)
+    df = every.QUERIES[name](spark, SF)
     cols = sorted(df.columns)
     rows = [tuple(map(_plain, r)) for r in df.select(*cols).collect()]
-    if name not in catalog_queries.ORACLES:
+    if name not in every.ORACLES:
         assert rows
         return
-    r = duck.execute(catalog_queries.ORACLES[name])
+    r = duck.execute(every.ORACLES[name])
     names = [d[0] for d in r.description]
     assert sorted(names) == cols
     want = [tuple(_plain(row[names.index(c)]) for c in cols) for row in r.fetchall()]
