@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import coverage_of_units, reverse_complement, units_for_coverage
 from ..schema import RANKS
+from ..shared import checkpoint
 from . import stats
 from .sequences import uniform
 
@@ -196,7 +197,7 @@ def run_community(genomes: DataFrame, contigs: DataFrame, seed: int, total: int,
     made = None
     if mutation_rate:
         named = F.to_json(F.struct("genome", "contig"))
-        changed = mutate(contigs.select(named.alias("id"), "genome", "contig", "seq"), mutation_rate, seed)
+        changed = checkpoint(mutate(contigs.select(named.alias("id"), "genome", "contig", "seq"), mutation_rate, seed))
         contigs, made = changed.select("genome", "contig", "seq"), changed.groupBy("genome").agg(F.sum("substitutions").alias("substitutions"), F.sum("indels").alias("indels"))
     c = simulate(genomes, contigs, seed, total, **reads)
     truth = genome_truth(c.genomes, c.reads, made) if made is not None else c.truth

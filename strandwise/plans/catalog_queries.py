@@ -104,8 +104,8 @@ def genomes(spark, sf):
 
 GENOMES = """g AS (SELECT CASE WHEN p_partkey % 2 = 0 THEN 'GCF_' ELSE 'GCA_' END || lpad(CAST(p_partkey AS VARCHAR), 9, '0') || '.1' AS assembly_accession, p_partkey AS k,
   CASE WHEN p_size % 10 = 0 THEN 'reference genome' ELSE 'na' END AS refseq_category, ['Contig', 'Scaffold', 'Chromosome', 'Complete Genome'][p_size % 4 + 1] AS assembly_level, p_size % 4 + 1 AS score,
-  CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE p_size * 2.0 END AS comp, CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE (p_partkey % 13) * 1.0 END AS cont,
-  CASE WHEN p_partkey % 3 = 0 THEN p_partkey * 11.0 ELSE p_partkey * 10.0 END AS size, p_partkey % 6 AS contigs,
+  CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE CAST(p_size * 2 AS DOUBLE) END AS comp, CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE CAST(p_partkey % 13 AS DOUBLE) END AS cont,
+  CASE WHEN p_partkey % 3 = 0 THEN CAST(p_partkey * 11 AS DOUBLE) ELSE CAST(p_partkey * 10 AS DOUBLE) END AS size, p_partkey % 6 AS contigs,
   string_split(p_type, ' ')[1] AS domain, CASE WHEN p_partkey % 17 = 0 THEN NULL ELSE p_brand END AS phylum, p_type AS class, p_name AS species FROM part)"""
 
 

@@ -75,7 +75,7 @@ def _assemblies(spark, sf):
 
 
 @query("""WITH a AS (SELECT 'GCA_' || lpad(CAST(s_suppkey AS VARCHAR), 9, '0') || '.2' AS assembly_accession, s_suppkey AS k, s_nationkey AS taxid FROM supplier WHERE s_suppkey % 6 > 1),
- b AS (SELECT 'GCF_' || substr(assembly_accession, 5) AS assembly_accession, k, taxid FROM a) SELECT u.assembly_accession, u.taxid, n_name AS phylum, CASE WHEN k % 4 = 0 THEN k * 1.0 END AS checkm_completeness FROM (SELECT * FROM a UNION ALL SELECT * FROM b) u LEFT JOIN nation ON n_nationkey = u.taxid AND n_nationkey <> 3""")
+ b AS (SELECT 'GCF_' || substr(assembly_accession, 5) AS assembly_accession, k, taxid FROM a) SELECT u.assembly_accession, u.taxid, n_name AS phylum, CASE WHEN k % 4 = 0 THEN CAST(k AS DOUBLE) END AS checkm_completeness FROM (SELECT * FROM a UNION ALL SELECT * FROM b) u LEFT JOIN nation ON n_nationkey = u.taxid AND n_nationkey <> 3""")
 def ncbi_catalog(spark, sf):
     a = _assemblies(spark, sf)
     both = [a, a.withColumn("assembly_accession", F.concat(F.lit("GCF_"), F.substring("assembly_accession", 5, 20)))]
@@ -128,7 +128,7 @@ def references_without_derep(spark, sf):
     return catalog.select_references(genomes(spark, sf), NCBI, "all", derep="none", levels=["chromosome"]).rows.select("assembly_accession")
 
 
-@query(f"WITH {GENOMES} SELECT assembly_accession, CASE WHEN k % 2 = 0 THEN 50.0 ELSE comp END AS completeness, cont AS contamination FROM g")
+@query(f"WITH {GENOMES} SELECT assembly_accession, CASE WHEN k % 2 = 0 THEN CAST(50 AS DOUBLE) ELSE comp END AS completeness, cont AS contamination FROM g")
 def quality_fallback(spark, sf):
     g = genomes(spark, sf).withColumn("checkm2_completeness", F.when(F.col("taxid") % 2 == 0, "50").otherwise(""))
     return catalog.with_quality(g).select("assembly_accession", "completeness", "contamination")
