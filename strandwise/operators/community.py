@@ -133,6 +133,7 @@ def simulate(genomes: DataFrame, contigs: DataFrame, seed: int, total: int, read
     sizes = lengths.groupBy("genome").agg(F.sum("length").alias("genome_size"))
     g = abundance_weights(genomes if "pin" in genomes.columns else genomes.withColumn("pin", F.lit(None).cast("double")), "genome", seed, sigma).join(sizes, "genome")
     g = units_by_share(stats.relative_abundance(g).withColumnRenamed("rel_abundance", "planned_abundance"), total, "planned_abundance", paired=paired)
+    g = checkpoint(g)  # a row a genome, which everything below starts from
     each = F.col("units") / 2 if paired else F.col("units")
     per_contig = stats.split_by_length(lengths.join(g.select("genome", each.alias("_u")), "genome"), "_u", "length", ["contig"], ["genome"])
     named = F.struct("genome", "contig")

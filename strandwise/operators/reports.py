@@ -260,11 +260,9 @@ def contig_taxonomy(samples: list[tuple[str, DataFrame]], method: str = "none",
     for name, df in summed:
         one = df.select(F.coalesce("taxid", F.lit("")).alias("feature"), F.lit(name).alias("sample"), F.col(value).alias("value"))
         long = one if long is None else long.unionByName(one)
-    every = long.select("feature").distinct().join(F.broadcast(long.sparkSession.createDataFrame([(n,) for n, _ in samples], "sample string")))
-    long = every.join(long, ["feature", "sample"], "left").na.fill(0.0, ["value"])
     done = stats.normalize(long, method)
     shown = {"none": "value", "cpm": "cpm"}.get(method, "normalized")
-    wide = done.groupBy("feature").pivot("sample", [n for n, _ in samples]).agg(F.sum(shown))
+    wide = done.groupBy("feature").pivot("sample", [n for n, _ in samples]).agg(F.sum(shown)).na.fill(0.0, [n for n, _ in samples])
     facts = None
     for _, df in samples:
         one = df.select("taxid", *RANKS)

@@ -62,11 +62,12 @@ def to_bed(df: DataFrame, half_open: bool = False) -> DataFrame:
     return df.select(F.col("id").alias("contig"), F.lit(0).cast("long").alias("start"), (n if half_open else n - 1).alias("end"))
 
 
-def extract(spans: DataFrame, seqs: DataFrame) -> DataFrame:
-    """Sub-sequences of spans(contig, start, end), 0-based half-open. Spans meet their contig's text in groups of bounded size and
-    are cut from it there, so the text isn't repeated for each."""
-    part = F.pmod(F.xxhash64(*spans.columns), F.lit(8)).alias("_part")
-    cuts = spans.groupBy("contig", part).agg(F.collect_list(F.struct(*spans.columns)).alias("_s"))
+def extract(spans: DataFrame, seqs: DataFrame, together: int = 4096) -> DataFrame:
+    """Sub-sequences of spans(contig, start, end), 0-based half-open. Spans meet their contig's text in groups of about
+    ``together`` and are cut from it there, so the text isn't repeated for each."""
+    parts = spans.groupBy(F.col("contig").alias("_c")).agg(F.ceil(F.count("*") / together).alias("_k"))
+    part = F.pmod(F.xxhash64(*spans.columns), F.col("_k"))
+    cuts = spans.join(parts, F.col("contig") == F.col("_c")).groupBy("contig", part.alias("_part")).agg(F.collect_list(F.struct(*spans.columns)).alias("_s"))
     x = cuts.join(seqs.select(F.col("id").alias("contig"), "seq"), "contig").select("seq", F.explode("_s").alias("s"))
     x = x.select("s.*", "seq")
     return x.select(*spans.columns, F.substring("seq", (F.col("start") + 1).cast("int"), (F.col("end") - F.col("start")).cast("int")).alias("seq"))

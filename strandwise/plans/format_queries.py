@@ -66,10 +66,10 @@ def fasta_files(spark, sf):
     return x.select("id", F.md5("seq").alias("print"), F.length("seq").cast("long").alias("n"))
 
 
-@query(f"WITH {_SEQ} SELECT 'r' || id AS read_id, substr(seq, 1, 50) AS seq, CAST(length(substr(seq, 1, 50)) AS BIGINT) AS quality FROM s")
+@query(f"WITH {_SEQ} SELECT 'r' || id AS read_id, seq, CAST(length(seq) AS BIGINT) AS quality FROM s")
 def fastq_files(spark, sf):
     path = _folder(spark)
-    writers.fastq(_sequences(spark, sf).select(F.concat(F.lit("r"), "id").alias("read_id"), F.substring("seq", 1, 50).alias("seq")), path)
+    writers.fastq(_sequences(spark, sf).select(F.concat(F.lit("r"), "id").alias("read_id"), "seq"), path)
     return readers.fastq(spark, path).select("read_id", "seq", F.length(F.regexp_replace("qual", "[^I]", "")).cast("long").alias("quality"))
 
 

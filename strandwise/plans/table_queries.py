@@ -82,9 +82,9 @@ def region_metrics_per_contig(spark, sf):
     return _metrics(spark, sf, True)
 
 
-@query("SELECT 'x_island_' || (1 + doc_id % 5) || '-' || (30 + doc_id % 5) || CAST(doc_id AS VARCHAR) AS island, doc_id AS contig, substr(text, CAST(1 + doc_id % 5 AS BIGINT), 30) AS seq FROM documents WHERE length(text) >= 100")
+@query("SELECT 'x_island_' || (1 + doc_id % 5) || '-' || (30 + doc_id % 5) || CAST(doc_id AS VARCHAR) AS island, doc_id AS contig, substr(text, CAST(1 + doc_id % 5 AS BIGINT), 30) AS seq FROM documents")
 def island_sequences(spark, sf):
-    d = t(spark, sf, "documents").where("length(text) >= 100")
+    d = t(spark, sf, "documents")
     start = 1 + F.col("doc_id") % 5
     found = d.select(F.col("doc_id").alias("contig"), start.alias("start"), (start + 29).alias("end"))
     found = found.withColumn("island", F.concat(F.lit("x_island_"), F.col("start").cast("string"), F.lit("-"), F.col("end").cast("string"), F.col("contig").cast("string")))
@@ -106,14 +106,14 @@ def detection_state(spark, sf):
     return intervals.detection_state(_spans(spark, sf), c, 0.5).select("contig", "covered", "intervals", "done")
 
 
-@query("""WITH p AS (SELECT l_suppkey AS contig, CAST(date_diff('day', DATE '1992-01-01', CAST(l_shipdate AS DATE)) % 100 AS BIGINT) AS s, CAST(l_quantity AS BIGINT) % 4 AS q FROM lineitem WHERE l_orderkey % 15 = 0),
- c AS (SELECT contig, s, least(s + q, 100) AS e FROM p UNION ALL SELECT contig, 0, s + q - 100 FROM p WHERE s + q > 100), x AS (SELECT DISTINCT contig, unnest(range(s, e)) AS b FROM c), g AS (SELECT contig, b, b - row_number() OVER (PARTITION BY contig ORDER BY b) AS g FROM x),
- r AS (SELECT contig, min(b) AS s, max(b) + 1 AS e, count(*) OVER (PARTITION BY contig) AS n FROM g GROUP BY contig, g.g), f AS (SELECT *, n > 1 AND min(s) OVER w = 0 AND max(e) OVER w = 100 AS wraps, max(CASE WHEN s = 0 THEN e END) OVER w AS first FROM r WINDOW w AS (PARTITION BY contig))
-SELECT contig, s AS start, CASE WHEN wraps AND e = 100 THEN 100 + first ELSE e END AS "end" FROM f WHERE NOT (wraps AND s = 0)""")
+@query("""WITH p AS (SELECT l_suppkey AS contig, CAST(date_diff('day', DATE '1992-01-01', CAST(l_shipdate AS DATE)) % 2000 AS BIGINT) AS s, CAST(l_quantity AS BIGINT) % 4 AS q FROM lineitem),
+ c AS (SELECT contig, s, least(s + q, 2000) AS e FROM p UNION ALL SELECT contig, 0, s + q - 2000 FROM p WHERE s + q > 2000), x AS (SELECT DISTINCT contig, unnest(range(s, e)) AS b FROM c), g AS (SELECT contig, b, b - row_number() OVER (PARTITION BY contig ORDER BY b) AS g FROM x),
+ r AS (SELECT contig, min(b) AS s, max(b) + 1 AS e, count(*) OVER (PARTITION BY contig) AS n FROM g GROUP BY contig, g.g), f AS (SELECT *, n > 1 AND min(s) OVER w = 0 AND max(e) OVER w = 2000 AS wraps, max(CASE WHEN s = 0 THEN e END) OVER w AS first FROM r WINDOW w AS (PARTITION BY contig))
+SELECT contig, s AS start, CASE WHEN wraps AND e = 2000 THEN 2000 + first ELSE e END AS "end" FROM f WHERE NOT (wraps AND s = 0)""")
 def covered_contigs(spark, sf):
-    s = t(spark, sf, "lineitem").where("l_orderkey % 15 = 0").select(F.col("l_suppkey").alias("contig"), (F.datediff("l_shipdate", F.lit("1992-01-01")) % 100).cast("long").alias("start"), F.col("l_quantity").cast("long").alias("q"))
+    s = t(spark, sf, "lineitem").select(F.col("l_suppkey").alias("contig"), (F.datediff("l_shipdate", F.lit("1992-01-01")) % 2000).cast("long").alias("start"), F.col("l_quantity").cast("long").alias("q"))
     s = s.select("contig", "start", (F.col("start") + F.col("q") % 4).alias("end")).where("end > start")
-    c = s.select("contig").distinct().withColumn("length", F.lit(100).cast("long"))
+    c = s.select("contig").distinct().withColumn("length", F.lit(2000).cast("long"))
     return intervals.covered_contigs(s, c, circular=True).select("contig", "start", "end")
 
 
@@ -426,9 +426,9 @@ def records_to_bed(spark, sf):
     return sequences.to_bed(t(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("seq")))
 
 
-@query("SELECT doc_id AS contig, CASE WHEN doc_id % 3 = 0 THEN substr(text, 1, 20) || '<INS><INS>' || substr(text, 21, 30) || '<INS>' || substr(text, 51) ELSE text END AS seq FROM documents WHERE length(text) >= 60")
+@query("SELECT doc_id AS contig, CASE WHEN doc_id % 3 = 0 THEN substr(text, 1, 20) || '<INS><INS>' || substr(text, 21, 30) || '<INS>' || substr(text, 51) ELSE text END AS seq FROM documents")
 def inserted_pieces(spark, sf):
-    d = t(spark, sf, "documents").where("length(text) >= 60").select(F.col("doc_id").alias("contig"), F.col("text").alias("seq"))
+    d = t(spark, sf, "documents").select(F.col("doc_id").alias("contig"), F.col("text").alias("seq"))
     places = d.where("contig % 3 = 0").select("contig", F.explode(F.array(F.lit(50), F.lit(20), F.lit(20))).alias("position"))
     return sequences.insert_pieces(d, places, "<INS>")
 
@@ -436,8 +436,8 @@ def inserted_pieces(spark, sf):
 @query("SELECT CAST(5 AS BIGINT) AS n, CAST(5 AS BIGINT) AS numbers, TRUE AS inside, CAST(1 AS BIGINT) AS fixed")
 def insertion_places(spark, sf):
     """Random places can't be foretold: their number, that they lie inside, and that the first is the one asked for."""
-    c = t(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("contig"), F.length("text").cast("long").alias("length")).where("length > 9")
-    first = c.orderBy("contig").first()["contig"]
+    c = t(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("contig"), F.length("text").cast("long").alias("length"))
+    first = c.where("length >= 4").agg(F.min("contig")).first()[0]
     p = sequences.insertion_places(c, 5, 11, f"{first}:4").join(c, "contig")
     return p.agg(F.count("*").alias("n"), F.count_distinct("number").alias("numbers"), F.min((F.col("position") >= 0) & (F.col("position") <= F.col("length"))).alias("inside"), F.count_if((F.col("number") == 1) & (F.col("contig") == first) & (F.col("position") == 4)).alias("fixed"))
 
@@ -451,12 +451,12 @@ def read_summary(spark, sf):
     return writers.read_summary(x).drop("percent_identity_gap_aware", "percent_identity_gap_compressed")
 
 
-_MSA = """d AS (SELECT translate(substr(text, 1, 60), 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') AS s FROM documents WHERE length(text) >= 60), p AS (SELECT i AS position, substr(s, CAST(i + 1 AS BIGINT), 1) AS c FROM (SELECT s, unnest(range(0, 60)) AS i FROM d)),
+_MSA = """d AS (SELECT translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') AS s FROM benchmark), p AS (SELECT i AS position, substr(s, CAST(i + 1 AS BIGINT), 1) AS c FROM (SELECT s, unnest(range(0, length(s))) AS i FROM d)),
  f AS (SELECT position, CASE WHEN c IN ('A', 'E', 'I', 'N', 'O', 'T', 'H', 'R', 'S') THEN c ELSE '-' END AS c, count(*) AS n FROM p GROUP BY 1, 2)"""
 
 
 def _msa(spark, sf, gaps):
-    x = sequences.msa_columns(t(spark, sf, "documents").where("length(text) >= 60").select(F.substring("text", 1, 60).alias("seq")), "AEINOTHRS", gaps=gaps)
+    x = sequences.msa_columns(t(spark, sf, "benchmark").select(F.col("text").alias("seq")), "AEINOTHRS", gaps=gaps)
     return x.select("position", "depth", F.round("gap_fraction", 9).alias("gap_fraction"), F.round("conservation", 9).alias("conservation"))
 
 
@@ -473,25 +473,25 @@ def msa_without_gapped_columns(spark, sf):
 _PROTEIN = "MKWVTFISLLFLFSSAYSRGVFRRDAHKSEVAHRFKDLGEENFKALVLIAFAQYLQQCPFEDHVKLVNEF"
 
 
-@query(f"""WITH x AS (SELECT p_partkey, p_size % 20 + 20 AS place, p_size % 4 AS cut FROM part), y AS (SELECT *, substr('{_PROTEIN}', CAST(place AS BIGINT), 1) AS r FROM x)
-SELECT p_partkey AS id, round(100.0 * (70 - cut - CASE WHEN r = 'W' THEN 0 ELSE 1 END) / 70, 6) AS percent_identity, round(100.0 * (70 - cut) / 70, 6) AS percent_covered, CAST(CASE WHEN r = 'W' THEN 0 ELSE 1 END AS BIGINT) AS substitutions, CAST(cut AS BIGINT) AS deleted, CAST(CASE WHEN cut > 0 THEN 1 ELSE 0 END AS BIGINT) AS deletion_runs, CAST(0 AS BIGINT) AS insertions,
+@query(f"""WITH x AS (SELECT s_suppkey, s_suppkey % 20 + 20 AS place, s_suppkey // 20 % 4 AS cut FROM supplier), y AS (SELECT *, substr('{_PROTEIN}', CAST(place AS BIGINT), 1) AS r FROM x)
+SELECT s_suppkey AS id, round(100.0 * (70 - cut - CASE WHEN r = 'W' THEN 0 ELSE 1 END) / 70, 6) AS percent_identity, round(100.0 * (70 - cut) / 70, 6) AS percent_covered, CAST(CASE WHEN r = 'W' THEN 0 ELSE 1 END AS BIGINT) AS substitutions, CAST(cut AS BIGINT) AS deleted, CAST(CASE WHEN cut > 0 THEN 1 ELSE 0 END AS BIGINT) AS deletion_runs, CAST(0 AS BIGINT) AS insertions,
  CASE WHEN r = 'W' AND cut = 0 THEN '# No mutations detected' ELSE concat_ws(chr(10), CASE WHEN r <> 'W' THEN r || place || 'W' END, CASE WHEN cut > 2 THEN 'N68del' END, CASE WHEN cut > 1 THEN 'E69del' END, CASE WHEN cut > 0 THEN 'F70del' END) END AS value FROM y""")
 def protein_differences(spark, sf):
     """A protein with one residue changed to W and up to three missing at its end, by BLOSUM62."""
-    at, cut = F.col("p_size") % 20 + 20, F.col("p_size") % 4
+    at, cut = (F.col("s_suppkey") % 20 + 20).cast("int"), (F.floor(F.col("s_suppkey") / 20) % 4).cast("int")
     seq = F.lit(_PROTEIN)
     changed = F.concat(F.substring(seq, F.lit(1), at - 1), F.lit("W"), F.substring(seq, at + 1, 70 - at - cut))
-    x = t(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("id"), seq.alias("ref"), changed.alias("query"))
+    x = t(spark, sf, "supplier").select(F.col("s_suppkey").cast("string").alias("id"), seq.alias("ref"), changed.alias("query"))
     pos = alignment.positions(alignment.align_pairs(x))
     s = alignment.hit_statistics(pos).join(alignment.mutations_or_note(pos), "id")
     return s.select(F.col("id").cast("long").alias("id"), F.round("percent_identity", 6).alias("percent_identity"), F.round("percent_covered", 6).alias("percent_covered"), "substitutions", "deleted", "deletion_runs", "insertions", "value")
 
 
-@query(f"""SELECT p_partkey AS id, i AS ref_pos, substr('{_PROTEIN}', i, 1) AS ref_aa, CASE WHEN i > 40 THEN i + 2 ELSE i END AS query_pos, 'match' AS change_type, CASE WHEN i = 40 THEN 'WW' END AS inserted_after FROM part, (SELECT unnest(range(1, 71)) AS i) WHERE p_size = 7""")
+@query(f"""SELECT CAST(n_nationkey AS BIGINT) AS id, i AS ref_pos, substr('{_PROTEIN}', i, 1) AS ref_aa, CASE WHEN i > 40 THEN i + 2 ELSE i END AS query_pos, 'match' AS change_type, CASE WHEN i = 40 THEN 'WW' END AS inserted_after FROM nation, (SELECT unnest(range(1, 71)) AS i)""")
 def protein_positions(spark, sf):
     """Two residues more after the fortieth."""
     changed = F.lit(_PROTEIN[:40] + "WW" + _PROTEIN[40:])
-    x = t(spark, sf, "part").where("p_size = 7").select(F.col("p_partkey").cast("string").alias("id"), F.lit(_PROTEIN).alias("ref"), changed.alias("query"))
+    x = t(spark, sf, "nation").select(F.col("n_nationkey").cast("string").alias("id"), F.lit(_PROTEIN).alias("ref"), changed.alias("query"))
     p = alignment.all_positions(alignment.positions(alignment.align_pairs(x)))
     return p.select(F.col("id").cast("long").alias("id"), "ref_pos", "ref_aa", "query_pos", "change_type", "inserted_after")
 
