@@ -15,7 +15,7 @@ from ..functions.columns import coverage_of_units, reverse_complement, units_for
 from ..schema import RANKS
 from ..shared import checkpoint
 from . import stats
-from .sequences import uniform
+from .sequences import drawn, uniform
 
 
 def gaussian(seed: int, *cols: Column) -> Column:
@@ -51,32 +51,34 @@ def sample_fragments(refs: DataFrame, seed: int, mean: float, sd: float = 0.0, l
     give none. ``start``/``end`` are 0-based, half-open, on the forward strand; ``seq`` is read on ``strand``.
     """
     n = F.length("seq")
-    number = F.explode(F.sequence(F.lit(1).cast("long"), F.col(units).cast("long"))).alias("number")
-    x = refs.where((F.col(units) > 0) & (n > 0)).select("contig", "seq", number)
-    ids = F.col("contig"), F.col("number")
-    size = F.greatest(F.round(mean + sd * gaussian(seed, *ids)).cast("int"), F.lit(least))
-    size = size if most is None else F.least(size, F.lit(most))
-    x = x.withColumn("_n", n).withColumn("_size", F.least(size, F.col("_n")) if circular else size)
-    places = F.col("_n") if circular else F.when(F.col("_size") >= F.col("_n"), F.col("_n")).otherwise(F.col("_n") - F.col("_size") + 1)
-
-    def start(i: Column) -> Column:
-        return F.floor(uniform(seed + 2, *ids, i) * places).cast("int")
-
-    def bases(at: Column) -> Column:
-        one = F.substring("seq", at + 1, F.col("_size"))
-        return F.concat(one, F.substring("seq", F.lit(1), F.col("_size") - F.length(one))) if circular else one
-
-    if allow_n:
-        at = start(F.lit(0))
-    else:
-        good = F.aggregate(F.sequence(F.lit(0), F.lit(tries - 1)), F.lit(None).cast("int"), lambda a, i: F.coalesce(a, F.when(~F.contains(F.upper(bases(start(i))), F.lit("N")), start(i))))
-        at = F.coalesce(good, start(F.lit(tries - 1)))
-    x = x.withColumn("start", at).withColumn("_seq", bases(F.col("start"))).withColumn("end", F.col("start") + F.length("_seq"))
-    strand = F.when(uniform(seed + 3, *ids) < 0.5, "+").otherwise("-")
-    x = x.withColumn("strand", strand).withColumn("wrapped", F.col("end") > F.col("_n"))
+    contig, seq = F.col("contig"), F.col("seq")
+
+    def bases(at: Column, size: Column) -> Column:
+        piece = F.substring(seq, at + 1, size)
+        return F.concat(piece, F.substring(seq, F.lit(1), size - F.length(piece))) if circular else piece
+
+    def one(i: Column) -> Column:
+        size = F.greatest(F.round(mean + sd * gaussian(seed, contig, i)).cast("int"), F.lit(least))
+        size = size if most is None else F.least(size, F.lit(most))
+        size = F.least(size, n) if circular else size
+        places = n if circular else F.when(size >= n, n).otherwise(n - size + 1)
+
+        def start(j: Column) -> Column:
+            return F.floor(uniform(seed + 2, contig, i, j) * places).cast("int")
+
+        if allow_n:
+            at = start(F.lit(0))
+        else:
+            good = F.aggregate(F.sequence(F.lit(0), F.lit(tries - 1)), F.lit(None).cast("int"), lambda a, j: F.coalesce(a, F.when(~F.contains(F.upper(bases(start(j), size)), F.lit("N")), start(j))))
+            at = F.coalesce(good, start(F.lit(tries - 1)))
+        strand = F.when(uniform(seed + 3, contig, i) < 0.5, "+").otherwise("-")
+        return F.struct(i.alias("number"), at.alias("start"), bases(at, size).alias("_seq"), strand.alias("strand"))
+
+    x = drawn(refs.where((F.col(units) > 0) & (n > 0)), units, one).select("contig", "_n", "r.*")
+    x = x.withColumn("end", F.col("start") + F.length("_seq")).withColumn("wrapped", F.col("end") > F.col("_n"))
     name = F.concat_ws("_", F.lit("read"), "contig", F.col("number").cast("string"))
-    seq = F.when(F.col("strand") == "+", F.col("_seq")).otherwise(reverse_complement("_seq"))
-    return x.select(name.alias("read_id"), "contig", "number", "start", "end", "strand", "wrapped", seq.alias("seq"))
+    turned = F.when(F.col("strand") == "+", F.col("_seq")).otherwise(reverse_complement("_seq"))
+    return x.select(name.alias("read_id"), "contig", "number", "start", "end", "strand", "wrapped", turned.alias("seq"))
 
 
 def mates(fragments: DataFrame, read_length: int) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -178,16 +179,36 @@ def uniform(seed: int, *cols: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *cols), 11) / F.lit(float(1 << 53))
 
 
+#: Draws made from one copy of a contig's text.
+TOGETHER = 256
+
+
+def drawn(refs: DataFrame, units: str, one: Callable[[Column], Column]) -> DataFrame:
+    """(contig, _n, r) with the struct ``one(number)`` for each number from 1 to the units of refs(contig, seq, units). A contig's
+    text goes along once for TOGETHER draws; its length is _n."""
+    u = F.col(units).cast("long")
+    x = refs.select("contig", "seq", F.length("seq").alias("_n"), u.alias("_u"), F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(cast({units} as long) - 1) div {TOGETHER}"))).alias("_k"))
+    numbers = F.sequence(F.col("_k") * TOGETHER + 1, F.least(F.col("_u"), (F.col("_k") + 1) * TOGETHER))
+    return x.select("contig", "_n", F.explode(F.transform(numbers, one)).alias("r"))
+
+
 def sample_reads(refs: DataFrame, length: int, seed: int, units: str = "units", circular: bool = False) -> DataFrame:
     """Reads of a fixed length from refs(contig, seq, units): place and strand from the hash of (seed, contig, number)."""
     n = F.length("seq")
-    x = refs.where((F.col(units) > 0) & (n >= length)).select("contig", "seq", F.explode(F.sequence(F.lit(1).cast("long"), F.col(units).cast("long"))).alias("number"))
     places = n if circular else n - length + 1
-    x = x.withColumn("start", F.floor(uniform(seed, F.col("contig"), F.col("number")) * places).cast("long")).withColumn("strand", F.when(uniform(seed + 1, F.col("contig"), F.col("number")) < 0.5, "+").otherwise("-"))
-    x = x.withColumn("end", F.col("start") + length).withColumn("wrapped", F.col("end") > n)
-    around = F.concat("seq", F.substring("seq", 1, length)) if circular else F.col("seq")
-    bases = F.substring(around, (F.col("start") + 1).cast("int"), F.lit(length))
-    return x.select(F.concat_ws("_", F.lit("read"), "contig", F.col("number").cast("string")).alias("read_id"), "contig", "start", "end", "strand", "wrapped", F.when(F.col("strand") == "+", bases).otherwise(reverse_complement(bases)).alias("seq"))
+
+    def one(i: Column) -> Column:
+        start = F.floor(uniform(seed, F.col("contig"), i) * places).cast("int")
+        bases = F.substring(F.col("seq"), start + 1, F.lit(length))
+        if circular:
+            bases = F.concat(bases, F.substring(F.col("seq"), F.lit(1), F.greatest(start + length - n, F.lit(0))))
+        strand = F.when(uniform(seed + 1, F.col("contig"), i) < 0.5, "+").otherwise("-")
+        return F.struct(i.alias("number"), start.cast("long").alias("start"), strand.alias("strand"), bases.alias("bases"))
+
+    x = drawn(refs.where((F.col(units) > 0) & (n >= length)), units, one)
+    x = x.select("contig", "_n", "r.*").withColumn("end", F.col("start") + length).withColumn("wrapped", F.col("end") > F.col("_n"))
+    seq = F.when(F.col("strand") == "+", F.col("bases")).otherwise(reverse_complement("bases"))
+    return x.select(F.concat_ws("_", F.lit("read"), "contig", F.col("number").cast("string")).alias("read_id"), "contig", "start", "end", "strand", "wrapped", seq.alias("seq"))
 
 
 def mutate(df: DataFrame, rate: float, seed: int, transition_ratio: float = 2.0, indel_rate: float = 0.0, key: str = "id", seq: str = "seq") -> DataFrame:
