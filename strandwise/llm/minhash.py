@@ -190,11 +190,14 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     x = materialize(x.unionByName(hubs.select("centre", F.col("centre").alias("cid"), F.lit(-1).alias("s"), "b.lo", "b.hi")))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     needed = materialize(classes.join(x.select(F.col("cid").alias("d")).distinct(), F.col("cid") == F.col("d"), "left_semi"))
+    # by the ids alone first: they are few bytes, and texts that aren't needed don't move if those can be broadcast
+    wanted = materialize(needed.select(F.col("rep").alias("w")).distinct().sort("w"))
+    texts = texts.join(wanted, F.col("doc_id") == F.col("w"), "left_semi")
     sets = full_sets(texts.join(needed, F.col("doc_id") == F.col("rep")), shingle, bands * rows)
     placed = x.join(sets, "cid").groupBy("centre", "lo", "hi")
     links = materialize(placed.applyInArrow(_links_around(bands * rows, percent), "u long, v long"))
     comp = connected_components(links)
-    discard(buckets, x, needed, links)
+    discard(buckets, x, needed, wanted, links)
 
     # Back from classes to documents; a component is named by its smallest doc_id.
     named = comp.join(classes.select("cid", "rep"), comp.node == F.col("cid"))
