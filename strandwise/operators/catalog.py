@@ -7,7 +7,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.columns import accession_core, accession_root, assigned, col, is_assigned, normalize_taxon, number
 from ..schema import RANKS, CatalogSpec
