@@ -54,14 +54,32 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Null, empty and wordless texts are near nothing and stay. Long texts are compared whole. An empty table gives an empty one.
     """
     docs, columns = _apart(docs)
-    # rows are numbered once and written, so that every later read knows them by the same number
-    rows = materialize(docs.withColumn("_row", F.monotonically_increasing_id()))
+    ids = docs.select(F.col("doc_id").cast("long").alias("_id")).groupBy("_id").count()
+    kept: list[DataFrame] = []
+    with scratch_scope(keep=kept):
+        if ids.where("_id is null or count > 1").isEmpty():
+            rows, gone = docs.withColumn("_row", F.col("doc_id").cast("long")), _copies(docs)
+        else:
+            # rows are numbered once and written, so that every later read knows them by the same number
+            rows = materialize(docs.withColumn("_row", F.monotonically_increasing_id()))
+            kept.append(rows)
+            gone = _copies_among_rows(rows)
+        kept.append(materialize(gone))
+    return rows.join(kept[-1], F.col("_row") == F.col("_copy_of"), "left_anti").select(*columns)
+
+
+def _copies(docs: DataFrame) -> DataFrame:
+    """The ids of documents that aren't the smallest of their group."""
+    return minhash.near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("_copy_of"))
+
+
+def _copies_among_rows(rows: DataFrame) -> DataFrame:
+    """The same of rows with numbers: of a group the row of smallest doc_id stays, of several the first."""
     keyed = rows.select(F.col("_row").alias("doc_id"), "text", F.col("doc_id").cast("long").alias("_id"))
     found = materialize(minhash.near_duplicates(keyed, carry=("_id",)).select(F.col("doc_id").alias("_row"), "_id", F.col("component_id").alias("_group")))
     best = F.min_by("_row", F.struct(F.col("_id").isNull(), "_id", "_row")).alias("_stays")
     groups = found.groupBy(F.col("_group").alias("_g")).agg(F.count("*").alias("_n"), best).where("_n > 1")
-    gone = materialize(found.join(groups, F.col("_group") == F.col("_g")).where("_row <> _stays").select(F.col("_row").alias("_copy_of")))
-    return rows.join(gone, F.col("_row") == F.col("_copy_of"), "left_anti").select(*columns)
+    return found.join(groups, F.col("_group") == F.col("_g")).where("_row <> _stays").select(F.col("_row").alias("_copy_of"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
