@@ -125,7 +125,8 @@ def length_statistics(df: DataFrame, length: str, keys: list[str] | None = None)
 def assembly_summary(contigs: DataFrame, keys: list[str], thresholds: tuple[int, ...] = (100, 500, 1000, 5000, 10_000, 50_000, 100_000)) -> DataFrame:
     """Counts, totals, N50/75/90 and L50/75/90 and contigs of at least each length; contigs has keys and length.
 
-    Lengths are counted first, so the running sum goes over distinct lengths of an assembly and not over its contigs.
+    Lengths are counted first, so the running sum goes over distinct lengths of an assembly and not over its contigs. Contigs of
+    length 0 or null count as contigs and add nothing.
     """
     h = contigs.groupBy(*keys, "length").agg(F.count("*").alias("c"))
     w = Window.partitionBy(*keys)
@@ -136,19 +137,23 @@ def assembly_summary(contigs: DataFrame, keys: list[str], thresholds: tuple[int,
         # in integers: the first length at which 100 * bases reach p percent of the total
         reached = F.col("bases") * 100 >= F.col("total") * p
         aggs.append(F.max(F.when(reached, F.col("length"))).alias(f"n{p}"))
-        need = F.ceil((F.col("total") * p - (F.col("bases") - F.col("c") * F.col("length")) * 100) / (F.col("length") * 100))
+        need = F.ceil(F.try_divide(F.col("total") * p - (F.col("bases") - F.col("c") * F.col("length")) * 100, F.col("length") * 100))
         aggs.append(F.min(F.when(reached, F.col("upto") - F.col("c") + F.greatest(need, F.lit(1)))).alias(f"l{p}"))
     aggs += [F.sum(F.when(F.col("length") >= t, F.col("c")).otherwise(0)).alias(f"contigs_{t}") for t in thresholds]
-    return h.where("length > 0").groupBy(*keys).agg(*aggs)
+    return h.groupBy(*keys).agg(*aggs)
 
 
 def assembly_table(seqs: DataFrame, assemblies: DataFrame, key: str = "assembly") -> DataFrame:
     """assembly_summary of seqs(assembly, seq) with ambiguous characters (all but A, C, G, T in any case) and GC content in percent,
-    2 decimals; assemblies without a contig stay, with nulls."""
+    2 decimals; assemblies without a contig stay, with nulls, and sequences without an assembly are one of their own."""
     acgt, gc = F.length(F.regexp_replace("seq", "[^ACGTacgt]", "")), F.length(F.regexp_replace("seq", "[^GCgc]", ""))
     x = seqs.select(key, F.length("seq").cast("long").alias("length"), acgt.cast("long").alias("_acgt"), gc.cast("long").alias("_gc"))
     more = x.groupBy(key).agg(F.sum(F.col("length") - F.col("_acgt")).alias("ambiguous"), F.round(F.try_divide(100.0 * F.sum("_gc"), F.sum("_acgt")), 2).alias("gc_content"))
-    return assemblies.select(key).distinct().join(assembly_summary(x, [key]), key, "left").join(more, key, "left")
+    out = assemblies.select(key).distinct()
+    for y in (assembly_summary(x, [key]), more):
+        y = y.withColumnRenamed(key, "_k")
+        out = out.join(y, out[key].eqNullSafe(y["_k"]), "left").drop("_k")
+    return out
 
 
 def transposed(df: DataFrame, key: str, names: list[str]) -> DataFrame:
