@@ -55,9 +55,10 @@ def values(df: DataFrame, path: str, column: str) -> None:
     df.select(F.col(column).cast("string")).write.mode("overwrite").text(path)
 
 
-def fasta(df: DataFrame, path: str, name: str = "id", seq: str = "seq", width: int | None = None) -> None:
+def fasta(df: DataFrame, path: str, name: str = "id", seq: str = "seq", width: int | None = None, compression: str = "none") -> None:
+    """A nameless sequence keeps its record, with an empty name."""
     s = wrap_sequence(seq, width) if width else F.col(seq)
-    df.select(F.concat(F.lit(">"), F.col(name), F.lit("\n"), s)).write.mode("overwrite").text(path)
+    df.select(F.concat(F.lit(">"), F.coalesce(F.col(name), F.lit("")), F.lit("\n"), s)).write.mode("overwrite").option("compression", compression).text(path)
 
 
 def fastq(df: DataFrame, path: str, mate: str | None = None, compression: str = "gzip") -> None:
