@@ -216,52 +216,61 @@ GENBANK = "file string, locus string, accession string, definition string, seq s
 
 
 def genbank(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Records of GenBank flat files with their features and qualifiers (repeats joined by ;)."""
-
-    def parse(text: str, file: str) -> Iterator[tuple]:
-        for rec in text.split("\n//"):
-            if "LOCUS" not in rec:
-                continue
-            head, _, tail = rec.partition("\nORIGIN")
-            seq = "".join(c for line in tail.splitlines()[1:] for c in line if c.isalpha()).upper()
-            top, _, table = head.partition("\nFEATURES")
-            fields, last = {}, None
-            for line in top.strip().splitlines():
-                if line[:12].strip():
-                    last = line[:12].strip()
-                    fields.setdefault(last, line[12:].strip())
-                elif last:
-                    fields[last] += " " + line.strip()
-            feats = []
-            for line in table.splitlines()[1:]:
-                if line[:5] == "     " and line[5:6].strip():
-                    feats.append([line[5:21].strip(), line[21:].strip(), []])
-                elif feats and line[21:].startswith("/"):
-                    feats[-1][2].append(line[21:])
-                elif feats and line.strip():
-                    if feats[-1][2]:
-                        joint = "" if feats[-1][2][-1].startswith("/translation") else " "
-                        feats[-1][2][-1] += joint + line.strip()
-                    else:
-                        feats[-1][1] += line.strip()
-            out = []
-            for kind, loc, quals in feats:
-                q: dict[str, str] = {}
-                for raw in quals:
-                    k, _, v = raw[1:].partition("=")
-                    v = v.strip().strip('"').replace('""', '"')
-                    q[k] = f"{q[k]};{v}" if k in q else v
-                out.append({"type": kind, "location": loc, "qualifiers": q})
-            yield file, fields.get("LOCUS", "").split()[0] if fields.get("LOCUS") else None, (fields.get("VERSION") or fields.get("ACCESSION") or "").split(" ")[0], fields.get("DEFINITION"), seq, out
+    """Records of GenBank flat files with their features and qualifiers (repeats joined by ;). Files are split between
+    records: a task holds a batch of them and never a file, and results leave Python every few MB."""
+
+    def parse(rec: str, file: str) -> Iterator[tuple]:
+        if "LOCUS" not in rec:
+            return
+        head, _, tail = rec.partition("\nORIGIN")
+        seq = "".join(c for line in tail.splitlines()[1:] for c in line if c.isalpha()).upper()
+        top, _, table = head.partition("\nFEATURES")
+        fields, last = {}, None
+        for line in top.strip().splitlines():
+            if line[:12].strip():
+                last = line[:12].strip()
+                fields.setdefault(last, line[12:].strip())
+            elif last:
+                fields[last] += " " + line.strip()
+        feats = []
+        for line in table.splitlines()[1:]:
+            if line[:5] == "     " and line[5:6].strip():
+                feats.append([line[5:21].strip(), line[21:].strip(), []])
+            elif feats and line[21:].startswith("/"):
+                feats[-1][2].append(line[21:])
+            elif feats and line.strip():
+                if feats[-1][2]:
+                    joint = "" if feats[-1][2][-1].startswith("/translation") else " "
+                    feats[-1][2][-1] += joint + line.strip()
+                else:
+                    feats[-1][1] += line.strip()
+        out = []
+        for kind, loc, quals in feats:
+            q: dict[str, str] = {}
+            for raw in quals:
+                k, _, v = raw[1:].partition("=")
+                v = v.strip().strip('"').replace('""', '"')
+                q[k] = f"{q[k]};{v}" if k in q else v
+            out.append({"type": kind, "location": loc, "qualifiers": q})
+        yield file, fields.get("LOCUS", "").split()[0] if fields.get("LOCUS") else None, (fields.get("VERSION") or fields.get("ACCESSION") or "").split(" ")[0], fields.get("DEFINITION"), seq, out
 
     def run(batches):
         import pandas as pd
 
-        for pdf in batches:
-            rows = [r for p, c in zip(pdf["path"], pdf["content"], strict=True) for r in parse(bytes(c).decode(), p)]
-            yield pd.DataFrame(rows, columns=["file", "locus", "accession", "definition", "seq", "features"])
+        def frame(rows):
+            return pd.DataFrame(rows, columns=["file", "locus", "accession", "definition", "seq", "features"])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, GENBANK)
+        for pdf in batches:
+            rows, size = [], 0
+            for p, rec in zip(pdf["path"], pdf["value"], strict=True):
+                rows += parse(rec, p)
+                size += len(rec)
+                if size > 1 << 22:
+                    yield frame(rows)
+                    rows, size = [], 0
+            yield frame(rows)
+
+    return spark.read.option("lineSep", "\n//").text(path).select(F.col("_metadata.file_path").alias("path"), "value").mapInPandas(run, GENBANK)
 
 
 def coding_features(records: DataFrame) -> DataFrame:
