@@ -34,12 +34,13 @@ def _remove() -> None:
             pass
 
 
-def _text(df: DataFrame, value, path: str, compression: str = "none", head: str | None = None) -> str:
-    """One text file of a line a row, below a header line if there is one."""
+def _text(df: DataFrame, value, path: str, compression: str = "none", head: str | None = None, many: bool = False) -> str:
+    """One text file of a line a row, below a header line if there is one; with ``many`` as many files as tasks, which suits
+    tables that grow and readers that know a header or comment by its first letter."""
     x = df.select(value.cast("string").alias("value"))
     if head is not None:
         x = df.sparkSession.createDataFrame([(head,)], "value string").unionByName(x)
-    x.coalesce(1).write.option("compression", compression).text(path)
+    (x if many else x.coalesce(1)).write.option("compression", compression).text(path)
     return path
 
 
@@ -99,7 +100,7 @@ def sam_files(spark, sf):
     c = F.col
     x = t(spark, sf, "lineitem")
     line = _tabbed(F.concat(F.lit("q"), c("l_orderkey").cast("string")), c("l_linenumber") * 16, F.concat(F.lit("c"), c("l_suppkey").cast("string")), c("l_partkey") + 1, F.lit(60), F.concat(c("l_quantity").cast("long").cast("string"), F.lit("M")), F.lit("*"), F.lit(0), F.lit(0), F.lit("ACGT"), F.lit("IIII"), F.concat(F.lit("NM:i:"), c("l_linenumber").cast("string")), F.lit("AS:i:7"))
-    path = _text(x, line, _folder(spark), head="@HD\tVN:1.6")
+    path = _text(x, line, _folder(spark), head="@HD\tVN:1.6", many=True)
     r = readers.sam(spark, path)
     return r.groupBy("query_name", "flag", "reference_name", "reference_start", "cigar", "nm").agg(F.count("*").alias("n"))
 
@@ -114,7 +115,7 @@ def bed_files(spark, sf):
 @query("SELECT 's' || (l_suppkey % 9) AS target, CAST(l_linenumber AS BIGINT) AS depth, l_discount AS detection, count(*) AS n FROM lineitem GROUP BY ALL")
 def distribution_files(spark, sf):
     x = t(spark, sf, "lineitem")
-    path = _text(x, _tabbed(F.concat(F.lit("s"), (F.col("l_suppkey") % 9).cast("string")), F.col("l_linenumber"), F.col("l_discount")), _folder(spark))
+    path = _text(x, _tabbed(F.concat(F.lit("s"), (F.col("l_suppkey") % 9).cast("string")), F.col("l_linenumber"), F.col("l_discount")), _folder(spark), many=True)
     return readers.depth_distribution(spark, path).groupBy("target", "depth", "detection").agg(F.count("*").alias("n"))
 
 
@@ -124,7 +125,7 @@ def hit_tables(spark, sf):
     c = F.col
     x = t(spark, sf, "lineitem")
     line = _tabbed(F.concat(F.lit("q"), c("l_orderkey").cast("string")), F.lit(100), F.lit("s"), c("l_partkey"), F.lit(1), F.lit(9), F.lit(1), F.lit(9), F.lit(9), c("l_discount"), F.lit(1e-9), c("l_extendedprice"))
-    path = _text(x, line, _folder(spark), head="# a comment")
+    path = _text(x, line, _folder(spark), head="# a comment", many=True)
     return readers.hits(spark, path, coverage_columns=False).select("qseqid", "slen", "pident", "qcovs", "bitscore")
 
 
@@ -133,7 +134,7 @@ def report_files(spark, sf):
     c = F.col
     x = t(spark, sf, "conversations")
     name = F.concat(F.repeat(F.lit("  "), (c("turn") % 3).cast("int")), F.lit("name "), c("turn").cast("string"))
-    path = _text(x, _tabbed(F.lit(" 12.50"), c("conv_id"), c("turn"), F.lit("G"), F.lit(1), name), _folder(spark))
+    path = _text(x, _tabbed(F.lit(" 12.50"), c("conv_id"), c("turn"), F.lit("G"), F.lit(1), name), _folder(spark), many=True)
     r = readers.classifier_report(spark, path)
     return r.groupBy("clade_reads", "reads", "name", "indent").agg(F.count("*").alias("n"))
 
@@ -143,7 +144,7 @@ def annotation_details(spark, sf):
     c = F.col
     x = t(spark, sf, "lineitem")
     line = F.concat(F.when(c("l_linenumber") % 2 == 0, "*\t").otherwise("\t"), _tabbed(F.concat(F.lit("g"), c("l_orderkey").cast("string")), F.when(c("l_partkey") % 3 > 0, F.concat(F.lit("K"), c("l_partkey").cast("string"))), F.when(c("l_suppkey") % 2 == 0, "-").otherwise(c("l_quantity").cast("string")), c("l_extendedprice"), F.lit("1e-5"), F.lit('"a "b" c"')))
-    path = _text(x, line, _folder(spark), head="#\tgene\tKO\tthrshld\tscore\tE-value\tKO definition")
+    path = _text(x, line, _folder(spark), head="#\tgene\tKO\tthrshld\tscore\tE-value\tKO definition", many=True)
     return readers.ko_details(spark, path).select("gene", "ko", "threshold", "score", "function")
 
 
@@ -173,12 +174,12 @@ def alignment_lines(spark, sf):
     c = F.col
     p = t(spark, sf, "part")
     line = _tabbed(F.concat(F.lit("p"), c("p_partkey").cast("string")), c("p_size"), F.lit(0), F.lit(5), F.when(c("p_size") % 2 == 0, "+").otherwise("-"), F.lit("t"), F.lit(100), F.lit(0), F.lit(15), F.lit(15), F.lit(15), F.lit(0), F.lit("AS:i:9"), F.concat(F.lit("cs:Z::"), c("p_size").cast("string")))
-    return readers.paf(spark, _text(p, line, _folder(spark), head="##PAF")).select("query", "qlen", "strand", "cs")
+    return readers.paf(spark, _text(p, line, _folder(spark), head="##PAF", many=True)).select("query", "qlen", "strand", "cs")
 
 
 @query("SELECT DISTINCT p_name AS value FROM part")
 def value_files(spark, sf):
-    path = _text(t(spark, sf, "part"), F.concat(F.lit(">"), "p_name", F.lit(" ")), _folder(spark))
+    path = _text(t(spark, sf, "part"), F.concat(F.lit(">"), "p_name", F.lit(" ")), _folder(spark), many=True)
     return readers.values(spark, path, header_marks=True)
 
 
@@ -275,12 +276,12 @@ def value_lists(spark, sf):
 
 @query("SELECT CAST(count(*) AS BIGINT) AS lines, CAST(count(*) AS BIGINT) AS numbers, CAST(0 AS BIGINT) AS first, CAST(count(*) - 1 AS BIGINT) AS last FROM lineitem")
 def split_files_numbered(spark, sf):
-    """A file that is read in many pieces: line numbers run through them all."""
-    path = _text(t(spark, sf, "lineitem"), _tabbed(F.col("l_orderkey"), F.col("l_comment") if "l_comment" in t(spark, sf, "lineitem").columns else F.col("l_shipdate")), _folder(spark))
+    """Files that are read in many pieces: line numbers run through them all."""
+    path = _text(t(spark, sf, "lineitem"), _tabbed(F.col("l_orderkey"), F.col("l_comment") if "l_comment" in t(spark, sf, "lineitem").columns else F.col("l_shipdate")), _folder(spark), many=True)
     was = spark.conf.get("spark.sql.files.maxPartitionBytes")
     spark.conf.set("spark.sql.files.maxPartitionBytes", "65536")
     try:
-        x = readers.lines(spark, path)
+        x = readers.lines(spark, path, through=True)
         x._jdf.queryExecution().executedPlan()  # splits are made with the plan
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", was)

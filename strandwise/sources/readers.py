@@ -12,15 +12,15 @@ from .. import schema
 from ..functions.columns import is_assigned, number
 
 
-def lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """(file, ordinal, value): the lines of each file numbered from 0.
+def lines(spark: SparkSession, path: str | list[str], through: bool = False) -> DataFrame:
+    """(file, ordinal, value): the lines of each file numbered from 0; with ``through`` numbers run on from file to file, by path.
 
     Files are split and read line by line. Within a block numbers come from the order of reading, and a small table of the
     blocks' line counts gives the lines before each.
     """
     raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_b"), F.monotonically_increasing_id().alias("_m"), "value")
     blocks = raw.groupBy("file", "_b").agg(F.min("_m").alias("_first"), F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.partitionBy("file").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = F.coalesce(F.sum("_n").over((Window.partitionBy(F.lit(0)).orderBy("file", "_b") if through else Window.partitionBy("file").orderBy("_b")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     blocks = blocks.select("file", "_b", "_first", before.alias("_before"))
     return raw.join(blocks, ["file", "_b"]).select("file", (F.col("_before") + F.col("_m") - F.col("_first")).alias("ordinal"), "value")
 
