@@ -113,12 +113,15 @@ def global_alignment(a: str, b: str, score: Callable[[str, str], float], gap_ope
 
 
 def align_pairs(df: DataFrame, score: Callable[[str, str], float] | None = None) -> DataFrame:
-    """df(id, ref, query) with gapped_ref, gapped_query and score, by BLOSUM62 unless another score is given."""
+    """df(id, ref, query) with gapped_ref, gapped_query and score, by BLOSUM62 unless another score is given. Equal pairs of a batch
+    are aligned once; callers that use the result more than once should checkpoint it."""
     f = score or similarity(blosum62())
 
     def run(batches):
         for pdf in batches:
-            r = [global_alignment(a, b, f) for a, b in zip(pdf["ref"], pdf["query"], strict=True)]
+            pairs = list(zip(pdf["ref"], pdf["query"], strict=True))
+            found = {p: global_alignment(*p, f) for p in set(pairs)}
+            r = [found[p] for p in pairs]
             yield pd.DataFrame({"id": pdf["id"], "gapped_ref": [x[0] for x in r], "gapped_query": [x[1] for x in r], "score": [x[2] for x in r]})
 
     return df.select("id", "ref", "query").mapInPandas(run, "id string, gapped_ref string, gapped_query string, score double")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import alignment, columns
 from ..operators import intervals, ontology, reports, sequences, stats
+from ..shared import checkpoint
 from ..sources import writers
 from .catalog_queries import _HOURLY, _LINEAGE, _SPANS, _edges, _hourly, _lineage, _matrix, _MATRIX, _runs, _spans, query, t
 
@@ -482,7 +483,7 @@ def protein_differences(spark, sf):
     seq = F.lit(_PROTEIN)
     changed = F.concat(F.substring(seq, F.lit(1), at - 1), F.lit("W"), F.substring(seq, at + 1, 70 - at - cut))
     x = t(spark, sf, "supplier").select(F.col("s_suppkey").cast("string").alias("id"), seq.alias("ref"), changed.alias("query"))
-    pos = alignment.positions(alignment.align_pairs(x))
+    pos = alignment.positions(checkpoint(alignment.align_pairs(x)))  # six branches use it
     s = alignment.hit_statistics(pos).join(alignment.mutations_or_note(pos), "id")
     return s.select(F.col("id").cast("long").alias("id"), F.round("percent_identity", 6).alias("percent_identity"), F.round("percent_covered", 6).alias("percent_covered"), "substitutions", "deleted", "deletion_runs", "insertions", "value")
 
