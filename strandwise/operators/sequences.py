@@ -107,6 +107,52 @@ def _bits(pattern: str, text: str, k: int) -> list[int]:
     return ends
 
 
+def _ends(pattern: str, text: str, k: int) -> list[int]:
+    """_bits of the whole text, read only where it can matter: of k + 1 pieces of the pattern a place with at most k edits holds
+    one unchanged, so only stretches around the pieces' own places are looked through."""
+    m = len(pattern)
+    if m <= k:
+        return _bits(pattern, text, k)
+    spans, cuts = [], [m * i // (k + 1) for i in range(k + 2)]
+    for a, b in zip(cuts, cuts[1:]):
+        at = text.find(pattern[a:b])
+        while at >= 0:
+            spans.append((max(0, at - a - k), at + m - a + k))
+            at = text.find(pattern[a:b], at + 1)
+    best, ends, low, high = k, [], -1, -1
+
+    def look():
+        nonlocal best, ends
+        found = _bits(pattern, text[low:high], best)
+        if found:
+            cost = _distance(pattern, text[max(low, low + found[0] - m - k) : low + found[0]])
+            if cost < best:
+                best, ends = cost, []
+            ends += [low + e for e in found]
+
+    for a, b in sorted(spans):
+        if a > high and high >= 0:
+            look()
+            low = a
+        elif high < 0:
+            low = a
+        high = max(high, b)
+    if high >= 0:
+        look()
+    return ends
+
+
+def _distance(pattern: str, text: str) -> int:
+    """Least edit distance of the pattern to an end of the text."""
+    row = list(range(len(pattern) + 1))
+    for c in text:
+        new = [0]
+        for i, d in enumerate(pattern, 1):
+            new.append(min(row[i] + 1, new[-1] + 1, row[i - 1] + (d != c)))
+        row = new
+    return row[-1]
+
+
 def _starts(pattern: str, text: str, ends: list[int], k: int) -> list[tuple[int, int]]:
     """(start, end) of places known by their end: the start that is nearest to it, found in the few letters before."""
     out = []
@@ -126,22 +172,38 @@ def _starts(pattern: str, text: str, ends: list[int], k: int) -> list[tuple[int,
 
 def primer_hits(df: DataFrame, forward: str, reverse: str, k: int = 0, key: str = "id", seq: str = "seq") -> DataFrame:
     """(key, start, end, type) of the places of least edit distance, at most k, of both primers in both orientations, each end with
-    the start nearest to it; places found twice count once. Texts are read once for each probe, as bit vectors."""
+    the start nearest to it; places found twice count once. Texts are searched for pieces of each probe, and read around these as bit vectors;
+    a worker holds a batch of texts and 20,000 places, besides those of one text."""
     flip = str.maketrans("ACGTacgt", "TGCAtgca")
     probes = [("forward", forward), ("reverse", reverse), ("forward", forward[::-1].translate(flip)), ("reverse", reverse[::-1].translate(flip))]
 
-    @F.pandas_udf("array<struct<start:int,end:int,type:string>>")
-    def find(s: pd.Series) -> pd.Series:
-        def one(text):
-            seen = {}
-            for kind, p in probes:
-                for place in _starts(p, text or "", _bits(p, text or "", k), k):
-                    seen.setdefault(place, kind)
-            return [{"start": a, "end": b, "type": t} for (a, b), t in sorted(seen.items())]
+    def places(text: str) -> list[tuple]:
+        seen: dict[tuple[int, int], str] = {}
+        for kind, p in probes:
+            for place in _starts(p, text, _ends(p, text, k), k):
+                seen.setdefault(place, kind)
+        return [(*place, kind) for place, kind in sorted(seen.items())]
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            kind, rows = b.schema.field(0).type, []
+
+            def batch():
+                cols = list(zip(*rows, strict=True)) or [[]] * 4
+                types = (kind, pa.int32(), pa.int32(), pa.string())
+                return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], [key, "start", "end", "type"])
 
-        return s.map(one)
+            for i in range(b.num_rows):
+                name = b.column(0)[i].as_py()
+                rows += [(name, *x) for x in places(b.column(1)[i].as_py() or "")]
+                if len(rows) >= 20_000:
+                    yield batch()
+                    rows.clear()
+            yield batch()
 
-    return df.select(key, F.explode(find(seq)).alias("h")).select(key, "h.*")
+    return df.select(key, seq).mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, start int, end int, type string")
 
 
 def amplicons(hits: DataFrame, key: str = "id") -> DataFrame:
