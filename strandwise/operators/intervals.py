@@ -65,14 +65,14 @@ def resolve_regions(found: DataFrame, least: float = 0.5) -> DataFrame:
     """Best target of each place: loci of a contig are swept by (start, end) and join the current cluster if they overlap any
     of its members by the share of the shorter span; the best has the highest bitscore, then pident * length.
 
-    Membership depends on what the cluster already holds, so it is swept in Python; but a cluster never reaches over a place
-    that no locus covers, so a contig is cut there first and its pieces are swept apart.
+    Membership depends on what the cluster already holds, so it is swept in Python: partitions of whole contigs come sorted and
+    are swept as they come, so a worker holds a batch of loci and one cluster, and contigs cost no call of their own.
     """
+    order = ["contig", "q_low", "q_high", "target", "pident", "bitscore"]
 
-    def sweep(pdf):
+    def sweep(batches):
         import pandas as pd
 
-        pdf = pdf.sort_values(["q_low", "q_high", "target"], kind="mergesort")
         out, cluster, reach = [], [], -1
 
         def close():
@@ -80,19 +80,25 @@ def resolve_regions(found: DataFrame, least: float = 0.5) -> DataFrame:
                 best = sorted(cluster, key=lambda r: (-r.bitscore, -r.pident * (r.q_high - r.q_low + 1), r.target))
                 out.append((best[0].contig, min(r.q_low for r in cluster), max(r.q_high for r in cluster), best[0].target, best[0].pident, best[0].bitscore, len(cluster), ";".join(r.target for r in best[1:]) or None))
 
-        for r in pdf.itertuples(index=False):
-            size = r.q_high - r.q_low + 1
-            joins = r.q_low <= reach and any(min(r.q_high, m.q_high) - max(r.q_low, m.q_low) + 1 >= least * min(size, m.q_high - m.q_low + 1) for m in reversed(cluster))
-            if not joins:
-                close()
-                cluster, reach = [], -1
-            cluster.append(r)
-            reach = max(reach, r.q_high)
+        def frame():
+            made = pd.DataFrame(out, columns=["contig", "start", "end", "target", "pident", "bitscore", "members", "alternates"])
+            out.clear()
+            return made
+
+        for pdf in batches:
+            for r in pdf.itertuples(index=False):
+                size = r.q_high - r.q_low + 1
+                joins = cluster and r.contig == cluster[0].contig and r.q_low <= reach and any(min(r.q_high, m.q_high) - max(r.q_low, m.q_low) + 1 >= least * min(size, m.q_high - m.q_low + 1) for m in reversed(cluster))
+                if not joins:
+                    close()
+                    cluster, reach = [], -1
+                cluster.append(r)
+                reach = max(reach, r.q_high)
+            yield frame()
         close()
-        return pd.DataFrame(out, columns=["contig", "start", "end", "target", "pident", "bitscore", "members", "alternates"])
+        yield frame()
 
-    parts = mark_runs(found.select("contig", "target", "q_low", "q_high", "pident", "bitscore"), ["contig"], "q_low", "q_high", tie=["target"])
-    return parts.groupBy("contig", "run").applyInPandas(sweep, REGION)
+    return found.select(*order).repartition("contig").sortWithinPartitions(*order).mapInPandas(sweep, REGION)
 
 
 def islands(regions: DataFrame, lengths: DataFrame, gap: int = 5000, buffer: int = 0, min_contig: int = 20_000, times: float = 3.0, min_span: int = 2_000, min_regions: int = 3) -> DataFrame:
