@@ -275,7 +275,8 @@ def sample_reads(refs: DataFrame, length: int, seed: int, units: str = "units",
 
 def mutate(df: DataFrame, rate: float, seed: int, transition_ratio: float = 2.0, indel_rate: float = 0.0, key: str = "id", seq: str = "seq") -> DataFrame:
     """round(length * rate) point mutations of each record at distinct places; transitions with chance r / (r + 1); then
-    indels of one base. The generator is seeded by the record's id, so results don't depend on partitions."""
+    indels of one base. The generator is seeded by the record's id, so results don't depend on partitions;
+    results leave Python 256 records at a time."""
     import zlib
 
     import numpy as np
@@ -283,7 +284,7 @@ def mutate(df: DataFrame, rate: float, seed: int, transition_ratio: float = 2.0,
     swaps = {"A": ("G", "CT"), "G": ("A", "CT"), "C": ("T", "AG"), "T": ("C", "AG")}
 
     def run(batches):
-        for pdf in batches:
+        for pdf in (b.iloc[i : i + 256] for b in batches for i in range(0, len(b), 256)):
             out, subs, indels = [], [], []
             for k, s in zip(pdf[key], pdf[seq], strict=True):
                 rng = np.random.default_rng([seed, zlib.crc32(str(k).encode())])
