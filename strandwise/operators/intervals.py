@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .ordered import running_sum
+from .ordered import dealt, running_sum
 
 
 def mark_runs(df: DataFrame, keys: list[str], start: str = "start", end: str = "end", gap: int = 0, closed: bool = False, tie: list[str] | None = None) -> DataFrame:
@@ -35,27 +35,33 @@ def union_length(df: DataFrame, keys: list[str], start: str = "start", end: str
     return merge_runs(df, keys, start, end).groupBy(*keys).agg(F.sum(F.col("end") - F.col("start") + extra).alias("covered"))
 
 
-def loci(hsps: DataFrame, gap: int = 200, min_coverage: float = 80.0, edge_coverage: float = 50.0, edge: int = 100) -> DataFrame:
+def loci(hsps: DataFrame, gap: int = 200, min_coverage: float = 80.0, edge_coverage: float = 50.0, edge: int = 100, by: tuple[str, ...] = ("contig",)) -> DataFrame:
     """Hits of one target on one contig joined over gaps; coverage is the union of the target's parts over its length.
 
     hsps has contig, target, clen, slen, q_start, q_end, s_start, s_end, pident, bitscore (1-based, inclusive). A locus
-    passes with the full coverage, or with less if it lies near an end of its contig.
+    passes with the full coverage, or with less if it lies near an end of its contig. ``by`` names the columns of a contig.
+
+    One shuffle, a sort by the query's places and one by the target's; a hit adds the bases of the target that none before it
+    covers, and a locus is summed as its hits come by.
     """
     x = hsps.withColumn("q_low", F.least("q_start", "q_end")).withColumn("q_high", F.greatest("q_start", "q_end"))
-    x = x.withColumn("s_low", F.least("s_start", "s_end")).withColumn("s_high", F.greatest("s_start", "s_end"))
-    x = mark_runs(x, ["contig", "target"], "q_low", "q_high", gap, True, ["s_low", "s_high"]).withColumnRenamed("run", "locus")
-    keys = ["contig", "target", "locus"]
-    covered = union_length(x.select(*keys, F.col("s_low").alias("start"), F.col("s_high").alias("end")), keys, closed=True)
-    best = x.groupBy(*keys).agg(
+    x = x.withColumn("s_low", F.least("s_start", "s_end")).withColumn("s_high", F.greatest("s_start", "s_end")).drop("q_start", "q_end", "s_start", "s_end")
+    x = mark_runs(dealt(x, [*by, "target"]), [*by, "target"], "q_low", "q_high", gap, True, ["s_low", "s_high"]).withColumnRenamed("run", "locus")
+    keys = [*by, "target", "locus"]
+    before = F.max("s_high").over(Window.partitionBy(*keys).orderBy("s_low", "s_high").rowsBetween(Window.unboundedPreceding, -1))
+    x = x.withColumn("_b", before)
+    new = F.when(F.col("s_low") <= F.col("_b"), F.greatest(F.col("s_high") - F.col("_b"), F.lit(0))).otherwise(F.col("s_high") - F.col("s_low") + 1)
+    out = x.groupBy(*keys).agg(
         F.min("q_low").alias("q_low"),
         F.max("q_high").alias("q_high"),
         F.min("clen").alias("clen"),
-        F.max("slen").alias("slen"),
+        F.max(F.struct("slen"))["slen"].alias("slen"),  # groups with a maximum of structs aren't hashed but taken in the order of the sort
         F.max_by(F.struct("pident", "bitscore"), F.struct("bitscore", -F.col("q_low"), -F.col("s_low"))).alias("top"),
+        F.sum(new).alias("covered"),
     )
-    out = best.join(covered, keys).withColumn("perc_target_cov", 100.0 * F.col("covered") / F.col("slen"))
+    out = out.withColumn("perc_target_cov", 100.0 * F.col("covered") / F.col("slen"))
     near_end = (F.col("q_low") <= edge) | (F.col("q_high") > F.col("clen") - edge)
-    return out.where((F.col("perc_target_cov") >= min_coverage) | ((F.col("perc_target_cov") >= edge_coverage) & near_end)).select("contig", "target", "q_low", "q_high", "clen", "slen", "perc_target_cov", "top.pident", "top.bitscore")
+    return out.where((F.col("perc_target_cov") >= min_coverage) | ((F.col("perc_target_cov") >= edge_coverage) & near_end)).select(*by, "target", "q_low", "q_high", "clen", "slen", "perc_target_cov", "top.pident", "top.bitscore")
 
 
 REGION = "contig string, start long, end long, target string, pident double, bitscore double, members long, alternates string"
@@ -162,13 +168,13 @@ def contig_summary(found: DataFrame, lengths: DataFrame, regions: DataFrame | No
 
 
 def screen_assemblies(hits: list[tuple[str, DataFrame]], gap: int = 200, **gates) -> DataFrame:
-    """Loci of every assembly in one table with ``assembly`` first: assemblies are one key, not a loop of results."""
+    """Loci of every assembly in one table with ``assembly`` first: assemblies are a key, not a loop of results."""
     every = None
     for name, df in hits:
-        one = df.withColumn("contig", F.struct(F.lit(name).alias("assembly"), F.col("contig").cast("string").alias("contig")))
+        one = df.withColumn("assembly", F.lit(name)).withColumn("contig", F.col("contig").cast("string"))
         every = one if every is None else every.unionByName(one)
-    x = loci(every, gap, **gates)
-    return x.select(F.col("contig.assembly").alias("assembly"), F.col("contig.contig").alias("contig"), *(c for c in x.columns if c != "contig"))
+    x = loci(every, gap, by=("contig", "assembly"), **gates)
+    return x.select("assembly", *(c for c in x.columns if c != "assembly"))
 
 
 def assembly_names(paths: list[str]) -> list[str]:

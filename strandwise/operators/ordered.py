@@ -1,4 +1,4 @@
-"""Running sums and exact ranks over a whole table without putting it into one task."""
+"""Running sums and exact ranks over a whole table without putting it into one task, and shares that stay as they are while it grows."""
 
 from __future__ import annotations
 
@@ -7,6 +7,26 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+SHARE = 8 << 20  # bytes of the files read
+
+
+def tasks_for(df: DataFrame) -> int:
+    """Tasks that keep each one's share of the files df reads at SHARE, at least one a core. Sizes come from the plan's leaves, for an
+    estimate after a join is the product of both sides; where one is no file, at least the session's shuffle partitions."""
+    spark = df.sparkSession
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    leaves = [leaves.apply(i) for i in range(leaves.size())]
+    files = [x for x in leaves if x.getClass().getSimpleName().startswith("LogicalRelation")]
+    least = 1 if len(files) == len(leaves) else int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(spark.sparkContext.defaultParallelism, least, -(-sum(int(x.stats().sizeInBytes()) for x in files) // SHARE))
+
+
+def dealt(df: DataFrame, keys: list[str], tasks: int | None = None) -> DataFrame:
+    """df by the keys over tasks_for(df) tasks, which are not joined into larger ones, so that a task holds no more as tables grow.
+    Windows and groups by these and further keys need no other shuffle."""
+    return df.repartition(tasks or tasks_for(df), *keys)
+
+
 def running_sum(df: DataFrame, by: str, amount: str, name: str, tie: list[str] | None = None, ranges: int | None = None) -> DataFrame:
     """df with ``name``, the sum of ``amount`` up to and with each row in the order of the number ``by``, then ``tie``.
 
