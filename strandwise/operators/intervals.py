@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .ordered import dealt, running_sum
+from .ordered import dealt, running_sum, tasks_for
 
 
 def mark_runs(df: DataFrame, keys: list[str], start: str = "start", end: str = "end", gap: int = 0, closed: bool = False, tie: list[str] | None = None) -> DataFrame:
@@ -21,14 +21,25 @@ def mark_runs(df: DataFrame, keys: list[str], start: str = "start", end: str = "
     return df.withColumn("_opens", opens).withColumn("run", F.sum("_opens").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_opens")
 
 
-def merge_runs(df: DataFrame, keys: list[str], start: str = "start", end: str = "end", gap: int = 0, aggs: list[Column] | None = None, closed: bool = False) -> DataFrame:
-    """One row a run: keys, start, end, spans and further aggregates."""
+def merge_runs(df: DataFrame, keys: list[str], start: str = "start", end: str = "end", gap: int = 0, aggs: list[Column] | None = None, closed: bool = False, by: list[str] | None = None, tasks: int | None = None) -> DataFrame:
+    """One row a run: keys, start, end, spans and further aggregates. Rows are dealt ``by`` the keys, or some of them, over as many
+    ``tasks`` as the input needs; rows that lie so already are not dealt again."""
     if "run" in keys:
         raise ValueError("run names the result; rename the key")
-    m = mark_runs(df, keys, start, end, gap, closed)
+    m = mark_runs(dealt(df, by or keys, tasks), keys, start, end, gap, closed)
     return m.groupBy(*keys, "run").agg(F.min(start).alias("start"), F.max(end).alias("end"), F.count("*").alias("spans"), *(aggs or []))
 
 
+def circle_runs(spans: DataFrame, contigs: DataFrame) -> DataFrame:
+    """merge_runs of spans on circles, with each contig's ``length``. Spans are dealt once, for the lengths as for the runs, and meet
+    the few lengths of their task in a hash map, so they are sorted once."""
+    n = tasks_for(spans)
+    # grouped where they lie: of two bare shuffles in fewer tasks than the session's, the planner would make others
+    lengths = dealt(contigs, ["contig"], n).groupBy("contig").agg(F.max("length").alias("length"))
+    x = dealt(spans, ["contig"], n).join(lengths.hint("shuffle_hash"), "contig")
+    return merge_runs(split_wrapped(x), ["contig", "length"], by=["contig"], tasks=n)
+
+
 def union_length(df: DataFrame, keys: list[str], start: str = "start", end: str = "end", closed: bool = False) -> DataFrame:
     """Bases covered by at least one span."""
     extra = 1 if closed else 0
@@ -194,8 +205,7 @@ def require_overlap(subjects: DataFrame, targets: DataFrame, key: str) -> None:
 def detection_state(spans: DataFrame, contigs: DataFrame, enough: float = 1.0) -> DataFrame:
     """Per contig of contigs(contig, length): covered bases, covered intervals and whether the share covered reaches ``enough``;
     a contig of length 0 is done."""
-    runs = merge_runs(split_wrapped(spans.join(contigs, "contig")), ["contig"])
-    s = runs.groupBy("contig").agg(F.sum(F.col("end") - F.col("start")).alias("covered"), F.count("*").alias("intervals"))
+    s = circle_runs(spans, contigs).groupBy("contig").agg(F.sum(F.col("end") - F.col("start")).alias("covered"), F.count("*").alias("intervals"))
     x = contigs.join(s, "contig", "left").na.fill(0, ["covered", "intervals"])
     return x.withColumn("done", (F.col("length") == 0) | (F.col("covered") >= enough * F.col("length")))
 
@@ -312,13 +322,14 @@ def split_wrapped(spans: DataFrame) -> DataFrame:
 
 def detection(spans: DataFrame, contigs: DataFrame) -> DataFrame:
     """Covered bases and share of each contig; one of length 0 is fully detected."""
-    c = contigs.join(union_length(split_wrapped(spans.join(contigs, "contig")), ["contig"]), "contig", "left")
+    covered = circle_runs(spans, contigs).groupBy("contig").agg(F.sum(F.col("end") - F.col("start")).alias("covered"))
+    c = contigs.join(covered, "contig", "left")
     return c.withColumn("covered", F.coalesce("covered", F.lit(0))).withColumn("detection", F.when(F.col("length") == 0, 1.0).otherwise(F.col("covered") / F.col("length")))
 
 
 def covered_contigs(spans: DataFrame, contigs: DataFrame, circular: bool = False) -> DataFrame:
     """Maximal covered runs named contig:start-end; on a circle the last and the first are one if both reach the origin."""
-    runs = merge_runs(split_wrapped(spans.join(contigs, "contig")), ["contig"]).join(contigs, "contig")
+    runs = circle_runs(spans, contigs)
     if circular:
         w = Window.partitionBy("contig")
         wraps = (F.min("start").over(w) == 0) & (F.max("end").over(w) == F.col("length")) & (F.count("*").over(w) > 1)
