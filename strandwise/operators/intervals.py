@@ -121,7 +121,8 @@ def resolve_regions(found: DataFrame, least: float = 0.5) -> DataFrame:
 def islands(regions: DataFrame, lengths: DataFrame, gap: int = 5000, buffer: int = 0, min_contig: int = 20_000, times: float = 3.0, min_span: int = 2_000, min_regions: int = 3) -> DataFrame:
     """Chains of regions within a gap that pass the extraction gate, buffered and clamped to the contig, numbered per contig, with
     the chain's own bounds and the contig's length beside."""
-    x = merge_runs(regions, ["contig"], gap=gap, closed=True).join(lengths, "contig")
+    n = tasks_for(regions)
+    x = merge_runs(regions, ["contig"], gap=gap, closed=True, tasks=n).join(dealt(lengths, ["contig"], n).hint("shuffle_hash"), "contig")
     span = F.col("end") - F.col("start") + 1
     x = x.where((F.col("length") >= min_contig) & (F.col("length") >= times * span) & (span >= min_span) & (F.col("spans") >= min_regions))
     n = F.row_number().over(Window.partitionBy("contig").orderBy("start"))
@@ -153,9 +154,11 @@ def island_sequences(found: DataFrame, seqs: DataFrame) -> DataFrame:
 
 
 def region_islands(regions: DataFrame, found: DataFrame) -> DataFrame:
-    """regions with the island that each lies in, or null."""
+    """regions with the island that each lies in, or null. Regions are dealt by contig and meet the islands of their task in a hash
+    map, unsorted."""
+    n = tasks_for(regions)
     i = found.select(F.col("contig").alias("_c"), "island", F.col("island_start").alias("_s"), F.col("island_end").alias("_e"))
-    return regions.join(i, (F.col("contig") == F.col("_c")) & (F.col("start") >= F.col("_s")) & (F.col("end") <= F.col("_e")), "left").drop("_c", "_s", "_e")
+    return dealt(regions, ["contig"], n).join(dealt(i, ["_c"], n).hint("shuffle_hash"), (F.col("contig") == F.col("_c")) & (F.col("start") >= F.col("_s")) & (F.col("end") <= F.col("_e")), "left").drop("_c", "_s", "_e")
 
 
 def identity_filter(hsps: DataFrame, nucleotides: float = 80.0, residues: float = 70.0, kind: str = "target_type") -> DataFrame:
