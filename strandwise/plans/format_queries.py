@@ -298,18 +298,14 @@ def files_of_accessions(spark, sf):
 
 @query("SELECT 'f' || p_partkey AS id, CASE WHEN p_size % 3 = 0 THEN NULL ELSE p_size % 7 END AS a, p_size % 2 AS b FROM part WHERE (p_size % 3 > 0 AND p_size % 7 > 0) OR p_size % 2 > 0".replace("CASE WHEN p_size % 3 = 0 THEN NULL ELSE p_size % 7 END AS a, p_size % 2 AS b", "CAST(CASE WHEN p_size % 3 > 0 AND p_size % 7 > 0 THEN p_size % 7 END AS DOUBLE) AS a, CAST(CASE WHEN p_size % 2 > 0 THEN 1 END AS DOUBLE) AS b"))
 def biom_documents(spark, sf):
-    """Written as one document, parsed as one, back to the values that aren't 0."""
+    """Written as one document, read by its lines, back to the values that aren't 0."""
     p = t(spark, sf, "part")
     f = F.concat(F.lit("f"), F.col("p_partkey").cast("string")).alias("feature")
     long = p.select(f, F.lit("a").alias("sample"), F.when(F.col("p_size") % 3 > 0, F.col("p_size") % 7).otherwise(0).alias("value")).unionByName(p.select(f, F.lit("b").alias("sample"), (F.col("p_size") % 2).alias("value")))
     path = _folder(spark)
     writers.biom_document(long, path)
-    parts = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
-    one = parts.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("file", "value"))), lambda x: x["value"]), "").alias("doc"))
-    d = one.select(F.from_json("doc", "rows array<struct<id:string>>, columns array<struct<id:string>>, data array<array<double>>").alias("d"))
-    e = d.select("d.rows", "d.columns", F.explode("d.data").alias("e"))
-    e = e.select(F.element_at("rows", F.col("e")[0].cast("int") + 1)["id"].alias("id"), F.element_at("columns", F.col("e")[1].cast("int") + 1)["id"].alias("s"), F.col("e")[2].alias("v"))
-    return e.groupBy("id").pivot("s", ["a", "b"]).agg(F.max("v"))
+    e = readers.biom_document(spark, path).withColumnRenamed("feature", "id")
+    return e.groupBy("id").pivot("sample", ["a", "b"]).agg(F.max("value"))
 
 
 @query("SELECT CAST(sum(length(text)) AS BIGINT) AS n, count(*) AS k FROM (SELECT p_name || chr(9) || '1' AS text FROM part UNION ALL SELECT p_name || chr(9) || '#0000ff' || chr(9) || 'lab' FROM part UNION ALL SELECT p_name || chr(9) || 'branch' || chr(9) || '#ff0000' || chr(9) || 'normal' || chr(9) || '2.0' FROM part UNION ALL SELECT p_name || chr(9) || 'label' || chr(9) || '#ff0000' || chr(9) || 'bold' || chr(9) || '1' FROM part UNION ALL SELECT p_name || chr(9) || 'lab' || chr(9) || '-1' || chr(9) || '#000000' || chr(9) || 'bold' || chr(9) || '1' || chr(9) || '0' FROM part)")

@@ -25,6 +25,28 @@ def lines(spark: SparkSession, path: str | list[str], through: bool = False) ->
     return raw.join(blocks, ["file", "_b"]).select("file", (F.col("_before") + F.col("_m") - F.col("_first")).alias("ordinal"), "value")
 
 
+def biom_document(spark: SparkSession, path: str) -> DataFrame:
+    """(feature, sample, value): the entries of a BIOM 1.0 document (sparse, JSON) that has a line for each row and each entry, as
+    writers.biom_document makes it. It is read by lines, whose numbers are those of the rows; another layout is an error."""
+    import json
+
+    x = lines(spark, path, through=True)
+    marks = x.where((F.col("ordinal") == 0) | F.col("value").startswith("]")).orderBy("ordinal").limit(4).collect()
+    try:
+        head = json.loads(marks[0]["value"] + "]}")
+        n, samples = head["shape"][0], [c["id"] for c in head["columns"]]
+        whole = [m["ordinal"] for m in marks[:2]] == [0, n + 1] and [m["value"] for m in marks[1:]] == ['], "data": [', "]}"]
+    except (IndexError, KeyError, TypeError, ValueError):
+        whole = False
+    if not whole:
+        raise ValueError("no BIOM document of a row and an entry a line")
+    text = F.regexp_replace("value", "^,", "")
+    rows = x.where(F.col("ordinal").between(1, n)).select((F.col("ordinal") - 1).alias("i"), F.from_json(text, "id string")["id"].alias("feature"))
+    e = x.where((F.col("ordinal") > n + 1) & ~F.col("value").startswith("]")).select(F.from_json(text, "array<double>").alias("e"))
+    e = e.select(F.col("e")[0].cast("long").alias("i"), F.get(F.array(*map(F.lit, samples)), F.col("e")[1].cast("int")).alias("sample"), F.col("e")[2].alias("value"))
+    return e.join(rows, "i").select("feature", "sample", "value")
+
+
 def catalog(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
     df = spark.read.parquet(path)
     return df.select(*columns) if columns else df

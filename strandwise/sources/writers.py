@@ -159,35 +159,36 @@ def read_summary(reads: DataFrame) -> DataFrame:
 
 
 def biom_document(long: DataFrame, path: str, feature: str = "feature", sample: str = "sample", value: str = "value", table: str = "table") -> None:
-    """A BIOM 1.0 document (sparse, JSON) of a feature table as a folder of text parts, to be read in order: features and samples
-    are numbered by name, and entries are made where they are; only the sample names, one a column, come to the driver."""
+    """A BIOM 1.0 document (sparse, JSON) of a feature table as a folder of text parts, to be read in order, with a line for each row
+    and each entry. Features are dealt by a hash of their names and numbered by name within a task; only the sample names, one a
+    column, and a row for each task come to the driver. The numbered rows are kept once and then written where they lie."""
     import json
 
+    from ..operators.ordered import dealt
+    from ..shared import checkpoint
+
     spark = long.sparkSession
     samples = sorted(str(r[0]) for r in long.select(sample).distinct().collect())
     number = F.array_position(F.array(*map(F.lit, samples)), F.col(sample).cast("string")) - 1
-    rows = long.select(F.col(feature).cast("string").alias("f")).distinct()
-    rows = running_rows(rows)
-    kept = long.where(F.col(value) != 0).join(rows, F.col(feature).cast("string") == F.col("f"))
-    n, entries = rows.count(), kept.select("i", number.alias("j"), F.col(value).cast("double").alias("v"))
+    entry = F.when(F.col(value) != 0, F.struct(number.alias("j"), F.col(value).cast("double").alias("v")))
+    x = dealt(long.select(F.col(feature).cast("string").alias("f"), entry.alias("e")), ["f"])
+    x = x.groupBy("f").agg(F.array_sort(F.collect_list("e")).alias("e")).sortWithinPartitions("f").withColumn("m", F.monotonically_increasing_id())
+    x = checkpoint(x.select("f", "e", "m", F.shiftright("m", 33).alias("p")))
+    tasks = x.groupBy("p").agg(F.count("*").alias("n"), F.min("m").alias("m"), F.min(F.when(F.size("e") > 0, F.col("m"))).alias("e")).orderBy("p").collect()
+    n, before = 0, [(-1, 0)]
+    for t in tasks:
+        before.append((t["p"], n - t["m"]))
+        n += t["n"]
+    first_row, first_entry = min([t["m"] for t in tasks], default=-1), min([t["e"] for t in tasks if t["e"] is not None], default=-1)
+    x = x.join(F.broadcast(spark.createDataFrame(before, "p long, b long")), "p").withColumn("i", (F.col("m") + F.col("b")).cast("string"))  # a row for each task
     head = {"id": table, "format": "Biological Observation Matrix 1.0.0", "type": "OTU table", "matrix_type": "sparse", "matrix_element_type": "float", "shape": [n, len(samples)], "columns": [{"id": x, "metadata": None} for x in samples]}
-    start = json.dumps(head)[:-1]
-    part = "part int, k long, value string"
-    first_row, first_entry = rows.agg(F.min("i")).first()[0], entries.orderBy("i", "j").first()
-    comma = F.when(F.col("i") == first_row, "").otherwise(",")
-    text = spark.createDataFrame([(0, 0, start + ', "rows": ['), (2, 0, '], "data": ['), (4, 0, "]}")], part)
-    text = text.unionByName(rows.select(F.lit(1).alias("part"), F.col("i").alias("k"), F.concat(comma, F.to_json(F.struct(F.col("f").alias("id")))).alias("value")))
-    same = (F.col("i") == first_entry["i"]) & (F.col("j") == first_entry["j"]) if first_entry else F.lit(False)
-    text = text.unionByName(entries.select(F.lit(3).alias("part"), (F.col("i") * len(samples) + F.col("j")).alias("k"), F.concat(F.when(same, "").otherwise(","), F.lit("["), F.col("i").cast("string"), F.lit(","), F.col("j").cast("string"), F.lit(","), F.col("v").cast("string"), F.lit("]")).alias("value")))
-    text.repartitionByRange("part", "k").sortWithinPartitions("part", "k").select("value").write.mode("overwrite").text(path)
-
-
-def running_rows(names: DataFrame) -> DataFrame:
-    """(f, i): distinct names numbered from 0 in the order of a hash of each, range by range."""
-    from ..operators.ordered import running_sum
-
-    x = names.withColumn("_h", F.xxhash64("f").cast("double")).withColumn("_one", F.lit(1))
-    return running_sum(x, "_h", "_one", "i", ["f"]).select("f", (F.col("i") - 1).alias("i"))
+    start, middle, end = (spark.range(0, 1, 1, 1).select(F.lit(v).alias("value")) for v in (json.dumps(head)[:-1] + ', "rows": [', '], "data": [', "]}"))
+    rows = x.select(F.concat(F.when(F.col("m") == first_row, "").otherwise(","), F.to_json(F.struct(F.col("f").alias("id")))).alias("value"))
+    e = x.select("m", "i", F.posexplode("e").alias("k", "e"))
+    comma = F.when((F.col("m") == first_entry) & (F.col("k") == 0), "").otherwise(",")
+    entries = e.select(F.concat(comma, F.lit("["), "i", F.lit(","), F.col("e.j").cast("string"), F.lit(","), F.col("e.v").cast("string"), F.lit("]")).alias("value"))
+    # a union keeps its parts' order and that of their tasks, by which files are named
+    start.union(rows).union(middle).union(entries).union(end).write.mode("overwrite").text(path)
 
 
 def mutations(listed: DataFrame, path: str) -> None:
